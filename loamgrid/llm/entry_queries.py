@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import minhash, mixing, sharding, topk, url_filter
+from loamgrid.llm import decontaminate, html_text, language, lm_score, minhash, mixing, sharding, topk, toxicity, url_filter
 from loamgrid.llm.common import table
 
 #: The shard queries' tree: 24 shards, and with one more.
@@ -17,6 +17,10 @@ SHARDS = 24
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -25,10 +29,27 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, hundredths=85).drop("component")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), sharding.tree(SHARDS), sharding.tree(SHARDS + 1))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_score.score(table(spark, sf_dir, "documents"), good)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -105,7 +126,10 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FR
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_top_k": op2_top_k, "op5_minhash": op5_minhash, "op4_sharding": op4_sharding, "op9_url_filter": op9_url_filter, "op10_mixing": op10_mixing}
+    return {
+        "op1_decontamination": op1_decontamination, "op2_top_k": op2_top_k, "op3_html_text": op3_html_text, "op4_sharding": op4_sharding, "op5_minhash": op5_minhash,
+        "op6_lm_score": op6_lm_score, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_url_filter": op9_url_filter, "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.llm.common import written
@@ -53,7 +53,7 @@ def node_of(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """id, n (set size), node, check (the digest) and regs, for each row of docs (id, text)."""
+    """id, mark, n (set size), node, check (the digest) and regs, for each row of docs (id, text, mark)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,9 +64,9 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 a.append(x)
                 b.append(y)
                 regs.append(registers(s).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n": pa.array(n, pa.int64()), "node": pa.array(a, pa.int64()), "check": pa.array(b, pa.int64()), "regs": pa.array(regs, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "mark": batch.column("mark"), "n": pa.array(n, pa.int64()), "node": pa.array(a, pa.int64()), "check": pa.array(b, pa.int64()), "regs": pa.array(regs, pa.binary())})
 
-    return docs.mapInArrow(sign, f"id {docs.schema['id'].dataType.simpleString()}, n bigint, node bigint, check bigint, regs binary")
+    return docs.mapInArrow(sign, f"id {docs.schema['id'].dataType.simpleString()}, mark bigint, n bigint, node bigint, check bigint, regs binary")
 
 
 def bands(nodes: DataFrame, rows: int) -> DataFrame:
@@ -166,19 +166,19 @@ def pairs_of(rows: DataFrame) -> DataFrame:
     return each.unionByName(star).where("a < b").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, hundredths: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, hundredths: int = 80, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
     """The component of every row under links with 100 * intersection >= hundredths * union of shingle sets.
 
     Words are runs of characters other than space and 0x09-0x0D, A-Z lower-cased; a set holds the distinct runs of
     size words, of a shorter text the whole run. Texts that are null or without words have an empty set and no links.
     Returns id, n_shingles, component_id (the least id in the component; null if all are null), component (a number for
-    the component) and kept (id = component_id; a row with a null id is kept if no row of its component has an id).
+    the component) and kept (id = component_id; a row with a null id is kept if no row of its component has an id), and mark where a column of that kind is given.
     Every row of docs is in the result, repeated rows too; no rows give no rows; other columns of docs play no part.
     """
     threshold = hundredths / 100
     rows = rows_per_band(threshold)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = written(signatures(base, size), "signatures")
+    signed = written(signatures(base.withColumn("mark", mark if mark is not None else F.lit(0).cast("bigint")), size), "signatures")
     nodes = written(signed.where("n > 0").groupBy("node", "check").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")).repartition("node"), "nodes")
     first = written(bands(nodes, rows), "bands")
     spread, links = written(bucketed(first), "buckets"), None
@@ -203,8 +203,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, hundredths: int = 80, id_col
         links = links.unionByName(extra)
         again = apart.select("band", "node").join(first.toDF("also", "node"), "node").where("band <> also")
         spread = written(bucketed(again.select(F.xxhash64(F.least("band", "also"), F.greatest("band", "also")).alias("band"), "node").distinct()), "buckets")
-    labelled = signed.join(comps, "node", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("component"))
+    labelled = signed.join(comps, "node", "left").select("id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("component"))
     least = labelled.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     out = labelled.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")))
     kept = F.when(F.col("component").isNull() | F.col("component_id").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"), "component")
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"), "component", *["mark"] * (mark is not None))
+
+
+def distinct_documents(docs: DataFrame, size: int = 5, hundredths: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near duplicates: the kept rows of near_duplicates(), repeated rows once.
+
+    A document is told by its id and text. Documents without words are groups of their own, told the same way.
+    """
+    mark = F.xxhash64(F.col(text_col))
+    judged = near_duplicates(docs, size, hundredths, id_col, text_col, mark)
+    kept = judged.where("kept").select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).distinct()
+    marked = docs.withColumn("_text", mark)
+    rows = marked.join(kept, marked[id_col].eqNullSafe(kept["_id"]) & (marked["_text"] == kept["_mark"]), "left_semi")
+    return rows.dropDuplicates([id_col, "_text"]).select(*docs.columns)
