@@ -66,12 +66,13 @@ def targets(sized: DataFrame, weights: tuple[int, ...], most: int, block: int) -
     return out.select("source", "rank", "source_size", "target", "blocks", "quota", first.alias("first"), F.sum("quota").over(Window.partitionBy()).alias("slots"))
 
 
-def deal(sources: DataFrame, per_row: int = 65536) -> DataFrame:
+def deal(sources: DataFrame, per_row: int = 8192) -> DataFrame:
     """slot, rank, epoch, block: one row for each output slot. sources: of targets().
 
     A source's slots are made from runs of per_row of them, so that no task makes all slots of a large source.
     """
-    runs = sources.where("quota > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota") - 1, F.lit(per_row).cast("bigint"))).alias("_lo")).repartition("rank", "_lo")
+    runs = sources.where("quota > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota") - 1, F.lit(per_row).cast("bigint"))).alias("_lo"))
+    runs = runs.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "_lo")
     each = runs.select("*", F.explode(F.sequence(F.col("_lo"), F.least(F.col("_lo") + per_row, F.col("quota")) - 1)).alias("_k"))
     epoch = F.expr("_k div blocks")
     slot = permuted(F.col("first") + F.col("_k"), F.col("slots"), F.lit(0).cast("bigint"), inverse=True)
@@ -117,7 +118,8 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     rows. No document is taken more than most times. Columns of docs besides id, text and source play no part.
     """
     sources, seg, slots = plan(docs, weights, most, block, id_col)
-    times = slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
+    # Slots grow with the corpus, though they come from the small table of sources: never to be broadcast.
+    times = slots.groupBy("rank", "block").agg(F.count("*").alias("times")).hint("merge")
     used = seg.join(times, ["rank", "block"], "left")
     by_doc = used.groupBy(id_col, "rank", "start", "size").agg(F.count("*").alias("_n"), F.sum(F.col("n_words") * F.coalesce("times", F.lit(0))).alias("taken"))
     # Rows without words of one id share a start: they are counted above and come out again here.
@@ -132,7 +134,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     block is a single piece. Documents without words do not enter a mix of words.
     """
     _, seg, slots = plan(docs, weights, most, block, id_col, keep=docs.columns)
-    pieces = seg.where("n_words > 0").join(slots, ["rank", "block"])
+    pieces = seg.where("n_words > 0").join(slots.hint("merge"), ["rank", "block"])
     parts = F.regexp_extract_all("text", F.lit(f"[{SPACE}]*{WORD}[{SPACE}]*$|[{SPACE}]*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(parts, (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int")), "")
     pieces = pieces.withColumn("text", F.when(F.col("n_words") == F.col("size"), F.col("text")).otherwise(cut))
