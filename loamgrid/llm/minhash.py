@@ -26,7 +26,7 @@ MANTISSA = 10
 #: The chance that two different minima of like sets give the same register.
 COLLISION = 0.25 / math.log(2) / 2 / 2**MANTISSA
 #: Buckets of up to so many nodes give all their pairs.
-SMALL = 6
+SMALL = 8
 #: A link may be missed with at most this probability for each pair of equal registers' chance.
 MISS = 1e-8
 
@@ -47,6 +47,19 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def filled(regs: np.ndarray) -> np.ndarray:
+    """The registers with every empty one taken from the non-empty one that comes first in its own order of buckets."""
+    empty, full = np.flatnonzero(regs == 0), np.flatnonzero(regs)
+    if not len(empty) or not len(full):
+        return regs
+    out = regs.copy()
+    out[empty] = regs[full[_ORDER[np.ix_(empty, full)].argmin(axis=1)]]
+    return out
+
+
+_ORDER = np.random.default_rng(256).random((BUCKETS, BUCKETS)).argsort(axis=1).argsort(axis=1).astype(np.int16)
+
+
 def node_of(hashes: np.ndarray) -> tuple[int, int]:
     """A 126-bit digest of a set, as two non-negative integers."""
     return int(hashes.sum(dtype=np.uint64) >> np.uint64(1)), int(mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) >> np.uint64(1))
@@ -70,7 +83,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def bands(nodes: DataFrame, rows: int) -> DataFrame:
-    """band (a hash of its number and registers) and node, for every band that holds a register."""
+    """band (a hash of its number and filled registers) and node."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_bands = BUCKETS // rows
@@ -79,11 +92,10 @@ def bands(nodes: DataFrame, rows: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)[:, : n_bands * rows].reshape(-1, n_bands, rows)
-            some = (regs > 0).any(axis=2)
+            regs = np.stack([filled(np.frombuffer(r.as_buffer(), np.uint16)) for r in batch.column("regs")])
+            regs = regs[:, : n_bands * rows].reshape(-1, n_bands, rows)
             keys = mixed((mixed(regs.astype(np.uint64) + np.uint64(1)) * coef).sum(axis=2, dtype=np.uint64) + salt)
-            i, j = np.nonzero(some)
-            yield pa.RecordBatch.from_pydict({"band": keys[i, j].astype(np.int64), "node": batch.column("node").to_numpy()[i]})
+            yield pa.RecordBatch.from_pydict({"band": keys.astype(np.int64).ravel(), "node": np.repeat(batch.column("node").to_numpy(), n_bands)})
 
     return nodes.select("node", "regs").mapInArrow(cut, "band bigint, node bigint")
 
@@ -153,8 +165,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def bucketed(rows: DataFrame) -> DataFrame:
-    """Adds center, the bucket's least node, and many, its number of nodes, to (band, node); lone nodes drop out."""
-    of = rows.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("many")).where("many > 1")
+    """Adds center, the bucket's least node, and many, its number of nodes, to (band, node, comp).
+
+    Buckets whose nodes are all of one component have nothing left to link and drop out.
+    """
+    of = rows.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("many"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
     return rows.join(of, "band")
 
 
@@ -181,17 +196,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, hundredths: int = 80, id_col
     signed = written(signatures(base.withColumn("mark", mark if mark is not None else F.lit(0).cast("bigint")), size), "signatures")
     nodes = written(signed.where("n > 0").groupBy("node", "check").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")).repartition("node"), "nodes")
     first = written(bands(nodes, rows), "bands")
-    spread, links = written(bucketed(first), "buckets"), None
+    spread, links, comps = written(bucketed(first.withColumn("comp", F.col("node"))), "buckets"), None, None
+
+    def label(df: DataFrame, name: str, out: str) -> DataFrame:
+        return df.join(comps.toDF(name, out), name, "left").withColumn(out, F.coalesce(out, name))
+
     while True:
-        judged = written(estimated(pairs_of(spread), nodes, threshold), "pairs")
+        pairs = pairs_of(spread)
+        if comps is not None:  # pairs of one component have nothing left to link
+            pairs = label(label(pairs, "a", "c_a"), "b", "c_b").where("c_a <> c_b").select("a", "b")
+        judged = written(estimated(pairs, nodes, threshold), "pairs")
         found = written(confirmed(judged.where("near"), base, nodes, size, hundredths), "confirmed")
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
-        large = spread.where(F.col("many") > SMALL)
-        if not large.limit(1).count():
-            break
+        if comps is None or found.limit(1).count():
+            links = found if links is None else links.unionByName(found)
+            comps = components(links)
+        large = spread.where(F.col("many") > SMALL).drop("comp")
         # What large buckets leave: a node linked with the center is done, but for nodes at up to twice the distance.
-        label = lambda df, name, out: df.join(comps.toDF(name, out), name, "left").withColumn(out, F.coalesce(out, name))
         seen = label(label(large, "node", "c_node"), "center", "c_center")
         close = judged.select(F.col("a").alias("center"), F.col("b").alias("node"), "mid")
         apart = written(seen.where("c_node <> c_center").join(close, ["center", "node"], "left").select("band", "node", "center", "c_node", "c_center", F.coalesce("mid", F.lit(False)).alias("mid")), "apart")
@@ -200,9 +220,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, hundredths: int = 80, id_col
         beside = seen.where("c_node = c_center").select("band", F.col("node").alias("other"))
         across = apart.where("mid").join(beside, "band").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a <> b").distinct()
         extra = written(confirmed(estimated(across, nodes, threshold).where("near"), base, nodes, size, hundredths), "confirmed")
-        links = links.unionByName(extra)
+        if extra.limit(1).count():
+            links = links.unionByName(extra)
+            comps = components(links)
         again = apart.select("band", "node").join(first.toDF("also", "node"), "node").where("band <> also")
-        spread = written(bucketed(again.select(F.xxhash64(F.least("band", "also"), F.greatest("band", "also")).alias("band"), "node").distinct()), "buckets")
+        again = again.select(F.xxhash64(F.least("band", "also"), F.greatest("band", "also")).alias("band"), "node").distinct()
+        spread = written(bucketed(label(again, "node", "comp")), "buckets")
+        if not spread.limit(1).count():
+            break
     labelled = signed.join(comps, "node", "left").select("id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("component"))
     least = labelled.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     out = labelled.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")))
