@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import written
+from loamgrid.llm.common import small_batches, written
 from loamgrid.llm.shingles import mixed, sets
 
 BUCKETS = 256
@@ -26,7 +26,7 @@ MANTISSA = 10
 #: The chance that two different minima of like sets give the same register.
 COLLISION = 0.25 / math.log(2) / 2 / 2**MANTISSA
 #: Buckets of up to so many nodes give all their pairs.
-SMALL = 8
+SMALL = 128
 #: A link may be missed with at most this probability for each pair of equal registers' chance.
 MISS = 1e-8
 
@@ -190,12 +190,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, hundredths: int = 80, id_col
     the component) and kept (id = component_id; a row with a null id is kept if no row of its component has an id), and mark where a column of that kind is given.
     Every row of docs is in the result, repeated rows too; no rows give no rows; other columns of docs play no part.
     """
+    with small_batches(docs.sparkSession, 1000):
+        return grouped(docs, size, hundredths, id_col, text_col, mark)
+
+
+def grouped(docs: DataFrame, size: int, hundredths: int, id_col: str, text_col: str, mark: Column | None) -> DataFrame:
+    """near_duplicates(); all but the last joins has run when it returns."""
     threshold = hundredths / 100
     rows = rows_per_band(threshold)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = written(signatures(base.withColumn("mark", mark if mark is not None else F.lit(0).cast("bigint")), size), "signatures")
     nodes = written(signed.where("n > 0").groupBy("node", "check").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")).repartition("node"), "nodes")
-    first = written(bands(nodes, rows), "bands")
+    # A set of n shingles has at most n / (n + 1) in common with another one.
+    first = written(bands(nodes.where(F.col("n") * (100 - hundredths) >= hundredths), rows), "bands")
     spread, links, comps = written(bucketed(first.withColumn("comp", F.col("node"))), "buckets"), None, None
 
     def label(df: DataFrame, name: str, out: str) -> DataFrame:
