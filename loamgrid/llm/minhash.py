@@ -25,8 +25,10 @@ BUCKETS = 256
 MANTISSA = 10
 #: The chance that two different minima of like sets give the same register.
 COLLISION = 0.25 / math.log(2) / 2 / 2**MANTISSA
-#: Buckets of up to so many nodes give all their pairs.
-SMALL = 128
+#: Buckets of up to so many nodes give all their pairs; larger ones take so many turns with one center each.
+SMALL, TURNS = 64, 3
+#: So many bands are bucketed before the others.
+FIRST = 4
 #: A link may be missed with at most this probability for each pair of equal registers' chance.
 MISS = 1e-8
 
@@ -83,7 +85,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def bands(nodes: DataFrame, rows: int) -> DataFrame:
-    """band (a hash of its number and filled registers) and node."""
+    """band (a hash of its number and filled registers), node and no, the number."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_bands = BUCKETS // rows
@@ -95,9 +97,9 @@ def bands(nodes: DataFrame, rows: int) -> DataFrame:
             regs = np.stack([filled(np.frombuffer(r.as_buffer(), np.uint16)) for r in batch.column("regs")])
             regs = regs[:, : n_bands * rows].reshape(-1, n_bands, rows)
             keys = mixed((mixed(regs.astype(np.uint64) + np.uint64(1)) * coef).sum(axis=2, dtype=np.uint64) + salt)
-            yield pa.RecordBatch.from_pydict({"band": keys.astype(np.int64).ravel(), "node": np.repeat(batch.column("node").to_numpy(), n_bands)})
+            yield pa.RecordBatch.from_pydict({"band": keys.astype(np.int64).ravel(), "node": np.repeat(batch.column("node").to_numpy(), n_bands), "no": np.tile(np.arange(n_bands, dtype=np.int32), len(keys))})
 
-    return nodes.select("node", "regs").mapInArrow(cut, "band bigint, node bigint")
+    return nodes.select("node", "regs").mapInArrow(cut, "band bigint, node bigint, no int")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -164,21 +166,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def bucketed(rows: DataFrame) -> DataFrame:
-    """Adds center, the bucket's least node, and many, its number of nodes, to (band, node, comp).
+def bucketed(rows: DataFrame, turn: int) -> DataFrame:
+    """Adds center, a node of the bucket that changes with turn, and many, its number of nodes, to (band, node, comp).
 
     Buckets whose nodes are all of one component have nothing left to link and drop out.
     """
-    of = rows.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("many"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
-    return rows.join(of, "band")
+    chance = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("node"))
+    of = rows.groupBy("band").agg(F.min(chance)["node"].alias("center"), F.count("*").alias("many"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
+    return rows.select("band", "node", "comp").join(of, "band")
 
 
 def pairs_of(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of small buckets, and every node with the center in the others."""
-    small = rows.where(F.col("many") <= SMALL).groupBy("band").agg(F.array_sort(F.collect_list("node")).alias("in"))
-    each = small.select("in", F.posexplode("in").alias("i", "a")).select("a", F.explode(F.slice("in", F.col("i") + 2, F.lit(SMALL))).alias("b"))
-    star = rows.where((F.col("many") > SMALL) & (F.col("node") != F.col("center"))).select(F.col("center").alias("a"), F.col("node").alias("b"))
-    return each.unionByName(star).where("a < b").distinct()
+    """(a, b), a < b: the pairs of two components in small buckets, and every node with the center in the others."""
+    small = rows.where(F.col("many") <= SMALL).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("node", "comp"))).alias("in"))
+    each = small.select("in", F.posexplode("in").alias("i", "x")).select("x", F.explode(F.filter(F.slice("in", F.col("i") + 2, F.lit(SMALL)), lambda y: y["comp"] != F.col("x.comp"))).alias("y"))
+    star = rows.where((F.col("many") > SMALL) & (F.col("node") != F.col("center"))).select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b"))
+    return each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(star).where("a < b").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, hundredths: int = 80, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
@@ -203,38 +206,52 @@ def grouped(docs: DataFrame, size: int, hundredths: int, id_col: str, text_col:
     nodes = written(signed.where("n > 0").groupBy("node", "check").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")).repartition("node"), "nodes")
     # A set of n shingles has at most n / (n + 1) in common with another one.
     first = written(bands(nodes.where(F.col("n") * (100 - hundredths) >= hundredths), rows), "bands")
-    spread, links, comps = written(bucketed(first.withColumn("comp", F.col("node"))), "buckets"), None, None
+    links = comps = None
 
     def label(df: DataFrame, name: str, out: str) -> DataFrame:
+        if comps is None:
+            return df.withColumn(out, F.col(name))
         return df.join(comps.toDF(name, out), name, "left").withColumn(out, F.coalesce(out, name))
 
-    while True:
-        pairs = pairs_of(spread)
-        if comps is not None:  # pairs of one component have nothing left to link
-            pairs = label(label(pairs, "a", "c_a"), "b", "c_b").where("c_a <> c_b").select("a", "b")
-        judged = written(estimated(pairs, nodes, threshold), "pairs")
+    def link(pairs: DataFrame) -> DataFrame:
+        """Confirms pairs of different components, joins the links to those before; the pairs with their estimates."""
+        nonlocal links, comps
+        apart = label(label(pairs, "a", "c_a"), "b", "c_b").where("c_a <> c_b").select("a", "b")
+        judged = written(estimated(apart, nodes, threshold), "pairs")
         found = written(confirmed(judged.where("near"), base, nodes, size, hundredths), "confirmed")
-        if comps is None or found.limit(1).count():
+        if links is None or found.limit(1).count():
             links = found if links is None else links.unionByName(found)
             comps = components(links)
-        large = spread.where(F.col("many") > SMALL).drop("comp")
+        return judged
+
+    # A few bands first: they join most of a large group, whose buckets then have nothing left to link.
+    few = label(first.where(F.col("no") < FIRST), "node", "comp")
+    link(pairs_of(written(bucketed(few, 0), "buckets")))
+    level = first
+    while True:
+        spread = label(level, "node", "comp")
+        for turn in range(1, TURNS + 1):
+            spread = written(bucketed(spread, turn), "buckets")
+            judged = link(pairs_of(spread))
+            large = spread.where(F.col("many") > SMALL)
+            if not large.limit(1).count():
+                return finished(signed, comps, id_col, mark)
+            if turn < TURNS:
+                spread = label(large.drop("comp"), "node", "comp")
         # What large buckets leave: a node linked with the center is done, but for nodes at up to twice the distance.
-        seen = label(label(large, "node", "c_node"), "center", "c_center")
-        close = judged.select(F.col("a").alias("center"), F.col("b").alias("node"), "mid")
-        apart = written(seen.where("c_node <> c_center").join(close, ["center", "node"], "left").select("band", "node", "center", "c_node", "c_center", F.coalesce("mid", F.lit(False)).alias("mid")), "apart")
+        seen = label(label(large.drop("comp"), "node", "c_node"), "center", "c_center")
+        close = judged.select(F.col("a"), F.col("b"), "mid")
+        ends = seen.where("c_node <> c_center").withColumns({"a": F.least("node", "center"), "b": F.greatest("node", "center")})
+        apart = written(ends.join(close, ["a", "b"], "left").select("band", "node", "c_node", F.coalesce("mid", F.lit(False)).alias("mid")), "apart")
         if not apart.limit(1).count():
-            break
+            return finished(signed, comps, id_col, mark)
         beside = seen.where("c_node = c_center").select("band", F.col("node").alias("other"))
-        across = apart.where("mid").join(beside, "band").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a <> b").distinct()
-        extra = written(confirmed(estimated(across, nodes, threshold).where("near"), base, nodes, size, hundredths), "confirmed")
-        if extra.limit(1).count():
-            links = links.unionByName(extra)
-            comps = components(links)
-        again = apart.select("band", "node").join(first.toDF("also", "node"), "node").where("band <> also")
-        again = again.select(F.xxhash64(F.least("band", "also"), F.greatest("band", "also")).alias("band"), "node").distinct()
-        spread = written(bucketed(label(again, "node", "comp")), "buckets")
-        if not spread.limit(1).count():
-            break
+        link(apart.where("mid").join(beside, "band").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a <> b").distinct())
+        again = apart.select("band", "node").join(first.select(F.col("band").alias("also"), "node"), "node").where("band <> also")
+        level = again.select(F.xxhash64(F.least("band", "also"), F.greatest("band", "also")).alias("band"), "node").distinct()
+
+
+def finished(signed: DataFrame, comps: DataFrame, id_col: str, mark: Column | None) -> DataFrame:
     labelled = signed.join(comps, "node", "left").select("id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("component"))
     least = labelled.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     out = labelled.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")))
