@@ -72,10 +72,11 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     key = hash60(F.lit("toxicity"), F.col("doc_id"))
     share = lambda most, of: int(2**60 * min(1.0, most / max(1, of)))
     fit = docs.select("doc_id", "text").where((crc_mod3(F.col("doc_id")) != 1) & F.col("text").isNotNull() & (F.octet_length("text") <= BYTES))
-    positive = marks.where("toxic = 1").where(key < share(POSITIVES, toxic or 0)).select("doc_id", F.lit(True).alias("positive"))
+    # At most POSITIVES ids, so they may be broadcast; the texts then stay where they are read.
+    positive = marks.where("toxic = 1").where(key < share(2 * POSITIVES, toxic or 0)).orderBy(key, "doc_id").limit(POSITIVES).select("doc_id", F.lit(True).alias("positive"))
     # The unlabelled texts are drawn from all of them, toxic ones included: the prior holds for them.
     others = fit.where(key < share(UNLABELLED, n)).select(F.lit(False).alias("positive"), "text")
-    rows = fit.join(positive, "doc_id").select("positive", "text").unionByName(others)
+    rows = fit.join(F.broadcast(positive), "doc_id").select("positive", "text").unionByName(others)
 
     def marked_by_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
