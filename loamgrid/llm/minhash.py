@@ -167,13 +167,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def bucketed(rows: DataFrame, turn: int) -> DataFrame:
-    """Adds center, a node of the bucket that changes with turn, and many, its number of nodes, to (band, node, comp).
+    """Adds center, a node of the bucket that changes with turn, and many, its number of nodes, to (band, node, no, comp).
 
     Buckets whose nodes are all of one component have nothing left to link and drop out.
     """
     chance = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("node"))
     of = rows.groupBy("band").agg(F.min(chance)["node"].alias("center"), F.count("*").alias("many"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
-    return rows.select("band", "node", "comp").join(of, "band")
+    return rows.select("band", "node", "no", "comp").join(of, "band")
 
 
 def pairs_of(rows: DataFrame) -> DataFrame:
@@ -242,13 +242,16 @@ def grouped(docs: DataFrame, size: int, hundredths: int, id_col: str, text_col:
         seen = label(label(large.drop("comp"), "node", "c_node"), "center", "c_center")
         close = judged.select(F.col("a"), F.col("b"), "mid")
         ends = seen.where("c_node <> c_center").withColumns({"a": F.least("node", "center"), "b": F.greatest("node", "center")})
-        apart = written(ends.join(close, ["a", "b"], "left").select("band", "node", "c_node", F.coalesce("mid", F.lit(False)).alias("mid")), "apart")
+        apart = written(ends.join(close, ["a", "b"], "left").select("band", "node", "no", F.coalesce("mid", F.lit(False)).alias("mid")), "apart")
         if not apart.limit(1).count():
             return finished(signed, comps, id_col, mark)
         beside = seen.where("c_node = c_center").select("band", F.col("node").alias("other"))
         link(apart.where("mid").join(beside, "band").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a <> b").distinct())
-        again = apart.select("band", "node").join(first.select(F.col("band").alias("also"), "node"), "node").where("band <> also")
-        level = again.select(F.xxhash64(F.least("band", "also"), F.greatest("band", "also")).alias("band"), "node").distinct()
+        # Bands are added in the order of their numbers, so every bucket is new and at most all bands are used up.
+        again = apart.select("band", "node", "no").join(first.select(F.col("band").alias("also"), "node", F.col("no").alias("next")), "node").where("next > no")
+        level = written(again.select(F.xxhash64("band", "also").alias("band"), "node", F.col("next").alias("no")).distinct(), "level")
+        if not level.limit(1).count():
+            return finished(signed, comps, id_col, mark)
 
 
 def finished(signed: DataFrame, comps: DataFrame, id_col: str, mark: Column | None) -> DataFrame:
