@@ -88,7 +88,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, b
     """(sources, segments, slots) of the mix.
 
     sources: targets(). slots: deal(). segments: a row for each document and block that holds words of it, with id,
-    size, rank, block, from_word and n_words, and the columns named in keep; a document without words has one row with
+    size, rank, block, from_word and n_words, and _kept, a struct of the columns named in keep; a document without words has one row with
     n_words 0 and block null. Documents lie in their source's tokens in the order of the hash of their id, then id and
     size. Null texts have no words; null sources are a source of their own; repeated rows are documents of their own.
     """
@@ -107,7 +107,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, b
     seg = placed.select("*", F.explode(F.when(F.col("size") > 0, F.sequence(lo, hi)).otherwise(F.array(F.lit(None).cast("bigint")))).alias("block"))
     begin = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     end = F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
-    seg = seg.select(F.col("_id").alias(id_col), "size", "start", "rank", "block", F.coalesce(begin, F.lit(0)).alias("from_word"), F.coalesce(end - begin, F.lit(0)).alias("n_words"), *["_kept.*"] * bool(kept))
+    seg = seg.select(F.col("_id").alias(id_col), "size", "start", "rank", "block", F.coalesce(begin, F.lit(0)).alias("from_word"), F.coalesce(end - begin, F.lit(0)).alias("n_words"), *["_kept"] * bool(kept))
     return sources, seg, deal(sources)
 
 
@@ -135,9 +135,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     """
     _, seg, slots = plan(docs, weights, most, block, id_col, keep=docs.columns)
     pieces = seg.where("n_words > 0").join(slots.hint("merge"), ["rank", "block"])
-    parts = F.regexp_extract_all("text", F.lit(f"[{SPACE}]*{WORD}[{SPACE}]*$|[{SPACE}]*{WORD}"), F.lit(0))
+    text = F.col("_kept.text")
+    parts = F.regexp_extract_all(text, F.lit(f"[{SPACE}]*{WORD}[{SPACE}]*$|[{SPACE}]*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(parts, (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int")), "")
-    pieces = pieces.withColumn("text", F.when(F.col("n_words") == F.col("size"), F.col("text")).otherwise(cut))
+    piece = F.when(F.col("n_words") == F.col("size"), text).otherwise(cut)
+    pieces = pieces.withColumn("_piece", piece)
+    made = {id_col: F.col(id_col), "text": F.col("_piece")}
     if "n_chars" in docs.columns:
-        pieces = pieces.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return pieces.select(*docs.columns)
+        made["n_chars"] = F.length("_piece").cast(docs.schema["n_chars"].dataType)
+    return pieces.select(*[made.get(c, F.col(f"_kept.`{c}`")).alias(c) for c in docs.columns])
