@@ -23,7 +23,7 @@ def test_division(spark):
 
 
 def long(spark, grid):
-    return spark.createDataFrame([(0, y, x, v, 255 if v else 0) for y, row in enumerate(grid) for x, v in enumerate(row)], "raster_id bigint, y bigint, x bigint, v bigint, on bigint")
+    return spark.createDataFrame([(0, y, x, int(v), 255 if v else 0) for y, row in enumerate(grid) for x, v in enumerate(row)], "raster_id bigint, y bigint, x bigint, v bigint, on bigint")
 
 
 def test_scharr_step(spark):
