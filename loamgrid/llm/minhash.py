@@ -3,8 +3,8 @@
 A document's distinct shingles are hashed to 64 bits; the first 8 bits choose one of 256 buckets, and a bucket keeps
 its least remaining hash as a leading-zero count and 10 mantissa bits. Documents with equal sets are one node from
 there on. Bands of registers are bucketed. A small bucket gives all its pairs; in a large one every node is paired with
-the bucket's least node only, and the nodes that this leaves unlinked are bucketed again by a second band, and so on,
-so that no bucket gives rise to all its pairs. A pair whose collision-corrected estimate is near the threshold or above
+a few centers only, and the nodes that this leaves unlinked are bucketed again by a second band, and so on, so that no
+bucket gives rise to all its pairs. A pair whose collision-corrected estimate is near the threshold or above
 is confirmed on the two full sets. Links are joined into components by label propagation.
 """
 
@@ -25,12 +25,12 @@ BUCKETS = 256
 MANTISSA = 10
 #: The chance that two different minima of like sets give the same register.
 COLLISION = 0.25 / math.log(2) / 2 / 2**MANTISSA
-#: Buckets of up to so many nodes give all their pairs; larger ones take so many turns with one center each.
+#: Buckets of up to so many nodes give all their pairs; larger ones have so many centers.
 SMALL, TURNS = 64, 3
 #: So many bands are bucketed before the others.
 FIRST = 4
 #: A link may be missed with at most this probability for each pair of equal registers' chance.
-MISS = 1e-8
+MISS = 3e-6
 
 
 def rows_per_band(threshold: float) -> int:
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def bands(nodes: DataFrame, rows: int) -> DataFrame:
-    """band (a hash of its number and filled registers), node and no, the number."""
+    """band (a hash of its number and filled registers), node, no, the number, and n, the size of the set."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_bands = BUCKETS // rows
@@ -97,16 +97,15 @@ def bands(nodes: DataFrame, rows: int) -> DataFrame:
             regs = np.stack([filled(np.frombuffer(r.as_buffer(), np.uint16)) for r in batch.column("regs")])
             regs = regs[:, : n_bands * rows].reshape(-1, n_bands, rows)
             keys = mixed((mixed(regs.astype(np.uint64) + np.uint64(1)) * coef).sum(axis=2, dtype=np.uint64) + salt)
-            yield pa.RecordBatch.from_pydict({"band": keys.astype(np.int64).ravel(), "node": np.repeat(batch.column("node").to_numpy(), n_bands), "no": np.tile(np.arange(n_bands, dtype=np.int32), len(keys))})
+            yield pa.RecordBatch.from_pydict({"band": keys.astype(np.int64).ravel(), "node": np.repeat(batch.column("node").to_numpy(), n_bands), "no": np.tile(np.arange(n_bands, dtype=np.int32), len(keys)), "n": np.repeat(batch.column("n").to_numpy(), n_bands)})
 
-    return nodes.select("node", "regs").mapInArrow(cut, "band bigint, node bigint, no int")
+    return nodes.select("node", "n", "regs").mapInArrow(cut, "band bigint, node bigint, no int, n bigint")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Adds est, the collision-corrected Jaccard estimate, and near: whether it allows for a link at five deviations."""
     regs = nodes.select("node", "n", "regs")
     both = pairs.join(regs.toDF("a", "n_a", "r_a"), "a").join(regs.toDF("b", "n_b", "r_b"), "b")
-    both = both.where(F.least("n_a", "n_b") >= F.lit(threshold - 1e-9) * F.greatest("n_a", "n_b")) if threshold > 0 else both
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,21 +165,28 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def bucketed(rows: DataFrame, turn: int) -> DataFrame:
-    """Adds center, a node of the bucket that changes with turn, and many, its number of nodes, to (band, node, no, comp).
+def bucketed(rows: DataFrame) -> DataFrame:
+    """Adds centers, TURNS nodes of the bucket with comp and n, and many, its number of nodes, to (band, node, no, n, comp).
 
     Buckets whose nodes are all of one component have nothing left to link and drop out.
     """
-    chance = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("node"))
-    of = rows.groupBy("band").agg(F.min(chance)["node"].alias("center"), F.count("*").alias("many"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
-    return rows.select("band", "node", "no", "comp").join(of, "band")
+    center = lambda turn: F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.struct("node", "comp", "n").alias("at")))["at"]
+    of = rows.groupBy("band").agg(F.array(*[center(t) for t in range(TURNS)]).alias("centers"), F.count("*").alias("many"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
+    return rows.select("band", "node", "no", "n", "comp").join(of, "band")
 
 
-def pairs_of(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b: the pairs of two components in small buckets, and every node with the center in the others."""
-    small = rows.where(F.col("many") <= SMALL).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("node", "comp"))).alias("in"))
-    each = small.select("in", F.posexplode("in").alias("i", "x")).select("x", F.explode(F.filter(F.slice("in", F.col("i") + 2, F.lit(SMALL)), lambda y: y["comp"] != F.col("x.comp"))).alias("y"))
-    star = rows.where((F.col("many") > SMALL) & (F.col("node") != F.col("center"))).select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b"))
+def alike(a: Column, b: Column, hundredths: int) -> Column:
+    """Whether sets of so many elements can have that share in common."""
+    return F.least(a, b) * 100 >= F.lit(hundredths) * F.greatest(a, b)
+
+
+def pairs_of(rows: DataFrame, hundredths: int) -> DataFrame:
+    """(a, b), a < b, of two components: the pairs that can be linked in small buckets, and every node with the centers in the others."""
+    small = rows.where(F.col("many") <= SMALL).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("node", "comp", "n"))).alias("in"))
+    each = small.select("in", F.posexplode("in").alias("i", "x")).select("x", F.explode(F.filter(F.slice("in", F.col("i") + 2, F.lit(SMALL)), lambda y: (y["comp"] != F.col("x.comp")) & alike(y["n"], F.col("x.n"), hundredths))).alias("y"))
+    # Centers are also compared with what is at up to twice the distance of a link.
+    star = rows.where(F.col("many") > SMALL).select("node", "comp", "n", F.explode("centers").alias("c")).where((F.col("comp") != F.col("c.comp")) & alike(F.col("n"), F.col("c.n"), 2 * hundredths - 100))
+    star = star.select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b"))
     return each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(star).where("a < b").distinct()
 
 
@@ -216,8 +222,7 @@ def grouped(docs: DataFrame, size: int, hundredths: int, id_col: str, text_col:
     def link(pairs: DataFrame) -> DataFrame:
         """Confirms pairs of different components, joins the links to those before; the pairs with their estimates."""
         nonlocal links, comps
-        apart = label(label(pairs, "a", "c_a"), "b", "c_b").where("c_a <> c_b").select("a", "b")
-        judged = written(estimated(apart, nodes, threshold), "pairs")
+        judged = written(estimated(pairs, nodes, threshold), "pairs")
         found = written(confirmed(judged.where("near"), base, nodes, size, hundredths), "confirmed")
         if links is None or found.limit(1).count():
             links = found if links is None else links.unionByName(found)
@@ -226,32 +231,26 @@ def grouped(docs: DataFrame, size: int, hundredths: int, id_col: str, text_col:
 
     # A few bands first: they join most of a large group, whose buckets then have nothing left to link.
     few = label(first.where(F.col("no") < FIRST), "node", "comp")
-    link(pairs_of(written(bucketed(few, 0), "buckets")))
-    level = first
+    link(pairs_of(written(bucketed(few), "buckets"), hundredths))
+    level, beyond = first, None
     while True:
-        spread = label(level, "node", "comp")
-        for turn in range(1, TURNS + 1):
-            spread = written(bucketed(spread, turn), "buckets")
-            judged = link(pairs_of(spread))
-            large = spread.where(F.col("many") > SMALL)
-            if not large.limit(1).count():
-                return finished(signed, comps, id_col, mark)
-            if turn < TURNS:
-                spread = label(large.drop("comp"), "node", "comp")
+        spread = written(bucketed(label(level, "node", "comp")), "buckets")
+        pairs = pairs_of(spread, hundredths)
+        judged = link(pairs if beyond is None else pairs.unionByName(beyond).distinct())
+        large = spread.where(F.col("many") > SMALL).select("band", "node", "no", "n", F.col("centers")[0]["node"].alias("center"))
         # What large buckets leave: a node linked with the center is done, but for nodes at up to twice the distance.
-        seen = label(label(large.drop("comp"), "node", "c_node"), "center", "c_center")
-        close = judged.select(F.col("a"), F.col("b"), "mid")
+        seen = label(label(large, "node", "c_node"), "center", "c_center")
+        close = judged.select("a", "b", "mid")
         ends = seen.where("c_node <> c_center").withColumns({"a": F.least("node", "center"), "b": F.greatest("node", "center")})
-        apart = written(ends.join(close, ["a", "b"], "left").select("band", "node", "no", F.coalesce("mid", F.lit(False)).alias("mid")), "apart")
+        apart = written(ends.join(close, ["a", "b"], "left").select("band", "node", "no", "n", "c_node", F.coalesce("mid", F.lit(False)).alias("mid")), "apart")
         if not apart.limit(1).count():
             return finished(signed, comps, id_col, mark)
-        beside = seen.where("c_node = c_center").select("band", F.col("node").alias("other"))
-        link(apart.where("mid").join(beside, "band").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a <> b").distinct())
+        beside = seen.where("c_node = c_center").select("band", F.col("node").alias("other"), F.col("n").alias("n_other"))
+        near = apart.where("mid").join(beside, "band").where(alike(F.col("n"), F.col("n_other"), hundredths))
+        beyond = near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         # Bands are added in the order of their numbers, so every bucket is new and at most all bands are used up.
-        again = apart.select("band", "node", "no").join(first.select(F.col("band").alias("also"), "node", F.col("no").alias("next")), "node").where("next > no")
-        level = written(again.select(F.xxhash64("band", "also").alias("band"), "node", F.col("next").alias("no")).distinct(), "level")
-        if not level.limit(1).count():
-            return finished(signed, comps, id_col, mark)
+        again = apart.select("band", "node", "no", "n").join(first.select(F.col("band").alias("also"), "node", F.col("no").alias("next")), "node").where("next > no")
+        level = written(again.select(F.xxhash64("band", "also").alias("band"), "node", F.col("next").alias("no"), "n").distinct(), "level")
 
 
 def finished(signed: DataFrame, comps: DataFrame, id_col: str, mark: Column | None) -> DataFrame:
