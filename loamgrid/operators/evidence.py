@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from loamgrid.functions.intmath import floor_div
 
 
+BANDS = ("red", "green", "blue", "nir")
+
+
 def basis_points(part: Column, whole: Column) -> Column:
     """part / whole in hundredths of a percent, 0 of nothing, at most 10000."""
     return F.when(whole == 0, 0).otherwise(F.least(floor_div(part * 10000, F.greatest(whole, F.lit(1))), F.lit(10000))).cast("bigint")
@@ -17,7 +20,12 @@ def imagery(samples: DataFrame) -> DataFrame:
     """Samples, green and dark-water samples of each cell."""
     green = (F.col("nir") - F.col("red")) * 10 >= F.col("nir") + F.col("red")
     dark = (F.col("nir") < 55) & (F.col("red") + F.col("green") + F.col("blue") < 180)
-    return samples.groupBy("col", "row").agg(F.count("*").alias("samples"), F.count_if(green & (F.col("nir") + F.col("red") > 0)).alias("green_samples"), F.count_if(dark).alias("dark_samples"))
+    return samples.groupBy("col", "row").agg(F.count("*").alias("samples"), F.count_if(green & (F.col("nir") + F.col("red") > 0)).alias("green_samples"), F.count_if(dark).alias("dark_samples"), *[F.sum(b).cast("bigint").alias(f"{b}_sum") for b in BANDS])
+
+
+def imagery_by_cell(samples: DataFrame) -> DataFrame:
+    """Counts of imagery() and the sums of the four bands of each cell."""
+    return imagery(samples).withColumnsRenamed({f"{b}_sum": b for b in BANDS})
 
 
 def cloud(points: DataFrame) -> DataFrame:
@@ -26,12 +34,16 @@ def cloud(points: DataFrame) -> DataFrame:
     return points.groupBy("col", "row").agg(F.count("*").alias("all_points"), n(2).alias("ground"), n(3, 4, 5).alias("low_to_high"), n(4, 5).alias("vegetation"), n(6).alias("building"), n(9).alias("water"), n(2, 3, 4, 5, 6, 9).alias("lidar_samples"), F.min(F.when(cls == 2, F.col("z"))).alias("ground_z"), F.max(F.when(cls.isin(4, 5), F.col("z"))).alias("canopy_z"))
 
 
+def height_bins(points: DataFrame) -> DataFrame:
+    """Unclassified points of each cell by half-metre bin of height, 0..255."""
+    at = F.least(F.greatest(floor_div("z", 500), F.lit(0)), F.lit(255)).alias("bin")
+    return points.where(F.col("class") == 1).groupBy("col", "row", at).agg(F.count("*").alias("n"))
+
+
 def transients(points: DataFrame, cells: DataFrame) -> DataFrame:
     """Unclassified points from 0.5 m to 4 m above the ground, by half-metre bins 0..255, of each cell."""
-    low = points.where(F.col("class") == 1)
-    binned = low.groupBy("col", "row", F.least(F.greatest(floor_div("z", 500), F.lit(0)), F.lit(255)).alias("bin")).count()
-    near = binned.join(cells.select("col", "row", "ground_z"), ["col", "row"]).where(F.col("bin").between(floor_div(F.col("ground_z") + 500, 500), floor_div(F.col("ground_z") + 4000, 500)))
-    return near.groupBy("col", "row").agg(F.sum("count").alias("transient_points"))
+    near = height_bins(points).join(cells.select("col", "row", "ground_z"), ["col", "row"]).where(F.col("bin").between(floor_div(F.col("ground_z") + 500, 500), floor_div(F.col("ground_z") + 4000, 500)))
+    return near.groupBy("col", "row").agg(F.sum("n").alias("transient_points"))
 
 
 def classify(points: DataFrame) -> DataFrame:

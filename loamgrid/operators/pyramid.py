@@ -43,3 +43,10 @@ def sources(spark: SparkSession, docs: DataFrame) -> DataFrame:
     digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
     named = docs.select((F.col("doc_id") % 20).alias("set_id"), F.col("doc_id"), digest.alias("sha256"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"))
     return named.select("set_id", F.concat(F.lit("sha256/"), F.substring("sha256", 1, 2), F.lit("/"), F.col("sha256"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "sha256", "bytes")
+
+
+def parents(tiles: DataFrame) -> DataFrame:
+    """level, col and row of every tile's parent, the number of its children and the mask of the quarters they fill."""
+    quarter = (F.col("row") % 2 * 2 + F.col("col") % 2).cast("int")
+    keyed = tiles.where("level > 0").select("id", (F.col("level") - 1).alias("level"), F.expr("col div 2").alias("col"), F.expr("row div 2").alias("row"), F.expr("1L").alias("one"), quarter.alias("quarter"))
+    return keyed.groupBy("id", "level", "col", "row").agg(F.sum("one").alias("children"), F.bit_or(F.call_function("shiftleft", F.col("one"), F.col("quarter"))).alias("quarters"))

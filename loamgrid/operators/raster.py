@@ -65,6 +65,28 @@ def halved(raster: DataFrame) -> DataFrame:
     return raster.where("x % 2 = 0 and y % 2 = 0").select("raster_id", F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x"), "v")
 
 
+def cropped(raster: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
+    """The pixels of a rectangle, moved to its corner."""
+    inside = F.col("x").between(x, x + width - 1) & F.col("y").between(y, y + height - 1)
+    return raster.where(inside).withColumns({"x": F.col("x") - x, "y": F.col("y") - y})
+
+
+def flipped(raster: DataFrame) -> DataFrame:
+    """Rows in opposite order, by the height of each raster."""
+    heights = raster.groupBy("raster_id").agg(F.max("y").alias("_last"))
+    return raster.join(heights, "raster_id").withColumn("y", F.col("_last") - F.col("y")).drop("_last")
+
+
+def placed(tiles: DataFrame, offsets: DataFrame, canvas: DataFrame) -> DataFrame:
+    """canvas (y, x, v) with the pixels of tiles (raster_id, y, x, v) put at offsets (raster_id, dx, dy).
+
+    Where tiles overlap, the one with the greatest raster_id is on top; what lies outside the canvas is cut off.
+    """
+    moved = tiles.join(offsets, "raster_id").select((F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), F.struct("raster_id", F.col("v").alias("top")).alias("_p"))
+    on_top = moved.groupBy("y", "x").agg(F.max("_p")["top"].alias("_top"))
+    return canvas.join(on_top, ["y", "x"], "left").select("y", "x", F.coalesce("_top", "v").alias("v"))
+
+
 def transitions(raster: DataFrame) -> DataFrame:
     """Distinct values, changes to the right and down, and on pixels in millionths, of each raster."""
     changed = lambda w: (F.lead("on", 1).over(w) != F.col("on")).cast("bigint")

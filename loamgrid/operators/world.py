@@ -18,6 +18,19 @@ def screen_bounds(boxes: DataFrame) -> DataFrame:
     return boxes.select("id", (F.col("min_x") - F.col("max_y")).alias("min_x"), (F.col("max_x") - F.col("min_y")).alias("max_x"), (F.col("min_x") + F.col("min_y") - 2 * top).alias("min_y2"), (F.col("max_x") + F.col("max_y") - 2 * F.col("min_z")).alias("max_y2"), (F.col("min_x") + floor_div(F.col("max_x") - F.col("min_x"), 2)).alias("anchor_x"), (F.col("min_y") + floor_div(F.col("max_y") - F.col("min_y"), 2)).alias("anchor_y"), floor_div(side, 2).alias("radius"))
 
 
+def layout_extent(bounds: DataFrame, margin: int) -> DataFrame:
+    """The extent of all screen bounds with a margin on every side; nulls without rows."""
+    least, most = ["min_x", "min_y2"], ["max_x", "max_y2"]
+    low = [(F.min(c) - margin).alias(c) for c in least]
+    high = [(F.max(c) + margin).alias(c) for c in most]
+    return bounds.agg(*low, *high)
+
+
+def first_named(objects: DataFrame) -> DataFrame:
+    """The object with the least id of every name; objects without a name are left out."""
+    return objects.where("name is not null").groupBy("name").agg(F.min("id").alias("id"))
+
+
 def spread(boxes: DataFrame, side: int, px: str, py: str) -> DataFrame:
     """A row for each cell of the given side that a box touches."""
     span = lambda lo, hi: F.explode(F.sequence(floor_div(lo, side), floor_div(hi, side)))

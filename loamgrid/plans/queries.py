@@ -129,6 +129,26 @@ def rk13(spark, sf) -> DataFrame:
     return raster.halved(rasters(spark, sf))
 
 
+@query("rk11_crop", f"WITH {RASTERS_SQL} SELECT raster_id, y - 3 AS y, x - 5 AS x, v FROM ras WHERE x BETWEEN 5 AND 24 AND y BETWEEN 3 AND 42")
+def rk11(spark, sf) -> DataFrame:
+    return raster.cropped(rasters(spark, sf), 5, 3, 20, 40).select("raster_id", "y", "x", "v")
+
+
+@query("rk15_flip", f"WITH {RASTERS_SQL} SELECT raster_id, max(y) OVER (PARTITION BY raster_id) - y AS y, x, v FROM ras")
+def rk15(spark, sf) -> DataFrame:
+    return raster.flipped(rasters(spark, sf)).select("raster_id", "y", "x", "v")
+
+
+@query("rk12_blit", f"""WITH {RASTERS_SQL}, canvas AS (SELECT y, x, -1::BIGINT AS v FROM range(200) a(y), range(200) b(x)),
+  moved AS (SELECT y + raster_id * 29 % 150 AS y, x + raster_id * 17 % 150 AS x, v, raster_id FROM ras), top AS (SELECT y, x, arg_max(v, raster_id) AS top FROM moved GROUP BY ALL)
+  SELECT c.y, c.x, coalesce(top, v) AS v FROM canvas c LEFT JOIN top t ON c.y = t.y AND c.x = t.x""")
+def rk12(spark, sf) -> DataFrame:
+    tiles = rasters(spark, sf).select("raster_id", "y", "x", "v")
+    offsets = tiles.select("raster_id").distinct().select("raster_id", (F.col("raster_id") * 17 % 150).alias("dx"), (F.col("raster_id") * 29 % 150).alias("dy"))
+    canvas = spark.range(200 * 200).select(F.expr("id div 200").alias("y"), (F.col("id") % 200).alias("x"), F.lit(-1).cast("bigint").alias("v"))
+    return raster.placed(tiles, offsets, canvas)
+
+
 @query("ag17_transitions", f"""WITH {RASTERS_SQL}, n AS (SELECT *, (lead(on_) OVER (PARTITION BY raster_id, y ORDER BY x) <> on_)::BIGINT AS r, (lead(on_) OVER (PARTITION BY raster_id, x ORDER BY y) <> on_)::BIGINT AS d FROM ras)
   SELECT raster_id, count(DISTINCT v) AS colours, ((sum(r) + sum(d)) * 1000000 // (count(r) + count(d)))::BIGINT AS transition_ppm, (count_if(on_ > 0) * 1000000 // count(*))::BIGINT AS foreground_ppm FROM n GROUP BY raster_id""")
 def ag17(spark, sf) -> DataFrame:
@@ -180,6 +200,27 @@ def so2(spark, sf) -> DataFrame:
     return world.largest_of_class(boxes(spark, sf))
 
 
+@query("ag13_layout_extent", f"WITH {BOXES_SQL} SELECT min(min_x - max_y) - 32 AS min_x, max(max_x - min_y) + 32 AS max_x, min(min_x + min_y - 2 * (min_z + height)) - 32 AS min_y2, max(max_x + max_y - 2 * min_z) + 32 AS max_y2 FROM boxes")
+def ag13(spark, sf) -> DataFrame:
+    return world.layout_extent(world.screen_bounds(boxes(spark, sf)), 32)
+
+
+@query("ag1_imagery", f"""WITH {POINTS_SQL} SELECT col, row, count(*) AS samples, count_if((nir - red) * 10 >= nir + red AND nir + red > 0)::BIGINT AS green_samples, count_if(nir < 55 AND red + green + blue < 180)::BIGINT AS dark_samples,
+  sum(red)::BIGINT AS red, sum(green)::BIGINT AS green, sum(blue)::BIGINT AS blue, sum(nir)::BIGINT AS nir FROM cloud GROUP BY col, row""")
+def ag1(spark, sf) -> DataFrame:
+    return evidence.imagery_by_cell(points(spark, sf))
+
+
+@query("ag3_height_bins", f"WITH {POINTS_SQL} SELECT col, row, least(greatest(z // 500, 0), 255)::BIGINT AS bin, count(*) AS n FROM cloud WHERE class = 1 GROUP BY ALL")
+def ag3(spark, sf) -> DataFrame:
+    return evidence.height_bins(points(spark, sf))
+
+
+@query("so3_first_named", "SELECT p_name AS name, min(p_partkey) AS id FROM part WHERE p_name IS NOT NULL GROUP BY p_name")
+def so3(spark, sf) -> DataFrame:
+    return world.first_named(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+
+
 @query("jn1_enrichment", """WITH tags AS (SELECT s_suppkey % 50 AS way, max({'k': s_suppkey, 'n': s_name}) AS t FROM supplier GROUP BY ALL)
   SELECT p_partkey AS id, t.n AS name, CASE WHEN t.n IS NULL THEN 7000 ELSE 9500 END::BIGINT AS confidence_bp FROM part LEFT JOIN tags ON p_partkey % 70 = way""")
 def jn1(spark, sf) -> DataFrame:
@@ -248,6 +289,12 @@ def jn7(spark, sf) -> DataFrame:
     return pyramid.differences(all_tiles, all_tiles.where("(id + level + col) % 5 <> 0").unionByName(odd))
 
 
+@query("jn10_parents", f"""WITH {TILES_SQL} SELECT id, (level - 1)::INT AS level, col // 2 AS col, row // 2 AS row, count(*) AS children, bit_or((1::BIGINT << (row % 2 * 2 + col % 2)::INT))::BIGINT AS quarters
+  FROM tiles WHERE level > 0 GROUP BY id, level, col // 2, row // 2""")
+def jn10(spark, sf) -> DataFrame:
+    return pyramid.parents(sg11(spark, sf))
+
+
 @query("st1_readiness", """WITH m AS (SELECT *, arg_max(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 0 END, CASE WHEN event_type IN ('view', 'click') THEN {'t': ts, 'e': event_id} END) OVER w AS loading, max((event_type = 'signup')::INT) OVER w AS rooted,
   max((event_type = 'error')::INT) OVER w AS failed, sum((event_type = 'view')::INT) OVER w AS starts, floor(value)::BIGINT % 2 AS signature FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
 s AS (SELECT * FROM m WHERE event_type = 'purchase' AND coalesce(loading, 1) = 0), c AS (SELECT *, (lag(signature) OVER w IS DISTINCT FROM signature OR lag(starts) OVER w IS DISTINCT FROM starts)::INT AS new FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

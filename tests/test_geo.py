@@ -54,6 +54,24 @@ def test_levels(spark):
     assert (big.count(), big.where("level = 13").count(), big.select("level").distinct().count()) == (157, 105, 14)
 
 
+def test_crop_flip_and_blit(spark):
+    grid = long(spark, [[10 * y + x for x in range(4)] for y in range(3)])
+    value = lambda df: {(r["y"], r["x"]): r["v"] for r in df.collect()}
+    assert value(raster.cropped(grid, 1, 1, 2, 5)) == {(0, 0): 11, (0, 1): 12, (1, 0): 21, (1, 1): 22}
+    assert value(raster.flipped(grid)) == {(2 - y, x): 10 * y + x for y in range(3) for x in range(4)}
+    assert raster.flipped(grid.limit(0)).count() == 0
+    tiles = spark.createDataFrame([(r, 0, x, 100 * r + x) for r in (1, 2) for x in (0, 1)], "raster_id bigint, y bigint, x bigint, v bigint")
+    canvas = spark.createDataFrame([(0, x, -1) for x in range(4)], "y bigint, x bigint, v bigint")
+    at = spark.createDataFrame([(1, 0, 0), (2, 1, 0)], "raster_id bigint, dx bigint, dy bigint")
+    assert value(raster.placed(tiles, at, canvas)) == {(0, 0): 100, (0, 1): 200, (0, 2): 201, (0, 3): -1}
+
+
+def test_parents(spark):
+    tiles = pyramid.tiles(pyramid.levels(spark.createDataFrame([(1, 1500, 600)], "id bigint, width bigint, height bigint")), 512)
+    top = {(r["col"], r["row"]): (r["children"], r["quarters"]) for r in pyramid.parents(tiles).where("level = 10").collect()}
+    assert top == {(0, 0): (4, 15), (1, 0): (2, 5)}
+
+
 def test_violations(spark):
     rows = spark.createDataFrame([("a", "0" * 64, 1, "f.bin", "CC0"), ("b", "X", 0, "../f", " "), ("b", None, 1, "f", "CC0")], "id string, sha256 string, size_bytes bigint, filename string, license string")
     got = {(r["key"], r["check_id"]) for r in checks.source_lock(rows).collect()}
