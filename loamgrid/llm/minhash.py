@@ -30,7 +30,7 @@ SMALL, TURNS = 64, 3
 #: So many bands are bucketed before the others.
 FIRST = 4
 #: A link may be missed with at most this probability for each pair of equal registers' chance.
-MISS = 3e-6
+MISS = 1e-8
 
 
 def rows_per_band(threshold: float) -> int:
