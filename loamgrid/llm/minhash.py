@@ -2,9 +2,10 @@
 
 A document's distinct shingles are hashed to 64 bits; the first 8 bits choose one of 256 buckets, and a bucket keeps
 its least remaining hash as a leading-zero count and 10 mantissa bits. Documents with equal sets are one node from
-there on. Bands of registers are bucketed. A small bucket gives all its pairs; in a large one every node is paired with
-a few centers only, and the nodes that this leaves unlinked are bucketed again by a second band, and so on, so that no
-bucket gives rise to all its pairs. A pair whose collision-corrected estimate is near the threshold or above
+there on. Bands of registers are bucketed. A small bucket gives all its pairs. In the large ones, nodes go that have too
+many shingles which no other node of a large bucket has: they cannot be linked with any. If a bucket is still large,
+every node is paired with a few centers only, and the nodes that this leaves unlinked are bucketed again by a second
+band, and so on, so that no bucket gives rise to all its pairs. A pair whose collision-corrected estimate is near the threshold or above
 is confirmed on the two full sets. Links are joined into components by label propagation.
 """
 
@@ -29,6 +30,8 @@ COLLISION = 0.25 / math.log(2) / 2 / 2**MANTISSA
 SMALL, TURNS = 64, 3
 #: So many bands are bucketed before the others.
 FIRST = 4
+#: Shingles that one task counts, about.
+PART = 500_000
 #: A link may be missed with at most this probability for each pair of equal registers' chance.
 MISS = 1e-8
 
@@ -120,11 +123,56 @@ def estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     return both.mapInArrow(estimate, "a bigint, b bigint, est double, near boolean, mid boolean")
 
 
+def texts_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """text and node for the wanted nodes (node); where ids repeat, texts of other sets too."""
+    named = wanted.join(nodes.select("node", F.col("rep").alias("id")), "node")
+    return docs.join(named, docs["id"].eqNullSafe(named["id"])).select(docs["text"], "node")
+
+
+def lone_shingles(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node and alone, its number of shingles that no other wanted node (node, n) has, where there are any.
+
+    A batch of texts hands on every shingle once, so a shingle that all nodes have is no large group.
+    """
+    parts = np.uint64(max(1, (wanted.agg(F.sum("n")).first()[0] or 0) // PART))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            value, first, count = np.unique(np.concatenate([s for _, s in held]), return_index=True, return_counts=True)
+            owner = np.repeat([n for n, _ in held], [len(s) for _, s in held])
+            held.clear()
+            part = mixed(value) % parts
+            order = np.argsort(part, kind="stable")
+            value, own, part = value[order], np.where(count == 1, owner[first], -1)[order], part[order]
+            found, at = np.unique(part, return_index=True)
+            ends = [*at[1:], len(part)]
+            return pa.RecordBatch.from_pydict({"part": found.astype(np.int64), "items": pa.array([value[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), "owners": pa.array([own[a:b].astype(np.int64).tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
+
+        for batch in batches:
+            for n, s in zip(batch.column("node").to_pylist(), sets(batch.column("text"), size), strict=True):
+                if node_of(s)[0] == n:
+                    held.append((n, s))
+                if held and sum(len(x) for _, x in held[-1:]) > PART:
+                    yield out()
+            if held:
+                yield out()
+
+    def lone(rows: pa.Table) -> pa.Table:
+        items, owners = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("items", np.uint64), ("owners", np.int64)))
+        _, first, count = np.unique(items, return_index=True, return_counts=True)
+        own = owners[first[count == 1]]
+        node, alone = np.unique(own[own >= 0], return_counts=True)
+        return pa.table({"node": pa.array(node, pa.int64()), "alone": pa.array(alone, pa.int64())})
+
+    counted = texts_of(wanted.select("node"), docs, nodes).mapInArrow(cut, "part bigint, items binary, owners binary").groupBy("part").applyInArrow(lone, "node bigint, alone bigint")
+    return counted.groupBy("node").agg(F.sum("alone").alias("alone"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, hundredths: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= hundredths * union."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = ends.join(nodes.select("node", F.col("rep").alias("id")), "node")
-    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"])).select(docs["text"], "node")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, nodes)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,13 +214,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def bucketed(rows: DataFrame) -> DataFrame:
-    """Adds centers, TURNS nodes of the bucket with comp and n, and many, its number of nodes, to (band, node, no, n, comp).
+    """Adds centers, TURNS nodes of the bucket, and many, its number of nodes, to (band, node, no, n, live, comp).
 
-    Buckets whose nodes are all of one component have nothing left to link and drop out.
+    live is the number of a node's shingles that others may have; the first center is one with the largest share of
+    them. Buckets whose nodes are all of one component have nothing left to link and drop out.
     """
-    center = lambda turn: F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.struct("node", "comp", "n").alias("at")))["at"]
-    of = rows.groupBy("band").agg(F.array(*[center(t) for t in range(TURNS)]).alias("centers"), F.count("*").alias("many"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
-    return rows.select("band", "node", "no", "n", "comp").join(of, "band")
+    at = F.struct("node", "comp", "n", "live").alias("at")
+    centers = [F.min(F.struct(-F.col("live") / F.col("n"), F.xxhash64("node"), at))["at"], *[F.min(F.struct(F.xxhash64("node", F.lit(t)), at))["at"] for t in range(1, TURNS)]]
+    of = rows.groupBy("band").agg(F.array(*centers).alias("centers"), F.count("*").alias("many"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
+    return rows.select("band", "node", "no", "n", "live", "comp").join(of, "band")
 
 
 def alike(a: Column, b: Column, hundredths: int) -> Column:
@@ -180,14 +230,29 @@ def alike(a: Column, b: Column, hundredths: int) -> Column:
     return F.least(a, b) * 100 >= F.lit(hundredths) * F.greatest(a, b)
 
 
+def linkable(n_a: Column, live_a: Column, n_b: Column, live_b: Column, hundredths: int) -> Column:
+    """Whether sets of so many elements, so many of which others may have, can be linked."""
+    return alike(n_a, n_b, hundredths) & (F.least(live_a, live_b) * (100 + hundredths) >= F.lit(hundredths) * (n_a + n_b))
+
+
+def pairs_in(small: DataFrame, hundredths: int) -> DataFrame:
+    """(a, b), a < b, of two components: the pairs of each bucket that can be linked."""
+    sets_in = small.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("node", "comp", "n", "live"))).alias("in"))
+    later = F.slice("in", F.col("i") + 2, F.lit(SMALL))
+    fits = lambda y: (y["comp"] != F.col("x.comp")) & linkable(y["n"], y["live"], F.col("x.n"), F.col("x.live"), hundredths)
+    each = sets_in.select("in", F.posexplode("in").alias("i", "x")).select("x", F.explode(F.filter(later, fits)).alias("y"))
+    return each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).where("a < b")
+
+
+def stars_in(large: DataFrame, hundredths: int) -> DataFrame:
+    """(a, b), a < b, of two components: every node with the centers of its bucket, at up to twice the distance of a link."""
+    star = large.select("node", "comp", "n", F.explode("centers").alias("c")).where((F.col("comp") != F.col("c.comp")) & alike(F.col("n"), F.col("c.n"), 2 * hundredths - 100))
+    return star.select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b")).where("a < b")
+
+
 def pairs_of(rows: DataFrame, hundredths: int) -> DataFrame:
-    """(a, b), a < b, of two components: the pairs that can be linked in small buckets, and every node with the centers in the others."""
-    small = rows.where(F.col("many") <= SMALL).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("node", "comp", "n"))).alias("in"))
-    each = small.select("in", F.posexplode("in").alias("i", "x")).select("x", F.explode(F.filter(F.slice("in", F.col("i") + 2, F.lit(SMALL)), lambda y: (y["comp"] != F.col("x.comp")) & alike(y["n"], F.col("x.n"), hundredths))).alias("y"))
-    # Centers are also compared with what is at up to twice the distance of a link.
-    star = rows.where(F.col("many") > SMALL).select("node", "comp", "n", F.explode("centers").alias("c")).where((F.col("comp") != F.col("c.comp")) & alike(F.col("n"), F.col("c.n"), 2 * hundredths - 100))
-    star = star.select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b"))
-    return each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(star).where("a < b").distinct()
+    """The pairs of small buckets and the stars of the others."""
+    return pairs_in(rows.where(F.col("many") <= SMALL), hundredths).unionByName(stars_in(rows.where(F.col("many") > SMALL), hundredths)).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, hundredths: int = 80, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
@@ -230,27 +295,40 @@ def grouped(docs: DataFrame, size: int, hundredths: int, id_col: str, text_col:
         return judged
 
     # A few bands first: they join most of a large group, whose buckets then have nothing left to link.
-    few = label(first.where(F.col("no") < FIRST), "node", "comp")
+    every = first.withColumn("live", F.col("n"))
+    few = label(every.where(F.col("no") < FIRST), "node", "comp")
     link(pairs_of(written(bucketed(few), "buckets"), hundredths))
-    level, beyond = first, None
+    level, beyond = every, None
     while True:
         spread = written(bucketed(label(level, "node", "comp")), "buckets")
-        pairs = pairs_of(spread, hundredths)
-        judged = link(pairs if beyond is None else pairs.unionByName(beyond).distinct())
-        large = spread.where(F.col("many") > SMALL).select("band", "node", "no", "n", F.col("centers")[0]["node"].alias("center"))
+        # Small buckets are paired at once at first; what large ones have left is thinned whatever the bucket.
+        few = spread.where(F.col("many") <= SMALL if level is every else F.lit(False))
+        pairs = pairs_in(few, hundredths)
+        large = spread.where(F.col("many") > SMALL if level is every else F.lit(True)).drop("centers", "many", "live")
+        hard = written(large.select("node", "n").distinct(), "hard")
+        if some := hard.limit(1).count():
+            lone = written(lone_shingles(hard, base, nodes, size), "lone")
+            live = large.join(lone, "node", "left").withColumn("live", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+            spread = written(bucketed(live.where(F.col("live") * 100 >= F.lit(hundredths) * F.col("n"))), "thinned")
+            pairs = pairs.unionByName(pairs_of(spread, hundredths))
+        judged = link((pairs if beyond is None else pairs.unionByName(beyond)).distinct())
+        if not some:
+            return finished(signed, comps, id_col, mark)
+        left = spread.where(F.col("many") > SMALL).select("band", "node", "no", "n", "live", F.col("centers")[0]["node"].alias("center"))
         # What large buckets leave: a node linked with the center is done, but for nodes at up to twice the distance.
-        seen = label(label(large, "node", "c_node"), "center", "c_center")
-        close = judged.select("a", "b", "mid")
+        seen = label(label(left, "node", "c_node"), "center", "c_center")
         ends = seen.where("c_node <> c_center").withColumns({"a": F.least("node", "center"), "b": F.greatest("node", "center")})
-        apart = written(ends.join(close, ["a", "b"], "left").select("band", "node", "no", "n", "c_node", F.coalesce("mid", F.lit(False)).alias("mid")), "apart")
+        apart = written(ends.join(judged.select("a", "b", "mid"), ["a", "b"], "left").select("band", "node", "no", "n", "live", "a", "b", F.coalesce("mid", F.lit(False)).alias("mid")), "apart")
         if not apart.limit(1).count():
             return finished(signed, comps, id_col, mark)
-        beside = seen.where("c_node = c_center").select("band", F.col("node").alias("other"), F.col("n").alias("n_other"))
-        near = apart.where("mid").join(beside, "band").where(alike(F.col("n"), F.col("n_other"), hundredths))
+        beside = seen.where("c_node = c_center").select("band", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("live").alias("live_other"))
+        # By the triangle inequality of Jaccard distances, full sets over twice a link's distance apart are done too.
+        around = confirmed(apart.where("mid").select("a", "b").distinct(), base, nodes, size, 2 * hundredths - 100)
+        near = apart.where("mid").join(around, ["a", "b"], "left_semi").join(beside, "band").where(linkable(F.col("n"), F.col("live"), F.col("n_other"), F.col("live_other"), hundredths))
         beyond = near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         # Bands are added in the order of their numbers, so every bucket is new and at most all bands are used up.
-        again = apart.select("band", "node", "no", "n").join(first.select(F.col("band").alias("also"), "node", F.col("no").alias("next")), "node").where("next > no")
-        level = written(again.select(F.xxhash64("band", "also").alias("band"), "node", F.col("next").alias("no"), "n").distinct(), "level")
+        again = apart.select("band", "node", "no", "n", "live").join(first.select(F.col("band").alias("also"), "node", F.col("no").alias("next")), "node").where("next > no")
+        level = written(again.select(F.xxhash64("band", "also").alias("band"), "node", F.col("next").alias("no"), "n", "live").distinct(), "level")
 
 
 def finished(signed: DataFrame, comps: DataFrame, id_col: str, mark: Column | None) -> DataFrame:
