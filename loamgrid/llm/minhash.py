@@ -4,8 +4,8 @@ A document's distinct shingles are hashed to 64 bits; the first 8 bits choose on
 its least remaining hash as a leading-zero count and 10 mantissa bits. Documents with equal sets are one node from
 there on. Bands of registers are bucketed. A small bucket gives all its pairs. In the large ones, nodes go that have too
 many shingles which no other node of a large bucket has: they cannot be linked with any. If a bucket is still large,
-every node is paired with a few centers only, and the nodes that this leaves unlinked are bucketed again by a second
-band, and so on, so that no bucket gives rise to all its pairs. A pair whose collision-corrected estimate is near the threshold or above
+every node is paired with a few centers, and with the nodes that are linked with the first center if it may be linked
+with them. The nodes that are not linked with the first center are paired by an exact prefix filter. A pair whose collision-corrected estimate is near the threshold or above
 is confirmed on the two full sets. Links are joined into components by label propagation.
 """
 
@@ -30,6 +30,8 @@ COLLISION = 0.25 / math.log(2) / 2 / 2**MANTISSA
 SMALL, TURNS = 64, 3
 #: So many bands are bucketed before the others.
 FIRST = 4
+#: A shingle's nodes are paired in parts of about so many.
+DEALT = 256
 #: Shingles that one task counts, about.
 PART = 500_000
 #: A link may be missed with at most this probability for each pair of equal registers' chance.
@@ -214,7 +216,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def bucketed(rows: DataFrame) -> DataFrame:
-    """Adds centers, TURNS nodes of the bucket, and many, its number of nodes, to (band, node, no, n, live, comp).
+    """Adds centers, TURNS nodes of the bucket, and many, its number of nodes, to (band, node, n, live, comp).
 
     live is the number of a node's shingles that others may have; the first center is one with the largest share of
     them. Buckets whose nodes are all of one component have nothing left to link and drop out.
@@ -222,7 +224,7 @@ def bucketed(rows: DataFrame) -> DataFrame:
     at = F.struct("node", "comp", "n", "live").alias("at")
     centers = [F.min(F.struct(-F.col("live") / F.col("n"), F.xxhash64("node"), at))["at"], *[F.min(F.struct(F.xxhash64("node", F.lit(t)), at))["at"] for t in range(1, TURNS)]]
     of = rows.groupBy("band").agg(F.array(*centers).alias("centers"), F.count("*").alias("many"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
-    return rows.select("band", "node", "no", "n", "live", "comp").join(of, "band")
+    return rows.select("band", "node", "n", "live", "comp").join(of, "band")
 
 
 def alike(a: Column, b: Column, hundredths: int) -> Column:
@@ -255,6 +257,35 @@ def pairs_of(rows: DataFrame, hundredths: int) -> DataFrame:
     return pairs_in(rows.where(F.col("many") <= SMALL), hundredths).unionByName(stars_in(rows.where(F.col("many") > SMALL), hundredths)).distinct()
 
 
+def prefix_pairs(rest: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, hundredths: int) -> DataFrame:
+    """(a, b), a < b, of two components: all pairs of rest (node, n, comp) that can be linked, by an exact prefix filter.
+
+    Ordered from the rarest shingle on, linked sets have one in common among the first n - ceil(n * hundredths / 100) + 1
+    of each, and the first one they have in common leaves enough shingles after it in both. Shingles that many
+    nodes have are dealt over several tasks.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, s in zip(batch.column("node").to_pylist(), sets(batch.column("text"), size), strict=True):
+                if node_of(s)[0] == n:
+                    yield pa.RecordBatch.from_pydict({"node": np.full(len(s), n, np.int64), "item": s.astype(np.int64)})
+
+    items = written(texts_of(rest.select("node"), docs, nodes).mapInArrow(cut, "node bigint, item bigint").distinct(), "items")
+    often = items.groupBy("item").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = items.join(often, "item").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("in")).join(rest, "node")
+    alone = F.col("n") - F.size("in")
+    most = F.col("n") - F.ceil(F.col("n") * hundredths / 100) + 1 - alone
+    placed = ranked.where(most > 0).select("node", "n", "comp", alone.alias("alone"), F.posexplode(F.slice("in", F.lit(1), most.cast("int"))).alias("at", "item"))
+    placed = written(placed.select("node", "n", "comp", F.col("item.item").alias("item"), (F.col("n") - F.col("alone") - F.col("at")).alias("after")), "prefixes")
+    shared = placed.groupBy("item").agg((F.floor(F.count("*") / DEALT) + 1).alias("salts"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
+    dealt = written(placed.join(shared, "item"), "dealt")
+    x = dealt.withColumn("salt", F.pmod(F.xxhash64("node"), "salts")).alias("x")
+    y = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).alias("y")
+    fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & linkable(F.col("x.n"), F.col("x.after"), F.col("y.n"), F.col("y.after"), hundredths)
+    return x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.salt") == F.col("y.salt")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, hundredths: int = 80, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
     """The component of every row under links with 100 * intersection >= hundredths * union of shingle sets.
 
@@ -298,37 +329,36 @@ def grouped(docs: DataFrame, size: int, hundredths: int, id_col: str, text_col:
     every = first.withColumn("live", F.col("n"))
     few = label(every.where(F.col("no") < FIRST), "node", "comp")
     link(pairs_of(written(bucketed(few), "buckets"), hundredths))
-    level, beyond = every, None
-    while True:
-        spread = written(bucketed(label(level, "node", "comp")), "buckets")
-        # Small buckets are paired at once at first; what large ones have left is thinned whatever the bucket.
-        few = spread.where(F.col("many") <= SMALL if level is every else F.lit(False))
-        pairs = pairs_in(few, hundredths)
-        large = spread.where(F.col("many") > SMALL if level is every else F.lit(True)).drop("centers", "many", "live")
-        hard = written(large.select("node", "n").distinct(), "hard")
-        if some := hard.limit(1).count():
-            lone = written(lone_shingles(hard, base, nodes, size), "lone")
-            live = large.join(lone, "node", "left").withColumn("live", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-            spread = written(bucketed(live.where(F.col("live") * 100 >= F.lit(hundredths) * F.col("n"))), "thinned")
-            pairs = pairs.unionByName(pairs_of(spread, hundredths))
-        judged = link((pairs if beyond is None else pairs.unionByName(beyond)).distinct())
-        if not some:
-            return finished(signed, comps, id_col, mark)
-        left = spread.where(F.col("many") > SMALL).select("band", "node", "no", "n", "live", F.col("centers")[0]["node"].alias("center"))
-        # What large buckets leave: a node linked with the center is done, but for nodes at up to twice the distance.
-        seen = label(label(left, "node", "c_node"), "center", "c_center")
-        ends = seen.where("c_node <> c_center").withColumns({"a": F.least("node", "center"), "b": F.greatest("node", "center")})
-        apart = written(ends.join(judged.select("a", "b", "mid"), ["a", "b"], "left").select("band", "node", "no", "n", "live", "a", "b", F.coalesce("mid", F.lit(False)).alias("mid")), "apart")
-        if not apart.limit(1).count():
-            return finished(signed, comps, id_col, mark)
-        beside = seen.where("c_node = c_center").select("band", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("live").alias("live_other"))
-        # By the triangle inequality of Jaccard distances, full sets over twice a link's distance apart are done too.
-        around = confirmed(apart.where("mid").select("a", "b").distinct(), base, nodes, size, 2 * hundredths - 100)
-        near = apart.where("mid").join(around, ["a", "b"], "left_semi").join(beside, "band").where(linkable(F.col("n"), F.col("live"), F.col("n_other"), F.col("live_other"), hundredths))
-        beyond = near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        # Bands are added in the order of their numbers, so every bucket is new and at most all bands are used up.
-        again = apart.select("band", "node", "no", "n", "live").join(first.select(F.col("band").alias("also"), "node", F.col("no").alias("next")), "node").where("next > no")
-        level = written(again.select(F.xxhash64("band", "also").alias("band"), "node", F.col("next").alias("no"), "n", "live").distinct(), "level")
+    # Small buckets are paired at once, large ones are thinned.
+    spread = written(bucketed(label(every, "node", "comp")), "buckets")
+    pairs = pairs_in(spread.where(F.col("many") <= SMALL), hundredths)
+    large = spread.where(F.col("many") > SMALL).drop("centers", "many", "live")
+    hard = written(large.select("node", "n").distinct(), "hard")
+    if not hard.limit(1).count():
+        link(pairs.distinct())
+        return finished(signed, comps, id_col, mark)
+    lone = written(lone_shingles(hard, base, nodes, size), "lone")
+    live = large.join(lone, "node", "left").withColumn("live", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    spread = written(bucketed(live.where(F.col("live") * 100 >= F.lit(hundredths) * F.col("n"))), "thinned")
+    judged = link(pairs.unionByName(pairs_of(spread, hundredths)).distinct())
+    # What large buckets leave. Two nodes that are both linked with the center itself are in one component.
+    left = spread.where(F.col("many") > SMALL).select("band", "node", "n", "live", F.col("centers")[0]["node"].alias("center"))
+    seen = label(label(left.where("node <> center"), "node", "c_node"), "center", "c_center").withColumns({"a": F.least("node", "center"), "b": F.greatest("node", "center")})
+    # One component may also mean a way over other nodes, so those that are not yet known to be linked are compared.
+    unknown = seen.where("c_node = c_center").select("a", "b").distinct().join(links, ["a", "b"], "left_anti")
+    direct = written(links.unionByName(confirmed(estimated(unknown, nodes, threshold).where("near"), base, nodes, size, hundredths)).distinct().withColumn("direct", F.lit(True)), "direct")
+    seen = written(seen.join(direct, ["a", "b"], "left").withColumn("direct", F.coalesce("direct", F.lit(False))), "seen")
+    beside = seen.where("direct").select("band", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("live").alias("live_other"))
+    # By the triangle inequality of Jaccard distances, a node that is linked with one of those is, by full sets, at up to
+    # twice a link's distance from the center.
+    apart = written(seen.where("c_node <> c_center").join(judged.where("mid").select("a", "b"), ["a", "b"], "left_semi").select("band", "node", "n", "live", "a", "b"), "apart")
+    around = confirmed(apart.select("a", "b").distinct(), base, nodes, size, 2 * hundredths - 100)
+    near = apart.join(around, ["a", "b"], "left_semi").join(beside, "band").where(linkable(F.col("n"), F.col("live"), F.col("n_other"), F.col("live_other"), hundredths))
+    beyond = near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    # Two nodes that are both not linked with the center are found by their shingles.
+    rest = written(label(seen.where("not direct").select("node", "n").distinct(), "node", "comp"), "rest")
+    link(beyond.unionByName(prefix_pairs(rest, base, nodes, size, hundredths)).distinct())
+    return finished(signed, comps, id_col, mark)
 
 
 def finished(signed: DataFrame, comps: DataFrame, id_col: str, mark: Column | None) -> DataFrame:

@@ -95,6 +95,23 @@ def test_near_duplicates(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in brute_groups(texts, 5, 80)})
 
 
+def test_links_left_by_a_bucket_that_no_band_splits(spark, monkeypatch):
+    rng, texts = random.Random(5), []
+    for k in range(12):
+        words = [f"w{k}_{i}" for i in range(100)]
+        texts.append(" ".join(words))
+        for edits in [(1,), (9, 6, 6), (9, 6, 6), (4, 4)]:  # each step is linked with the one before, not all with the first
+            copy, kept = list(words), rng.sample(range(100), 21)
+            for n in edits:
+                for _ in range(n):
+                    copy[kept.pop()] = f"x{rng.random()}"
+                texts.append(" ".join(copy))
+    monkeypatch.setattr(minhash, "bands", lambda nodes, rows: nodes.select(F.lit(1).cast("bigint").alias("band"), "node", F.lit(0).alias("no"), "n"))
+    monkeypatch.setattr(minhash, "DEALT", 4, raising=False)
+    rows = minhash.near_duplicates(documents(spark, texts), 1, 80).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows} == {(i, n, c) for i, (n, c) in enumerate(brute_groups(texts, 1, 80))}
+
+
 def test_shingle_windows(monkeypatch):
     import pyarrow as pa
 
