@@ -61,7 +61,7 @@ def of_texts(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """(positive, text of the sample, prior): rows whose crc32(doc_id) mod 3 is not 1, chosen by hashes.
+    """((positive, text, copies) of the sample, prior): rows whose crc32(doc_id) mod 3 is not 1, chosen by hashes.
 
     prior: the share of toxic rows among the labelled ones of those rows. A document with several labels is toxic if
     one of them says so.
@@ -78,14 +78,16 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     others = fit.where(key < share(UNLABELLED, n)).select(F.lit(False).alias("positive"), "text")
     rows = fit.join(F.broadcast(positive), "doc_id").select("positive", "text").unionByName(others)
 
-    def marked_by_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked_by_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least = [int(mixed(f.astype(np.uint64) + np.uint64(99)).min(initial=np.uint64(2**64 - 1)) >> np.uint64(1)) for f in of_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("text"), pa.array(least, pa.int64())], ["positive", "text", "least"])
+            found = [f.astype(np.uint64) for f in of_texts(batch.column("text"))]
+            one, two = ([int(mixed(f + np.uint64(add)).sum(dtype=np.uint64) >> np.uint64(1)) for f in found] for add in (99, 1 << 40))
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("text"), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["positive", "text", "one", "two"])
 
-    # Copies of one text would make its rare words look toxic: texts with the same least feature hash count once.
-    apart = rows.mapInArrow(marked_by_least, "positive boolean, text string, least bigint").groupBy("positive", "least").agg(F.min("text").alias("text"))
-    return apart.select("positive", "text"), (toxic or 0) / marked if marked else 0.0
+    # Copies of one text would make its rare words look toxic: texts with equal feature sets (by a digest of 126 bits)
+    # count once for the choice of features. The risk weighs them by their number, as the prior holds for all rows.
+    apart = rows.mapInArrow(marked_by_set, "positive boolean, text string, one bigint, two bigint").groupBy("positive", "one", "two").agg(F.min("text").alias("text"), F.count("*").alias("copies"))
+    return apart.select("positive", "text", "copies"), (toxic or 0) / marked if marked else 0.0
 
 
 def chosen(rows: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -101,7 +103,7 @@ def chosen(rows: DataFrame) -> tuple[np.ndarray, int, int]:
         at = np.flatnonzero(n[True] + n[False])
         yield pa.RecordBatch.from_pydict({"f": np.append(at, -1), "p": np.append(n[True][at], seen[True]).astype(np.int64), "u": np.append(n[False][at], seen[False]).astype(np.int64)})
 
-    counts = written(rows.mapInArrow(count, "f bigint, p bigint, u bigint").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")), "features")
+    counts = written(rows.select("positive", "text").mapInArrow(count, "f bigint, p bigint, u bigint").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")), "features")
     total = counts.where("f = -1").first()
     n_p, n_u = (total["p"], total["u"]) if total else (0, 0)
     if not n_p or not n_u:
@@ -153,10 +155,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
             for f in of_texts(batch.column("text")):
                 at = np.minimum(np.searchsorted(keep, f), len(keep) - 1)
                 found.append(at[keep[at] == f].tolist())
-            yield pa.RecordBatch.from_pydict({"positive": batch.column("positive"), "at": pa.array(found, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"positive": batch.column("positive"), "copies": batch.column("copies"), "at": pa.array(found, pa.list_(pa.int32()))})
 
     # Equal rows are one: most texts of the sample have none of the features.
-    kinds = rows.mapInArrow(sparse, "positive boolean, at array<int>").groupBy("positive", "at").count().collect()
+    kinds = rows.mapInArrow(sparse, "positive boolean, copies bigint, at array<int>").groupBy("positive", "at").agg(F.sum("copies").alias("count")).collect()
     kinds = sorted((r["positive"], r["at"], r["count"]) for r in kinds)
     each = [(p, at) for p, at, n in kinds for _ in range(n)]
     positive = np.array([p for p, _ in each], bool)

@@ -227,6 +227,16 @@ def test_toxicity(spark):
 PAGE = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='ad'>Buy it</div><article><h1>Title &amp; more</h1><p>First  paragraph\n with <b>bold</b> words.<p>Second &eacute;t&#233;.</p><script>x('<p>')</script></article><section class='comments'><p>I disagree with all of it.</p></section><footer>&copy; x</footer>"
 
 
+def test_toxicity_sample_keeps_all_but_copies(spark):
+    texts = ["common " + prose(i // 2, 12) + f" own{'abcdefghij'[i // 2 % 10]}{'klmnopqrst'[i // 20 % 10]}" for i in range(400)]  # each twice
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(400)], "doc_id bigint, toxic int")
+    rows = toxicity.sample(documents(spark, texts), labels)[0].collect()
+    fit = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for positive, ids in ((True, [i for i in fit if i % 4 < 2]), (False, fit)):
+        assert sum(r["positive"] == positive for r in rows) == len({texts[i] for i in ids})
+        assert sum(r["copies"] for r in rows if r["positive"] == positive) == len(ids)
+
+
 def test_html(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "a < b"), (1, "u", PAGE)], "page_id bigint, url string, html string")
     rows = html_text.extract(pages).collect()
