@@ -2,11 +2,19 @@
 
 A document's distinct shingles are hashed to 64 bits; the first 8 bits choose one of 256 buckets, and a bucket keeps
 its least remaining hash as a leading-zero count and 10 mantissa bits. Documents with equal sets are one node from
-there on. Bands of registers are bucketed. A small bucket gives all its pairs. In the large ones, nodes go that have too
-many shingles which no other node of a large bucket has: they cannot be linked with any. If a bucket is still large,
-every node is paired with a few centers, and with the nodes that are linked with the first center if it may be linked
-with them. The nodes that are not linked with the first center are paired by an exact prefix filter. A pair whose collision-corrected estimate is near the threshold or above
-is confirmed on the two full sets. Links are joined into components by label propagation.
+there on. Bands of registers are bucketed. A small bucket gives its pairs, of which the collision-corrected estimate
+keeps those near the threshold or above it; a large bucket gives a star. What hangs together in this way is a cluster.
+
+Every node of a cluster is compared, on full sets, with one node of the cluster, the reference C. Let a be the number of
+C's shingles that a node lacks, b that of its shingles that C lacks, and w = 100 a + h b (h: the threshold in
+hundredths). Then two nodes x and y whose differences from C have s shingles in common are linked exactly if
+
+    (100 + h) s >= w_x + w_y - (100 - h) |C|.
+
+So nodes with w <= (100 - h) |C| are linked with C itself, and any further link takes shared differences of a node beyond
+that: a prefix filter over the differences finds the candidates. Random edits are rarely shared, so work stays in
+proportion to the size of a cluster. Candidates are estimated from registers, then confirmed on their full differences,
+which say as much as the full sets. Links are joined into components by label propagation.
 """
 
 from __future__ import annotations
@@ -19,23 +27,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import small_batches, written
+from loamgrid.llm.common import removed, small_batches, written
 from loamgrid.llm.shingles import mixed, sets
 
 BUCKETS = 256
 MANTISSA = 10
 #: The chance that two different minima of like sets give the same register.
 COLLISION = 0.25 / math.log(2) / 2 / 2**MANTISSA
-#: Buckets of up to so many nodes give all their pairs; larger ones have so many centers.
-SMALL, TURNS = 64, 3
-#: So many bands are bucketed before the others.
-FIRST = 4
+#: Buckets of up to so many nodes give all their pairs, larger ones a star.
+SMALL = 16
+#: Clusters that keep more than SMALL nodes beyond their reference get further references, so many at once.
+MORE = 8
 #: A shingle's nodes are paired in parts of about so many.
 DEALT = 256
-#: Shingles that one task counts, about.
-PART = 500_000
 #: A link may be missed with at most this probability for each pair of equal registers' chance.
 MISS = 1e-8
+#: Bits of the maps that thin out bands and texts before they are shuffled: 8 MB, whatever the corpus.
+MAP_BITS = 1 << 26
 
 
 def rows_per_band(threshold: float) -> int:
@@ -89,8 +97,9 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(sign, f"id {docs.schema['id'].dataType.simpleString()}, mark bigint, n bigint, node bigint, check bigint, regs binary")
 
 
-def bands(nodes: DataFrame, rows: int) -> DataFrame:
-    """band (a hash of its number and filled registers), node, no, the number, and n, the size of the set."""
+def bands(nodes: DataFrame, rows: int, shared: np.ndarray | None = None) -> DataFrame:
+    """band (a hash of its number and filled registers) and node; with shared, a bit map, only the bands it has."""
+    sent = None if shared is None else nodes.sparkSession.sparkContext.broadcast(shared)  # MAP_BITS bits
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_bands = BUCKETS // rows
@@ -101,16 +110,45 @@ def bands(nodes: DataFrame, rows: int) -> DataFrame:
                 continue
             regs = np.stack([filled(np.frombuffer(r.as_buffer(), np.uint16)) for r in batch.column("regs")])
             regs = regs[:, : n_bands * rows].reshape(-1, n_bands, rows)
-            keys = mixed((mixed(regs.astype(np.uint64) + np.uint64(1)) * coef).sum(axis=2, dtype=np.uint64) + salt)
-            yield pa.RecordBatch.from_pydict({"band": keys.astype(np.int64).ravel(), "node": np.repeat(batch.column("node").to_numpy(), n_bands), "no": np.tile(np.arange(n_bands, dtype=np.int32), len(keys)), "n": np.repeat(batch.column("n").to_numpy(), n_bands)})
+            band = mixed((mixed(regs.astype(np.uint64) + np.uint64(1)) * coef).sum(axis=2, dtype=np.uint64) + salt).ravel()
+            node = np.repeat(batch.column("node").to_numpy(), n_bands)
+            if sent is not None:
+                at = band % np.uint64(MAP_BITS)
+                ok = (sent.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                band, node = band[ok], node[ok]
+            yield pa.RecordBatch.from_pydict({"band": band.view(np.int64), "node": node})
+
+    return nodes.select("node", "regs").mapInArrow(cut, "band bigint, node bigint")
+
+
+def bit_map(numbers: DataFrame) -> DataFrame:
+    """The set bits of a map of MAP_BITS bits, as rows bucket and bits: bit number (a bigint column) mod MAP_BITS."""
+    at = F.pmod(F.col("number"), F.lit(MAP_BITS)) + 1
+    return numbers.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+def gathered(rows: DataFrame) -> np.ndarray:
+    """bit_map() as one array of MAP_BITS / 8 bytes."""
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        one = np.frombuffer(bytes(r["bits"]), np.uint8)
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + len(one)] = one[: len(out) - at]
+    return out
 
-    return nodes.select("node", "n", "regs").mapInArrow(cut, "band bigint, node bigint, no int, n bigint")
 
+def marked(df: DataFrame, number: Column, rows: DataFrame) -> DataFrame:
+    """The rows of df whose number mod MAP_BITS is a set bit of rows, a bit_map()."""
+    at = F.pmod(number, F.lit(MAP_BITS)) + 1
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = df.withColumn("_bit", bit).withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(rows), F.col("_bucket") == F.col("bucket"))
+    return found.where(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1).select(*df.columns)
 
-def estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Adds est, the collision-corrected Jaccard estimate, and near: whether it allows for a link at five deviations."""
-    regs = nodes.select("node", "n", "regs")
-    both = pairs.join(regs.toDF("a", "n_a", "r_a"), "a").join(regs.toDF("b", "n_b", "r_b"), "b")
+
+def estimated(pairs: DataFrame, regs: DataFrame, threshold: float) -> DataFrame:
+    """Those pairs (a, b) whose collision-corrected Jaccard estimate allows for a link at five deviations."""
+    both = pairs.join(regs.toDF("a", "r_a"), "a").join(regs.toDF("b", "r_b"), "b")
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,85 +157,10 @@ def estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("r_a", "r_b"))
             used = np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
             est = (((x == y) & (x > 0)).sum(axis=1) / used - COLLISION) / (1 - COLLISION)
-            slack = 5 * np.sqrt(threshold * (1 - threshold) / used) + 2 / used
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "est": est, "near": est >= threshold - slack, "mid": 1 - est <= 2 * (1 - threshold) + 2 * slack})
-
-    return both.mapInArrow(estimate, "a bigint, b bigint, est double, near boolean, mid boolean")
-
+            near = pa.array(est >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / used) - 2 / used)
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a").filter(near), "b": batch.column("b").filter(near)})
 
-def texts_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """text and node for the wanted nodes (node); where ids repeat, texts of other sets too."""
-    named = wanted.join(nodes.select("node", F.col("rep").alias("id")), "node")
-    return docs.join(named, docs["id"].eqNullSafe(named["id"])).select(docs["text"], "node")
-
-
-def lone_shingles(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node and alone, its number of shingles that no other wanted node (node, n) has, where there are any.
-
-    A batch of texts hands on every shingle once, so a shingle that all nodes have is no large group.
-    """
-    parts = np.uint64(max(1, (wanted.agg(F.sum("n")).first()[0] or 0) // PART))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            value, first, count = np.unique(np.concatenate([s for _, s in held]), return_index=True, return_counts=True)
-            owner = np.repeat([n for n, _ in held], [len(s) for _, s in held])
-            held.clear()
-            part = mixed(value) % parts
-            order = np.argsort(part, kind="stable")
-            value, own, part = value[order], np.where(count == 1, owner[first], -1)[order], part[order]
-            found, at = np.unique(part, return_index=True)
-            ends = [*at[1:], len(part)]
-            return pa.RecordBatch.from_pydict({"part": found.astype(np.int64), "items": pa.array([value[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), "owners": pa.array([own[a:b].astype(np.int64).tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
-
-        for batch in batches:
-            for n, s in zip(batch.column("node").to_pylist(), sets(batch.column("text"), size), strict=True):
-                if node_of(s)[0] == n:
-                    held.append((n, s))
-                if held and sum(len(x) for _, x in held[-1:]) > PART:
-                    yield out()
-            if held:
-                yield out()
-
-    def lone(rows: pa.Table) -> pa.Table:
-        items, owners = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("items", np.uint64), ("owners", np.int64)))
-        _, first, count = np.unique(items, return_index=True, return_counts=True)
-        own = owners[first[count == 1]]
-        node, alone = np.unique(own[own >= 0], return_counts=True)
-        return pa.table({"node": pa.array(node, pa.int64()), "alone": pa.array(alone, pa.int64())})
-
-    counted = texts_of(wanted.select("node"), docs, nodes).mapInArrow(cut, "part bigint, items binary, owners binary").groupBy("part").applyInArrow(lone, "node bigint, alone bigint")
-    return counted.groupBy("node").agg(F.sum("alone").alias("alone"))
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, hundredths: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= hundredths * union."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, nodes)
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = batch.column("node").to_pylist()
-            found = [(n, s.tobytes()) for n, s in zip(node, sets(batch.column("text"), size), strict=True) if node_of(s)[0] == n]
-            yield pa.RecordBatch.from_pydict({"node": pa.array([x[0] for x in found], pa.int64()), "items": pa.array([x[1] for x in found], pa.binary())})
-
-    items = written(texts.mapInArrow(full, "node bigint, items binary").groupBy("node").agg(F.first("items").alias("items")), "sets")
-    both = pairs.select("a", "b").join(items.toDF("a", "s_a"), "a").join(items.toDF("b", "s_b"), "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("s_a"), batch.column("s_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                ok.append(100 * common >= hundredths * (len(x) + len(y) - common))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)})
-
-    return both.mapInArrow(compare, "a bigint, b bigint")
+    return both.mapInArrow(estimate, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -215,168 +178,204 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def bucketed(rows: DataFrame) -> DataFrame:
-    """Adds centers, TURNS nodes of the bucket, and many, its number of nodes, to (band, node, n, live, comp).
+def pairs_in(small: DataFrame, hundredths: int) -> DataFrame:
+    """(a, b), a < b: the pairs of nodes of one bucket (band, node, n) that can be linked by their sizes."""
+    # Buckets with the same nodes are one.
+    lists = small.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("in")).select("in").distinct()
+    later = F.slice("in", F.col("i") + 2, F.lit(SMALL))
+    fits = lambda y: F.least(y["n"], F.col("x.n")) * 100 >= F.lit(hundredths) * F.greatest(y["n"], F.col("x.n"))
+    each = lists.select("in", F.posexplode("in").alias("i", "x")).select("x", F.explode(F.filter(later, fits)).alias("y"))
+    return each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def differences(texts: DataFrame, refs: DataFrame, size: int, hundredths: int) -> DataFrame:
+    """A row for each row of texts (node, cluster, text) and reference (ref, cluster, text) of its cluster.
 
-    live is the number of a node's shingles that others may have; the first center is one with the largest share of
-    them. Buckets whose nodes are all of one component have nothing left to link and drop out.
+    node, cluster, ref; w and most: the sides of the module's law for a link with the reference; items: the hashes of the
+    shingles that one of the two has and the other lacks.
     """
-    at = F.struct("node", "comp", "n", "live").alias("at")
-    centers = [F.min(F.struct(-F.col("live") / F.col("n"), F.xxhash64("node"), at))["at"], *[F.min(F.struct(F.xxhash64("node", F.lit(t)), at))["at"] for t in range(1, TURNS)]]
-    of = rows.groupBy("band").agg(F.array(*centers).alias("centers"), F.count("*").alias("many"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
-    return rows.select("band", "node", "n", "live", "comp").join(of, "band")
+    pairs = texts.join(refs.select("cluster", F.col("node").alias("ref"), F.col("text").alias("ref_text")), "cluster").select("node", "cluster", "text", "ref", "ref_text")
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for batch in batches:
+            weights, most, items = [], [], []
+            for s, ref, text in zip(sets(batch.column("text"), size), batch.column("ref").to_pylist(), batch.column("ref_text"), strict=True):
+                if ref != last[0]:
+                    last = (ref, next(sets(pa.array([text.as_py()], pa.string()), size)))
+                c = last[1]
+                # Both are sorted and distinct: what stands next to its like in the sorted whole is common.
+                both = np.sort(np.concatenate([s, c]), kind="stable")
+                twice = np.concatenate([both[1:] == both[:-1], [False]])
+                once = both[~(twice | np.concatenate([[False], twice[:-1]]))]
+                common = int(twice.sum())
+                weights.append(100 * (len(c) - common) + hundredths * (len(s) - common))
+                most.append((100 - hundredths) * len(c))
+                items.append(once.tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("node", "cluster", "ref")), pa.array(weights, pa.int64()), pa.array(most, pa.int64()), pa.array(items, pa.binary())], ["node", "cluster", "ref", "w", "most", "items"])
+
+    return pairs.mapInArrow(compare, "node bigint, cluster bigint, ref bigint, w bigint, most bigint, items binary")
+
+
+def exploded(diffs: DataFrame) -> DataFrame:
+    """A row for each item of (node, cluster, comp, w, most, items), with the number of its node's items."""
 
-def alike(a: Column, b: Column, hundredths: int) -> Column:
-    """Whether sets of so many elements can have that share in common."""
-    return F.least(a, b) * 100 >= F.lit(hundredths) * F.greatest(a, b)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("items")]
+            sizes = np.array([len(x) for x in items], np.int64)
+            rows = {c: np.repeat(batch.column(c).to_numpy(), sizes) for c in ("node", "cluster", "comp", "w", "most")}
+            yield pa.RecordBatch.from_pydict(rows | {"n_items": np.repeat(sizes, sizes), "item": np.concatenate([np.zeros(0, np.int64), *items])})
 
+    return diffs.select("node", "cluster", "comp", "w", "most", "items").mapInArrow(cut, "node bigint, cluster bigint, comp bigint, w bigint, most bigint, n_items bigint, item bigint")
 
-def linkable(n_a: Column, live_a: Column, n_b: Column, live_b: Column, hundredths: int) -> Column:
-    """Whether sets of so many elements, so many of which others may have, can be linked."""
-    return alike(n_a, n_b, hundredths) & (F.least(live_a, live_b) * (100 + hundredths) >= F.lit(hundredths) * (n_a + n_b))
 
+def needed(w_x: Column, w_y: Column, most: Column, hundredths: int) -> Column:
+    """The differences two nodes must share to be linked."""
+    return F.ceil((w_x + w_y - most) / (100 + hundredths))
 
-def pairs_in(small: DataFrame, hundredths: int) -> DataFrame:
-    """(a, b), a < b, of two components: the pairs of each bucket that can be linked."""
-    sets_in = small.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("node", "comp", "n", "live"))).alias("in"))
-    later = F.slice("in", F.col("i") + 2, F.lit(SMALL))
-    fits = lambda y: (y["comp"] != F.col("x.comp")) & linkable(y["n"], y["live"], F.col("x.n"), F.col("x.live"), hundredths)
-    each = sets_in.select("in", F.posexplode("in").alias("i", "x")).select("x", F.explode(F.filter(later, fits)).alias("y"))
-    return each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).where("a < b")
 
+def candidates(diffs: DataFrame, hundredths: int) -> DataFrame:
+    """(a, b), a < b, of two components: all pairs that can be linked over shared differences from their cluster's
+    reference, one of the two being beyond a link with it, by a prefix filter. diffs: differences() with comp.
 
-def stars_in(large: DataFrame, hundredths: int) -> DataFrame:
-    """(a, b), a < b, of two components: every node with the centers of its bucket, at up to twice the distance of a link."""
-    star = large.select("node", "comp", "n", F.explode("centers").alias("c")).where((F.col("comp") != F.col("c.comp")) & alike(F.col("n"), F.col("c.n"), 2 * hundredths - 100))
-    return star.select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b")).where("a < b")
+    Ordered from the rarest item on, linked nodes have one in common among the first |D| - s + 1 of each, s being the
+    least number of items they must share: over all partners, (w - most) / 100 for a node beyond the reference, since a
+    partner's w is at least h s, and w / (100 + h), rounded down, plus 1 for the others. Items that many nodes have are
+    dealt over several tasks. Items of one component, or of no node beyond the reference, can tell nothing new.
+    """
+    beyond = F.col("w") > F.col("most")
+    rows = written(exploded(diffs).where("n_items > 0"), "items")
+    often = rows.groupBy("cluster", "item").agg(F.count("*").alias("often"), F.max(beyond).alias("_any"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("often > 1 and _any and _lo <> _hi").drop("_any", "_lo", "_hi")
+    ranked = rows.join(often, ["cluster", "item"]).groupBy("node", "cluster", "comp", "w", "most", "n_items").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("in"))
+    least = F.when(beyond, F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("most")) / 100))).otherwise(F.floor(F.col("w") / (100 + hundredths)) + 1)
+    # Items that are not in "in" come first in the order and are shared with no node of interest.
+    ranked = ranked.withColumn("far", beyond).withColumn("_take", F.size("in") - least + 1).where("_take > 0")
+    placed = ranked.select("node", "cluster", "comp", "w", "most", "far", F.size("in").alias("live"), F.posexplode(F.slice("in", F.lit(1), F.col("_take").cast("int"))).alias("at", "item"))
+    placed = written(placed.select("node", "cluster", "comp", "w", "most", "far", F.col("item.item").alias("item"), (F.col("live") - F.col("at")).alias("after")), "prefixes")
+    shared = placed.groupBy("cluster", "item").agg((F.floor(F.count("*") / DEALT) + 1).alias("salts"), F.max("far").alias("_any"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_any and _lo <> _hi").drop("_any", "_lo", "_hi")
+    dealt = written(placed.join(shared, ["cluster", "item"]), "dealt")
+    x = dealt.where("far").withColumn("salt", F.pmod(F.xxhash64("node"), "salts")).alias("x")
+    y = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).alias("y")
+    once = ~F.col("y.far") | (F.col("x.node") < F.col("y.node"))
+    fits = once & (F.col("x.comp") != F.col("y.comp")) & (F.least("x.after", "y.after") >= needed(F.col("x.w"), F.col("y.w"), F.col("x.most"), hundredths))
+    met = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.salt") == F.col("y.salt")) & fits)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def pairs_of(rows: DataFrame, hundredths: int) -> DataFrame:
-    """The pairs of small buckets and the stars of the others."""
-    return pairs_in(rows.where(F.col("many") <= SMALL), hundredths).unionByName(stars_in(rows.where(F.col("many") > SMALL), hundredths)).distinct()
+def confirmed(pairs: DataFrame, diffs: DataFrame, hundredths: int) -> DataFrame:
+    """The pairs (a, b) of a cluster that are linked, from their full differences from the reference."""
+    of = lambda k: diffs.select(*[F.col(c).alias(f"{c}_{k}") for c in ("w", "most", "items")], F.col("node").alias(k))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "items_a", "items_b", needed(F.col("w_a"), F.col("w_b"), F.col("most_a"), hundredths).alias("need"))
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y, need in zip(batch.column("items_a"), batch.column("items_b"), batch.column("need").to_pylist(), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                ok.append(len(np.intersect1d(x, y, assume_unique=True)) >= need)
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)})
 
-def prefix_pairs(rest: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, hundredths: int) -> DataFrame:
-    """(a, b), a < b, of two components: all pairs of rest (node, n, comp) that can be linked, by an exact prefix filter.
+    return both.mapInArrow(compare, "a bigint, b bigint")
 
-    Ordered from the rarest shingle on, linked sets have one in common among the first n - ceil(n * hundredths / 100) + 1
-    of each, and the first one they have in common leaves enough shingles after it in both. Shingles that many
-    nodes have are dealt over several tasks.
-    """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, s in zip(batch.column("node").to_pylist(), sets(batch.column("text"), size), strict=True):
-                if node_of(s)[0] == n:
-                    yield pa.RecordBatch.from_pydict({"node": np.full(len(s), n, np.int64), "item": s.astype(np.int64)})
-
-    items = written(texts_of(rest.select("node"), docs, nodes).mapInArrow(cut, "node bigint, item bigint").distinct(), "items")
-    often = items.groupBy("item").agg(F.count("*").alias("often")).where("often > 1")
-    ranked = items.join(often, "item").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("in")).join(rest, "node")
-    alone = F.col("n") - F.size("in")
-    most = F.col("n") - F.ceil(F.col("n") * hundredths / 100) + 1 - alone
-    placed = ranked.where(most > 0).select("node", "n", "comp", alone.alias("alone"), F.posexplode(F.slice("in", F.lit(1), most.cast("int"))).alias("at", "item"))
-    placed = written(placed.select("node", "n", "comp", F.col("item.item").alias("item"), (F.col("n") - F.col("alone") - F.col("at")).alias("after")), "prefixes")
-    shared = placed.groupBy("item").agg((F.floor(F.count("*") / DEALT) + 1).alias("salts"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
-    dealt = written(placed.join(shared, "item"), "dealt")
-    x = dealt.withColumn("salt", F.pmod(F.xxhash64("node"), "salts")).alias("x")
-    y = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).alias("y")
-    fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & linkable(F.col("x.n"), F.col("x.after"), F.col("y.n"), F.col("y.after"), hundredths)
-    return x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.salt") == F.col("y.salt")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+def clusters(nodes: DataFrame, regs: DataFrame, spread: DataFrame, hundredths: int) -> DataFrame:
+    """node, cluster and typical, which is larger for nodes that share buckets with many: of spread (band, node, n, many)."""
+    small = estimated(pairs_in(spread.where(F.col("many") <= SMALL), hundredths), regs, hundredths / 100)
+    large = spread.where(F.col("many") > SMALL)
+    stars = large.join(large.groupBy("band").agg(F.min("node").alias("hub")), "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    found = components(written(small.unionByName(stars), "edges")).withColumnRenamed("comp", "cluster")
+    return found.join(spread.groupBy("node").agg(F.sum("many").alias("typical")), "node")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, hundredths: int = 80, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, hundredths: int = 80, id_col: str = "doc_id", text_col: str = "text", mark: bool = False) -> DataFrame:
     """The component of every row under links with 100 * intersection >= hundredths * union of shingle sets.
 
     Words are runs of characters other than space and 0x09-0x0D, A-Z lower-cased; a set holds the distinct runs of
     size words, of a shorter text the whole run. Texts that are null or without words have an empty set and no links.
     Returns id, n_shingles, component_id (the least id in the component; null if all are null), component (a number for
-    the component) and kept (id = component_id; a row with a null id is kept if no row of its component has an id), and mark where a column of that kind is given.
-    Every row of docs is in the result, repeated rows too; no rows give no rows; other columns of docs play no part.
+    the component) and kept (id = component_id; a row with a null id is kept if no row of its component has an id), and
+    with mark=True mark, a hash of the text. Every row of docs is in the result, repeated rows too; no rows give no rows;
+    other columns of docs play no part. All but the last joins has run when it returns.
     """
     with small_batches(docs.sparkSession, 1000):
         return grouped(docs, size, hundredths, id_col, text_col, mark)
 
 
-def grouped(docs: DataFrame, size: int, hundredths: int, id_col: str, text_col: str, mark: Column | None) -> DataFrame:
-    """near_duplicates(); all but the last joins has run when it returns."""
-    threshold = hundredths / 100
-    rows = rows_per_band(threshold)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = written(signatures(base.withColumn("mark", mark if mark is not None else F.lit(0).cast("bigint")), size), "signatures")
-    nodes = written(signed.where("n > 0").groupBy("node", "check").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")).repartition("node"), "nodes")
+def grouped(docs: DataFrame, size: int, hundredths: int, id_col: str, text_col: str, mark: bool) -> DataFrame:
+    rows = rows_per_band(hundredths / 100)
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    wide = written(signatures(base, size), "signatures")
+    nodes = written(wide.where("n > 0").groupBy("node", "check").agg(F.min(F.struct("id", "mark")).alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
+    signed = written(wide.drop("regs", "check"), "signed")
+    removed(wide)
     # A set of n shingles has at most n / (n + 1) in common with another one.
-    first = written(bands(nodes.where(F.col("n") * (100 - hundredths) >= hundredths), rows), "bands")
-    links = comps = None
-
-    def label(df: DataFrame, name: str, out: str) -> DataFrame:
-        if comps is None:
-            return df.withColumn(out, F.col(name))
-        return df.join(comps.toDF(name, out), name, "left").withColumn(out, F.coalesce(out, name))
-
-    def link(pairs: DataFrame) -> DataFrame:
-        """Confirms pairs of different components, joins the links to those before; the pairs with their estimates."""
-        nonlocal links, comps
-        judged = written(estimated(pairs, nodes, threshold), "pairs")
-        found = written(confirmed(judged.where("near"), base, nodes, size, hundredths), "confirmed")
-        if links is None or found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            comps = components(links)
-        return judged
-
-    # A few bands first: they join most of a large group, whose buckets then have nothing left to link.
-    every = first.withColumn("live", F.col("n"))
-    few = label(every.where(F.col("no") < FIRST), "node", "comp")
-    link(pairs_of(written(bucketed(few), "buckets"), hundredths))
-    # Small buckets are paired at once, large ones are thinned.
-    spread = written(bucketed(label(every, "node", "comp")), "buckets")
-    pairs = pairs_in(spread.where(F.col("many") <= SMALL), hundredths)
-    large = spread.where(F.col("many") > SMALL).drop("centers", "many", "live")
-    hard = written(large.select("node", "n").distinct(), "hard")
-    if not hard.limit(1).count():
-        link(pairs.distinct())
-        return finished(signed, comps, id_col, mark)
-    lone = written(lone_shingles(hard, base, nodes, size), "lone")
-    live = large.join(lone, "node", "left").withColumn("live", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    spread = written(bucketed(live.where(F.col("live") * 100 >= F.lit(hundredths) * F.col("n"))), "thinned")
-    judged = link(pairs.unionByName(pairs_of(spread, hundredths)).distinct())
-    # What large buckets leave. Two nodes that are both linked with the center itself are in one component.
-    left = spread.where(F.col("many") > SMALL).select("band", "node", "n", "live", F.col("centers")[0]["node"].alias("center"))
-    seen = label(label(left.where("node <> center"), "node", "c_node"), "center", "c_center").withColumns({"a": F.least("node", "center"), "b": F.greatest("node", "center")})
-    # One component may also mean a way over other nodes, so those that are not yet known to be linked are compared.
-    unknown = seen.where("c_node = c_center").select("a", "b").distinct().join(links, ["a", "b"], "left_anti")
-    direct = written(links.unionByName(confirmed(estimated(unknown, nodes, threshold).where("near"), base, nodes, size, hundredths)).distinct().withColumn("direct", F.lit(True)), "direct")
-    seen = written(seen.join(direct, ["a", "b"], "left").withColumn("direct", F.coalesce("direct", F.lit(False))), "seen")
-    beside = seen.where("direct").select("band", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("live").alias("live_other"))
-    # By the triangle inequality of Jaccard distances, a node that is linked with one of those is, by full sets, at up to
-    # twice a link's distance from the center.
-    apart = written(seen.where("c_node <> c_center").join(judged.where("mid").select("a", "b"), ["a", "b"], "left_semi").select("band", "node", "n", "live", "a", "b"), "apart")
-    around = confirmed(apart.select("a", "b").distinct(), base, nodes, size, 2 * hundredths - 100)
-    near = apart.join(around, ["a", "b"], "left_semi").join(beside, "band").where(linkable(F.col("n"), F.col("live"), F.col("n_other"), F.col("live_other"), hundredths))
-    beyond = near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    # Two nodes that are both not linked with the center are found by their shingles.
-    rest = written(label(seen.where("not direct").select("node", "n").distinct(), "node", "comp"), "rest")
-    link(beyond.unionByName(prefix_pairs(rest, base, nodes, size, hundredths)).distinct())
+    able = nodes.where(F.col("n") * (100 - hundredths) >= hundredths)
+    # Most bands are of one node. The others are marked in a bit map, so that only they are shuffled with their nodes.
+    many = F.count("*").alias("many")
+    shared = gathered(bit_map(bands(able, rows).groupBy("band").agg(many).where("many > 1").select(F.col("band").alias("number"))))
+    alike = written(bands(able, rows, shared), "bands")
+    spread = alike.join(alike.groupBy("band").agg(many).where("many > 1"), "band").join(able.select("node", "n"), "node")
+    spread = written(spread.select("band", "node", "n", "many"), "buckets")
+    removed(alike)
+    few = written(able.select("node", "regs", "rep").join(spread.select("node").distinct(), "node"), "registers")
+    if not few.limit(1).count():
+        return finished(signed, None, id_col, mark)
+    cluster = written(clusters(able, few.select("node", "regs"), spread, hundredths), "clusters")
+    wanted = written(cluster.join(few.select("node", "rep"), "node"), "wanted")
+    some = marked(base, F.col("mark"), bit_map(wanted.select(F.col("rep.mark").alias("number"))))
+    found = some.join(wanted, some["id"].eqNullSafe(wanted["rep"]["id"]) & (some["mark"] == wanted["rep"]["mark"]))
+    texts = written(found.select("node", "cluster", "typical", "text").dropDuplicates(["node"]), "texts")
+    ref = wanted.groupBy("cluster").agg(F.max_by("node", F.struct("typical", F.xxhash64("node"))).alias("node"))
+    diffs = written(differences(texts, texts.join(ref, ["cluster", "node"]), size, hundredths), "differences")
+    links = diffs.where("w <= most and node <> ref").select(F.col("node").alias("a"), F.col("ref").alias("b"))
+    # A cluster may hold several groups: the nodes beyond the reference meet some of themselves.
+    left = diffs.where("w > most").select("node", "cluster")
+    crowd = written(left.join(left.groupBy("cluster").agg(many).where(F.col("many") > SMALL), "cluster"), "crowd")
+    while crowd.limit(1).count():
+        dealt = crowd.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(MORE)))
+        more = dealt.groupBy("cluster", "_part").agg(F.min_by("node", F.xxhash64("node", F.lit(1))).alias("node"))
+        apart = texts.join(crowd.select("node"), "node", "left_semi")
+        met = differences(apart, texts.join(more.select("cluster", "node"), ["cluster", "node"]), size, hundredths)
+        new = written(met.where("w <= most and node <> ref").select(F.col("node").alias("a"), F.col("ref").alias("b")), "more")
+        links = links.unionByName(new)
+        rest = crowd.select("node", "cluster").join(new.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_anti")
+        sizes = crowd.groupBy("cluster").agg(F.count("*").alias("before"))
+        rest = rest.join(rest.groupBy("cluster").agg(many), "cluster").join(sizes, "cluster")
+        # Clusters of which few nodes were linked hold no further large group.
+        crowd = written(rest.where((F.col("many") > SMALL) & (F.col("many") * 4 <= F.col("before") * 3)).select("node", "cluster", "many"), "crowd")
+    links = written(links, "stars")
+    comps = components(links)
+    # Only clusters with a node beyond the reference and a second one besides it can have further links.
+    open_ = diffs.where("node <> ref").groupBy("cluster").agg(many, F.max(F.col("w") > F.col("most")).alias("_far")).where("_far and many > 1").select("cluster")
+    unsure = written(diffs.join(open_, "cluster", "left_semi").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "unsure")
+    if unsure.limit(1).count():
+        pairs = estimated(candidates(unsure, hundredths), few.select("node", "regs"), hundredths / 100)
+        extra = written(confirmed(pairs, unsure, hundredths), "confirmed")
+        if extra.limit(1).count():
+            comps = components(links.unionByName(extra))
     return finished(signed, comps, id_col, mark)
 
 
-def finished(signed: DataFrame, comps: DataFrame, id_col: str, mark: Column | None) -> DataFrame:
+def finished(signed: DataFrame, comps: DataFrame | None, id_col: str, mark: bool) -> DataFrame:
+    if comps is None:
+        comps = signed.select("node", F.col("node").alias("comp")).limit(0)
     labelled = signed.join(comps, "node", "left").select("id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("component"))
     least = labelled.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     out = labelled.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")))
     kept = F.when(F.col("component").isNull() | F.col("component_id").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"), "component", *["mark"] * (mark is not None))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"), "component", *["mark"] * mark)
 
 
 def distinct_documents(docs: DataFrame, size: int = 5, hundredths: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near duplicates: the kept rows of near_duplicates(), repeated rows once.
 
-    A document is told by its id and text. Documents without words are groups of their own, told the same way.
+    A document is told by its id and text. Documents without words are groups of their own, told the same way. All
+    columns of docs come out as they are, whatever their names.
     """
-    mark = F.xxhash64(F.col(text_col))
-    judged = near_duplicates(docs, size, hundredths, id_col, text_col, mark)
-    kept = judged.where("kept").select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).distinct()
-    marked = docs.withColumn("_text", mark)
-    rows = marked.join(kept, marked[id_col].eqNullSafe(kept["_id"]) & (marked["_text"] == kept["_mark"]), "left_semi")
-    return rows.dropDuplicates([id_col, "_text"]).select(*docs.columns)
+    judged = near_duplicates(docs, size, hundredths, id_col, text_col, mark=True)
+    kept = judged.where("kept").select(F.col(id_col).alias("id"), "mark").distinct()
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("key"), F.xxhash64(text_col).alias("hash"))
+    rows = whole.join(kept, whole["key"].eqNullSafe(kept["id"]) & (whole["hash"] == kept["mark"]), "left_semi")
+    return rows.dropDuplicates(["key", "hash"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
