@@ -4,8 +4,9 @@ A logistic model in numpy learns from confirmed toxic texts and from texts of un
 class prior. The risk of the negative class is the unlabelled texts' risk less the prior times the positives' risk as
 negatives; it is kept from falling below zero, which would be fitting the toxic texts among the unlabelled ones.
 
-Features are the presence of words and of word beginnings of 4, 5 and 6 bytes. Those that are clearly more frequent in
-the positives are found by counts over the sample in Spark; only they are fitted.
+Features are words and word beginnings of 4 to 7 bytes, each once as present, again if it occurs twice or three times, and
+again if it is dense: beginnings that clean texts have now and then mark a toxic one when they come back. Those that are
+clearly more frequent in the positives are found by counts over the sample in Spark; only they are fitted.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark.sql import functions as F
 from loamgrid.llm.common import crc_mod3, hash60, written
 from loamgrid.llm.shingles import _BACK, _BYTE, _STEP, _power, mixed
 
-#: The sample the model is fitted on: about so many confirmed toxic texts and texts of unknown kind at most, each of at
-#: most so many bytes.
-POSITIVES, UNLABELLED, BYTES = 6_000, 24_000, 200_000
+#: The sample the model is fitted on: about so many confirmed toxic texts and texts of unknown kind at most, of any length.
+POSITIVES, UNLABELLED = 6_000, 24_000
 #: At most so many features are fitted, each in at least LEAST positives and DEVIATIONS above what chance allows.
 FEATURES, LEAST, DEVIATIONS = 8192, 6, 6.0
-BITS = 22
+BITS = 23
+#: Beginnings of so many bytes; what occurs twice at least, and once in so many words, is dense.
+BEGINNINGS, DENSE = (4, 5, 6, 7), 125
 #: Without any confirmed toxic text to learn from, or without features, every text gets this score.
 UNKNOWN = 0.0
 WINDOW = 1 << 19
@@ -35,7 +37,7 @@ _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(
 
 def features(data: np.ndarray) -> np.ndarray:
     """The distinct feature numbers of a text's UTF-8 bytes; words are runs of letters and bytes beyond ASCII."""
-    found, at = [], 0
+    found, at, n_words = [], 0, 0
     while at < len(data):
         end = min(len(data), at + WINDOW)
         while end < len(data) and _LETTER[data[end - 1]]:  # on to the end of a word
@@ -48,11 +50,16 @@ def features(data: np.ndarray) -> np.ndarray:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * _power(_STEP, len(part), "up"))])
         back = _power(_BACK, len(part) + 1, "down")[a]
         found.append(mixed((sums[b] - sums[a]) * back + np.uint64(1)))
-        for n in (4, 5, 6):
+        n_words += len(a)
+        for n in BEGINNINGS:
             long = b - a > n
             found.append(mixed((sums[a[long] + n] - sums[a[long]]) * back[long] + np.uint64(n)))
         at = end
-    return np.unique(np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64) if found else np.zeros(0, np.int64)
+    if not found:
+        return np.zeros(0, np.int64)
+    value, count = np.unique(np.concatenate(found), return_counts=True)
+    more = [mixed(value[ok] + np.uint64(k)) for k, ok in ((2, count >= 2), (3, count >= 3), (5, (count >= 2) & (count * DENSE >= n_words)))]
+    return np.unique(np.concatenate([value, *more]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def of_texts(column: pa.Array) -> Iterator[np.ndarray]:
@@ -71,7 +78,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     n = docs.count()
     key = hash60(F.lit("toxicity"), F.col("doc_id"))
     share = lambda most, of: int(2**60 * min(1.0, most / max(1, of)))
-    fit = docs.select("doc_id", "text").where((crc_mod3(F.col("doc_id")) != 1) & F.col("text").isNotNull() & (F.octet_length("text") <= BYTES))
+    fit = docs.select("doc_id", "text").where((crc_mod3(F.col("doc_id")) != 1) & F.col("text").isNotNull())
     # At most POSITIVES ids, so they may be broadcast; the texts then stay where they are read.
     positive = marks.where("toxic = 1").where(key < share(2 * POSITIVES, toxic or 0)).orderBy(key, "doc_id").limit(POSITIVES).select("doc_id", F.lit(True).alias("positive"))
     # The unlabelled texts are drawn from all of them, toxic ones included: the prior holds for them.
