@@ -10,6 +10,7 @@ table entries, looked up for whole arrays of positions at once.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +22,15 @@ from pyspark.sql import functions as F
 from loamgrid.llm.common import crc_mod3, hash60
 
 ORDER = 3
-#: The sample a language is learnt from: at most so many texts, of at most so many bytes each.
-TEXTS, BYTES = 200, 20_000
+#: The sample a language is learnt from: at most so many texts, of longer ones a window of so many characters at a place
+#: chosen by hash; and at most so many languages, the most frequent ones.
+TEXTS, CHARS, LANGUAGES = 200, 20_000, 512
 WINDOW = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # numbers like '²' too
+
+
+def has_letter(text: str) -> bool:
+    return any(unicodedata.category(m[0])[0] == "L" for m in _LETTER.finditer(text))
 
 
 def keys(data: np.ndarray, order: int) -> np.ndarray:
@@ -147,19 +153,18 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
 
 
 def sample(docs: DataFrame) -> dict[str, list[bytes]]:
-    """Up to TEXTS texts of up to BYTES bytes for each language, from the rows whose id's crc32 modulo 3 is not 1."""
-    fit = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod3(F.col("doc_id")) != 1) & (F.octet_length("text") <= BYTES))
-    sizes = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().collect()}
-    if not sizes:
-        return {}
-    few = F.lit(False)
+    """Up to TEXTS texts for each language, from the rows whose id's crc32 modulo 3 is not 1."""
+    fit = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod3(F.col("doc_id")) != 1))
+    sizes = fit.groupBy("lang").agg(F.count("*").alias("_rows")).orderBy(F.desc("_rows"), "lang").limit(LANGUAGES)
     key = hash60(F.col("doc_id"))
-    for lang, n in sizes.items():  # about three times what is kept, so that no language's rows are ranked in full
-        few = few | ((F.col("lang") == lang) & (key < int(2**60 * min(1.0, 3 * TEXTS / n))))
-    first = fit.where(few).withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id", "text"))).where(F.col("_n") <= TEXTS)
-    out: dict[str, list[bytes]] = {lang: [] for lang in sizes}
-    for r in first.orderBy("lang", "_n").collect():
-        out[r["lang"]].append(r["text"].encode())
+    # About three times what is kept, so that no language's rows are ranked in full; LANGUAGES rows are broadcast.
+    few = fit.join(F.broadcast(sizes), "lang").where(key < 2.0**60 * F.least(F.lit(1.0), 3.0 * TEXTS / F.col("_rows")))
+    first = few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id", F.xxhash64("text")))).where(F.col("_n") <= TEXTS)
+    spare = F.greatest(F.length("text") - CHARS, F.lit(0)) + 1
+    window = F.substring("text", (F.pmod(hash60(F.lit("window"), F.col("doc_id")), spare.cast("bigint")) + 1).cast("int"), F.lit(CHARS))
+    out: dict[str, list[bytes]] = {}
+    for r in first.select("lang", "_n", window.alias("text")).orderBy("lang", "_n").collect():
+        out.setdefault(r["lang"], []).append(r["text"].encode())
     return out
 
 
@@ -168,8 +173,9 @@ def identify(docs: DataFrame, keep: bool = False) -> DataFrame:
 
     Returns doc_id, held_out (that remainder is 1), lang_pred ('und' if the text is null, has no letter, or nothing
     was learnt), score (the language's share of 2 ** -bits, 0 for 'und') and bits (a byte, under the language; null
-    for 'und'). keep=True returns all columns of docs, then lang_pred, score and bits; columns of docs with these names
-    give way. Equal shares go to the language whose name sorts first. Repeated rows stay; no rows give no rows.
+    for 'und'). keep=True returns row, a struct of all columns of docs under their own names, and lang_pred, score and
+    bits. Equal shares go to the language whose name sorts first. Repeated rows stay; no rows give no rows. Letters are
+    the characters of Unicode's letter categories.
     """
     spark = docs.sparkSession
     texts = sample(docs)
@@ -180,7 +186,7 @@ def identify(docs: DataFrame, keep: bool = False) -> DataFrame:
         model = sent.value and Model(*sent.value)
         for batch in batches:
             column = batch.column("text").to_pylist()
-            at = [i for i, t in enumerate(column) if model is not None and t is not None and _LETTER.search(t)]
+            at = [i for i, t in enumerate(column) if model is not None and t is not None and has_letter(t)]
             raw = [column[i].encode() for i in at]
             lang, score, bits = ["und"] * len(column), np.zeros(len(column)), [None] * len(column)
             if at:
@@ -191,9 +197,8 @@ def identify(docs: DataFrame, keep: bool = False) -> DataFrame:
                     lang[i], score[i], bits[i] = model.langs[best[j]], share[j], float(lengths[j, best[j]] / len(raw[j]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(lang), pa.array(score), pa.array(bits, pa.float64())], [*carried, "lang_pred", "score", "bits"])
 
-    new = {"lang_pred", "score", "bits"}
-    base = docs.drop(*new) if keep else docs.select("doc_id", "text")
-    carried = base.columns if keep else ["doc_id"]
+    base = docs.select(F.struct(*docs.columns).alias("row"), "text") if keep else docs.select("doc_id", "text")
+    carried = ["row" if keep else "doc_id"]
     fields = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in carried)
     out = base.mapInArrow(predict, f"{fields}, lang_pred string, score double, bits double")
     return out if keep else out.select("doc_id", (crc_mod3(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score", "bits")
