@@ -15,6 +15,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Items are sent to the tasks in blocks of about so many bytes; a larger benchmark takes more passes.
 BLOCK_BYTES = 16_000_000
@@ -112,24 +113,29 @@ class Matcher:
         return out
 
 
+def sent_blocks(benchmark: DataFrame, item_col: str, item_text: str) -> list:
+    """The items as broadcast lists of (id, plain text), each of about BLOCK_BYTES at most."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    parts = [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items for b in range(blocks)]
+    return [benchmark.sparkSession.sparkContext.broadcast(sorted(((r["item"], plain(r["text"])) for r in p.collect()), key=str)) for p in parts]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, budget: float = 0.08, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and test item that lies in it within the item's error budget.
 
     Texts and items are compared as plain() leaves them; the budget is a share of the item's plain length, rounded
     down. Returns id, item id, distance (edits), start and end (in the plain text). Null and empty texts match nothing;
-    null and empty items are never found. Equal items, and repeated documents, each give their own rows. An empty table
-    on either side gives no rows. Other columns play no part.
+    null and empty items, and items without letters and digits, are never found. Equal items, and repeated documents,
+    each give their own rows. An empty table on either side gives no rows. Other columns play no part. A benchmark
+    beyond BLOCK_BYTES is looked for in blocks, each in a pass over docs.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    kinds = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {item_col} {benchmark.schema[item_col].dataType.simpleString()}, distance int, start int, end int"
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
+    kinds = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {benchmark.schema[item_col].dataType.simpleString()}, distance int, start int, end int"
     out = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        sent = spark.sparkContext.broadcast(sorted(((r["item"], plain(r["text"])) for r in block.collect()), key=str))
+    for sent in sent_blocks(benchmark, item_col, item_text):
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, budget)
@@ -138,13 +144,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, budget: float = 0.08, id_col:
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column("id").type), pa.array(columns[1], item_type), *(pa.array(c, pa.int32()) for c in columns[2:])], [id_col, item_col, "distance", "start", "end"])
 
-        item_type = pa.int64() if benchmark.schema[item_col].dataType.simpleString() == "bigint" else pa.int32() if benchmark.schema[item_col].dataType.simpleString() == "int" else pa.string()
         found = base.mapInArrow(look, kinds)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, budget: float = 0.08, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that hold no test item. Rows with a null id are judged as one: if one of them matches, all go."""
-    bad = matches(docs, benchmark, budget, id_col).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, budget: float = 0.08, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that hold no test item, each judged by its own text; rows without text stay.
+
+    Rows are judged where they are read: no text is shuffled. Columns of docs come out as they are, whatever their names.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    for sent in sent_blocks(benchmark, item_col, item_text):
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value, budget)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.find(plain(t.as_py())) for t in batch.column("text")], pa.bool_()))
+
+        rows = rows.mapInArrow(keep, rows.schema)
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -28,7 +28,7 @@ def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer."""
+    """A 64-bit finalizer; its multipliers are fixed values of a public hash function."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))

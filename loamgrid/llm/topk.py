@@ -127,7 +127,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     """The k best candidates (all rows but those of the query's own id) of every query row, by integer inner product.
 
     Returns query_id, rank (from 1), vec_id and score, best first, ties to the smaller id. Rows with a null id, a null
-    vector, or a vector holding null or non-finite components take no part. Queries meet candidates of their own
+    vector, or a vector holding null or non-finite components take no part, nor those with a component beyond 7e305,
+    256 times which is no double. Rows that repeat a query's id are no candidates of it. Queries meet candidates of their own
     dimension. A repeated row is a candidate, and a query, of its own. Without candidates a query has no rows. Columns
     besides id and vector play no part. Scores outside the range of a long are held at its limits.
     """
