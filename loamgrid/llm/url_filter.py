@@ -19,6 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["url_len", "host_len", "path_len", "depth", "labels", "digit_ratio", "entropy", "params", "query_len", "hyphens", "secure", "segment_rate", "suffix_rate"]
 #: The trees learn from at most so many labelled URLs of each verdict, those with the least hashes.
 MOST_PER_LABEL = 20_000
+FOLDS = 5
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -66,37 +67,49 @@ def lexical(df: DataFrame) -> DataFrame:
     })
 
 
-def rates(train: DataFrame, key: str, out: str, overall: float, weight: float = 5.0) -> DataFrame:
-    """Smoothed share of blocked URLs for each value of key in the (bounded) training rows."""
-    return train.groupBy(key).agg(((F.sum("label") + F.lit(weight * overall)) / (F.count("*") + F.lit(weight))).alias(out))
+def rates(train: DataFrame, keys: list[str], out: str, overall: float, weight: float = 5.0) -> DataFrame:
+    """Smoothed share of blocked URLs for each value of keys in the (bounded) training rows."""
+    return train.groupBy(*keys).agg(((F.sum("label") + F.lit(weight * overall)) / (F.count("*") + F.lit(weight))).alias(out))
 
 
 def fit(labelled: DataFrame, most_per_label: int = MOST_PER_LABEL, trees: int = 12, depth: int = 4):
     """Fits the trees on labelled (of lexical(), with label 0.0 or 1.0). Returns (score, threshold) for judge().
 
-    At most most_per_label URLs of each label are used. With one label only, or none, there is nothing to learn: the
-    verdict is then that label's, or 'allow'.
+    At most most_per_label distinct URLs of each label are used, those with the least hashes. With one label only, or
+    none, there is nothing to learn: the verdict is then that label's, or 'allow'. A training URL's suffix and segment
+    rates are counted over the other folds of the training URLs, so that its own label is no part of its features.
     """
     keyed = labelled.withColumn("_h", hash60(F.col("_url")))
-    both = [keyed.where(F.col("label") == v).dropDuplicates(["_url"]).orderBy("_h", "_url").limit(most_per_label) for v in (0.0, 1.0)]
+    sizes = {r["label"]: r["count"] for r in keyed.groupBy("label").count().collect()}  # two labels
+
+    def least(label: float) -> DataFrame:
+        # Rows beyond about twice the bound go before anything is shuffled; copies may leave fewer than the bound.
+        share = min(1.0, 2.0 * most_per_label / max(1, sizes.get(label, 0)))
+        return keyed.where((F.col("label") == label) & (F.col("_h") < 2.0**60 * share)).dropDuplicates(["_url"]).orderBy("_h", "_url").limit(most_per_label)
+
+    both = [least(v) for v in (0.0, 1.0)]
     train = written(both[0].unionByName(both[1]).coalesce(1), "urls")
     n, blocked = train.agg(F.count("*"), F.sum("label")).first()
     if not n or blocked in (0.0, float(n)):
         always = 1.0 if n and blocked else 0.0
         return lambda df: df.withColumn("block_score", F.lit(always))
     overall = blocked / n
-    of = {"suffix_rate": ("_suffix", rates(train, "_suffix", "suffix_rate", overall)), "segment_rate": ("_segment", rates(train, "_segment", "segment_rate", overall))}
-    of = {k: (key, written(r.coalesce(1), k)) for k, (key, r) in of.items()}
-
-    def prepared(df: DataFrame) -> DataFrame:
-        for name, (key, rate) in of.items():  # at most 2 * most_per_label rows: the training rows bound them
-            df = df.join(F.broadcast(rate), key, "left").withColumn(name, F.coalesce(name, F.lit(overall)))
+    of = {"suffix_rate": "_suffix", "segment_rate": "_segment"}
+    whole = {name: ([key], written(rates(train, [key], name, overall).coalesce(1), name)) for name, key in of.items()}
+    # A row for each training row and other fold: what is counted for a fold leaves its own rows out.
+    others = train.withColumn("_f", F.explode(F.array(*[F.lit(f) for f in range(FOLDS)]))).where(F.col("_f") != F.pmod(F.col("_h"), F.lit(FOLDS))).withColumn("_fold", F.col("_f").cast("bigint"))
+    apart = {name: (["_fold", key], rates(others, ["_fold", key], name, overall)) for name, key in of.items()}
+
+    def prepared(df: DataFrame, of: dict) -> DataFrame:
+        for name, (keys, rate) in of.items():  # FOLDS times the training rows at most
+            df = df.join(F.broadcast(rate), keys, "left").withColumn(name, F.coalesce(name, F.lit(overall)))
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
 
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label").fit(prepared(train).coalesce(1).sortWithinPartitions("_h", "_url"))
+    folded = prepared(train.withColumn("_fold", F.pmod(F.col("_h"), F.lit(FOLDS)).cast("bigint")), apart)
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label").fit(folded.coalesce(1).sortWithinPartitions("_h", "_url"))
 
     def score(df: DataFrame) -> DataFrame:
-        out = model.transform(prepared(df))
+        out = model.transform(prepared(df, whole))
         return out.withColumn("block_score", F.col("prediction").cast("double"))
 
     return score
