@@ -2,8 +2,10 @@
 
 Every source's tokens are packed end to end into blocks. Output slots are dealt to sources by a pseudorandom
 permutation of all slots cut at the sources' quotas: each output shard's source counts are a multinomial draw given
-the quotas, so the sources' totals meet their targets. A source's k-th slot takes the block that the source's
-permutation of epoch k div blocks gives for k mod blocks. Slots and blocks meet in a join by block index.
+the quotas, so the sources' totals meet their targets. The draws say how many slots of a shard a source fills; its
+k-th slot over all shards takes the block that the source's permutation of epoch k div blocks gives for k mod blocks.
+Slots and blocks meet in a join by block index. There is a row for each source on the driver's side of the plan: sources
+are thousands at most, documents any number.
 
 Permutations are swap-or-not shuffles: exact on any number of blocks, computed row by row, the same on every run.
 """
@@ -66,33 +68,48 @@ def targets(sized: DataFrame, weights: tuple[int, ...], most: int, block: int) -
     return out.select("source", "rank", "source_size", "target", "blocks", "quota", first.alias("first"), F.sum("quota").over(Window.partitionBy()).alias("slots"))
 
 
-def deal(sources: DataFrame, per_row: int = 8192) -> DataFrame:
-    """slot, rank, epoch, block: one row for each output slot. sources: of targets().
+#: Slots of an output shard of the mix.
+SHARD_SLOTS = 4096
+
+
+def dealt(sources: DataFrame, per_row: int = 8192) -> DataFrame:
+    """slot and rank: the source that a pseudorandom permutation of all slots gives each, cut at the quotas.
 
     A source's slots are made from runs of per_row of them, so that no task makes all slots of a large source.
     """
     runs = sources.where("quota > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota") - 1, F.lit(per_row).cast("bigint"))).alias("_lo"))
     runs = runs.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "_lo")
     each = runs.select("*", F.explode(F.sequence(F.col("_lo"), F.least(F.col("_lo") + per_row, F.col("quota")) - 1)).alias("_k"))
-    epoch = F.expr("_k div blocks")
     slot = permuted(F.col("first") + F.col("_k"), F.col("slots"), F.lit(0).cast("bigint"), inverse=True)
-    return each.select(slot.alias("slot"), "rank", epoch.alias("epoch"), permuted(F.expr("_k % blocks"), F.col("blocks"), F.col("rank") * 16 + epoch + 1).alias("block"))
+    return each.select(slot.alias("slot"), "rank")
+
 
+def draws(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """shard, rank, n: how many slots of each output shard every source fills, a multinomial draw given the quotas."""
+    return dealt(sources).groupBy(F.expr(f"slot div {shard_slots}").alias("shard"), "rank").agg(F.count("*").alias("n"))
 
-def draws(slots: DataFrame, slots_per_shard: int) -> DataFrame:
-    """shard, rank, n: how many slots of each output shard every source fills."""
-    return slots.groupBy(F.expr(f"slot div {slots_per_shard}").alias("shard"), "rank").agg(F.count("*").alias("n"))
+
+def deal(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """shard, rank, epoch, block: a row for each output slot, from the draws of the shards.
+
+    A source's k-th slot, counted over the shards in order, takes the block that the permutation of its epoch gives.
+    """
+    before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+    counts = draws(sources, shard_slots).withColumn("_lo", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    each = counts.select("shard", "rank", F.explode(F.sequence(F.col("_lo"), F.col("_lo") + F.col("n") - 1)).alias("_k")).join(F.broadcast(sources.select("rank", "blocks")), "rank")
+    epoch = F.expr("_k div blocks")
+    return each.select("shard", "rank", epoch.alias("epoch"), permuted(F.expr("_k % blocks"), F.col("blocks"), F.col("rank") * 16 + epoch + 1).alias("block"))
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 128, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sources, segments, slots) of the mix.
+    """(sources, placed, slots) of the mix.
 
-    sources: targets(). slots: deal(). segments: a row for each document and block that holds words of it, with id,
-    size, rank, block, from_word and n_words, and _kept, a struct of the columns named in keep; a document without words has one row with
-    n_words 0 and block null. Documents lie in their source's tokens in the order of the hash of their id, then id and
+    sources: targets(). slots: deal(). placed: a row for each document with id, size, start, rank and spans, of each
+    block that holds words of it a struct of block, from_word and n_words, and _kept, a struct of the columns named in
+    keep; a document without words has one span with n_words 0 and block null. Documents lie in their source's tokens in the order of the hash of their id, then id and
     size. Null texts have no words; null sources are a source of their own; repeated rows are documents of their own.
     """
-    kept = [c for c in keep or [] if c != id_col]
+    kept = keep or []
     sized = written(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words(text_col).alias("size")), "sized")
     sources = written(targets(sized, weights, most, block).coalesce(1), "sources")
     ranks = sources.select(F.col("source").alias("_source"), "rank")
@@ -104,11 +121,12 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, b
     ranked = ranked.select("*", *ties)
     placed = running_offset(ranked, ["rank"], "_key", ["_id", "size", *["_tie"] * bool(ties)], F.col("size"), sized.count(), "start", small)
     lo, hi = F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")
-    seg = placed.select("*", F.explode(F.when(F.col("size") > 0, F.sequence(lo, hi)).otherwise(F.array(F.lit(None).cast("bigint")))).alias("block"))
-    begin = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
-    end = F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
-    seg = seg.select(F.col("_id").alias(id_col), "size", "start", "rank", "block", F.coalesce(begin, F.lit(0)).alias("from_word"), F.coalesce(end - begin, F.lit(0)).alias("n_words"), *["_kept"] * bool(kept))
-    return sources, seg, deal(sources)
+    begin = lambda b: F.greatest(b * block - F.col("start"), F.lit(0))
+    end = lambda b: F.least((b + 1) * block - F.col("start"), F.col("size"))
+    spans = F.transform(F.sequence(lo, hi), lambda b: F.struct(b.alias("block"), begin(b).alias("from_word"), (end(b) - begin(b)).alias("n_words")))
+    none = F.array(F.struct(F.lit(None).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("from_word"), F.lit(0).cast("bigint").alias("n_words")))
+    placed = placed.select(F.col("_id").alias("id"), "size", "start", "rank", F.when(F.col("size") > 0, spans).otherwise(none).alias("spans"), *["_kept"] * bool(kept))
+    return sources, placed, deal(sources)
 
 
 def mix_counts(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 128, id_col: str = "doc_id") -> DataFrame:
@@ -117,30 +135,33 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     The result has a row for each row of docs, empty and null texts with size and taken 0; docs without rows give no
     rows. No document is taken more than most times. Columns of docs besides id, text and source play no part.
     """
-    sources, seg, slots = plan(docs, weights, most, block, id_col)
+    sources, placed, slots = plan(docs, weights, most, block, id_col)
     # Slots grow with the corpus, though they come from the small table of sources: never to be broadcast.
     times = slots.groupBy("rank", "block").agg(F.count("*").alias("times")).hint("merge")
+    seg = placed.select("id", "size", "start", "rank", F.explode("spans").alias("span")).select("id", "size", "start", "rank", "span.*")
     used = seg.join(times, ["rank", "block"], "left")
-    by_doc = used.groupBy(id_col, "rank", "start", "size").agg(F.count("*").alias("_n"), F.sum(F.col("n_words") * F.coalesce("times", F.lit(0))).alias("taken"))
+    by_doc = used.groupBy("id", "rank", "start", "size").agg(F.count("*").alias("_n"), F.sum(F.col("n_words") * F.coalesce("times", F.lit(0))).alias("taken"))
     # Rows without words of one id share a start: they are counted above and come out again here.
     by_doc = by_doc.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.when(F.col("size") == 0, F.col("_n")).otherwise(F.lit(1)))))
-    return by_doc.join(sources.select("rank", "source_size", "target"), "rank").select(id_col, "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"))
+    return by_doc.join(sources.select("rank", "source_size", "target"), "rank").select(F.col("id").alias(id_col), "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 2048, id_col: str = "doc_id") -> DataFrame:
     """The mixed corpus: a row for each slot and each document piece in the slot's block, with the columns of docs.
 
     text is the piece (words with the white space before them), n_chars its length. A document that fills part of a
-    block is a single piece. Documents without words do not enter a mix of words.
+    block is a single piece. Documents without words do not enter a mix of words. A text is cut once, where it is read.
     """
-    _, seg, slots = plan(docs, weights, most, block, id_col, keep=docs.columns)
-    pieces = seg.where("n_words > 0").join(slots.hint("merge"), ["rank", "block"])
+    _, placed, slots = plan(docs, weights, most, block, id_col, keep=docs.columns)
     text = F.col("_kept.text")
     parts = F.regexp_extract_all(text, F.lit(f"[{SPACE}]*{WORD}[{SPACE}]*$|[{SPACE}]*{WORD}"), F.lit(0))
-    cut = F.array_join(F.slice(parts, (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int")), "")
-    piece = F.when(F.col("n_words") == F.col("size"), text).otherwise(cut)
-    pieces = pieces.withColumn("_piece", piece)
-    made = {id_col: F.col(id_col), "text": F.col("_piece")}
+    piece = lambda p, s: F.coalesce(F.array_join(F.slice(p, (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")), ""), text)
+    # The parts are the argument of a function, so that they are cut once for all spans.
+    spans = F.transform(F.array(F.when(F.size("spans") > 1, parts)), lambda p: F.transform("spans", lambda s: F.struct(s["block"].alias("block"), piece(p, s).alias("piece"))))[0]
+    rest = F.struct(*[F.col(f"_kept.`{c}`").alias(c) for c in docs.columns if c != "text"])
+    pieces = placed.where("size > 0").select("rank", rest.alias("_rest"), F.explode(spans).alias("_span")).select("rank", "_rest", F.col("_span.block").alias("block"), F.col("_span.piece").alias("_piece"))
+    mixed = pieces.join(slots.select("rank", "block").hint("merge"), ["rank", "block"])
+    made = {"text": F.col("_piece")}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.length("_piece").cast(docs.schema["n_chars"].dataType)
-    return pieces.select(*[made.get(c, F.col(f"_kept.`{c}`")).alias(c) for c in docs.columns])
+    return mixed.select(*[made[c] if c in made else F.col("_rest")[c] for c in docs.columns]).toDF(*docs.columns)
