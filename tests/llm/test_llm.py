@@ -90,7 +90,9 @@ def test_near_duplicates(spark, monkeypatch):
         texts.append(" ".join(copy))
     rows = minhash.near_duplicates(documents(spark, texts), 3, 85).collect()
     assert {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows} == {(i, n, c, i == c) for i, (n, c) in enumerate(brute_groups(texts, 3, 85))}
-    monkeypatch.setattr(minhash, "SMALL", 8)  # large buckets go through centers and second bands
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    rows = minhash.near_duplicates(documents(spark, texts), 3, 85).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in rows} == {(i, c) for i, (_, c) in enumerate(brute_groups(texts, 3, 85))}
     kept = minhash.distinct_documents(documents(spark, texts).union(documents(spark, texts)))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in brute_groups(texts, 5, 80)})
 
@@ -106,7 +108,7 @@ def test_links_left_by_a_bucket_that_no_band_splits(spark, monkeypatch):
                 for _ in range(n):
                     copy[kept.pop()] = f"x{rng.random()}"
                 texts.append(" ".join(copy))
-    monkeypatch.setattr(minhash, "bands", lambda nodes, rows: nodes.select(F.lit(1).cast("bigint").alias("band"), "node", F.lit(0).alias("no"), "n"))
+    monkeypatch.setattr(minhash, "bands", lambda nodes, rows, shared=None: nodes.select(F.lit(1).cast("bigint").alias("band"), "node"))
     monkeypatch.setattr(minhash, "DEALT", 4, raising=False)
     rows = minhash.near_duplicates(documents(spark, texts), 1, 80).collect()
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows} == {(i, n, c) for i, (n, c) in enumerate(brute_groups(texts, 1, 80))}
@@ -214,9 +216,13 @@ def test_language(spark):
 
 def test_toxicity(spark):
     bad = ["idiot", "scum"]
-    rare = lambda i: " ".join("w" + "".join(random.Random(i * 99 + j).choice("abcdefgh") for _ in range(9)) for j in range(20))
+
+    def rare(i):
+        rng = random.Random(i)
+        return " ".join("w" + "".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(20))
+
     texts = [rare(i) + (f" {bad[i // 5 % 2]} " if i % 5 == 0 else " ") + prose(-i, 10) for i in range(1000)] + [None, ""]
-    labels = spark.createDataFrame([(i, 0, int(i % 5 == 0)) for i in range(0, 1000, 2)], "doc_id bigint, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 0, int(i % 5 == 0)) for i in range(1000) if i % 20 < 10], "doc_id bigint, quality int, toxic int")  # both bad words
     rows = {r["doc_id"]: r for r in toxicity.score(documents(spark, texts), labels).collect()}
     held = [r for i, r in rows.items() if r["held_out"] and i < 1000]
     assert sum(r["predicted"] == int(r["doc_id"] % 5 == 0) for r in held) / len(held) > 0.97
