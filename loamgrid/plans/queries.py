@@ -7,23 +7,10 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions import intmath
 from loamgrid.operators import checks, evidence, geometry, masks, pyramid, raster, world
+from loamgrid.plans.registry import QUERIES, SQL, query  # noqa: F401
 from loamgrid.plans.inputs import BOXES_SQL, MASK_SQL, POINTS_SQL, RASTERS_SQL, boxes, mask_pixels, points, rasters, ring_of, table
 from loamgrid.streaming import readiness
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 EVIDENCE_SQL = f"""{POINTS_SQL},
 img AS (SELECT col, row, count(*) AS samples, count_if((nir - red) * 10 >= nir + red AND nir + red > 0)::BIGINT AS green_samples, count_if(nir < 55 AND red + green + blue < 180)::BIGINT AS dark_samples FROM cloud GROUP BY ALL),
 cl AS (SELECT col, row, count(*) AS all_points, count_if(class IN (4, 5))::BIGINT AS vegetation, count_if(class = 6)::BIGINT AS building, count_if(class = 9)::BIGINT AS water, count_if(class IN (2, 3, 4, 5, 6, 9))::BIGINT AS lidar_samples,
@@ -308,3 +295,6 @@ def st1(spark, sf) -> DataFrame:
   SELECT event_id, user_id, n AS attempt, status::BIGINT AS status, n <= 3 AND coalesce(sum((status NOT IN (408, 425, 429, 500, 502, 503, 504))::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS allowed FROM l""")
 def st3(spark, sf) -> DataFrame:
     return readiness.attempts(table(spark, sf, "events"))
+
+
+from loamgrid.plans import feature_queries, geometry_queries, kernel_queries, record_queries  # noqa: E402, F401  (they register theirs)
