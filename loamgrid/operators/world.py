@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.functions.intmath import floor_div
+from loamgrid.operators.geometry import bounds, in_parts
 
 #: Side of a partition cell in millimetres.
 PARTITION = 128_000
@@ -44,12 +45,13 @@ def partitions(boxes: DataFrame) -> DataFrame:
 def overlapping(tiles: DataFrame, boxes: DataFrame, side: int) -> DataFrame:
     """Tiles and the boxes that touch them, edges included: an equi-join on cells, then the exact test."""
     cut = spread(boxes.drop("class", "min_z", "height"), side, "cx", "cy")
-    keyed = tiles.withColumns({"cx": F.explode(F.array("tx", F.col("tx") - 1))}).withColumn("cy", F.explode(F.array("ty", F.col("ty") - 1)))
+    # A touch on a tile's far edge lies in the next cell: each tile looks into its own cell and those after it.
+    keyed = tiles.withColumn("cx", F.explode(F.array("tx", F.col("tx") + 1))).withColumn("cy", F.explode(F.array("ty", F.col("ty") + 1)))
     x0, y0 = F.col("tx") * side, F.col("ty") * side
     hit = (F.col("max_x") >= x0) & (F.col("min_x") <= x0 + side) & (F.col("max_y") >= y0) & (F.col("min_y") <= y0 + side)
-    # A touch on a tile's far edge lies in the next cell; near edges in its own.
-    both = keyed.withColumns({"cx": F.col("cx") + 1, "cy": F.col("cy") + 1}).join(cut, ["cx", "cy"]).where(hit)
-    return both.select("tx", "ty", "id").union(keyed.join(cut, ["cx", "cy"]).where(hit).select("tx", "ty", "id")).distinct()
+    # A box is met once: in the first of the tile's cells that it touches.
+    once = (F.col("cx") == F.greatest(F.col("tx"), floor_div("min_x", side))) & (F.col("cy") == F.greatest(F.col("ty"), floor_div("min_y", side)))
+    return keyed.join(cut, ["cx", "cy"]).where(hit & once).select("tx", "ty", "id")
 
 
 def uncovered(cells: DataFrame, boxes: DataFrame, side: int) -> DataFrame:
@@ -64,3 +66,13 @@ def largest_of_class(boxes: DataFrame) -> DataFrame:
     """The object with the greatest radius of each class, ties to the greater id."""
     side = floor_div(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")), 2)
     return boxes.groupBy("class").agg(F.max(F.struct(side.alias("radius"), "id")).alias("m")).select("class", "m.id", "m.radius")
+
+
+def uncovered_by_parts(cells: DataFrame, shapes: DataFrame, side: int) -> DataFrame:
+    """Cells (col, row) whose centre lies in no shape (id, parts): shapes are binned by the cells their box touches."""
+    boxed = shapes.withColumn("_b", bounds(F.col("parts"), F.lit(0))).select("id", "parts", "_b.min_x", "_b.max_x", "_b.min_y", "_b.max_y")
+    # Keys meet before the shapes: a cell is compared with the shapes of its own bin only.
+    near = spread(boxed, side, "col", "row")
+    x, y = F.col("col") * side + side // 2, F.col("row") * side + side // 2
+    in_box = x.between(F.col("min_x"), F.col("max_x")) & y.between(F.col("min_y"), F.col("max_y"))
+    return cells.join(near.where(in_box & in_parts(F.col("parts"), x, y)).select("col", "row"), ["col", "row"], "left_anti")

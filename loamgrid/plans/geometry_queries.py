@@ -1 +1,148 @@
-"""Queries."""
+"""Queries of rings, polygons and segments, each with its SQL over long tables of points."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loamgrid.operators import geometry as g
+from loamgrid.operators import world
+from loamgrid.plans.inputs import table
+from loamgrid.plans.registry import query
+
+#: Corners of irregular rings around a part, eight each; the same expressions hold in both engines. Of ten rings, one
+#: crosses itself (two corners change places), one repeats a corner, one is open and one has no area.
+_DX = "CASE i % 8 WHEN 0 THEN 1000 WHEN 1 THEN 707 WHEN 2 THEN 0 WHEN 3 THEN -707 WHEN 4 THEN -1000 WHEN 5 THEN -707 WHEN 6 THEN 0 ELSE 707 END"
+_DY = "CASE i % 8 WHEN 0 THEN 0 WHEN 1 THEN 707 WHEN 2 THEN 1000 WHEN 3 THEN 707 WHEN 4 THEN 0 WHEN 5 THEN -707 WHEN 6 THEN -1000 ELSE -707 END"
+_TURN = "CASE WHEN id % 10 = 0 AND k = 2 THEN 5 WHEN id % 10 = 0 AND k = 5 THEN 2 WHEN id % 10 = 1 AND k = 3 THEN 2 WHEN id % 10 = 2 AND k = 8 THEN 7 WHEN k = 8 THEN 0 ELSE k END"
+_R = "(3 + (id * 7919 + i % 8 * 104729) % 6)"
+_X = f"id * 7919 % 600000 + {_R} * ({_DX})"
+_Y = f"id * 50021 % 600000 + CASE WHEN id % 10 = 3 THEN 0 ELSE {_R} * ({_DY}) END"
+POINTS_SQL = f"""ids AS (SELECT p_partkey AS id, p_size FROM part), corner AS (SELECT id, p_size, k, {_TURN} AS i FROM ids, range(9) t(k)),
+pts AS (SELECT id, k, {_X} AS x, {_Y} AS y FROM corner),
+edge AS (SELECT * FROM (SELECT id, k AS i, x AS ax, y AS ay, lead(x) OVER w AS ux, lead(y) OVER w AS uy FROM pts WINDOW w AS (PARTITION BY id ORDER BY k)) WHERE ux IS NOT NULL)"""
+_SIDE = lambda a, b, p: f"(({b}x - {a}x)::HUGEINT * ({p}y - {a}y) - ({b}y - {a}y)::HUGEINT * ({p}x - {a}x))"
+
+
+def rings(spark, sf) -> DataFrame:
+    """id and ring of parts."""
+    k = table(spark, sf, "part").selectExpr("p_partkey AS id", "explode(sequence(0L, 8L)) AS k").selectExpr("id", "k", f"{_TURN} AS i").selectExpr("id", "k", f"{_X} AS x", f"{_Y} AS y")
+    return k.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("_p")).select("id", F.transform("_p", lambda p: g.point(p["x"], p["y"])).alias("ring"))
+
+
+def inner(right) -> F.Column:
+    """A small square ring near a part's centre, moved to the right."""
+    x, y = F.col("id") * 7919 % 600000 + right, F.col("id") * 50021 % 600000
+    return g.rectangle(x - 400, y - 400, x + 400, y + 400)
+
+
+@query("ag20_wn2_ring_areas", f"WITH {POINTS_SQL} SELECT id, sum(ax::HUGEINT * uy - ux::HUGEINT * ay)::BIGINT AS doubled, count(*) AS edges FROM edge GROUP BY id")
+def areas(spark, sf) -> DataFrame:
+    return rings(spark, sf).select("id", g.doubled_area(F.col("ring")).cast("bigint").alias("doubled"), F.size(g.edges(F.col("ring"))).cast("bigint").alias("edges"))
+
+
+MEET_SQL = f"""meet AS (SELECT *, {_SIDE('a', 'u', 'c')} AS s1, {_SIDE('a', 'u', 'd')} AS s2, {_SIDE('c', 'd', 'a')} AS s3, {_SIDE('c', 'd', 'u')} AS s4 FROM two),
+met AS (SELECT *, (s1 = 0 AND cx BETWEEN least(ax, ux) AND greatest(ax, ux) AND cy BETWEEN least(ay, uy) AND greatest(ay, uy)) OR (s2 = 0 AND dx BETWEEN least(ax, ux) AND greatest(ax, ux) AND dy BETWEEN least(ay, uy) AND greatest(ay, uy))
+  OR (s3 = 0 AND ax BETWEEN least(cx, dx) AND greatest(cx, dx) AND ay BETWEEN least(cy, dy) AND greatest(cy, dy)) OR (s4 = 0 AND ux BETWEEN least(cx, dx) AND greatest(cx, dx) AND uy BETWEEN least(cy, dy) AND greatest(cy, dy))
+  OR (sign(s1) * sign(s2) < 0 AND sign(s3) * sign(s4) < 0) AS hit FROM meet)"""
+
+
+@query("ge1_segments", f"""WITH two AS (SELECT event_id, event_id % 7 AS ax, event_id % 5 AS ay, event_id % 11 AS ux, event_id % 13 AS uy, event_id % 6 AS cx, event_id % 8 AS cy, event_id % 9 AS dx, event_id % 4 AS dy FROM events), {MEET_SQL}
+SELECT event_id, sign(s1)::BIGINT AS side, hit FROM met""")
+def segments(spark, sf) -> DataFrame:
+    e = F.col("event_id")
+    a, b, c, d = (g.point(e % x, e % y) for x, y in ((7, 5), (11, 13), (6, 8), (9, 4)))
+    return table(spark, sf, "events").select("event_id", F.signum(g.turn(a, b, c)).cast("bigint").alias("side"), g.meet(a, b, c, d).alias("hit"))
+
+
+@query("vl3_vl4_rings", f"""WITH {POINTS_SQL}, two AS (SELECT l.id, l.ax, l.ay, l.ux, l.uy, r.ax AS cx, r.ay AS cy, r.ux AS dx, r.uy AS dy FROM edge l JOIN edge r ON l.id = r.id AND r.i > l.i + 1 AND NOT (l.i = 0 AND r.i = 7)), {MEET_SQL},
+crossed AS (SELECT id, bool_or(hit) AS crossed FROM met GROUP BY id), f AS (SELECT id, bool_or(ax = ux AND ay = uy) AS repeated, sum(ax::HUGEINT * uy - ux::HUGEINT * ay) AS doubled FROM edge GROUP BY id),
+ends AS (SELECT id, arg_min(x, k) = arg_max(x, k) AND arg_min(y, k) = arg_max(y, k) AS closed FROM pts GROUP BY id)
+SELECT id, CASE WHEN NOT closed THEN 'closed' WHEN repeated THEN 'repeated' WHEN doubled = 0 THEN 'area' WHEN crossed THEN 'simple' END AS problem FROM ends JOIN f USING (id) JOIN crossed USING (id)""")
+def ring_problems(spark, sf) -> DataFrame:
+    return rings(spark, sf).select("id", g.first_broken(g.ring_rules(F.col("ring"))).alias("problem"))
+
+
+_PROBES = "SELECT id, p_size, q, id * 7919 % 600000 + (q - 4) * 1100 AS px, id * 50021 % 600000 + q * q * 700 % 9000 - 4500 AS py FROM (SELECT p_partkey AS id, p_size FROM part), range(9) t(q)"
+
+
+def probes(spark, sf) -> DataFrame:
+    """Nine points around every part's centre."""
+    return table(spark, sf, "part").selectExpr("p_partkey AS id", "explode(sequence(0L, 8L)) AS q").selectExpr("id", "q", "id * 7919 % 600000 + (q - 4) * 1100 AS px", "id * 50021 % 600000 + q * q * 700 % 9000 - 4500 AS py")
+
+
+_HOLE = "px BETWEEN id * 7919 % 600000 - 401 AND id * 7919 % 600000 + 401 AND py BETWEEN id * 50021 % 600000 - 401 AND id * 50021 % 600000 + 401"
+_CROSS = f"WITH {POINTS_SQL}, probe AS ({_PROBES}), e AS (SELECT p.id, q, px, py, ax, ay, ux, uy, (ux - ax)::HUGEINT * (py - ay) - (uy - ay)::HUGEINT * (px - ax) AS side FROM probe p JOIN edge e ON p.id = e.id)"
+
+
+@query("ge2_winding", f"""{_CROSS} SELECT id, q, sum(CASE WHEN ay <= py AND uy > py AND side > 0 THEN 1 WHEN ay > py AND uy <= py AND side < 0 THEN -1 ELSE 0 END)::BIGINT AS winding FROM e GROUP BY id, q""")
+def winding(spark, sf) -> DataFrame:
+    return probes(spark, sf).join(rings(spark, sf), "id").select("id", "q", g.winding(F.col("ring"), g.point(F.col("px"), F.col("py"))).cast("bigint").alias("winding"))
+
+
+@query("ge3_holes", f"""{_CROSS} SELECT id, q, sum(CASE WHEN (ay > py) <> (uy > py) AND (CASE WHEN uy > ay THEN side > 0 ELSE side < 0 END) THEN 1 ELSE 0 END) % 2 = 1
+  AND NOT (any_value(px) >= id * 7919 % 600000 - 400 AND any_value(px) < id * 7919 % 600000 + 400 AND any_value(py) >= id * 50021 % 600000 - 400 AND any_value(py) < id * 50021 % 600000 + 400) AS inside FROM e GROUP BY id, q""")
+def holes(spark, sf) -> DataFrame:
+    parts = F.array(F.array(F.col("ring"), inner(0)))
+    return probes(spark, sf).join(rings(spark, sf), "id").select("id", "q", g.in_parts(parts, F.col("px"), F.col("py")).alias("inside"))
+
+
+@query("vl5_polygons", f"""WITH {POINTS_SQL}, hole AS (SELECT id, c, s, hx + CASE s WHEN 0 THEN -400 WHEN 3 THEN -400 ELSE 400 END AS ax, hy + CASE s WHEN 0 THEN -400 WHEN 1 THEN -400 ELSE 400 END AS ay,
+  hx + CASE s WHEN 0 THEN 400 WHEN 1 THEN 400 ELSE -400 END AS ux, hy + CASE s WHEN 1 THEN 400 WHEN 2 THEN 400 ELSE -400 END AS uy
+  FROM (SELECT p_partkey AS id, c, s, p_partkey * 7919 % 600000 + c * (p_partkey % 5 * 1500) AS hx, p_partkey * 50021 % 600000 AS hy FROM part, range(2) t(c), range(4) v(s))),
+two AS (SELECT h.id, h.c, h.s, h.ax, h.ay, h.ux, h.uy, e.ax AS cx, e.ay AS cy, e.ux AS dx, e.uy AS dy FROM hole h JOIN edge e ON h.id = e.id), {MEET_SQL},
+t AS (SELECT id, c, bool_or(hit) AS hit, sum(CASE WHEN s = 0 AND cy <= ay AND dy > ay AND s3 > 0 THEN 1 WHEN s = 0 AND cy > ay AND dy <= ay AND s3 < 0 THEN -1 ELSE 0 END) AS turns FROM met GROUP BY id, c)
+SELECT id, CASE WHEN bool_or(hit OR turns = 0) THEN 'hole' WHEN id % 5 = 0 THEN 'overlap' END AS problem FROM t GROUP BY id""")
+def polygons(spark, sf) -> DataFrame:
+    # Two square holes: the same one twice where id is a multiple of 5, else side uy side, then often outside.
+    return rings(spark, sf).select("id", g.polygon_problem(F.array(F.col("ring"), inner(0), inner(F.col("id") % 5 * 1500))).alias("problem"))
+
+
+@query("ag11_ag23_bounds", f"""WITH {POINTS_SQL} SELECT id, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y, (id % 50 * 300)::BIGINT AS max_z, sum(x) FILTER (k < 8)::BIGINT // 8 AS cx, sum(y) FILTER (k < 8)::BIGINT // 8 AS cy FROM pts GROUP BY id""")
+def bounds(spark, sf) -> DataFrame:
+    at = rings(spark, sf).withColumn("b", g.bounds(F.array(F.array("ring")), F.col("id") % 50 * 300)).withColumn("c", g.centre(F.col("ring")))
+    return at.select("id", "b.*", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
+
+
+@query("wn3_closed_paths", f"""WITH {POINTS_SQL}, open AS (SELECT *, lag(x) OVER w AS lx, lag(y) OVER w AS ly FROM pts WHERE k < 8 WINDOW w AS (PARTITION BY id ORDER BY k)), kept AS (SELECT * FROM open WHERE lx IS NULL OR lx <> x OR ly <> y),
+e AS (SELECT id, count(*) AS n, arg_min(x, k) AS x0, arg_min(y, k) AS y0, arg_max(x, k) AS x1, arg_max(y, k) AS y1, sum(x)::BIGINT AS sx FROM kept GROUP BY id)
+SELECT id, n + CASE WHEN n >= 3 AND (x0 <> x1 OR y0 <> y1) THEN 1 ELSE 0 END AS n, sx + CASE WHEN n >= 3 AND (x0 <> x1 OR y0 <> y1) THEN x0 ELSE 0 END AS sum_x FROM e""")
+def paths(spark, sf) -> DataFrame:
+    p = rings(spark, sf).withColumn("path", g.closed_path(F.slice("ring", 1, 8)))
+    return p.select("id", F.size("path").cast("bigint").alias("n"), F.aggregate("path", F.lit(0).cast("bigint"), lambda s, v: s + v["x"]).alias("sum_x"))
+
+
+@query("ge4_sg10_roads", f"""WITH {POINTS_SQL}, d AS (SELECT *, (ux - ax)::DOUBLE AS dx, (uy - ay)::DOUBLE AS dy, (2000 + id % 7 * 501)::DOUBLE AS w FROM edge WHERE ax <> ux OR ay <> uy),
+o AS (SELECT *, round(-dy / sqrt(dx * dx + dy * dy) * (w / 2))::BIGINT AS ox, round(dx / sqrt(dx * dx + dy * dy) * (w / 2))::BIGINT AS oy FROM d) SELECT id AS way_id, i AS piece, ax + ox AS x0, ay + oy AS y0, ux - ox AS x2, uy - oy AS y2 FROM o""")
+def roads(spark, sf) -> DataFrame:
+    ways = rings(spark, sf).select(F.col("id").alias("way_id"), F.col("ring").alias("path"), (F.col("id") % 7 * 501 + 2000).alias("width"))
+    return g.road_pieces(ways).select("way_id", "piece", *[F.col("ring")[i][c].alias(f"{c}{i}") for i in (0, 2) for c in ("x", "y")])
+
+
+@query("ge6_convex", f"""WITH {POINTS_SQL}, open AS (SELECT * FROM pts WHERE k < 8), t AS (SELECT a.id, sign((b.x - a.x)::HUGEINT * (c.y - a.y) - (b.y - a.y)::HUGEINT * (c.x - a.x)) AS s FROM open a JOIN open b ON a.id = b.id AND b.k = (a.k + 1) % 8 JOIN open c ON a.id = c.id AND c.k = (a.k + 2) % 8)
+SELECT id, NOT (bool_or(s > 0) AND bool_or(s < 0)) AS convex FROM t GROUP BY id""")
+def convex(spark, sf) -> DataFrame:
+    return rings(spark, sf).select("id", g.convex(F.col("ring")).alias("convex"))
+
+
+@query("sg4_longest_edge", f"WITH {POINTS_SQL} SELECT id, arg_max(i, (s, i)) AS i, max(s) AS squared FROM (SELECT id, i, (ux - ax) * (ux - ax) + (uy - ay) * (uy - ay) AS s FROM edge) GROUP BY id")
+def longest(spark, sf) -> DataFrame:
+    return g.longest_edge(rings(spark, sf), "id")
+
+
+@query("jn12_wn8_crossings", f"""WITH {POINTS_SQL}, s AS (SELECT *, id * 50021 % 600000 - 100 AS low, id * 50021 % 600000 + 100 AS high FROM edge), o AS (SELECT id, i, low, high, CASE WHEN ay <= uy THEN ax ELSE ux END AS px, least(ay, uy) AS py, CASE WHEN ay <= uy THEN ux ELSE ax END AS qx, greatest(ay, uy) AS qy FROM s),
+c AS (SELECT *, px + (qx - px) * (low - py) // (qy - py) + px + (qx - px) * (high - py) // (qy - py) AS pos FROM o WHERE py <= low AND qy >= high AND py < qy), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos, i) AS n FROM c)
+SELECT id, low, high, (n + 1) // 2 AS pair, max(i) FILTER (n % 2 = 1) AS "left", max(i) FILTER (n % 2 = 0) AS "right" FROM r GROUP BY id, low, high, (n + 1) // 2""")
+def crossings(spark, sf) -> DataFrame:
+    y = F.col("id") * 50021 % 600000
+    return g.crossing_pairs(rings(spark, sf).withColumns({"low": y - 100, "high": y + 100}), "id", "low", "high")
+
+
+@query("jn3_uncovered_by_polygons", f"""WITH {POINTS_SQL}, cell AS (SELECT c.c AS col, r.r AS row, c.c * 5000 + 2500 AS px, r.r * 5000 + 2500 AS py FROM range(121) c(c), range(121) r(r)), box AS (SELECT id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY id),
+n AS (SELECT col, row, b.id, px, py FROM cell JOIN box b ON px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1), h AS (SELECT col, row, n.id, sum(CASE WHEN (ay > py) <> (uy > py) AND (CASE WHEN uy > ay THEN side > 0 ELSE side < 0 END) THEN 1 ELSE 0 END) % 2 = 1 AS hit
+  FROM (SELECT n.*, e.ay, e.uy, (ux - ax)::HUGEINT * (py - ay) - (uy - ay)::HUGEINT * (px - ax) AS side FROM n JOIN edge e ON n.id = e.id) n GROUP BY col, row, n.id)
+SELECT col, row FROM cell WHERE (col, row) NOT IN (SELECT (col, row) FROM h WHERE hit)""")
+def uncovered(spark, sf) -> DataFrame:
+    cells = spark.range(121 * 121).select(F.expr("id div 121").alias("col"), (F.col("id") % 121).alias("row"))
+    shapes = rings(spark, sf).select("id", F.array(F.array("ring")).alias("parts"))
+    return world.uncovered_by_parts(cells, shapes, 5000)
