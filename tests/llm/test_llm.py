@@ -250,6 +250,96 @@ def test_html(spark):
     assert all(r["text"] == "" and r["n_chars"] == 0 for r in rows if r["page_id"] in (2, 3)) and len(rows) == 5
 
 
+PROBES = [  # a page and its text
+    ("<body class='single has-sidebar'><article><h1>T</h1><p>one two three four five six</p></article>", "T\none two three four five six"),
+    ("<article class='post category-news tag-x'><p>one two three four</p></article>", "one two three four"),
+    ("<main class='shop-article'><p>one two three</p></main>", "one two three"),
+    ("<article><p>some text here of eleven words in all one two three</p><p><a href=x>a linked paragraph of six words</a></p><p>some text here of ten words one two three four</p></article>", "some text here of eleven words in all one two three\na linked paragraph of six words\nsome text here of ten words one two three four"),
+    ("<article><header><h1>Head</h1></header><p>text</p></article>", "Head\ntext"),
+    ("<article><p>a <math><mi>x</mi></math> b</p></article>", "a x b"),
+    ("<div>Buy now</div><article><p>Some text.</p><section class='comments'><p>I disagree with every word of it.</p></section></article>", "Some text."),
+    ("<ul><li><a>one</a></li><li><a>two</a></li></ul><div>Buy now</div><ul><li><a>one</a></li></ul><div><p>Nothing here is named but this is long enough to be read.</p><p>Short one.</p></div>", "Nothing here is named but this is long enough to be read.\nShort one."),
+]
+
+
+@pytest.mark.parametrize("page, text", PROBES)
+def test_main_text_of_probes(page, text):
+    assert html_text.main_text(page, html_text.trained()) == text
+
+
+def test_tree_uses_words_and_links_of_neighbours():
+    used = set()
+
+    def walk(tree):
+        if not isinstance(tree, int):
+            used.add(html_text.FEATURES[tree[0]])
+            walk(tree[2])
+            walk(tree[3])
+
+    walk(html_text.trained())
+    assert {"words", "links", "words after", "links before", "links after"} <= used
+
+
+def test_blocks_equal_those_of_a_plain_parser():
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.parts, self.hidden = [], [], 0
+
+        def cut(self):
+            text = " ".join("".join(self.parts).split())
+            self.parts.clear()
+            if text:
+                self.out.append(text)
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style")
+            if tag in html_text.BLOCK:
+                self.cut()
+            elif tag == "br":
+                self.parts.append(" ")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style")
+            if tag in html_text.BLOCK:
+                self.cut()
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.parts.append(data)
+
+    rng = random.Random(8)
+
+    def piece(depth):
+        kind = rng.choice(["p", "div", "ul", "article", "nav", "b", "a", "text", "text", "script", "br"])
+        if kind == "text" or depth == 0:
+            return " ".join(rng.choice(["ka", "l&amp;o", "mi&eacute;", "t&#233;n", "  var\n"]) for _ in range(rng.randrange(1, 9)))
+        if kind == "br":
+            return "<br>"
+        inner = "x('<p>')" if kind == "script" else "".join(piece(depth - 1) for _ in range(rng.randrange(1, 4)))
+        return f"<{kind} class='{rng.choice(['ad', 'post', 'x'])}'>{inner}</{kind}>"
+
+    for _ in range(200):
+        page = "<html><body>" + "".join(piece(4) for _ in range(5)) + "</body></html>"
+        plain = Plain()
+        plain.feed(page)
+        plain.cut()
+        assert [b.text for b in html_text.blocks(page)] == plain.out
+
+
+def test_deep_nesting_is_read_in_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        began = time.perf_counter()
+        html_text.blocks("<div>x" * n + "</div>" * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0]
+
+
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
