@@ -108,7 +108,7 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         close, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
         if tag is None:
-            if m[1]:
+            if m[1] and m[1].lower() not in ("script", "style", "template"):  # those leave no gap
                 parts.append((" ", False))
             continue
         tag = tag.lower()
