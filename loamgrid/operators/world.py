@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.functions.intmath import floor_div
@@ -76,3 +76,25 @@ def uncovered_by_parts(cells: DataFrame, shapes: DataFrame, side: int) -> DataFr
     x, y = F.col("col") * side + side // 2, F.col("row") * side + side // 2
     in_box = x.between(F.col("min_x"), F.col("max_x")) & y.between(F.col("min_y"), F.col("max_y"))
     return cells.join(near.where(in_box & in_parts(F.col("parts"), x, y)).select("col", "row"), ["col", "row"], "left_anti")
+
+
+#: Corner, side and columns of the evidence grid.
+GRID_X, GRID_Y, GRID_SIDE, GRID_COLUMNS = 43_583, 86_784, 20_000, 31
+
+
+def cell_of(x: Column, y: Column) -> Column:
+    """The number of the grid cell of a local point, row by row; null outside the grid."""
+    col, row = floor_div(x - GRID_X, GRID_SIDE), floor_div(y - GRID_Y, GRID_SIDE)
+    return F.when(col.between(0, GRID_COLUMNS - 1) & row.between(0, GRID_COLUMNS - 1), row * GRID_COLUMNS + col)
+
+
+def mismatched_cells(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """col, row and problem of cells without evidence ('missing') and of evidence without a cell ('unexpected')."""
+    both = wanted.select("col", "row", F.lit(True).alias("_w")).join(found.select("col", "row", F.lit(True).alias("_f")), ["col", "row"], "full_outer")
+    return both.where("_w is null or _f is null").select("col", "row", F.when(F.col("_w").isNull(), "unexpected").otherwise("missing").alias("problem"))
+
+
+def inspection(objects: DataFrame) -> DataFrame:
+    """One row: objects, those with a name, classes and sources."""
+    sources = objects.select(F.explode("source_ids").alias("s")).agg(F.countDistinct("s").alias("sources"))
+    return objects.agg(F.count("*").alias("objects"), F.count("name").alias("named"), F.countDistinct("class").alias("classes")).crossJoin(F.broadcast(sources))  # a row each
