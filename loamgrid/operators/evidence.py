@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions.intmath import floor_div
@@ -46,11 +46,34 @@ def transients(points: DataFrame, cells: DataFrame) -> DataFrame:
     return near.groupBy("col", "row").agg(F.sum("n").alias("transient_points"))
 
 
+def gathered(points: DataFrame) -> DataFrame:
+    """Everything classify() needs of a cell, in one pass over the points.
+
+    Counts are first made for each cell and height bin of unclassified points, on the map side, then added up for the
+    cell, whose bins (257 at most) are at hand to be held against its ground.
+    """
+    cls, n = F.col("class"), lambda *c: F.count_if(F.col("class").isin(*c))
+    green = ((F.col("nir") - F.col("red")) * 10 >= F.col("nir") + F.col("red")) & (F.col("nir") + F.col("red") > 0)
+    dark = (F.col("nir") < 55) & (F.col("red") + F.col("green") + F.col("blue") < 180)
+    at = F.when(cls == 1, F.least(F.greatest(floor_div("z", 500), F.lit(0)), F.lit(255)))
+    counts = {"all_points": F.count("*"), "vegetation": n(4, 5), "building": n(6), "water": n(9), "lidar_samples": n(2, 3, 4, 5, 6, 9), "green_samples": F.count_if(green), "dark_samples": F.count_if(dark)}
+    binned = points.groupBy("col", "row", at.alias("bin")).agg(*[c.alias(k) for k, c in counts.items()], F.min(F.when(cls == 2, F.col("z"))).alias("ground_z"), F.max(F.when(cls.isin(4, 5), F.col("z"))).alias("canopy_z"))
+    bins = F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", F.col("all_points").alias("n"))))
+    cells = binned.groupBy("col", "row").agg(*[F.sum(k).cast("bigint").alias(k) for k in counts], F.min("ground_z").alias("ground_z"), F.max("canopy_z").alias("canopy_z"), bins.alias("bins"))
+    low, high = floor_div(F.col("ground_z") + 500, 500), floor_div(F.col("ground_z") + 4000, 500)
+    near = F.aggregate("bins", F.lit(0).cast("bigint"), lambda s, b: s + F.when(b["bin"].between(low, high), b["n"]).otherwise(0))
+    return cells.withColumn("transient_points", near).drop("bins")
+
+
 def classify(points: DataFrame) -> DataFrame:
-    """One row for each cell with its evidence and class; both aggregations combine on the map side."""
-    clouds = cloud(points)
-    cells = clouds.join(imagery(points), ["col", "row"]).join(transients(points, clouds), ["col", "row"], "left").fillna(0, ["transient_points"])
-    bp = lambda part, whole: basis_points(F.col(part), F.col(whole))
-    cells = cells.withColumns({"building_bp": bp("building", "all_points"), "water_bp": bp("water", "all_points"), "vegetation_bp": bp("vegetation", "all_points"), "green_bp": bp("green_samples", "samples"), "dark_bp": bp("dark_samples", "samples")})
+    """One row for each cell with its evidence and class, in one pass over the points, which are samples of imagery too."""
+    bp = lambda part: basis_points(F.col(part), F.col("all_points"))
+    cells = gathered(points).withColumns({"building_bp": bp("building"), "water_bp": bp("water"), "vegetation_bp": bp("vegetation"), "green_bp": bp("green_samples"), "dark_bp": bp("dark_samples")})
     name = F.when(F.col("building_bp") >= 7000, "unknown").when((F.col("water_bp") >= 2500) | (F.col("dark_bp") >= 7000), "water").when((F.col("vegetation_bp") >= 800) & (F.col("vegetation") >= 20), "vegetation").when(F.col("green_bp") >= 4500, "grass").otherwise("dry")
     return cells.select("col", "row", name.alias("class"), "building_bp", "water_bp", "vegetation_bp", "green_bp", "dark_bp", "lidar_samples", "transient_points", "ground_z", "canopy_z")
+
+
+def shares(cells: DataFrame) -> DataFrame:
+    """Cells of each class and their share in millionths; a window over the few classes gives the whole."""
+    n = cells.groupBy("class").agg(F.count("*").alias("n"))
+    return n.withColumn("_all", F.sum("n").over(Window.partitionBy())).select("class", "n", F.expr("n * 1000000 div _all").alias("ppm"))

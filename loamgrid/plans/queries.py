@@ -30,8 +30,7 @@ def ag5(spark, sf) -> DataFrame:
 
 @query("ag6_ag7_classes", f"WITH {EVIDENCE_SQL} SELECT class, count(*) AS n, count(*) * 1000000 // sum(count(*)) OVER ()::BIGINT AS ppm FROM cells GROUP BY class")
 def ag6(spark, sf) -> DataFrame:
-    n = evidence.classify(points(spark, sf)).groupBy("class").agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(n.agg(F.sum("n").alias("all"))), F.lit(True)).select("class", "n", F.expr("n * 1000000 div `all`").alias("ppm"))
+    return evidence.shares(evidence.classify(points(spark, sf)))
 
 
 @query("ag8_mask_classes", f"WITH {MASK_SQL} SELECT c.i AS class, count(m.class) AS pixels FROM range(24) c(i) LEFT JOIN mask m ON m.class = c.i GROUP BY c.i")
@@ -282,15 +281,36 @@ def jn10(spark, sf) -> DataFrame:
     return pyramid.parents(sg11(spark, sf))
 
 
-@query("st1_readiness", """WITH m AS (SELECT *, arg_max(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 0 END, CASE WHEN event_type IN ('view', 'click') THEN {'t': ts, 'e': event_id} END) OVER w AS loading, max((event_type = 'signup')::INT) OVER w AS rooted,
-  max((event_type = 'error')::INT) OVER w AS failed, sum((event_type = 'view')::INT) OVER w AS starts, floor(value)::BIGINT % 2 AS signature FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
-s AS (SELECT * FROM m WHERE event_type = 'purchase' AND coalesce(loading, 1) = 0), c AS (SELECT *, (lag(signature) OVER w IS DISTINCT FROM signature OR lag(starts) OVER w IS DISTINCT FROM starts)::INT AS new FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS stable FROM r)
-SELECT event_id, user_id, stable, stable >= 2 AND rooted = 1 AND failed = 0 AS ready FROM k""")
+READY_SQL = """m AS (SELECT *, coalesce(last_value(CASE WHEN event_type = 'view' THEN TRUE WHEN event_type IN ('click', 'error') THEN FALSE END IGNORE NULLS) OVER w, TRUE) AS loading, bool_or(event_type = 'signup') OVER w AS rooted,
+  bool_or(event_type = 'error') OVER w AS failed, sum((event_type = 'view')::INT) OVER w AS starts, floor(value)::BIGINT % 2 AS sig FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, rooted AND NOT loading AND NOT failed AND event_id % 7 >= 1 AS counts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM m WHERE event_type = 'purchase'),
+g AS (SELECT a.*, b.i IS NULL OR a.sig <> b.sig AS changed, NOT a.counts OR b.i IS NULL OR a.sig <> b.sig OR NOT b.counts OR a.starts <> b.starts AS fresh FROM f a LEFT JOIN f b ON a.user_id = b.user_id AND a.i = b.i + 1),
+h AS (SELECT *, max(CASE WHEN fresh THEN i END) OVER w AS from_i, max(CASE WHEN changed OR NOT counts THEN ts END) OVER w AS since FROM g WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+ready AS (SELECT event_id, user_id, ts, CASE WHEN counts THEN i - from_i + 1 ELSE 0 END AS stable, counts AND i - from_i + 1 >= 2 AND epoch_us(ts) - epoch_us(since) >= 60000000 AS ready FROM h)"""
+
+
+@query("st1_readiness", f"WITH {READY_SQL} SELECT event_id, user_id, stable, ready FROM ready")
 def st1(spark, sf) -> DataFrame:
     return readiness.frames(table(spark, sf, "events"))
 
 
+@query("st5_deadlines", f"WITH {READY_SQL}, a AS (SELECT user_id, min(epoch_us(ts)) AS t1 FROM ready WHERE ready GROUP BY user_id) SELECT user_id, t1 - t0 AS ready_after, coalesce(t1 - t0 > 86400000000, TRUE) AS late FROM (SELECT user_id, min(epoch_us(ts)) AS t0 FROM events GROUP BY user_id) LEFT JOIN a USING (user_id)")
+def st5(spark, sf) -> DataFrame:
+    return readiness.deadlines(table(spark, sf, "events"), 86_400)
+
+
+LAYERS = ["color", "depth", "normal", "mask"]
+
+
+@query("st2_layers", """WITH RECURSIVE u AS (SELECT user_id AS bundle, event_id AS seq, event_id * 7 // 3 % 5 AS layer FROM events), a(bundle, n, seq) AS (SELECT bundle, 0, min(seq) FILTER (layer = 0) FROM u GROUP BY bundle UNION ALL
+  SELECT bundle, n, seq FROM (SELECT a.bundle, a.n + 1 AS n, min(u.seq) AS seq FROM a JOIN u ON a.bundle = u.bundle AND u.seq > a.seq AND u.layer = a.n + 1 WHERE a.n < 3 GROUP BY a.bundle, a.n))
+SELECT bundle, ['color', 'depth', 'normal', 'mask'][n + 1] AS layer, n::BIGINT AS n, seq FROM a WHERE seq IS NOT NULL""")
+def st2(spark, sf) -> DataFrame:
+    name = F.element_at(F.array(*[F.lit(x) for x in [*LAYERS, "other"]]), (F.expr("event_id * 7 div 3") % 5 + 1).cast("int"))
+    uploads = table(spark, sf, "events").select(F.col("user_id").alias("bundle"), F.col("event_id").alias("seq"), name.alias("layer"))
+    return readiness.accepted_layers(uploads, LAYERS)
+
+
 @query("st3_attempts", """WITH l AS (SELECT event_id, user_id, ts, [200, 404, 408, 429, 500, 503, 206, 425, 502, 504][event_id % 10 + 1] AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
   SELECT event_id, user_id, n AS attempt, status::BIGINT AS status, n <= 3 AND coalesce(sum((status NOT IN (408, 425, 429, 500, 502, 503, 504))::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS allowed FROM l""")
 def st3(spark, sf) -> DataFrame:

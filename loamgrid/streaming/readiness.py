@@ -1,7 +1,10 @@
 """Readiness of a scene from its event log: a batch form by windows and a streaming form by keyed state.
 
-A view starts a load, a click ends it, a signup loads the root, an error is permanent, a purchase is a frame with a
-signature. Frames count while the signature stays the same and nothing loads; a load start sets the count back.
+A view starts a load, a click ends it, a signup loads the root, an error ends a load and is permanent, a purchase is a
+frame with a signature and a number of visible tiles. A frame counts if the root is loaded, nothing loads, nothing
+failed and enough is visible; frames count on while the signature stays the same. Any other frame, and the start of a
+load, set the count to 0. The time since which a scene is stable is that of the last frame with a new signature or one
+that did not count.
 """
 
 from __future__ import annotations
@@ -9,54 +12,66 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-SIGNATURES = 2
+#: What the events stand for: different signatures, counts of visible tiles, and what a ready scene needs.
+SIGNATURES, TILES = 2, 7
+VISIBLE, STABLE, SECONDS = 1, 2, 60
+
+
+def micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
 
 
 def frames(events: DataFrame) -> DataFrame:
-    """Every frame with its number of stable frames so far and whether its scene is ready (two frames, root, no error)."""
+    """Every frame with its number of stable frames so far and whether its scene is ready."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     kind = F.col("event_type")
+    loads = F.when(kind == "view", True).when(kind.isin("click", "error"), False)
     marked = events.withColumns({
-        "loading": F.max_by(F.when(kind == "view", 1).when(kind == "click", 0), F.when(kind.isin("view", "click"), F.struct("ts", "event_id"))).over(upto),
-        "rooted": F.max((kind == "signup").cast("int")).over(upto), "failed": F.max((kind == "error").cast("int")).over(upto),
-        "starts": F.sum((kind == "view").cast("bigint")).over(upto), "signature": F.floor("value").cast("bigint") % SIGNATURES,
+        "loading": F.coalesce(F.last(loads, ignorenulls=True).over(upto), F.lit(True)), "rooted": F.max(kind == "signup").over(upto), "failed": F.max(kind == "error").over(upto),
+        "starts": F.count_if(kind == "view").over(upto), "signature": F.floor("value").cast("bigint") % SIGNATURES, "visible": F.col("event_id") % TILES,
     })
-    seen = marked.where((kind == "purchase") & (F.coalesce("loading", F.lit(1)) == 0))
-    changed = seen.withColumn("new", (~F.lag("signature").over(order).eqNullSafe(F.col("signature")) | ~F.lag("starts").over(order).eqNullSafe(F.col("starts"))).cast("bigint"))
-    runs = changed.withColumn("run", F.sum("new").over(upto))
-    stable = F.row_number().over(Window.partitionBy("user_id", "run").orderBy("ts", "event_id"))
-    out = runs.withColumn("stable", stable.cast("bigint"))
-    return out.select("event_id", "user_id", "stable", ((F.col("stable") >= 2) & (F.col("rooted") == 1) & (F.col("failed") == 0)).alias("ready"))
+    seen = marked.where(kind == "purchase").withColumn("counts", F.col("rooted") & ~F.col("loading") & ~F.col("failed") & (F.col("visible") >= VISIBLE))
+    changed = ~F.lag("signature").over(order).eqNullSafe(F.col("signature"))
+    fresh = changed | ~F.col("counts") | ~F.lag("counts").over(order) | (F.lag("starts").over(order) != F.col("starts"))
+    runs = seen.withColumns({"_fresh": fresh, "_since": F.when(changed | ~F.col("counts"), F.col("ts"))})
+    runs = runs.withColumns({"run": F.count_if("_fresh").over(upto), "since": F.last("_since", ignorenulls=True).over(upto)})
+    stable = F.when(F.col("counts"), F.row_number().over(Window.partitionBy("user_id", "run").orderBy("ts", "event_id"))).otherwise(0).cast("bigint")
+    out = runs.withColumn("stable", stable)
+    lasted = micros("ts") - micros("since") >= SECONDS * 1_000_000
+    return out.select("event_id", "user_id", "stable", (F.col("counts") & (F.col("stable") >= STABLE) & lasted).alias("ready"))
 
 
-STATE = "rooted boolean, failed boolean, loading boolean, signature bigint, stable bigint"
+STATE = "rooted boolean, failed boolean, loading boolean, signature bigint, stable bigint, since bigint"
 
 
 def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One scene's events of a micro-batch, taken in (ts, event_id) order."""
-    rooted, failed, loading, signature, stable = state.get if state.exists else (False, False, True, None, 0)
+    rooted, failed, loading, signature, stable, since = state.get if state.exists else (False, False, True, None, 0, 0)
     events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
     out = []
     for e in events.itertuples():
         if e.event_type == "view":
-            loading, stable, signature = True, 0, None
+            loading, stable = True, 0
         elif e.event_type == "click":
             loading = False
         elif e.event_type == "signup":
             rooted = True
         elif e.event_type == "error":
-            failed = True
-        elif not loading:
-            now = int(e.value // 1) % SIGNATURES
-            stable = stable + 1 if now == signature else 1
+            failed, loading = True, False
+        elif e.event_type == "purchase":
+            now, at = int(e.value // 1) % SIGNATURES, e.ts.value // 1000
+            counts = rooted and not loading and not failed and e.event_id % TILES >= VISIBLE
+            if now != signature or not counts:
+                since = at
+            stable = (stable + 1 if now == signature else 1) if counts else 0
             signature = now
-            out.append((e.event_id, key[0], stable, stable >= 2 and rooted and not failed))
-    state.update((rooted, failed, loading, signature, stable))
+            out.append((e.event_id, key[0], stable, counts and stable >= STABLE and at - since >= SECONDS * 1_000_000))
+    state.update((rooted, failed, loading, signature, stable, since))
     yield pd.DataFrame(out, columns=["event_id", "user_id", "stable", "ready"])
 
 
@@ -65,6 +80,30 @@ def frames_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(advance, "event_id bigint, user_id bigint, stable bigint, ready boolean", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def accepted_layers(uploads: DataFrame, required: list[str]) -> DataFrame:
+    """bundle, layer and seq of the uploads (bundle, layer, seq) that are accepted, in the order of required.
+
+    The n-th accepted upload of a bundle is the first one of the n-th required layer after the one before; a bundle ends
+    where the next layer never comes. A pass for each layer over a small table of bundles.
+    """
+    last = uploads.groupBy("bundle").agg(F.lit(None).cast("bigint").alias("_last"))
+    out = None
+    for n, layer in enumerate(required):
+        later = uploads.where(F.col("layer") == layer).join(last, "bundle").where(F.col("_last").isNull() | (F.col("seq") > F.col("_last")))
+        got = later.groupBy("bundle").agg(F.min("seq").alias("seq")).select("bundle", F.lit(layer).alias("layer"), F.lit(n).cast("bigint").alias("n"), "seq")
+        out = got if out is None else out.unionByName(got)
+        last = got.select("bundle", F.col("seq").alias("_last"))
+    return out
+
+
+def deadlines(events: DataFrame, seconds: int) -> DataFrame:
+    """user_id and ready_after (microseconds, null if never) of scenes, and late: not ready within so many seconds."""
+    first = events.groupBy("user_id").agg(F.min(micros("ts")).alias("_from"))
+    ready = frames(events).where("ready").join(events.select("event_id", "ts"), "event_id").groupBy("user_id").agg(F.min(micros("ts")).alias("_at"))
+    after = F.col("_at") - F.col("_from")
+    return first.join(ready, "user_id", "left").select("user_id", after.alias("ready_after"), (F.coalesce(after, F.lit(2**62)) > seconds * 1_000_000).alias("late"))
+
+
 def attempts(events: DataFrame, most: int = 3) -> DataFrame:
     """Retry log: an attempt is allowed if all before it failed transiently and it is among the first most."""
     status = F.element_at(F.array(*[F.lit(s) for s in (200, 404, 408, 429, 500, 503, 206, 425, 502, 504)]), (F.col("event_id") % 10 + 1).cast("int"))

@@ -80,12 +80,16 @@ def test_violations(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(5)
-    kinds = ["view", "click", "signup", "purchase", "purchase", "purchase", "click"] + ["error"] * 0
-    rows = [(i, f"2024-01-01 00:{i // 60 % 60:02d}:{i % 60:02d}", i % 3, rng.choice(kinds), rng.random() * 3) for i in range(300)]
+    kinds = ["view", "click", "signup", "purchase", "purchase", "purchase", "purchase", "purchase", "click", "click"]
+    # Scenes 2 and 3 fail half way; batches end in the middle of runs.
+    kind = lambda i: "error" if i in (400, 401) else rng.choice(kinds)
+    rows = [(i, f"2024-01-01 {i // 120:02d}:{i // 2 % 60:02d}:{i % 2 * 30:02d}", i % 5, kind(i), rng.random() * 1.2) for i in range(900)]
     events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
-    events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = readiness.frames_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+    for at in range(0, 900, 100):
+        events.where(F.col("event_id").between(at, at + 99)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = readiness.frames_stream(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
     run = stream.writeStream.format("memory").queryName("frames_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     got = {tuple(r) for r in spark.sql("select event_id, user_id, stable, ready from frames_out").collect()}
-    assert got == {tuple(r) for r in readiness.frames(events).collect()} and got
+    assert got == {tuple(r) for r in readiness.frames(events).collect()} and {r[3] for r in got} == {True, False}
+    assert sum(p["numInputRows"] > 0 for p in run.recentProgress) >= 9
