@@ -30,29 +30,31 @@ def floor_div(a, b) -> Column:
     return ((a - F.pmod(a, b)) / b).cast("bigint")
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x worked out once, however often f uses it: nested mixes would else grow without bound."""
+    return F.transform(F.array(x), f)[0]
+
+
 def u64(x: Column) -> Column:
     """A BIGINT bit pattern as an unsigned DECIMAL(20,0)."""
-    d = x.cast("decimal(38,0)")
-    return F.when(d < 0, d + _wide(TWO64)).otherwise(d).cast("decimal(20,0)")
+    return let(x.cast("decimal(38,0)"), lambda d: F.when(d < 0, d + _wide(TWO64)).otherwise(d).cast("decimal(20,0)"))
 
 
 def bits(x: Column) -> Column:
     """An unsigned DECIMAL below 2^64 as a BIGINT bit pattern."""
-    d = x.cast("decimal(38,0)")
-    return F.when(d >= _wide(2**63), d - _wide(TWO64)).otherwise(d).cast("bigint")
+    return let(x.cast("decimal(38,0)"), lambda d: F.when(d >= _wide(2**63), d - _wide(TWO64)).otherwise(d).cast("bigint"))
 
 
 def times(x: Column, constant: int) -> Column:
     """The product of a bit pattern and a constant, modulo 2^64, as a bit pattern."""
-    d = u64(x).cast("decimal(38,0)")
     high, low = divmod(constant, 2**32)
-    part = lambda c, m: (d * F.lit(c).cast("decimal(10,0)")).cast("decimal(38,0)") % _wide(m)
-    return bits((part(low, TWO64) + part(high, 2**32).cast("decimal(28,0)") * F.lit(2**32).cast("decimal(10,0)")) % _wide(TWO64))
+    part = lambda d, c, m: (d * F.lit(c).cast("decimal(10,0)")).cast("decimal(38,0)") % _wide(m)
+    return bits(let(u64(x).cast("decimal(38,0)"), lambda d: (part(d, low, TWO64) + part(d, high, 2**32).cast("decimal(28,0)") * F.lit(2**32).cast("decimal(10,0)")) % _wide(TWO64)))
 
 
 def fold(x: Column, by: int) -> Column:
     """x xor (x >> by), unsigned."""
-    return x.bitwiseXOR(F.shiftrightunsigned(x, by))
+    return let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, by)))
 
 
 def mix64(x: Column) -> Column:
@@ -83,3 +85,25 @@ def fnv1a64(text: Column) -> Column:
         return ((mixed.cast("decimal(24,0)") * F.lit(prime).cast("decimal(13,0)")) % _wide(TWO64)).cast("decimal(38,0)")
 
     return F.aggregate(places, _wide(basis), step).cast("decimal(20,0)")
+
+
+def rotated(x: Column, by: int) -> Column:
+    """x rotated left by so many bits, as a bit pattern."""
+    return F.shiftleft(x.cast("bigint"), by).bitwiseOR(F.shiftrightunsigned(x.cast("bigint"), 64 - by))
+
+
+def primitive_key(object_id: Column, stage: Column, ordinal: Column) -> Column:
+    """The key of an object's n-th primitive of a stage, as DECIMAL(20,0); never 0."""
+    # What the stage and the ordinal are multiplied with.
+    x = object_id.bitwiseXOR(times(stage.cast("bigint"), 0x9E3779B97F4A7C15)).bitwiseXOR(times(ordinal.cast("bigint"), 0xBF58476D1CE4E5B9))
+    key = u64(mix64(x))
+    return F.when(key == 0, F.lit(1).cast("decimal(20,0)")).otherwise(key)
+
+
+def facade_variant(object_id: Column, ring: Column, edge: Column, floor: Column, bay: Column) -> Column:
+    """A choice for an opening of a wall, as an unsigned DECIMAL(20,0)."""
+    # The rotations.
+    x = object_id
+    for part, by in ((ring, 11), (edge, 23), (floor, 37), (bay, 49)):
+        x = x.bitwiseXOR(rotated(part, by))
+    return u64(mix64(x))

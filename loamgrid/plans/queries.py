@@ -317,4 +317,4 @@ def st3(spark, sf) -> DataFrame:
     return readiness.attempts(table(spark, sf, "events"))
 
 
-from loamgrid.plans import feature_queries, geometry_queries, kernel_queries, record_queries  # noqa: E402, F401  (they register theirs)
+from loamgrid.plans import feature_queries, geometry_queries, kernel_queries, paint_queries, record_queries  # noqa: E402, F401  (they register theirs)
