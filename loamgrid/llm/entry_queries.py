@@ -39,7 +39,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    return lm_score.score(table(spark, sf_dir, "documents"), good)
+    losses = lm_score.score(table(spark, sf_dir, "documents"), good)
+    return losses.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +94,20 @@ FROM sized s JOIN now3 n ON s.doc_id IS NOT DISTINCT FROM n.doc_id JOIN grown3 g
 """
 
 
+OP6_SQL = """
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS tgt FROM documents),
+tok AS (SELECT doc_id, tgt, len(w) AS n, w[i] AS v, CASE WHEN i < len(w) THEN w[i + 1] ELSE ' ' END AS x FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t)),
+tot AS (SELECT *, CASE WHEN least(n1, n2) = 0 THEN 0 ELSE least(n1, n2) / n1::DOUBLE END AS r1, CASE WHEN least(n1, n2) = 0 THEN 0 ELSE least(n1, n2) / n2::DOUBLE END AS r2 FROM (SELECT count(*) FILTER (tgt) AS n1, count(*) FILTER (NOT tgt) AS n2, count(DISTINCT v)::DOUBLE AS size FROM tok)),
+own AS (SELECT doc_id, tgt, n, v, x, count(*) AS ow FROM tok GROUP BY ALL), ownv AS (SELECT *, sum(ow) OVER (PARTITION BY doc_id, v) AS ov FROM own),
+every AS (SELECT *, coalesce(sum(ow) FILTER (tgt) OVER (PARTITION BY v), 0) AS v1, coalesce(sum(ow) FILTER (NOT tgt) OVER (PARTITION BY v), 0) AS v2, coalesce(sum(ow) FILTER (tgt) OVER (PARTITION BY v, x), 0) AS p1, coalesce(sum(ow) FILTER (NOT tgt) OVER (PARTITION BY v, x), 0) AS p2 FROM ownv),
+bits AS (SELECT doc_id, n, ow,
+  log2(r1 * (n1 - CASE WHEN tgt THEN n ELSE 0 END) + size) - log2(r1 * (v1 - CASE WHEN tgt THEN ov ELSE 0 END) + 1) + log2(r1 * (v1 - CASE WHEN tgt THEN ov ELSE 0 END) + 50) - log2(r1 * (p1 - CASE WHEN tgt THEN ow ELSE 0 END) + 50 / (size + 1)) AS b1,
+  log2(r2 * (n2 - CASE WHEN tgt THEN 0 ELSE n END) + size) - log2(r2 * (v2 - CASE WHEN tgt THEN 0 ELSE ov END) + 1) + log2(r2 * (v2 - CASE WHEN tgt THEN 0 ELSE ov END) + 50) - log2(r2 * (p2 - CASE WHEN tgt THEN 0 ELSE ow END) + 50 / (size + 1)) AS b2 FROM every, tot),
+s AS (SELECT doc_id, sum(ow * b1) / any_value(n) / 2 AS t, sum(ow * b2) / any_value(n) / 2 AS b FROM bits GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, round(s.t, 6) AS target_loss, round(s.b, 6) AS background_loss, round(s.t - s.b, 6) AS score FROM t LEFT JOIN s USING (doc_id)
+"""
+
+
 def _sql_permuted(x: str, n: str, salt: str, inverse: bool = False) -> str:
     p = mixing.P
     rounds = f"list_reverse(range({mixing.ROUNDS}))" if inverse else f"range({mixing.ROUNDS})"
@@ -133,4 +148,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2_SQL, "op4_sharding": OP4_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_top_k": OP2_SQL, "op4_sharding": OP4_SQL, "op6_lm_score": OP6_SQL, "op10_mixing": OP10_SQL}

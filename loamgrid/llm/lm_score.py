@@ -1,8 +1,15 @@
 """Cross-entropy difference: how much better a target model codes a document's words than a background model.
 
-Both are bigram models with Dirichlet smoothing towards their unigrams, over one vocabulary taken from the background.
-Counts cover every document: tasks count whole partitions, Spark adds the counts up. Bigram counts live in a fixed number
-of hash buckets, so the models that are sent to the tasks have the same size on any corpus.
+Both models share one vocabulary, every word of the corpus, and count every document: target documents for the one, all
+others for the other. A document's own counts are left out of the model it belongs to. The larger model's counts are
+scaled down to the size of the smaller one, so the two are matched. A word costs the mean of its unigram code length
+(add-one) and that of the next word, or of the end, after it (a bigram smoothed towards the uniform distribution).
+
+Counts are exact and grow with the corpus. Words and pairs of words of a batch of documents are packed into arrays and
+shuffled once, by a hash of the first word, to slices of bounded size. A slice sees all occurrences of its pairs, so it
+both counts them and scores them for their documents; what goes on is a sum for each document of a batch. The most
+frequent words have their counts sent to all tasks, so that their pairs can be dealt over slices by both words; pairs
+within the first few hundred words are counted ahead and scored where they are read.
 """
 
 from __future__ import annotations
@@ -11,19 +18,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import written
+from loamgrid.llm.common import removed, small_batches, written
 from loamgrid.llm.shingles import mixed, word_hashes
 
-#: Words of the models' vocabulary at most, and the count a word needs; the others share the entry of unknown words.
-VOCABULARY, LEAST = 1 << 16, 2
-BUCKETS = 1 << 20
-#: The weight of the unigrams, in words.
+#: So many most frequent words have counts in every task, and pairs of so many are counted ahead.
+FREQUENT, TOP = 1 << 16, 512
+#: The weight of the uniform distribution, in words.
 SMOOTHING = 50.0
-#: A task hands on its word counts when it holds so many words.
-HELD = 2_000_000
+#: A task hands on its word counts when it holds so many words; words of a slice, about.
+HELD, SLICE = 2_000_000, 1_500_000
+#: Documents of a batch, and target ids that may be sent to the tasks (8 bytes each); more are joined by a shuffle.
+DOCS, SENT = 1000, 4_000_000
+END = np.int64(-1)
 
 
 def words_of(text: pa.Scalar) -> np.ndarray:
@@ -33,77 +43,75 @@ def words_of(text: pa.Scalar) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash) and n over all texts."""
+    """word (hash), t and b: its counts over target documents and over the others. docs: text, target."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: tuple[list, list] = ([], [])
 
         def out() -> pa.RecordBatch:
-            word, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_pydict({"word": word, "n": n.astype(np.int64)})
+            words = [np.concatenate([np.zeros(0, np.int64), *h]) for h in held]
+            value, at = np.unique(np.concatenate(words), return_inverse=True)
+            n = [np.bincount(a, minlength=len(value)).astype(np.int64) for a in np.split(at, [len(words[0])])]
+            for h in held:
+                h.clear()
+            return pa.RecordBatch.from_pydict({"word": value, "t": n[0], "b": n[1]})
 
+        size = 0
         for batch in batches:
-            for text in batch.column("text"):
-                held.append(words_of(text))
-                if sum(map(len, held[-1:])) > HELD or (len(held) % 256 == 0 and sum(map(len, held)) > HELD):
+            for text, target in zip(batch.column("text"), batch.column("target").to_pylist(), strict=True):
+                w = words_of(text)
+                held[0 if target else 1].append(w)
+                size += len(w)
+                if size > HELD:
                     yield out()
-        if held:
-            yield out()
-
-    return docs.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+                    size = 0
+        yield out()
 
+    return docs.select("text", "target").mapInArrow(count, "word bigint, t bigint, b bigint").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
-def numbered(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Vocabulary numbers; len(vocabulary) for unknown words."""
-    if not len(vocabulary):
-        return np.zeros(len(words), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == words, at, len(vocabulary))
 
+def found_at(words: np.ndarray, sorted_words: np.ndarray) -> np.ndarray:
+    """The place of each word among sorted ones, -1 where it is not one of them."""
+    if not len(sorted_words):
+        return np.full(len(words), -1)
+    at = np.minimum(np.searchsorted(sorted_words, words), len(sorted_words) - 1)
+    return np.where(sorted_words[at] == words, at, -1)
 
-def buckets(ids: np.ndarray, size: int) -> np.ndarray:
-    """The bucket of each word with the word before it; size + 1 stands before the first."""
-    before = np.concatenate([[size + 1], ids[:-1]]) if len(ids) else ids
-    return (mixed(before.astype(np.uint64) * np.uint64(1 << 20) + ids.astype(np.uint64)) >> np.uint64(44)).astype(np.int64)
 
-
-def counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """Counts over the texts of target rows and over all texts, in one pass of docs (text, target).
-
-    Each: BUCKETS of bigrams, then one for each vocabulary number and one for texts with words.
-    """
-    size = len(vocabulary)
-    width = BUCKETS + size + 2
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def pair_counts(docs: DataFrame, top: np.ndarray) -> np.ndarray:
+    """Counts of pairs of top words over target documents and the others: 2 x n x n."""
+    n = len(top)
+    sent = docs.sparkSession.sparkContext.broadcast(top)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = np.zeros((2, width), np.int64)
+        counts = np.zeros((2, n * n), np.int64)
         for batch in batches:
             for text, target in zip(batch.column("text"), batch.column("target").to_pylist(), strict=True):
-                ids = numbered(words_of(text), sent.value)
-                if len(ids):
-                    at = buckets(ids, size)
-                    for model in models if target else models[1:]:
-                        np.add.at(model, at, 1)
-                        np.add.at(model, BUCKETS + ids, 1)
-                        model[-1] += 1
-        at = np.flatnonzero(models)
-        yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "n": models.ravel()[at]})
-
-    summed = docs.select("text", "target").mapInArrow(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(2 * width)
-    out[summed.column("at").to_numpy()] = summed.column("n").to_numpy()
-    return out.reshape(2, width)
-
-
-def losses(ids: np.ndarray, at: np.ndarray, model: np.ndarray, size: int) -> np.ndarray:
-    """Bits of each word under a model (of counts())."""
-    single = model[BUCKETS:]
-    alone = (single[ids] + 1.0) / (single[:-1].sum() + size + 2.0)
-    before = np.concatenate([[size + 1], ids[:-1]])
-    together = np.minimum(model[at], np.minimum(single[before], single[ids]))  # what shares a bucket cannot exceed these
-    return -np.log2((together + SMOOTHING * alone) / (single[before] + SMOOTHING))
+                at = found_at(words_of(text), sent.value)
+                ok = (at[:-1] >= 0) & (at[1:] >= 0)
+                counts[0 if target else 1] += np.bincount(at[:-1][ok] * n + at[1:][ok], minlength=n * n)
+        cell = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"cell": cell.astype(np.int64), "n": counts.ravel()[cell]})
+
+    out = np.zeros(2 * n * n)
+    summed = docs.select("text", "target").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2 TOP^2 rows at most
+    out[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
+    return out.reshape(2, n, n)
+
+
+def grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each row, rows of each group) of rows that are equal in all columns."""
+    order = np.lexsort(columns)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, np.bincount(group) if len(order) else np.zeros(0, np.int64)
+
+
+def bits(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.log2(whole) - np.log2(part)
 
 
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,28 +119,158 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
 
     Returns id, n_words, target_loss and background_loss (bits a word) and score, their difference: below 0 where the
     target model codes the text better. Texts that are null or without words have n_words 0 and null losses and score.
-    With no target rows the target model is uniform. Repeated rows stay; no rows give no rows; other columns play no part.
+    Where one of the models has no words, both are uniform and every score is 0. Rows with a null id are background.
+    Repeated rows stay, each a document of its own; no rows give no rows; other columns play no part.
     """
+    with small_batches(docs.sparkSession, DOCS):
+        # The result is written, as its batches must be cut alike wherever they are read.
+        return written(scored(docs, target, id_col, text_col), "losses")
+
+
+def flagged(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and target of docs. Whole-number ids are looked up in a sorted array while SENT bounds it."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    common = word_counts(base).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word")
-    vocabulary = np.sort(written(common, "vocabulary").toArrow().column("word").to_numpy())
-    # The target's ids grow with the corpus, so they are joined by a shuffle at every size, never broadcast.
-    marked = target.select(F.col(id_col).alias("id")).distinct().withColumn("target", F.lit(True)).hint("merge")
-    models = counts(base.join(marked, "id", "left").withColumn("target", F.coalesce("target", F.lit(False))), vocabulary)
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, models))
-    size = len(vocabulary)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, models = sent.value
+    ids = written(target.select(F.col(id_col).alias("id")).where("id is not null").distinct(), "targets")
+    kind = base.schema["id"].dataType.simpleString()
+    if kind not in ("int", "bigint") or ids.count() > SENT:
+        return base.join(ids.withColumn("target", F.lit(True)).hint("merge"), "id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column("id").to_numpy().astype(np.int64)))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, both = [], [[], []]
-            for text in batch.column("text"):
-                ids = numbered(words_of(text), vocabulary)
-                n.append(len(ids))
-                at = buckets(ids, size)
-                for model, out in zip(models, both, strict=True):
-                    out.append(float(losses(ids, at, model, size).mean()) if len(ids) else None)
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n_words": pa.array(n, pa.int64()), "target_loss": pa.array(both[0], pa.float64()), "background_loss": pa.array(both[1], pa.float64())})
-
-    out = base.mapInArrow(judge, f"id {base.schema['id'].dataType.simpleString()}, n_words bigint, target_loss double, background_loss double")
+            known = batch.column("id").is_valid()
+            at = found_at(batch.column("id").fill_null(0).to_numpy().astype(np.int64), sent.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((at >= 0) & known.to_numpy(zero_copy_only=False))], ["id", "text", "target"])
+
+    return base.mapInArrow(mark, f"id {kind}, text string, target boolean")
+
+
+def scored(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
+    base = flagged(docs, target, id_col, text_col)
+    counts = written(word_counts(base), "words")
+    size, n_t, n_b = counts.agg(F.count("*"), F.sum("t"), F.sum("b")).first()
+    totals = np.array([n_t or 0, n_b or 0], float)
+    best = counts.orderBy(F.desc(F.col("t") + F.col("b")), "word").limit(FREQUENT).toArrow()
+    removed(counts)
+    frequent, own = best.column("word").to_numpy(), np.stack([best.column(c).to_numpy() for c in "tb"]).astype(float)
+    top = np.sort(frequent[:TOP])
+    order = np.argsort(frequent)
+    frequent, own = frequent[order], own[:, order]
+    rate = np.where(totals > 0, totals.min() / np.maximum(totals, 1), 0.0)
+    sent = spark.sparkContext.broadcast((frequent, own, top, pair_counts(base, top)))  # FREQUENT and TOP bound them
+    slices = max(1, int(totals.sum() // SLICE))
+    even = SMOOTHING / (size + 1.0)
+
+    def losses(own_v, own_vw, c_v, c_vw, flags):
+        """Bits of pairs under both models: 2 x n. own_*: counts in the document itself, in the model of its flag."""
+        out = []
+        for m in (0, 1):
+            mine = flags == (m == 0)
+            out.append(bits(rate[m] * (c_vw[m] - mine * own_vw) + even, rate[m] * (c_v[m] - mine * own_v) + SMOOTHING))
+        return np.stack(out)
+
+    def singles(own_v, c_v, flags):
+        """Bits of words under both models, but for the models' sizes, which are added in the end."""
+        return np.stack([-np.log2(rate[m] * (c_v[m] - (flags == (m == 0)) * own_v) + 1.0) for m in (0, 1)])
+
+    id_type = base.schema["id"].dataType.simpleString()
+    shape = f"slice int, batch bigint, ids array<{id_type}>, docs binary, v binary, w binary, own binary, sums binary"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, c_words, top, c_pairs = sent.value
+        fields = ["slice", "batch", "ids", "docs", "v", "w", "own", "sums"]
+        ids_type = None
+        for number, batch in enumerate(batches):
+            name = (TaskContext.get().partitionId() << 32) + number
+            ids_type = pa.list_(batch.column("id").type)
+            each = [words_of(t) for t in batch.column("text")]
+            lengths = np.array([len(w) for w in each], np.int64)
+            flag = np.array(batch.column("target").to_pylist(), bool)
+            doc = np.repeat(np.arange(len(each)), lengths)
+            v = np.concatenate([np.zeros(0, np.int64), *each])
+            w = np.concatenate([np.zeros(0, np.int64), *[np.append(x[1:], END) for x in each if len(x)]])
+            group, n = grouped(v, doc)
+            own_v = n[group] if len(v) else group
+            at = found_at(v, words)
+            sums = np.zeros((2, len(each)))
+            often = at >= 0
+            for m, x in enumerate(singles(own_v[often], c_words[:, at[often]], flag[doc[often]])):
+                sums[m] += np.bincount(doc[often], weights=x, minlength=len(each))
+            a, b = found_at(v, top), found_at(w, top)
+            near = (a >= 0) & (b >= 0)
+            group, n = grouped(w[near], v[near], doc[near])
+            for m, x in enumerate(losses(own_v[near], n[group] if len(group) else group, c_words[:, at[near]], c_pairs[:, a[near], b[near]], flag[doc[near]])):
+                sums[m] += np.bincount(doc[near], weights=x, minlength=len(each))
+            # The batch's own row goes with the sums made here; slice -1 - k only deals such rows.
+            rows: list[tuple] = [(-1 - name % slices, name, batch.column("id").to_pylist(), np.stack([lengths, flag]).astype(np.int64).tobytes(), b"", b"", b"", sums.tobytes())]
+            rest = ~near
+            doc, v, w, own_v, often = doc[rest], v[rest], w[rest], own_v[rest], often[rest]
+            key = np.where(often, mixed(v.view(np.uint64) * np.uint64(3) + mixed(w.view(np.uint64))), mixed(v.view(np.uint64)))
+            to = (key % np.uint64(slices)).astype(np.int64)
+            order = np.lexsort((v, doc, to))
+            to = to[order]
+            used, first = np.unique(to, return_index=True)
+            mark = (doc | (flag[doc] << 15)).astype(np.uint16)[order] if len(doc) else np.zeros(0, np.uint16)
+            v5, w5 = (np.ascontiguousarray(x[order].view(np.uint8).reshape(-1, 8)[:, :6]) for x in (v, w))
+            counts = np.minimum(own_v[order], 2**32 - 1).astype(np.uint32)
+            for s, i, j in zip(used, first, np.append(first[1:], len(to))[: len(used)], strict=True):
+                rows.append((int(s), name, None, mark[i:j].tobytes(), v5[i:j].T.tobytes(), w5[i:j].T.tobytes(), counts[i:j].tobytes(), None))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), ids_type, *[pa.binary()] * 5], strict=True)], fields)
+
+    def settle(rows: pa.Table) -> pa.Table:
+        if rows.column("slice")[0].as_py() < 0:
+            return rows.select(["batch", "ids", "docs", "sums"])
+        words, c_words, _, _ = sent.value
+        raw = {c: [x.as_buffer() for x in rows.column(c)] for c in ("docs", "v", "w", "own")}
+        marks = [np.frombuffer(x, np.uint16) for x in raw["docs"]]
+        sizes = np.array([len(m) for m in marks])
+        mark, row = np.concatenate(marks), np.repeat(np.arange(len(sizes)), sizes)
+        six = lambda parts: np.concatenate([np.frombuffer(x, np.uint8).reshape(6, -1).T for x in parts])
+        wide = lambda x: np.concatenate([x, np.zeros((len(x), 2), np.uint8)], axis=1).view(np.int64).ravel()
+        v, w = wide(six(raw["v"])), wide(six(raw["w"]))
+        own_v = np.concatenate([np.frombuffer(x, np.uint32) for x in raw["own"]]).astype(np.int64)
+        flag, doc = mark >> 15 == 1, row * (1 << 15) + (mark & 0x7FFF)
+        short = words & np.int64(2**48 - 1)
+        by = np.argsort(short)
+        at = found_at(v, short[by])
+        at = np.where(at >= 0, by[at], -1) if len(by) else at
+        group, _ = grouped(v)
+        c_v = np.stack([np.bincount(group, weights=flag == (m == 0))[group] for m in (0, 1)])
+        often = at >= 0
+        c_v[:, often] = c_words[:, at[often]]
+        pair, _ = grouped(w, v)
+        c_vw = np.stack([np.bincount(pair, weights=flag == (m == 0))[pair] for m in (0, 1)])
+        mine, n = grouped(doc, pair)
+        loss = losses(own_v, n[mine], c_v, c_vw, flag)
+        loss[:, ~often] += singles(own_v[~often], c_v[:, ~often], flag[~often])
+        each, at_doc = np.unique(doc, return_inverse=True)
+        sums = np.stack([np.bincount(at_doc, weights=x) for x in loss])
+        of = each >> 15
+        cuts = np.searchsorted(of, np.arange(len(sizes) + 1))
+        found = [(cuts[i], cuts[i + 1]) for i in range(len(sizes))]
+        return pa.table({"batch": rows.column("batch"), "ids": rows.column("ids"), "docs": pa.array([(each[a:b] & 0x7FFF).astype(np.uint16).tobytes() for a, b in found], pa.binary()), "sums": pa.array([np.ascontiguousarray(sums[:, a:b]).tobytes() for a, b in found], pa.binary())})
+
+    def join(rows: pa.Table) -> pa.Table:
+        total = None
+        parts = []
+        for ids, docs_, sums in zip(rows.column("ids"), rows.column("docs"), rows.column("sums"), strict=True):
+            if ids.is_valid:
+                length, flag = np.frombuffer(docs_.as_buffer(), np.int64).reshape(2, -1)
+                total, keys = np.frombuffer(sums.as_buffer(), np.float64).reshape(2, -1).copy(), ids.values
+            else:
+                parts.append((np.frombuffer(docs_.as_buffer(), np.uint16), np.frombuffer(sums.as_buffer(), np.float64).reshape(2, -1)))
+        for at, sums in parts:
+            total[:, at] += sums
+        n = np.maximum(length, 1)
+        out = []
+        for m in (0, 1):
+            left = rate[m] * (totals[m] - (flag == (m == 0)) * length) + size
+            out.append(np.where(length > 0, (total[m] + length * np.log2(np.maximum(left, 1))) / n / 2, np.nan))
+        cell = lambda x: pa.array(x, pa.float64(), mask=length == 0)
+        return pa.table({"id": keys, "n_words": pa.array(length, pa.int64()), "target_loss": cell(out[0]), "background_loss": cell(out[1])})
+
+    packed = base.mapInArrow(pack, shape)
+    sums = packed.groupBy("slice").applyInArrow(settle, f"batch bigint, ids array<{id_type}>, docs binary, sums binary")
+    out = sums.groupBy("batch").applyInArrow(join, f"id {id_type}, n_words bigint, target_loss double, background_loss double")
     return out.select(F.col("id").alias(id_col), "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
