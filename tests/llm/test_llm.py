@@ -355,11 +355,54 @@ def test_urls(spark):
     assert len(rows) == len(urls)
 
 
-def test_lm_score(spark):
-    texts = [("target words of one kind " if i % 2 else "other tokens in some style ") * 6 + prose(i, 10) for i in range(60)] + [None, ""]
-    rows = {r["doc_id"]: r for r in lm_score.score(documents(spark, texts), spark.range(1, 31, 2).withColumnRenamed("id", "doc_id")).collect()}
+def brute_losses(texts, target):
+    """(target_loss, background_loss) of each text by dictionaries."""
+    from collections import Counter
+    from math import log2
+
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "")) for t in texts]
+    one, two = [Counter(), Counter()], [Counter(), Counter()]
+    of = [0 if t else 1 for t in target]
+    for w, m in zip(words, of, strict=True):
+        one[m].update(w)
+        two[m].update(zip(w, [*w[1:], None], strict=False))
+    size, n = len(one[0] | one[1]), [sum(c.values()) for c in one]
+    out = []
+    for w, mine in zip(words, of, strict=True):
+        single, pairs, both = Counter(w), Counter(zip(w, [*w[1:], None], strict=False)), []
+        for m in (0, 1):
+            less = mine == m
+            r = min(n) / n[m] if min(n) else 0.0
+            loss = 0.0
+            for (v, x), k in pairs.items():
+                c_v, c_vx = one[m][v] - less * single[v], two[m][v, x] - less * pairs[v, x]
+                loss -= k * log2((r * c_v + 1) / (r * (n[m] - less * len(w)) + size))
+                loss -= k * log2((r * c_vx + lm_score.SMOOTHING / (size + 1)) / (r * c_v + lm_score.SMOOTHING))
+            both.append(loss / len(w) / 2 if w else None)
+        out.append(tuple(both))
+    return out
+
+
+@pytest.mark.parametrize("frequent, top", [(1 << 16, 512), (12, 4), (0, 0)])
+def test_lm_score(spark, monkeypatch, frequent, top):
+    for name, value in {"FREQUENT": frequent, "TOP": top, "SLICE": 300, "DOCS": 16, "HELD": 200}.items():
+        monkeypatch.setattr(lm_score, name, value)
+    texts = [("target words of one kind " if i % 2 else "other tokens in some style ") * 6 + prose(i, 10) for i in range(60)] + [None, "", prose(7, 40), prose(7, 40)]
+    target = [i % 2 == 1 and i < 31 for i in range(len(texts))]
+    marks = spark.createDataFrame([(i,) for i, t in enumerate(target) if t] + [(None,), (1,)], "doc_id bigint")
+    rows = {r["doc_id"]: r for r in lm_score.score(documents(spark, texts), marks).collect()}
+    for i, (t, b) in enumerate(brute_losses(texts, target)):
+        assert rows[i]["n_words"] == len((texts[i] or "").split())
+        assert (rows[i]["target_loss"], rows[i]["background_loss"]) == ((pytest.approx(t), pytest.approx(b)) if t is not None else (None, None))
     assert max(rows[i]["score"] for i in range(31, 60, 2)) < min(rows[i]["score"] for i in range(30, 60, 2))
-    assert rows[60]["n_words"] == 0 and rows[61]["score"] is None
+    assert rows[62]["background_loss"] < lm_score.score(documents(spark, texts[:-1]), marks).where("doc_id = 62").first()["background_loss"]  # its copy tells
+
+
+def test_lm_score_without_rows_or_target(spark):
+    docs = documents(spark, ["a b", None, "a"])
+    assert lm_score.score(docs.limit(0), spark.range(0).withColumnRenamed("id", "doc_id")).count() == 0
+    rows = lm_score.score(docs.union(docs), spark.range(0).withColumnRenamed("id", "doc_id")).collect()
+    assert sorted(str(r["score"]) for r in rows) == ["0.0"] * 4 + ["None"] * 2
 
 
 @pytest.mark.parametrize("threshold", [0.8, 0.85])
