@@ -96,6 +96,8 @@ def deal(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """
     before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     counts = draws(sources, shard_slots).withColumn("_lo", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # The window leaves the rows of all sources in a few tasks; slots are made in as many as there are shuffle partitions.
+    counts = counts.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "rank")
     each = counts.select("shard", "rank", F.explode(F.sequence(F.col("_lo"), F.col("_lo") + F.col("n") - 1)).alias("_k")).join(F.broadcast(sources.select("rank", "blocks")), "rank")
     epoch = F.expr("_k div blocks")
     return each.select("shard", "rank", epoch.alias("epoch"), permuted(F.expr("_k % blocks"), F.col("blocks"), F.col("rank") * 16 + epoch + 1).alias("block"))
