@@ -30,7 +30,9 @@ FREQUENT, TOP = 1 << 16, 512
 #: The weight of the uniform distribution, in words.
 SMOOTHING = 50.0
 #: A task hands on its word counts when it holds so many words; words of a slice, about.
-HELD, SLICE = 2_000_000, 1_500_000
+HELD, SLICE = 1_000_000, 500_000
+#: Slices that one call works off, one after the other, before it hands on its sums; bytes of text packed at once.
+FAN, PACKED = 8, 4_000_000
 #: Documents of a batch, and target ids that may be sent to the tasks (8 bytes each); more are joined by a shuffle.
 DOCS, SENT = 1000, 4_000_000
 END = np.int64(-1)
@@ -145,6 +147,14 @@ def flagged(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> D
     return base.mapInArrow(mark, f"id {kind}, text string, target boolean")
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that none has much more than PACKED bytes of text, the same way on every run."""
+    for batch in batches:
+        sizes = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text")])
+        cuts = [0, *(np.flatnonzero(np.diff(sizes // PACKED)) + 1), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
+
+
 def scored(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     base = flagged(docs, target, id_col, text_col)
@@ -181,7 +191,7 @@ def scored(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> Da
         words, c_words, top, c_pairs = sent.value
         fields = ["slice", "batch", "ids", "docs", "v", "w", "own", "sums"]
         ids_type = None
-        for number, batch in enumerate(batches):
+        for number, batch in enumerate(pieces(batches)):
             name = (TaskContext.get().partitionId() << 32) + number
             ids_type = pa.list_(batch.column("id").type)
             each = [words_of(t) for t in batch.column("text")]
@@ -221,11 +231,26 @@ def scored(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> Da
     def settle(rows: pa.Table) -> pa.Table:
         if rows.column("slice")[0].as_py() < 0:
             return rows.select(["batch", "ids", "docs", "sums"])
+        number = rows.column("slice").to_numpy()
+        name, of = np.unique(rows.column("batch").to_numpy(), return_inverse=True)
+        keys, sums = np.zeros(0, np.int64), np.zeros((2, 0))
+        for s in np.unique(number):
+            mine = np.flatnonzero(number == s)
+            at, loss = settled(rows.take(pa.array(mine)), of[mine])
+            every, place = np.unique(np.concatenate([keys, at]), return_inverse=True)
+            sums = np.stack([np.bincount(place, weights=np.concatenate(x), minlength=len(every)) for x in zip(sums, loss, strict=True)])
+            keys = every
+        cuts = np.searchsorted(keys >> 15, np.arange(len(name) + 1))
+        found = list(zip(cuts[:-1], cuts[1:], strict=True))
+        return pa.table({"batch": pa.array(name, pa.int64()), "ids": pa.nulls(len(name), rows.schema.field("ids").type), "docs": pa.array([(keys[a:b] & 0x7FFF).astype(np.uint16).tobytes() for a, b in found], pa.binary()), "sums": pa.array([np.ascontiguousarray(sums[:, a:b]).tobytes() for a, b in found], pa.binary())})
+
+    def settled(rows: pa.Table, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, sums) of the documents of one slice; key: the number of the row's batch, then 15 bits of the document's."""
         words, c_words, _, _ = sent.value
         raw = {c: [x.as_buffer() for x in rows.column(c)] for c in ("docs", "v", "w", "own")}
         marks = [np.frombuffer(x, np.uint16) for x in raw["docs"]]
         sizes = np.array([len(m) for m in marks])
-        mark, row = np.concatenate(marks), np.repeat(np.arange(len(sizes)), sizes)
+        mark, row = np.concatenate(marks), np.repeat(of, sizes)
         six = lambda parts: np.concatenate([np.frombuffer(x, np.uint8).reshape(6, -1).T for x in parts])
         wide = lambda x: np.concatenate([x, np.zeros((len(x), 2), np.uint8)], axis=1).view(np.int64).ravel()
         v, w = wide(six(raw["v"])), wide(six(raw["w"]))
@@ -236,20 +261,23 @@ def scored(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> Da
         at = found_at(v, short[by])
         at = np.where(at >= 0, by[at], -1) if len(by) else at
         group, _ = grouped(v)
-        c_v = np.stack([np.bincount(group, weights=flag == (m == 0))[group] for m in (0, 1)])
-        often = at >= 0
-        c_v[:, often] = c_words[:, at[often]]
+        singly = [np.bincount(group, weights=flag == (m == 0)) for m in (0, 1)]
         pair, _ = grouped(w, v)
-        c_vw = np.stack([np.bincount(pair, weights=flag == (m == 0))[pair] for m in (0, 1)])
+        paired = [np.bincount(pair, weights=flag == (m == 0)) for m in (0, 1)]
+        del w
         mine, n = grouped(doc, pair)
-        loss = losses(own_v, n[mine], c_v, c_vw, flag)
-        loss[:, ~often] += singles(own_v[~often], c_v[:, ~often], flag[~often])
         each, at_doc = np.unique(doc, return_inverse=True)
-        sums = np.stack([np.bincount(at_doc, weights=x) for x in loss])
-        of = each >> 15
-        cuts = np.searchsorted(of, np.arange(len(sizes) + 1))
-        found = [(cuts[i], cuts[i + 1]) for i in range(len(sizes))]
-        return pa.table({"batch": rows.column("batch"), "ids": rows.column("ids"), "docs": pa.array([(each[a:b] & 0x7FFF).astype(np.uint16).tobytes() for a, b in found], pa.binary()), "sums": pa.array([np.ascontiguousarray(sums[:, a:b]).tobytes() for a, b in found], pa.binary())})
+        sums = np.zeros((2, len(each)))
+        for i in range(0, len(doc), 100_000):  # a part at a time: losses make many arrays
+            part = slice(i, i + 100_000)
+            c_v = np.stack([x[group[part]] for x in singly])
+            known = at[part] >= 0
+            c_v[:, known] = c_words[:, at[part][known]]
+            loss = losses(own_v[part], n[mine[part]], c_v, np.stack([x[pair[part]] for x in paired]), flag[part])
+            loss[:, ~known] += singles(own_v[part][~known], c_v[:, ~known], flag[part][~known])
+            for m in (0, 1):
+                sums[m] += np.bincount(at_doc[part], weights=loss[m], minlength=len(each))
+        return each, sums
 
     def join(rows: pa.Table) -> pa.Table:
         total = None
@@ -271,6 +299,6 @@ def scored(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> Da
         return pa.table({"id": keys, "n_words": pa.array(length, pa.int64()), "target_loss": cell(out[0]), "background_loss": cell(out[1])})
 
     packed = base.mapInArrow(pack, shape)
-    sums = packed.groupBy("slice").applyInArrow(settle, f"batch bigint, ids array<{id_type}>, docs binary, sums binary")
+    sums = packed.groupBy(F.floor(F.col("slice") / FAN)).applyInArrow(settle, f"batch bigint, ids array<{id_type}>, docs binary, sums binary")
     out = sums.groupBy("batch").applyInArrow(join, f"id {id_type}, n_words bigint, target_loss double, background_loss double")
     return out.select(F.col("id").alias(id_col), "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
