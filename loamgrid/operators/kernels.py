@@ -1,22 +1,24 @@
 """Neighbourhood kernels on long rasters (raster_id, y, x): gradients, edges, components, distances, watersheds.
 
-Neighbours come from windows along rows, columns and diagonals. What must go round (flooding, components) works on runs of
-pixels or on the pixels still open, and ends when nothing changes.
+Neighbours come from windows along rows, columns and diagonals. Components and floods join runs of pixels until nothing
+changes; the watershed works on whole rasters of bounded sides.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgrid.functions.durable import components, settled
+from loamgrid.functions.durable import components
 
 #: Fixed value: the distance of a pixel in a raster without sources.
 NOWHERE = 1_073_741_823
 #: Costs of a straight and of a diagonal step.
 STRAIGHT, DIAGONAL = 3, 4
-#: Steps of a watershed in one round.
-STEPS = 6
+#: The largest side of a raster that is worked on in one piece.
+TILE = 4096
 
 
 def along(line: str):
@@ -140,34 +142,43 @@ def watershed(raster: DataFrame) -> DataFrame:
 
     raster: raster_id, y, x, v, marker (0: none) and covered. Ways go over corners, over covered pixels, and never through
     another marker's pixel. The lower label wins among equal costs. First costs settle, then labels along the edges
-    over which costs were reached.
+    over which costs were reached. A raster is worked on in one piece, as arrays; images beyond TILE pixels a side are
+    to be cut into tiles with a guard before.
     """
 
-    def neighbours(c: str, keep: Column) -> list[Column]:
-        return [f(F.when(keep, F.col(c)), line) for line in ("row", "column", "down", "up") for f in (before, after)]
-
-    free = F.col("covered") & (F.col("marker") == 0)
-
-    def several(now: DataFrame, name: str, once) -> DataFrame:
-        """STEPS steps of once, so that fewer rounds are written, and whether they changed anything."""
-        was = now.withColumn("_was", F.col(name))
-        for _ in range(STEPS):
-            was = once(was)
-        return was.select(*now.columns, (~F.col(name).eqNullSafe(F.col("_was"))).alias("changed"))
-
-    def cheaper(now: DataFrame) -> DataFrame:
-        near = now.withColumn("_n", F.least(*neighbours("cost", F.lit(True))))
-        new = F.when(free & F.col("_n").isNotNull(), F.least(F.coalesce("cost", F.lit(2**62)), F.greatest("_n", "v"))).otherwise(F.col("cost"))
-        return near.withColumn("cost", new).select(*now.columns)
-
-    costs = settled(raster.withColumn("cost", F.when(F.col("marker") > 0, F.col("v")).cast("bigint")), lambda now: several(now, "cost", cheaper))
-
-    def lower(now: DataFrame) -> DataFrame:
-        # A neighbour hands its label on if the way over it costs what the pixel costs.
-        told = [F.when(F.greatest(n["cost"], F.col("v")) == F.col("cost"), n["label"]) for n in neighbours("_p", F.col("label").isNotNull())]
-        near = now.withColumn("_p", F.struct("cost", "label")).withColumns({f"_l{i}": t for i, t in enumerate(told)})
-        new = F.when(free, F.least("label", *[f"_l{i}" for i in range(8)])).otherwise(F.col("label"))
-        return near.withColumn("label", new).select(*now.columns)
-
-    labels = settled(costs.withColumn("label", F.when(F.col("marker") > 0, F.col("marker"))), lambda now: several(now, "label", lower))
-    return labels.select("raster_id", "y", "x", F.coalesce("label", F.lit(0)).cast("bigint").alias("label"))
+    def around(values: np.ndarray, fill: int) -> list[np.ndarray]:
+        wide = np.pad(values, 1, constant_values=fill)
+        h, w = values.shape
+        return [wide[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+
+    def flood(rows: pa.Table) -> pa.Table:
+        y, x = (rows.column(c).to_numpy() for c in "yx")
+        top, left = y.min(), x.min()
+        shape = (y.max() - top + 1, x.max() - left + 1)
+        if max(shape) > TILE:
+            raise ValueError(f"a raster has more than {TILE} pixels a side")
+        v, marker, covered = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, bool)
+        for grid, c in ((v, "v"), (marker, "marker"), (covered, "covered")):
+            grid[y - top, x - left] = rows.column(c).to_numpy()
+        free = covered & (marker == 0)
+        none = np.iinfo(np.int64).max
+        cost = np.where(marker > 0, v, none)
+        while True:
+            lowest = np.minimum.reduce(around(cost, none))
+            new = np.where(free & (lowest < none), np.minimum(cost, np.maximum(lowest, v)), cost)
+            if np.array_equal(new, cost):
+                break
+            cost = new
+        label = np.where(marker > 0, marker, none)
+        ways = [(c < none) & (np.maximum(c, v) == cost) for c in around(cost, none)]
+        while True:
+            told = np.minimum.reduce([np.where(ok, near, none) for ok, near in zip(ways, around(label, none), strict=True)])
+            new = np.where(free, np.minimum(label, told), label)
+            if np.array_equal(new, label):
+                break
+            label = new
+        label[label == none] = 0
+        return pa.table({"raster_id": rows.column("raster_id"), "y": rows.column("y"), "x": rows.column("x"), "label": pa.array(label[y - top, x - left], pa.int64())})
+
+    rows = raster.select(F.col("raster_id").cast("bigint").alias("raster_id"), F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), F.col("v").cast("bigint").alias("v"), F.col("marker").cast("bigint").alias("marker"), "covered")
+    return rows.groupBy("raster_id").applyInArrow(flood, "raster_id bigint, y bigint, x bigint, label bigint")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,11 +24,14 @@ def tiles(levels: DataFrame, side: int) -> DataFrame:
     return cut.select("id", "level", "col", "row", size("width", "col").alias("width"), size("height", "row").alias("height"))
 
 
-def set_hash(artifacts: DataFrame) -> DataFrame:
-    """SHA-256 of 'path NUL hash LF' over each set's artifacts in path order."""
-    lines = F.array_sort(F.collect_list(F.struct("path", "sha256")))
-    text = F.array_join(F.transform(lines, lambda r: F.concat(r["path"], F.lit("\0"), r["sha256"], F.lit("\n"))), "")
-    return artifacts.groupBy("set_id").agg(F.sha2(text, 256).alias("set_sha256"), F.count("*").alias("n"), F.sum("bytes").cast("bigint").alias("bytes"))
+def set_hash(tiles: DataFrame) -> DataFrame:
+    """SHA-256 of 'level/column_row NUL digest LF' over each set's tiles by level, row and column; their number and bytes.
+
+    The digest is over one text by definition; a set is the tiles of one image, which its largest side bounds.
+    """
+    lines = F.array_sort(F.collect_list(F.struct("level", "row", "col", "sha256")))
+    text = F.array_join(F.transform(lines, lambda r: F.concat(r["level"].cast("string"), F.lit("/"), r["col"].cast("string"), F.lit("_"), r["row"].cast("string"), F.lit("\0"), r["sha256"], F.lit("\n"))), "")
+    return tiles.groupBy("set_id").agg(F.sha2(text, 256).alias("set_sha256"), F.count("*").alias("n"), F.sum("bytes").cast("bigint").alias("bytes"))
 
 
 def differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -38,13 +41,6 @@ def differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return both.where("e is null or a is null").select(*keys, F.when(F.col("a").isNull(), "missing").otherwise("unexpected").alias("problem"))
 
 
-def sources(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Content-addressed artifacts of documents: path, digest and size."""
-    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    named = docs.select((F.col("doc_id") % 20).alias("set_id"), F.col("doc_id"), digest.alias("sha256"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"))
-    return named.select("set_id", F.concat(F.lit("sha256/"), F.substring("sha256", 1, 2), F.lit("/"), F.col("sha256"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "sha256", "bytes")
-
-
 def parents(tiles: DataFrame) -> DataFrame:
     """level, col and row of every tile's parent, the number of its children and the mask of the quarters they fill."""
     quarter = (F.col("row") % 2 * 2 + F.col("col") % 2).cast("int")

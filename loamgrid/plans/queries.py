@@ -239,12 +239,6 @@ def vl1(spark, sf) -> DataFrame:
     return checks.source_lock(lock)
 
 
-@query("ag14_set_hash", """WITH a AS (SELECT doc_id % 20 AS set_id, sha256(coalesce(text, '')) AS h, doc_id, coalesce(strlen(text), 0) AS bytes FROM documents), p AS (SELECT set_id, 'sha256/' || substr(h, 1, 2) || '/' || h || '/' || doc_id AS path, h, bytes FROM a)
-  SELECT set_id, sha256(string_agg(path || chr(0) || h || chr(10), '' ORDER BY path, h)) AS set_sha256, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM p GROUP BY set_id""")
-def ag14(spark, sf) -> DataFrame:
-    return pyramid.set_hash(pyramid.sources(spark, table(spark, sf, "documents")))
-
-
 def images(spark, sf) -> DataFrame:
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 37 % 4000 + 1).alias("width"), (F.col("s_suppkey") * 91 % 3000 + 1).alias("height"))
 
@@ -281,6 +275,14 @@ def jn10(spark, sf) -> DataFrame:
     return pyramid.parents(sg11(spark, sf))
 
 
+@query("ag14_set_hash", f"""WITH {LEVELS_SQL}, t AS (SELECT id AS set_id, level, c AS col, r AS row FROM lev, range(20) a(c), range(20) b(r) WHERE c * 512 < width AND r * 512 < height), d AS (SELECT *, sha256(concat(set_id, ':', level, ':', col, ':', row)) AS h FROM t)
+  SELECT set_id, sha256(string_agg(concat(level, '/', col, '_', row, chr(0), h, chr(10)), '' ORDER BY level, row, col)) AS set_sha256, count(*) AS n, sum(level * 100 + col)::BIGINT AS bytes FROM d GROUP BY set_id""")
+def ag14(spark, sf) -> DataFrame:
+    tiles = pyramid.tiles(pyramid.levels(images(spark, sf)), 512).withColumnRenamed("id", "set_id")
+    digest = F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in ("set_id", "level", "col", "row")]), 256)
+    return pyramid.set_hash(tiles.withColumns({"sha256": digest, "bytes": F.col("level") * 100 + F.col("col")}))
+
+
 READY_SQL = """m AS (SELECT *, coalesce(last_value(CASE WHEN event_type = 'view' THEN TRUE WHEN event_type IN ('click', 'error') THEN FALSE END IGNORE NULLS) OVER w, TRUE) AS loading, bool_or(event_type = 'signup') OVER w AS rooted,
   bool_or(event_type = 'error') OVER w AS failed, sum((event_type = 'view')::INT) OVER w AS starts, floor(value)::BIGINT % 2 AS sig FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT *, rooted AND NOT loading AND NOT failed AND event_id % 7 >= 1 AS counts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM m WHERE event_type = 'purchase'),
@@ -317,4 +319,4 @@ def st3(spark, sf) -> DataFrame:
     return readiness.attempts(table(spark, sf, "events"))
 
 
-from loamgrid.plans import feature_queries, geometry_queries, kernel_queries, manifest_queries, paint_queries, record_queries  # noqa: E402, F401  (they register theirs)
+from loamgrid.plans import feature_queries, geometry_queries, kernel_queries, manifest_queries, paint_queries, record_queries, scene_queries  # noqa: E402, F401  (they register theirs)
