@@ -4,37 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import math
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loamgrid.functions.durable import written  # noqa: F401
+
 #: Characters that separate words, as the body of a regular-expression class.
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir. Where that is unset: a temporary one in local mode,
-    where driver and executor are one process, and an error on a cluster."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="loamgrid-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/loamgrid/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def removed(df: DataFrame) -> None:
     """Deletes a table of written() that nothing will read again."""
     spark = df.sparkSession
