@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import decontaminate, html_text, language, lm_score, minhash, mixing, sharding, topk, toxicity, url_filter
+from loamgrid.llm import decontaminate, html_text, language, lexical, lm_score, minhash, mixing, secrets, sharding, topk, toxicity, url_filter, whitening
 from loamgrid.llm.common import table
 
 #: The shard queries' tree: 24 shards, and with one more.
@@ -59,6 +59,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def _sql_levels(levels: list, name: str) -> str:
     rows = ", ".join(f"({d}, {at}, '{n}', {w}, {i})" for d, level in enumerate(levels[:-1]) for at, node in enumerate(level) for n, w, i in node)
     return f"{name} AS (SELECT * FROM (VALUES {rows}) t(depth, parent, name, weight, child))"
@@ -140,12 +152,28 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FR
 """
 
 
+_SQL_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP11_SQL = f"""
+WITH d AS (SELECT r, doc_id, w, len(w)::BIGINT AS n FROM (SELECT row_number() OVER () AS r, doc_id, {_SQL_TERMS} AS w FROM documents) WHERE len(w) > 0),
+st AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS l FROM d),
+tf AS (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(w) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t),
+q AS (SELECT i, item_id, t, count(*)::BIGINT AS c FROM (SELECT row_number() OVER () AS i, item_id, unnest({_SQL_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+s AS (SELECT i, item_id, r, doc_id, sum(c * floor(1000 * ln((2 * nn + 2) / (2 * df + 1)))::BIGINT * (1000000000 * tf // (1000 * tf + 12 * (75 + 25 * n * nn // l))))::BIGINT AS score
+  FROM q JOIN df USING (t) JOIN tf USING (t), st GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination, "op2_top_k": op2_top_k, "op3_html_text": op3_html_text, "op4_sharding": op4_sharding, "op5_minhash": op5_minhash,
         "op6_lm_score": op6_lm_score, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_url_filter": op9_url_filter, "op10_mixing": op10_mixing,
+        "op11_lexical": op11_lexical, "op12_whitening": op12_whitening, "op13_secrets": op13_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2_SQL, "op4_sharding": OP4_SQL, "op6_lm_score": OP6_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_top_k": OP2_SQL, "op4_sharding": OP4_SQL, "op6_lm_score": OP6_SQL, "op10_mixing": OP10_SQL, "op11_lexical": OP11_SQL}
