@@ -19,15 +19,14 @@ def _c(x: Column | str | int) -> Column:
 
 
 def div(a, b) -> Column:
-    """Integer division towards zero."""
-    a, b = _c(a), _c(b)
-    return ((a - a % b) / b).cast("bigint")
+    """Integer division towards zero, exact over all of BIGINT."""
+    return F.call_function("div", _c(a), _c(b))
 
 
 def floor_div(a, b) -> Column:
-    """Integer division towards minus infinity, for a positive divisor."""
+    """Integer division towards minus infinity, for a positive divisor; exact over all of BIGINT."""
     a, b = _c(a), _c(b)
-    return ((a - F.pmod(a, b)) / b).cast("bigint")
+    return div(a, b) - F.when(a % b < 0, 1).otherwise(0)
 
 
 def let(x: Column, f) -> Column:
@@ -40,16 +39,29 @@ def u64(x: Column) -> Column:
     return let(x.cast("decimal(38,0)"), lambda d: F.when(d < 0, d + _wide(TWO64)).otherwise(d).cast("decimal(20,0)"))
 
 
-def bits(x: Column) -> Column:
-    """An unsigned DECIMAL below 2^64 as a BIGINT bit pattern."""
-    return let(x.cast("decimal(38,0)"), lambda d: F.when(d >= _wide(2**63), d - _wide(TWO64)).otherwise(d).cast("bigint"))
+def umod(x: Column, n: int) -> Column:
+    """A bit pattern, read as unsigned, modulo n (up to 2^61), in BIGINT."""
+    return let(x, lambda v: (F.shiftrightunsigned(v, 1) % n * 2 + v.bitwiseAND(1)) % n)
+
+
+LOW32, LOW16 = 2**32 - 1, 2**16 - 1
 
 
 def times(x: Column, constant: int) -> Column:
-    """The product of a bit pattern and a constant, modulo 2^64, as a bit pattern."""
+    """The product of a bit pattern and a constant, modulo 2^64, as a bit pattern: 32-bit by 16-bit products, none of which overflows a BIGINT."""
     high, low = divmod(constant, 2**32)
-    part = lambda d, c, m: (d * F.lit(c).cast("decimal(10,0)")).cast("decimal(38,0)") % _wide(m)
-    return bits(let(u64(x).cast("decimal(38,0)"), lambda d: (part(d, low, TWO64) + part(d, high, 2**32).cast("decimal(28,0)") * F.lit(2**32).cast("decimal(10,0)")) % _wide(TWO64)))
+    parts = lambda c: (F.lit(c % 2**16).cast("bigint"), F.lit(c // 2**16).cast("bigint"))
+    (h0, h1), (l0, l1) = parts(high), parts(low)
+    upper = lambda v, c0, c1: v * c0 + F.shiftleft((v * c1).bitwiseAND(LOW16), 16)  # noqa: E731  modulo 2^32, but for bits above
+
+    def product(v: Column) -> Column:
+        lo, hi = v["lo"], v["hi"]
+        return let(F.struct((lo * l0).alias("a"), (lo * l1).alias("b")), lambda p: let(
+            p["a"] + F.shiftleft(p["b"].bitwiseAND(LOW16), 16),
+            lambda t: F.shiftleft(F.shiftrightunsigned(t, 32) + F.shiftrightunsigned(p["b"], 16) + upper(hi, l0, l1) + upper(lo, h0, h1), 32).bitwiseOR(t.bitwiseAND(LOW32)),
+        ))
+
+    return let(x.cast("bigint"), lambda v: let(F.struct(v.bitwiseAND(LOW32).alias("lo"), F.shiftrightunsigned(v, 32).alias("hi")), product))
 
 
 def fold(x: Column, by: int) -> Column:
@@ -68,7 +80,7 @@ def variation(x: Column, n: int) -> Column:
     if n == 0:
         return F.lit(0).cast("bigint")
     # Fixed value: the multiplier.
-    return (u64(fold(times(fold(x, 33), 0xFF51AFD7ED558CCD), 33)) % _wide(n)).cast("bigint")
+    return umod(fold(times(fold(x, 33), 0xFF51AFD7ED558CCD), 33), n)
 
 
 def fnv1a64(text: Column) -> Column:
@@ -76,15 +88,9 @@ def fnv1a64(text: Column) -> Column:
     # The offset basis and the prime.
     basis, prime = 14695981039346656037, 1099511628211
     raw = F.hex(F.encode(text, "UTF-8"))
-    byte = lambda i: F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("decimal(38,0)")
+    byte = lambda i: F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint")
     places = F.when(F.length(raw) > 0, F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-
-    def step(h: Column, i: Column) -> Column:
-        low = h % _wide(256)
-        mixed = h - low + low.cast("int").bitwiseXOR(byte(i).cast("int")).cast("decimal(38,0)")
-        return ((mixed.cast("decimal(24,0)") * F.lit(prime).cast("decimal(13,0)")) % _wide(TWO64)).cast("decimal(38,0)")
-
-    return F.aggregate(places, _wide(basis), step).cast("decimal(20,0)")
+    return u64(F.aggregate(places, F.lit(basis - TWO64).cast("bigint"), lambda h, i: times(h.bitwiseXOR(byte(i)), prime)))
 
 
 def rotated(x: Column, by: int) -> Column:

@@ -119,10 +119,10 @@ def patterned(image: DataFrame, style: dict, offset_x: int, offset_y: int) -> Da
     s, v = style["subpixels"], F.col("v")
     ax, ay = F.col("x") * s - offset_x, F.col("y") * s - offset_y
     lx, ly = floor_div(ax, s), floor_div(ay, s)
-    dither = intmath.u64(intmath.mix64(intmath.rotated(ax, 13).bitwiseXOR(ay)))
+    image = image.withColumn("_dither", intmath.mix64(intmath.rotated(ax, 13).bitwiseXOR(ay)))
     down, up = lx - ly, lx + ly
     at = lambda line, n: F.pmod(line, F.lit(n))
-    rare = lambda n: (dither % F.lit(n).cast("decimal(20,0)")) == 0
+    rare = lambda n: intmath.umod(F.col("_dither"), n) == 0
     out = F.when(v.isin(style["roofs"]) & (at(down, style["roof_period"]) == 0) & (at(up, 4) < 2), style["roof_pattern"])
     out = out.when((v == style["road"]) & (at(up, style["way_period"] * 2) == 0) & (at(down, 8) < 4), style["marking"]).when((v == style["path"]) & (at(down, style["way_period"]) == 0) & (at(up, 6) < 2), style["highlight"])
     for pair, period in (style["terrain"], style["athletic"]):

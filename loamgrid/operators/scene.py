@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.functions.intmath import div, floor_div, mix64, rotated, u64
+from loamgrid.functions.intmath import div, floor_div, let, mix64, rotated, umod
 from loamgrid.operators.checks import digest, violations
-from loamgrid.operators.geometry import PLANES, centre, convex, edges, even_odd
+from loamgrid.operators.geometry import PLANES, centre, convex, edges, in_parts
 
 #: The least rise of a hip roof in mm, the jitter's share of the trees' spacing, and the rotations of its hash.
 RISE, JITTER, ROTATIONS = 1_500, 5, (17, 29)
@@ -28,23 +28,29 @@ def hip_roofs(objects: DataFrame, most_rise: int) -> DataFrame:
 
 
 def jitter(seed: Column, span: int) -> Column:
-    return (u64(seed) % F.lit(2 * span + 1).cast("decimal(20,0)")).cast("bigint") - span
+    return umod(seed, 2 * span + 1) - span
 
 
-def tree_centres(shapes: DataFrame, spacing: int) -> DataFrame:
-    """id, x and y of trees inside rings (id, ring): points of a world grid, each moved by a hash of the id and the point.
+def tree_centres(shapes: DataFrame, spacing: int, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The columns of keep (id among them), n, x and y of trees inside polygons (id, rings; the first ring without the others): points of
+    a world grid, each moved by a hash of the id and the point. n numbers the grid's points of a shape, in order.
 
-    Rows of the grid are made before its points, so that a large wood is spread over tasks by its rows.
+    Columns of the grid are made before its points, so that a large wood is spread over tasks by its columns. A column's
+    points come out of an array: the test of a point then meets finished numbers, not the hash they come from.
     """
-    low = lambda c: floor_div(F.array_min(F.transform("ring", lambda p: p[c])), spacing) * spacing
-    high = lambda c: F.array_max(F.transform("ring", lambda p: p[c]))
-    step = F.lit(spacing).cast("bigint")
-    rows = shapes.select("id", "ring", F.explode(F.sequence(low("x"), high("x"), step)).alias("_x"))
-    points = rows.select("id", "ring", "_x", F.explode(F.sequence(low("y"), high("y"), step)).alias("_y"))
-    seed = mix64(F.col("id").bitwiseXOR(rotated(F.col("_x"), ROTATIONS[0])).bitwiseXOR(F.col("_y")))
-    span = spacing // JITTER
-    moved = points.withColumn("_s", seed).select("id", "ring", (F.col("_x") + jitter(F.col("_s"), span)).alias("x"), (F.col("_y") + jitter(rotated(F.col("_s"), ROTATIONS[1]), span)).alias("y"))
-    return moved.where(even_odd(F.col("ring"), F.col("x"), F.col("y"))).select("id", "x", "y")
+    outer = F.col("rings")[0]
+    low = lambda c: floor_div(F.array_min(F.transform(outer, lambda p: p[c])), spacing) * spacing
+    high = lambda c: F.array_max(F.transform(outer, lambda p: p[c]))
+    step, span = F.lit(spacing).cast("bigint"), spacing // JITTER
+    columns = shapes.select(*keep, "rings", F.posexplode(F.sequence(low("x"), high("x"), step)).alias("_c", "_x"))
+
+    def moved(y: Column, i: Column) -> Column:
+        seed = mix64(F.col("id").bitwiseXOR(rotated(F.col("_x"), ROTATIONS[0])).bitwiseXOR(y))
+        return let(seed, lambda s: F.struct(i.cast("bigint").alias("i"), (F.col("_x") + jitter(s, span)).alias("x"), (y + jitter(rotated(s, ROTATIONS[1]), span)).alias("y")))
+
+    points = columns.select(*keep, "rings", "_c", F.explode(F.transform(F.sequence(low("y"), high("y"), step), moved)).alias("_p"), F.size(F.sequence(low("y"), high("y"), step)).alias("_rows"))
+    inside = points.where(in_parts(F.array("rings"), F.col("_p")["x"], F.col("_p")["y"]))
+    return inside.select(*keep, (F.col("_c") * F.col("_rows").cast("bigint") + F.col("_p.i")).alias("n"), "_p.x", "_p.y")
 
 
 def patches(records: DataFrame, allowed: list[str]) -> DataFrame:

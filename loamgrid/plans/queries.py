@@ -319,4 +319,4 @@ def st3(spark, sf) -> DataFrame:
     return readiness.attempts(table(spark, sf, "events"))
 
 
-from loamgrid.plans import feature_queries, geometry_queries, kernel_queries, manifest_queries, paint_queries, record_queries, scene_queries  # noqa: E402, F401  (they register theirs)
+from loamgrid.plans import feature_queries, geometry_queries, kernel_queries, manifest_queries, paint_queries, record_queries, render_queries, scene_queries  # noqa: E402, F401  (they register theirs)

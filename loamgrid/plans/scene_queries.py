@@ -33,7 +33,7 @@ p AS (SELECT id, gx + (h % 361)::BIGINT - 180 AS px, gy + ({_ROTATE("h", 29)} %
 e AS (SELECT p.id, px, py, ay, uy, (ux - ax)::HUGEINT * (py - ay) - (uy - ay)::HUGEINT * (px - ax) AS side FROM p JOIN edge d ON p.id = d.id)
 SELECT id, px AS x, py AS y FROM e GROUP BY id, px, py HAVING sum(CASE WHEN (ay > py) <> (uy > py) AND (CASE WHEN uy > ay THEN side > 0 ELSE side < 0 END) THEN 1 ELSE 0 END) % 2 = 1""")
 def tree_centres(spark, sf) -> DataFrame:
-    return scene.tree_centres(rings(spark, sf), 900)
+    return scene.tree_centres(rings(spark, sf).select("id", F.array("ring").alias("rings")), 900).drop("n")
 
 
 PATCHES = {"id": "p_partkey", "patch_id": "CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_name END", "west": "p_partkey % 400 - 200", "east": "p_partkey % 370 - 150", "south": "p_partkey % 200 - 100", "north": "p_size", "sha256": "concat(md5(p_name), CASE WHEN p_partkey % 6 = 0 THEN 'G' ELSE md5('b') END)", "license": "CASE WHEN p_partkey % 5 > 0 THEN 'CC0' END", "kind": "CASE p_partkey % 4 WHEN 0 THEN 'car' WHEN 1 THEN 'tree' ELSE 'water' END"}
