@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 
 from loamgrid.llm.common import removed, small_batches, written
 
-#: Fixed value: the characters of terms, as a regular expression for engines that read text.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The same for bytes of UTF-8: anything else becomes a space, A to Z become small letters.
+#: Terms are runs of ASCII letters and digits and of anything beyond ASCII: of the bytes of UTF-8, all others become a
+#: space, and A to Z become small letters.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: A shard holds so many documents at most, and ends once it has so many bytes of text.
 SHARD_DOCS = 2048
@@ -74,8 +73,14 @@ def built(ids: list[int | None], texts: list[list[bytes]], n_docs: int, n_terms:
 
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
     """(the written table of shards, N): every document with a term is in one shard."""
-    counted = docs.select(F.coalesce(F.regexp_count(text_col, F.lit(TERM)), F.lit(0)).cast("bigint").alias("n")).where("n > 0").agg(F.count("*"), F.sum("n")).first()
-    n_docs, n_terms = counted[0], counted[1] or 0
+    base = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("binary").alias("_text")).where(F.length("_text") > 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = [n for batch in batches for text in batch.column(0) if (n := len(split(text.as_py())))]
+        yield pa.RecordBatch.from_pydict({"docs": [len(sizes)], "terms": [sum(sizes)]})
+
+    with small_batches(docs.sparkSession, 256):
+        n_docs, n_terms = (v or 0 for v in base.select("_text").mapInArrow(count, "docs bigint, terms bigint").agg(F.sum("docs"), F.sum("terms")).first())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
@@ -102,7 +107,6 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         if ids:
             yield shard()
 
-    base = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("binary").alias("_text")).where(F.length("_text") > 0)
     with small_batches(docs.sparkSession, 256):
         return written(base.mapInArrow(build, SHARD), "lexical"), n_docs
 
