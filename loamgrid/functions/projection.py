@@ -49,6 +49,10 @@ def foot_height(feet: Column) -> Column:
     return F.when(mm.between(*HEIGHTS), mm)
 
 
+#: Rounds of the inverse latitude: a fourth one moves nothing by a micrometre.
+ROUNDS = 7
+
+
 def state_plane_degrees(x: Column, y: Column) -> Column:
     """struct(lon, lat) in degrees of state plane survey feet: the inverse of the two-parallel Lambert conic."""
     e = math.sqrt(E2)
@@ -60,12 +64,10 @@ def state_plane_degrees(x: Column, y: Column) -> Column:
     top = AXIS * f * cone(zero) ** n
     east, north = x * (FOOT / 1000) - FALSE[0], top - (y * (FOOT / 1000) - FALSE[1])
     t = F.pow(F.sqrt(east * east + north * north) / (AXIS * f), F.lit(1 / n))
-    chi = math.pi / 2 - 2 * F.atan(t)
-    # The latitude as a series of the conformal latitude, below a micrometre.
-    k = [E2 / 2 + 5 * E2**2 / 24 + E2**3 / 12 + 13 * E2**4 / 360, 7 * E2**2 / 48 + 29 * E2**3 / 240 + 811 * E2**4 / 11520, 7 * E2**3 / 120 + 81 * E2**4 / 1120, 4279 * E2**4 / 161280]
-    phi = chi
-    for i, c in enumerate(k):
-        phi = phi + c * F.sin(2.0 * (i + 1) * chi)
+    first = math.pi / 2 - 2 * F.atan(t)
+    # The latitude as the projection defines it: each round brings the eccentricity's part one order nearer.
+    closer = lambda p: math.pi / 2 - 2 * F.atan(t * F.pow((1 - e * F.sin(p)) / (1 + e * F.sin(p)), F.lit(e / 2)))
+    phi = F.aggregate(F.expr(f"sequence(1, {ROUNDS})"), first, lambda p, _: closer(p))
     return F.struct((F.degrees(F.atan2(east, north)) / n + ORIGIN_LON).alias("lon"), F.degrees(phi).alias("lat"))
 
 

@@ -34,36 +34,85 @@ def triangle_rules(triangles: DataFrame, colours: int, image: str = "image_id")
     return violations(counted, F.concat_ws(":", F.col(image).cast("string"), F.col("key").cast("string")), {"key": (F.col("key") != 0) & (F.col("_n") == 1), "palette": F.col("v").between(0, colours - 1), "vertex": most <= VERTEX, "area": side(0, 1, corner("x", 2), corner("y", 2)) != 0})
 
 
+def turned(triangles: DataFrame) -> DataFrame:
+    """triangles that all turn left, with _area, twice their area (decimal), those without area left out."""
+    back = side(0, 1, corner("x", 2), corner("y", 2)) < 0
+    swap = lambda c, i: F.when(F.col("_t"), corner(c, 3 - i)).otherwise(corner(c, i))
+    t = triangles.withColumn("_t", back).select("image_id", "key", "v", *[corner(c, 0) for c in "xyd"], *[swap(c, i).alias(f"{c}{i}") for c in "xyd" for i in (1, 2)])
+    return t.withColumn("_area", side(0, 1, corner("x", 2), corner("y", 2))).where(F.col("_area") != 0)
+
+
+def row_spans(t: DataFrame, width: int, height: int, exact) -> DataFrame:
+    """turned() triangles with y and _left and _right, the first and last pixel of each row whose samples they cover.
+
+    A sample is on the inner side of an edge where c - dy * 256 * x reaches 0 (1 for edges whose own points do not
+    count), so each edge bounds x by one division. exact: how numbers are multiplied, in BIGINT or in wide decimals.
+    """
+    low = F.greatest(floor_div(F.least(*[corner("y", i) for i in range(3)]) - SAMPLE, SUBPIXELS), F.lit(0))
+    high = F.least(floor_div(F.greatest(*[corner("y", i) for i in range(3)]) - SAMPLE, SUBPIXELS), F.lit(height - 1))
+    rows = t.withColumn("y", F.explode(F.when(low <= high, F.sequence(low, high))))
+    py = F.col("y") * SUBPIXELS + SAMPLE
+    lefts, rights = [F.lit(0).cast("bigint")], [F.lit(width - 1).cast("bigint")]
+    for a, b in ((0, 1), (1, 2), (2, 0)):
+        dx, dy = corner("x", b) - corner("x", a), corner("y", b) - corner("y", a)
+        least = F.when((dy > 0) | ((dy == 0) & (dx > 0)), 0).otherwise(1)
+        c = exact(dx) * exact(py - corner("y", a)) + exact(dy) * exact(corner("x", a) - SAMPLE) - least
+        step = exact(F.greatest(F.abs(dy), F.lit(1)) * SUBPIXELS)
+        rights.append(F.when(dy > 0, floor_div(c, step)).when((dy == 0) & (c < 0), F.lit(-1).cast("bigint")))
+        lefts.append(F.when(dy < 0, -floor_div(c, step)))
+    # Out of an array the span is finished: the test below does not meet the divisions that made it.
+    span = F.explode(F.array(F.struct(F.greatest(*lefts).alias("left"), F.least(*rights).alias("right"))))
+    return rows.withColumn("_s", span).where("_s.left <= _s.right")
+
+
 def covered_pixels(triangles: DataFrame, width: int, height: int) -> DataFrame:
     """A row for each triangle and pixel whose sample lies in it: image_id, y, x, v, key and depth.
 
     Points on an edge belong to the triangle on one side of it only: an edge counts if, turning left round the triangle, it
-    goes up, or to the right. Depth is the weighted mean of the corners', truncated.
+    goes up, or to the right. Depth is the weighted mean of the corners', truncated. Rows of triangles are solved for their
+    spans, so only covered pixels are made; in BIGINT, but for triangles whose products would leave it.
     """
-    turned = side(0, 1, corner("x", 2), corner("y", 2)) < 0
-    swap = lambda c, i: F.when(F.col("_t"), corner(c, 3 - i)).otherwise(corner(c, i))
-    t = triangles.withColumn("_t", turned).select("image_id", "key", "v", *[corner(c, 0) for c in "xyd"], *[swap(c, i).alias(f"{c}{i}") for c in "xyd" for i in (1, 2)]).withColumn("_area", side(0, 1, corner("x", 2), corner("y", 2)))
-    low = lambda c: F.greatest(floor_div(F.least(*[corner(c, i) for i in range(3)]) - SAMPLE, SUBPIXELS), F.lit(0))
-    high = lambda c, n: F.least(floor_div(F.greatest(*[corner(c, i) for i in range(3)]) - SAMPLE, SUBPIXELS), F.lit(n - 1))
-    boxed = t.where(F.col("_area") != 0).withColumns({"_x0": low("x"), "_x1": high("x", width), "_y0": low("y"), "_y1": high("y", height)}).where("_x0 <= _x1 and _y0 <= _y1")
-    each = boxed.withColumn("y", F.explode(F.sequence("_y0", "_y1"))).withColumn("x", F.explode(F.sequence("_x0", "_x1")))
-    px, py = F.col("x") * SUBPIXELS + SAMPLE, F.col("y") * SUBPIXELS + SAMPLE
-    weights = [side((i + 1) % 3, (i + 2) % 3, px, py) for i in range(3)]
-    at = each.withColumns({f"_w{i}": w for i, w in enumerate(weights)})
-
-    def holds(i: int) -> Column:
-        a, b = (i + 1) % 3, (i + 2) % 3
-        counts = (corner("y", a) < corner("y", b)) | ((corner("y", a) == corner("y", b)) & (corner("x", a) < corner("x", b)))
-        return (F.col(f"_w{i}") > 0) | ((F.col(f"_w{i}") == 0) & counts)
-
+    t = turned(triangles)
+    most = F.greatest(*[F.abs(corner(c, i)) for c in "xy" for i in range(3)])
+    deep = F.greatest(*[F.abs(corner("d", i)) for i in range(3)]).cast("double")
+    small = (most < 2**29) & (F.col("_area").cast("double") * deep < 2.0**59)
+
+    def pixels(some: DataFrame, exact) -> DataFrame:
+        each = row_spans(some, width, height, exact).withColumn("x", F.explode(F.sequence("_s.left", "_s.right")))
+        px, py = F.col("x") * SUBPIXELS + SAMPLE, F.col("y") * SUBPIXELS + SAMPLE
+        weight = lambda a, b: exact(corner("x", b) - corner("x", a)) * exact(py - corner("y", a)) - exact(corner("y", b) - corner("y", a)) * exact(px - corner("x", a))
+        return each.withColumns({"_w0": weight(1, 2), "_w1": weight(2, 0), "_w2": weight(0, 1)})
+
+    kept = ["image_id", "y", "x", "v", "key"]
+    narrow = pixels(t.where(small).withColumn("_area", F.col("_area").cast("bigint")), lambda c: c)
+    depth = div(F.col("_w0") * corner("d", 0) + F.col("_w1") * corner("d", 1) + F.col("_w2") * corner("d", 2), F.col("_area"))
+    far = pixels(t.where(~small), wide)
     total = sum((F.col(f"_w{i}").cast("decimal(27,0)") * corner("d", i).cast("decimal(11,0)") for i in (1, 2)), F.col("_w0").cast("decimal(27,0)") * corner("d", 0).cast("decimal(11,0)"))
     area = F.col("_area").cast("decimal(27,0)")
-    depth = ((total - total % area) / area).cast("bigint")
-    return at.where(holds(0) & holds(1) & holds(2)).select("image_id", "y", "x", "v", "key", depth.alias("depth"))
+    return narrow.select(*kept, depth.alias("depth")).unionByName(far.select(*kept, ((total - total % area) / area).cast("bigint").alias("depth")))
+
+
+#: An order of depth, key and colour in one BIGINT: triangles of an image and colours at most.
+TRIANGLES, COLOURS_MOST = 2**23, 2**8
+
+
+def drawn(triangles: DataFrame, width: int, height: int) -> DataFrame:
+    """image_id, y, x, v: the colour of the greatest depth at each pixel, of the lower key among equals.
+
+    Depth, the key's place among the image's and the colour are packed into one number, so that pixels are put together
+    before they are shuffled, in hash tables of plain numbers. Images of more than TRIANGLES triangles, depths beyond 32
+    bits and colours beyond 255 raise an error.
+    """
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("key"), "v"))
+    placed = triangles.withColumn("_v", F.col("v")).withColumn("v", place * COLOURS_MOST + F.col("v"))
+    fits = F.assert_true(F.col("_v").between(0, COLOURS_MOST - 1) & (F.col("v") < TRIANGLES * COLOURS_MOST) & (F.greatest(*[F.abs(corner("d", i)) for i in range(3)]) < 2**31), "too many triangles, or a depth or colour out of range")
+    pixels = covered_pixels(placed.where(fits.isNull()).drop("_v"), width, height)
+    top = pixels.groupBy("image_id", "y", "x").agg(F.max(F.col("depth") * (TRIANGLES * COLOURS_MOST) + F.col("v")).alias("_top"))
+    return top.select("image_id", "y", "x", F.pmod(F.col("_top"), F.lit(COLOURS_MOST)).cast("bigint").alias("v"))
 
 
 def on_top(pixels: DataFrame) -> DataFrame:
-    """The colour of the greatest depth at each pixel of covered_pixels(), of the lower key among equals."""
+    """The colour of the greatest depth at each pixel of covered_pixels(), of the lower key among equals; any numbers."""
     return pixels.groupBy("image_id", "y", "x").agg(F.max_by("v", F.struct("depth", -F.col("key"))).alias("v"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions.durable import written
 from loamgrid.functions.intmath import div, floor_div, let, variation
-from loamgrid.operators.geometry import PLANES, centre, convex, edges
+from loamgrid.operators.geometry import PLANES, centre, convex
 from loamgrid.operators.manifests import projected_box, scene_vertex
 from loamgrid.operators.scene import RISE, tree_centres
 
@@ -35,7 +35,6 @@ CROWN_SPREAD, CROWN_STEP = 1_000, 500
 KEY_STAGE, KEY_ORDINAL, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Triangles of a tile that one task draws in one piece, and pixels that are worked out at once.
 PIECE, CHUNK = 200_000, 1 << 20
-FACE = "struct<a:struct<x:bigint,y:bigint,depth:bigint>,b:struct<x:bigint,y:bigint,depth:bigint>,c:struct<x:bigint,y:bigint,depth:bigint>,v:bigint>"
 
 
 @dataclass(frozen=True)
@@ -125,79 +124,62 @@ def to_layout(x: Column, y: Column, z: Column, style: Style, offset: tuple[int,
     return let(v, lambda p: F.struct(floor_div(p["x"] + offset[0], SUBPIXELS).alias("x"), floor_div(p["y"] + offset[1], SUBPIXELS).alias("y")))
 
 
-def face(a: Column, b: Column, c: Column, v: Column | int) -> Column:
-    return F.struct(a.alias("a"), b.alias("b"), c.alias("c"), (v if isinstance(v, Column) else F.lit(v)).cast("bigint").alias("v"))
+def named(value: str, name: str, body: str) -> str:
+    """SQL: body with name standing for value, worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def solid(faces: Column) -> Column:
-    """The faces that are no mere lines."""
-    turn = lambda f: (f["b"]["x"] - f["a"]["x"]) * (f["c"]["y"] - f["a"]["y"]) - (f["b"]["y"] - f["a"]["y"]) * (f["c"]["x"] - f["a"]["x"])
-    return F.filter(faces, lambda f: turn(f) != 0)
+def vertex(x: str, y: str, z: str, layer: str | int, style: Style, offset: tuple[int, int]) -> str:
+    """SQL: the vertex (x, y, depth) of the layout for a point of the world."""
+    flat = lambda v: f"({v}) * {SUBPIXELS}L div {style.step}"
+    return f"named_struct('x', {flat(f'({x}) - ({y})')} + {offset[0]}L, 'y', {flat(f'({x}) + ({y})')} div 2 - ({z}) * {SUBPIXELS}L div {style.rise} + {offset[1]}L, 'depth', (({x}) + ({y}) + ({z})) * 16L + {layer})"
 
 
-def filled(rings: Column, v: Column | int) -> Column:
-    """The faces that fill rings of vertices (x, y, depth) by the even-odd rule, holes and all.
+def face(a: str, b: str, c: str, v: str | int) -> str:
+    return f"named_struct('a', {a}, 'b', {b}, 'c', {c}, 'v', CAST({v} AS BIGINT))"
 
-    The heights of all vertices cut the plane into strips in which edges do not end. The edges that cross a strip,
-    from left to right, bound trapezoids by twos; each gives two faces. Crossings are interpolated along the edge's own
-    direction and truncated. Strips that an odd number of edges cross (rings that are not closed) give none.
-    """
-    heights = F.array_sort(F.array_distinct(F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p["y"])))))
-    numbered = F.transform(F.flatten(F.transform(rings, lambda r: edges(r))), lambda e, i: F.struct(e["a"].alias("a"), e["b"].alias("b"), i.alias("i")))
-    slanted = F.filter(numbered, lambda e: e["a"]["y"] != e["b"]["y"])
-
-    def at(e: Column, y: Column, c: str) -> Column:
-        return e["a"][c] + div((e["b"][c] - e["a"][c]) * (y - e["a"]["y"]), e["b"]["y"] - e["a"]["y"])
-
-    def strip(low: Column, high: Column, every: Column) -> Column:
-        across = F.filter(every, lambda e: (F.least(e["a"]["y"], e["b"]["y"]) <= low) & (F.greatest(e["a"]["y"], e["b"]["y"]) >= high))
-        end = lambda e, y: F.struct(at(e, y, "x").alias("x"), y.alias("y"), at(e, y, "depth").alias("depth"))
-        cut = F.transform(across, lambda e: let(F.struct(end(e, low).alias("low"), end(e, high).alias("high")), lambda s: F.struct((s["low"]["x"] + s["high"]["x"]).alias("sum"), e["i"].alias("i"), s["low"].alias("low"), s["high"].alias("high"))))
-        pair = lambda o, k: F.array(face(o[2 * k]["low"], o[2 * k + 1]["low"], o[2 * k + 1]["high"], v), face(o[2 * k]["low"], o[2 * k + 1]["high"], o[2 * k]["high"], v))
-        even = lambda o: (F.size(o) > 0) & (F.size(o) % 2 == 0)
-        return let(F.array_sort(cut), lambda o: F.when(even(o), F.flatten(F.transform(F.sequence(F.lit(0), (F.size(o) / 2).cast("int") - 1), lambda k: pair(o, k)))).otherwise(F.array().cast(f"array<{FACE}>")))
-
-    def sweep(s: Column) -> Column:
-        lows = F.slice(s["h"], 1, F.greatest(F.size(s["h"]) - 1, F.lit(0)))
-        return F.flatten(F.transform(lows, lambda low, i: strip(low, s["h"][i + 1], s["e"])))
-
-    return let(F.struct(heights.alias("h"), slanted.alias("e")), sweep)
 
+def ring_edges(ring: str) -> str:
+    """SQL: a ring's edges as structs of both ends."""
+    return f"transform(slice({ring}, 1, greatest(size({ring}) - 1, 0)), (_p, _j) -> named_struct('a', _p, 'b', {ring}[_j + 1]))"
 
-def vertex(p: Column, lift: Column | int, layer: Column | int, style: Style, offset: tuple[int, int]) -> Column:
-    """The vertex (x, y, depth) of the layout for a point of the world, raised by lift."""
-    as_column = lambda v: v if isinstance(v, Column) else F.lit(v).cast("bigint")
-    v = scene_vertex(p["x"], p["y"], p["z"] + as_column(lift), as_column(layer), SUBPIXELS, style.step, style.rise)
-    return let(v, lambda s: F.struct((s["x"] + offset[0]).alias("x"), (s["y"] + offset[1]).alias("y"), s["depth"].alias("depth")))
 
+def chosen(options: tuple[int, ...], i: str) -> str:
+    return f"array({', '.join(map(str, options))})[CAST(({i}) % {len(options)} AS INT)]"
 
-def chosen(options: tuple[int, ...], i: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(o) for o in options]), (i % len(options)).cast("int") + 1)
 
+def solid(faces: str) -> str:
+    """SQL: the faces that are no mere lines."""
+    return f"filter({faces}, f -> (f.b.x - f.a.x) * (f.c.y - f.a.y) - (f.b.y - f.a.y) * (f.c.x - f.a.x) <> 0)"
 
-def crown(style: Style, offset: tuple[int, int]) -> tuple[Column, Column]:
-    """(faces of the crown, faces of its shadow) of a tree at x, y of an object's row."""
-    height = F.greatest("height", F.lit(style.tree_height)).cast("bigint")
-    directions = F.expr("array(" + ", ".join(f"named_struct('x', {x}L, 'y', {y}L)" for x, y in CORNERS) + ")")
-    ground = F.lit(0).cast("bigint")
 
-    def corners(radius: Column, lift: Column | int, layer: int, dx: int = 0, dy: int = 0) -> Column:
-        return F.transform(directions, lambda d: vertex(F.struct((F.col("x") + dx + div(d["x"] * radius, 1000)).alias("x"), (F.col("y") + dy + div(d["y"] * radius, 1000)).alias("y"), ground.alias("z")), lift, layer, style, offset))
+def filled(rings: str, v: str | int) -> str:
+    """SQL: the faces that fill rings of vertices (x, y, depth) by the even-odd rule, holes and all.
 
-    def faces(s: Column) -> Column:
-        rings = F.transform(F.array(F.struct(s["r1"].alias("r"), s["h1"].alias("h")), F.struct(s["r2"].alias("r"), s["h2"].alias("h"))), lambda k: corners(k["r"], k["h"], LAYERS["vegetation"]))
-        apex = vertex(F.struct("x", "y", ground.alias("z")), s["h"], LAYERS["vegetation"], style, offset)
-
-        def eighth(c: Column, i: Column) -> Column:
-            colour = chosen(style.canopy, i + s["v"])
-            low, high = (lambda k: c["rings"][0][k]), (lambda k: c["rings"][1][k])
-            return F.array(face(low(i), low(i + 1), high(i + 1), colour), face(low(i), high(i + 1), high(i), colour), face(high(i), high(i + 1), c["top"], chosen(style.canopy, i)))
-
-        return let(F.struct(rings.alias("rings"), apex.alias("top")), lambda c: F.flatten(F.transform(F.expr("sequence(0, 7)"), lambda i: eighth(c, i))))
-
-    radius = style.tree_radius + variation(F.col("id"), 3) * CROWN_STEP
-    sizes = let(radius, lambda r: F.struct(r.alias("r1"), div(r * 2, 3).alias("r2"), div(height, 3).alias("h1"), div(height * 5, 6).alias("h2"), height.alias("h"), variation(F.col("id"), 4).cast("int").alias("v")))
-    return let(sizes, faces), filled(F.array(corners(F.lit(style.tree_radius).cast("bigint"), 0, LAYERS["terrain"], style.shadow_x, style.shadow_y)), style.shadow)
+    The heights of all vertices cut the plane into strips in which edges do not end. The edges that cross a strip,
+    from left to right, bound trapezoids by twos; each gives two faces. Crossings are interpolated along the edge's own
+    direction and truncated. Strips that an odd number of edges cross (rings that are not closed) give none.
+    """
+    heights = f"array_sort(array_distinct(flatten(transform({rings}, r -> transform(r, p -> p.y)))))"
+    every = f"transform(flatten(transform({rings}, r -> {ring_edges('r')})), (e, i) -> named_struct('a', e.a, 'b', e.b, 'i', i))"
+    at = lambda y, c: f"e.a.{c} + (e.b.{c} - e.a.{c}) * ({y} - e.a.y) div (e.b.y - e.a.y)"
+    end = lambda y: f"named_struct('x', {at(y, 'x')}, 'y', {y}, 'depth', {at(y, 'depth')})"
+    cut = named(f"named_struct('low', {end('low')}, 'high', {end('s.h[j + 1]')})", "q", "named_struct('sum', q.low.x + q.high.x, 'i', e.i, 'low', q.low, 'high', q.high)")
+    across = f"transform(filter(s.e, e -> least(e.a.y, e.b.y) <= low AND greatest(e.a.y, e.b.y) >= s.h[j + 1]), e -> {cut})"
+    l, r = "o[2 * k]", "o[2 * k + 1]"
+    pairs = f"flatten(transform(filter(sequence(0, size(o)), k -> size(o) % 2 = 0 AND 2 * k + 1 < size(o)), k -> array({face(f'{l}.low', f'{r}.low', f'{r}.high', v)}, {face(f'{l}.low', f'{r}.high', f'{l}.high', v)})))"
+    strips = f"flatten(transform(slice(s.h, 1, greatest(size(s.h) - 1, 0)), (low, j) -> {named(f'array_sort({across})', 'o', pairs)}))"
+    return named(f"named_struct('h', {heights}, 'e', filter({every}, e -> e.a.y <> e.b.y))", "s", strips)
+
+
+def crown(style: Style, offset: tuple[int, int]) -> tuple[str, str]:
+    """SQL: (faces of the crown, faces of its shadow) of a tree at x, y, of a row with height and the variations _v3 and _v4."""
+    directions = "array(" + ", ".join(f"named_struct('x', {x}L, 'y', {y}L)" for x, y in CORNERS) + ")"
+    corners = lambda radius, lift, layer, dx=0, dy=0: f"transform({directions}, d -> {vertex(f'x + {dx} + d.x * {radius} div 1000', f'y + {dy} + d.y * {radius} div 1000', lift, layer, style, offset)})"
+    rings = named(f"named_struct('r', {style.tree_radius}L + _v3 * {CROWN_STEP}L, 'h', greatest(height, {style.tree_height}L))", "t", f"named_struct('low', {corners('t.r', 't.h div 3', LAYERS['vegetation'])}, 'high', {corners('(t.r * 2 div 3)', 't.h * 5 div 6', LAYERS['vegetation'])}, 'top', {vertex('x', 'y', 't.h', LAYERS['vegetation'], style, offset)})")
+    colour = chosen(style.canopy, "i + _v4")
+    eighth = f"array({face('c.low[i]', 'c.low[i + 1]', 'c.high[i + 1]', colour)}, {face('c.low[i]', 'c.high[i + 1]', 'c.high[i]', colour)}, {face('c.high[i]', 'c.high[i + 1]', 'c.top', chosen(style.canopy, 'i'))})"
+    return named(rings, "c", f"flatten(transform(sequence(0, 7), i -> {eighth}))"), filled(f"array({corners(f'{style.tree_radius}L', '0L', LAYERS['terrain'], style.shadow_x, style.shadow_y)})", style.shadow)
 
 
 def triangles(objects: DataFrame, style: Style, offset: tuple[int, int]) -> DataFrame:
@@ -208,39 +190,35 @@ def triangles(objects: DataFrame, style: Style, offset: tuple[int, int]) -> Data
     take none. Classes without a layer, null heights and null or empty parts give nothing of what needs them.
     """
     layers, colours = (F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) for d in (LAYERS, style.colours()))
-    known = objects.where(F.col("class").isin(list(LAYERS))).select("id", "class", F.coalesce("height", F.lit(0)).cast("bigint").alias("height"), F.posexplode("parts").alias("part", "rings"))
-    known = known.where(F.size("rings") > 0).withColumns({"layer": F.element_at(layers, F.col("class")).cast("bigint"), "colour": F.element_at(colours, F.col("class")).cast("bigint")})
-    placed = lambda lift, layer, dx=0, dy=0: F.transform("rings", lambda r: F.transform(r, lambda p: vertex(F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y"), p["z"].alias("z")), lift, layer, style, offset)))
-    made = lambda rows, order, seq, stage, faces: rows.select("id", "part", F.lit(order).alias("_order"), seq.alias("_seq"), F.lit(stage).alias("stage"), solid(faces).alias("faces"))
-    none = F.lit(0).cast("bigint")
-    house = known.where("class = 'building' and height > 0")
-    up, low_layer, top = F.col("height"), LAYERS["terrain"], LAYERS["building"]
-
-    def wall(e: Column) -> Column:
-        lifted = F.struct(*[vertex(e[end], lift, top, style, offset).alias(f"{end}{k}") for end in "ab" for k, lift in ((0, 0), (1, up))])
-        light = F.when(e["b"]["x"] - e["a"]["x"] >= e["b"]["y"] - e["a"]["y"], style.building[1]).otherwise(style.building[2])
-        return let(lifted, lambda q: F.array(face(q["a0"], q["b0"], q["b1"], light), face(q["a0"], q["b1"], q["a1"], light)))
-
-    walls = F.flatten(F.transform("rings", lambda r: F.flatten(F.transform(edges(r), wall))))
+    known = objects.where(F.col("class").isin(list(LAYERS))).select("id", "class", F.coalesce("height", F.lit(0)).cast("bigint").alias("height"), F.posexplode("parts").alias("part", "rings")).where(F.size("rings") > 0)
+    varied = {f"_v{n}": variation(F.col("id"), n) for n in (2, 3, 4)}
+    known = known.withColumns({"_layer": F.element_at(layers, F.col("class")).cast("bigint"), "_colour": F.element_at(colours, F.col("class")), **varied})
+    placed = lambda lift, layer, dx=0, dy=0: f"transform(rings, r -> transform(r, p -> {vertex(f'p.x + {dx}', f'p.y + {dy}', f'p.z + {lift}', layer, style, offset)}))"
+    made = lambda rows, order, seq, stage, faces: rows.select("id", "part", F.lit(order).alias("_order"), F.expr(f"{seq} AS _seq"), F.lit(stage).alias("stage"), F.expr(f"{solid(faces)} AS faces"))
     ring = F.col("rings")[0]
-    hipped = F.lit(style.hip_roofs) & (F.size("rings") == 1) & (F.size(ring) - 1 <= PLANES) & convex(ring)
-    mean_z = div(F.aggregate(F.slice(ring, 1, F.size(ring) - 1), none, lambda s, p: s + p["z"]), (F.size(ring) - 1).cast("bigint"))
-    middle = let(centre(ring), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), mean_z.alias("z")))
-    rise = F.least(F.greatest(div(up, 3), F.lit(RISE)), F.lit(style.roof_rise)).cast("bigint")
-    first = variation(F.col("id"), 2).cast("int")
-    hip = let(vertex(middle, up + rise, top, style, offset), lambda apex: F.transform(edges(ring), lambda e: face(vertex(e["a"], up, top, style, offset), vertex(e["b"], up, top, style, offset), apex, chosen(style.roof_faces, e["i"] + first))))
-    trees = tree_centres(known.where("class = 'vegetation'"), style.tree_spacing, ("id", "part", "height"))
+    n = (F.size(ring) - 1).cast("bigint")
+    mean_z = div(F.aggregate(F.slice(ring, 1, F.size(ring) - 1), F.lit(0).cast("bigint"), lambda s, p: s + p["z"]), n)
+    hipped = F.lit(style.hip_roofs) & (F.size("rings") == 1) & (n <= PLANES) & convex(ring)
+    house = known.where("class = 'building' and height > 0").withColumns({"_hip": hipped, "_c": centre(ring), "_z": mean_z})
+    top = LAYERS["building"]
+    corner = lambda p, lift: vertex(f"{p}.x", f"{p}.y", f"{p}.z + {lift}", top, style, offset)
+    light = f"CASE WHEN e.b.x - e.a.x >= e.b.y - e.a.y THEN {style.building[1]} ELSE {style.building[2]} END"
+    ends = f"named_struct('a0', {corner('e.a', 0)}, 'b0', {corner('e.b', 0)}, 'a1', {corner('e.a', 'height')}, 'b1', {corner('e.b', 'height')}, 'v', {light})"
+    wall = named(ends, "q", f"array({face('q.a0', 'q.b0', 'q.b1', 'q.v')}, {face('q.a0', 'q.b1', 'q.a1', 'q.v')})")
+    walls = f"flatten(transform(rings, r -> flatten(transform({ring_edges('r')}, e -> {wall}))))"
+    apex = vertex("_c.x", "_c.y", f"_z + height + least(greatest(height div 3, {RISE}L), {style.roof_rise}L)", top, style, offset)
+    hip = named(apex, "apex", f"transform({ring_edges('rings[0]')}, (e, i) -> {face(corner('e.a', 'height'), corner('e.b', 'height'), 'apex', chosen(style.roof_faces, 'i + _v2'))})")
+    trees = tree_centres(known.where("class = 'vegetation'"), style.tree_spacing, ("id", "part", "height", "_v3", "_v4"))
     crowns, shade = crown(style, offset)
     emitted = [
-        made(known, 0, none, GROUND, filled(placed(0, F.col("layer")), F.col("colour"))), made(trees, 1, F.col("n"), CROWN, crowns), made(house, 2, none, WALL, walls),
-        made(house, 3, none, ROOF, F.when(hipped, hip).otherwise(filled(placed(up, top), style.building[0]))),
-        made(house, 0, none, SHADOW, filled(placed(0, low_layer, style.shadow_x, style.shadow_y), style.shadow)), made(trees, 1, F.col("n"), SHADOW, shade),
+        made(known, 0, "0L", GROUND, filled(placed(0, "_layer"), "_colour")), made(trees, 1, "n", CROWN, crowns), made(house, 2, "0L", WALL, walls), made(house.where("_hip"), 3, "0L", ROOF, hip),
+        made(house.where("NOT _hip"), 3, "0L", ROOF, filled(placed("height", top), style.building[0])), made(house, 0, "0L", SHADOW, filled(placed(0, LAYERS["terrain"], style.shadow_x, style.shadow_y), style.shadow)), made(trees, 1, "n", SHADOW, shade),
     ]
     rows = emitted[0]
     for other in emitted[1:]:
-        rows = rows.unionByName(other)
+        rows = rows.unionAll(other)
     before = Window.partitionBy("id", F.col("stage") == SHADOW).orderBy("part", "_order", "_seq").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.where(F.size("faces") > 0).withColumn("_from", F.coalesce(F.sum(F.size("faces").cast("bigint")).over(before), none))
+    numbered = rows.where(F.size("faces") > 0).withColumn("_from", F.coalesce(F.sum(F.size("faces").cast("bigint")).over(before), F.lit(0).cast("bigint")))
     return numbered.select("id", "stage", "_from", F.posexplode("faces").alias("_i", "_f")).select("id", "stage", (F.col("_from") + F.col("_i")).alias("ordinal"), "_f.*")
 
 

@@ -88,10 +88,10 @@ def cell_of(x: Column, y: Column) -> Column:
     return F.when(col.between(0, GRID_COLUMNS - 1) & row.between(0, GRID_COLUMNS - 1), row * GRID_COLUMNS + col)
 
 
-def mismatched_cells(wanted: DataFrame, found: DataFrame) -> DataFrame:
-    """col, row and problem of cells without evidence ('missing') and of evidence without a cell ('unexpected')."""
-    both = wanted.select("col", "row", F.lit(True).alias("_w")).join(found.select("col", "row", F.lit(True).alias("_f")), ["col", "row"], "full_outer")
-    return both.where("_w is null or _f is null").select("col", "row", F.when(F.col("_w").isNull(), "unexpected").otherwise("missing").alias("problem"))
+def mismatched_cells(wanted: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("col", "row")) -> DataFrame:
+    """The keys and problem of cells without evidence ('missing') and of evidence without a cell ('unexpected')."""
+    both = wanted.select(*keys, F.lit(True).alias("_w")).join(found.select(*keys, F.lit(True).alias("_f")), list(keys), "full_outer")
+    return both.where("_w is null or _f is null").select(*keys, F.when(F.col("_w").isNull(), "unexpected").otherwise("missing").alias("problem"))
 
 
 def inspection(objects: DataFrame) -> DataFrame:

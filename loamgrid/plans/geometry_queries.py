@@ -138,10 +138,12 @@ def crossings(spark, sf) -> DataFrame:
     return g.crossing_pairs(rings(spark, sf).withColumns({"low": y - 100, "high": y + 100}), "id", "low", "high")
 
 
-@query("jn3_uncovered_by_polygons", f"""WITH {POINTS_SQL}, cell AS (SELECT c.c AS col, r.r AS row, c.c * 5000 + 2500 AS px, r.r * 5000 + 2500 AS py FROM range(121) c(c), range(121) r(r)), box AS (SELECT id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY id),
-n AS (SELECT col, row, b.id, px, py FROM cell JOIN box b ON px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1), h AS (SELECT col, row, n.id, sum(CASE WHEN (ay > py) <> (uy > py) AND (CASE WHEN uy > ay THEN side > 0 ELSE side < 0 END) THEN 1 ELSE 0 END) % 2 = 1 AS hit
+@query("jn3_uncovered_by_polygons", f"""WITH {POINTS_SQL}, cell AS (SELECT c.c AS col, r.r AS row FROM range(121) c(c), range(121) r(r)), box AS (SELECT id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY id),
+bc AS (SELECT *, unnest(range(greatest(x0 // 5000 - 1, 0), least(x1 // 5000 + 2, 121))) AS col FROM box), br AS (SELECT *, unnest(range(greatest(y0 // 5000 - 1, 0), least(y1 // 5000 + 2, 121))) AS row FROM bc),
+n AS (SELECT id, col, row, col * 5000 + 2500 AS px, row * 5000 + 2500 AS py FROM br WHERE col * 5000 + 2500 BETWEEN x0 AND x1 AND row * 5000 + 2500 BETWEEN y0 AND y1),
+h AS (SELECT col, row, n.id, sum(CASE WHEN (ay > py) <> (uy > py) AND (CASE WHEN uy > ay THEN side > 0 ELSE side < 0 END) THEN 1 ELSE 0 END) % 2 = 1 AS hit
   FROM (SELECT n.*, e.ay, e.uy, (ux - ax)::HUGEINT * (py - ay) - (uy - ay)::HUGEINT * (px - ax) AS side FROM n JOIN edge e ON n.id = e.id) n GROUP BY col, row, n.id)
-SELECT col, row FROM cell WHERE (col, row) NOT IN (SELECT (col, row) FROM h WHERE hit)""")
+SELECT col, row FROM cell WHERE NOT EXISTS (SELECT 1 FROM h WHERE hit AND h.col = cell.col AND h.row = cell.row)""")
 def uncovered(spark, sf) -> DataFrame:
     cells = spark.range(121 * 121).select(F.expr("id div 121").alias("col"), (F.col("id") % 121).alias("row"))
     shapes = rings(spark, sf).select("id", F.array(F.array("ring")).alias("parts"))

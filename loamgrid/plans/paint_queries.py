@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamgrid.functions import intmath
 from loamgrid.operators import paint
 from loamgrid.plans.geometry_queries import POINTS_SQL, rings
-from loamgrid.plans.inputs import table
+from loamgrid.plans.inputs import RASTERS_SQL, rasters, table
 from loamgrid.plans.registry import query
 
 W, H = 64, 48
@@ -40,7 +40,7 @@ p AS (SELECT t.*, x.x AS x, y.y AS y, {_EDGE(1, 2, 'x.x * 256 + 128', 'y.y * 256
 i AS (SELECT image_id, y, x, v, key, (w0 * d0 + w1 * d1 + w2 * d2) // area AS depth FROM p WHERE {_HOLDS(0, 1, 2)} AND {_HOLDS(1, 2, 0)} AND {_HOLDS(2, 0, 1)})
 SELECT image_id, y, x, arg_max(v, (depth, -key)) AS v FROM i GROUP BY image_id, y, x""".replace(" WHERE p_ok", ""))
 def raster(spark, sf) -> DataFrame:
-    return paint.on_top(paint.covered_pixels(triangles(spark, sf), W, H))
+    return paint.drawn(triangles(spark, sf), W, H)
 
 
 OBJECTS = {"image_id": "p_partkey - p_partkey % 40", "id": "p_partkey", "cx": "p_partkey * 7919 % 70", "cy": "p_partkey * 50021 % 50", "radius": "2 + p_size % 9", "height": "CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size % 12 END"}
@@ -60,24 +60,23 @@ def painted(spark, sf) -> DataFrame:
     return paint.painted(objects(spark, sf), W, H)
 
 
-#: Whole images of 40 x 25 pixels, with 16 colours.
-IMAGE = {"image_id": "(i - i % 1000) / 1000", "y": "(i % 1000 - i % 40) / 40", "x": "i % 40", "v": "(i % 1000 * 7919 + i * 31 + (i - i % 3) * 17) % 977 % 16"}
-IMAGE_SQL = f"img AS (SELECT {', '.join(f'({e.replace(chr(47), chr(47) * 2)})::BIGINT AS {n}' for n, e in IMAGE.items())} FROM range(8000) t(i))"
+#: Images of 64 pixels a side (the last one may have fewer rows), with 16 colours, from the rasters.
+IMAGE_SQL = f"{RASTERS_SQL}, img AS (SELECT raster_id AS image_id, y, x, v % 16 AS v FROM ras)"
 
 
-def image(spark) -> DataFrame:
-    return spark.range(8000).withColumnRenamed("id", "i").selectExpr(*[f"CAST({e} AS BIGINT) AS {n}" for n, e in IMAGE.items()])
+def image(spark, sf) -> DataFrame:
+    return rasters(spark, sf).select(F.col("raster_id").alias("image_id"), "y", "x", (F.col("v") % 16).alias("v"))
 
 
 @query("jn11_shadows", f"WITH {IMAGE_SQL} SELECT image_id, y, x, CASE WHEN (x * 3 + y * 5) % 4 = 0 AND v IN (1, 2, 4, 9, 12, 14) THEN 3 ELSE v END AS v FROM img")
 def shadows(spark, sf) -> DataFrame:
-    return paint.shaded(image(spark), image(spark).where("(x * 3 + y * 5) % 4 = 0"), [1, 2, 4, 9, 12, 14], 3)
+    return paint.shaded(image(spark, sf), image(spark, sf).where("(x * 3 + y * 5) % 4 = 0"), [1, 2, 4, 9, 12, 14], 3)
 
 
 @query("wn6_outlines", f"""WITH {IMAGE_SQL}, f AS (SELECT *, CASE WHEN v IN (5, 6, 7) THEN 1 WHEN v IN (2, 3) THEN 2 ELSE 0 END AS f FROM img), n AS (SELECT a.image_id, a.y, a.x, bool_or(a.f <> b.f) AS other FROM f a JOIN f b ON a.image_id = b.image_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY ALL)
-SELECT f.image_id, f.y, f.x, CASE WHEN f <> 0 AND other AND f.x BETWEEN 1 AND 38 AND f.y BETWEEN 1 AND 23 THEN 13 ELSE v END AS v FROM f JOIN n ON f.image_id = n.image_id AND f.y = n.y AND f.x = n.x""")
+SELECT f.image_id, f.y, f.x, CASE WHEN f <> 0 AND other AND f.x BETWEEN 1 AND 62 AND f.y BETWEEN 1 AND 62 THEN 13 ELSE v END AS v FROM f JOIN n ON f.image_id = n.image_id AND f.y = n.y AND f.x = n.x""")
 def outlines(spark, sf) -> DataFrame:
-    return paint.outlined(image(spark), {5: 1, 6: 1, 7: 1, 2: 2, 3: 2}, 13, 40, 25)
+    return paint.outlined(image(spark, sf), {5: 1, 6: 1, 7: 1, 2: 2, 3: 2}, 13, 64, 64)
 
 
 STYLE = {"subpixels": 256, "roofs": [5, 6], "roof_pattern": 20, "roof_period": 3, "road": 9, "marking": 21, "way_period": 5, "path": 8, "highlight": 22, "terrain": ((1, 2), 3), "athletic": ((12, 13), 4), "parking": ((10, 11), 4)}
@@ -91,29 +90,29 @@ b AS (SELECT *, xor({_ROT}::UBIGINT, ((ay::HUGEINT + 18446744073709551616) % 184
 SELECT image_id, y, x, CASE WHEN v IN (5, 6) AND {_MOD('lx - ly', 3)} = 0 AND {_MOD('lx + ly', 4)} < 2 THEN 20 WHEN v = 9 AND {_MOD('lx + ly', 10)} = 0 AND {_MOD('lx - ly', 8)} < 4 THEN 21 WHEN v = 8 AND {_MOD('lx - ly', 5)} = 0 AND {_MOD('lx + ly', 6)} < 2 THEN 22
   WHEN v = 1 AND h % 3 = 0 THEN 2 WHEN v = 12 AND h % 4 = 0 THEN 13 WHEN v = 10 AND {_MOD('lx + ly', 4)} = 0 THEN 11 ELSE v END AS v FROM d""")
 def patterns(spark, sf) -> DataFrame:
-    return paint.patterned(image(spark), STYLE, -7000, 3000)
+    return paint.patterned(image(spark, sf), STYLE, -7000, 3000)
 
 
 @query("rk16_jn15_masks", f"WITH {IMAGE_SQL} SELECT image_id, y, x, CASE WHEN v IN (1, 2, 3) THEN 0 ELSE 13 END AS v, CASE WHEN v NOT IN (1, 2, 3) THEN '00000d' ELSE '000000' END AS rgb FROM img WHERE TRUE")
 def landmark_masks(spark, sf) -> DataFrame:
     palette = spark.range(14).select(F.col("id").cast("int").alias("v"), F.format_string("%06x", "id").alias("rgb"))
-    return paint.coloured(paint.masked(image(spark), [1, 2, 3], 13), palette)
+    return paint.coloured(paint.masked(image(spark, sf), [1, 2, 3], 13), palette)
 
 
 @query("ag17_colour_changes", f"""WITH {IMAGE_SQL}, p AS (SELECT a.image_id, a.v <> b.v AS c FROM img a JOIN img b ON a.image_id = b.image_id AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.y = a.y + 1 AND b.x = a.x)))
 SELECT image_id, (SELECT count(DISTINCT v) FROM img i WHERE i.image_id = p.image_id) AS colours, count_if(c)::BIGINT * 1000000 // count(*) AS changes_ppm FROM p GROUP BY image_id""")
 def colour_changes(spark, sf) -> DataFrame:
-    return paint.colour_changes(image(spark))
+    return paint.colour_changes(image(spark, sf))
 
 
 @query("ag18_core_coverage", f"WITH {IMAGE_SQL} SELECT image_id, count_if(v * 16 >= 128)::BIGINT * 10000 // 600 AS coverage_bp FROM img WHERE x BETWEEN 5 AND 34 AND y BETWEEN 5 AND 24 GROUP BY image_id")
 def core_coverage(spark, sf) -> DataFrame:
-    return paint.core_coverage(image(spark).withColumn("v", F.col("v") * 16), 5, 30, 20)
+    return paint.core_coverage(image(spark, sf).withColumn("v", F.col("v") * 16), 5, 30, 20)
 
 
 @query("ag21_sf42_tones", f"WITH {IMAGE_SQL}, r AS (SELECT image_id, min(v) FILTER (v > 0) AS lo, max(v) AS hi FROM img GROUP BY image_id) SELECT image_id, y, x, CASE WHEN v > 0 THEN 255 - floor((v - lo) * 220.0::DOUBLE / (hi - lo) + 0.5) ELSE 0 END::BIGINT AS tone FROM img JOIN r USING (image_id)")
 def tones(spark, sf) -> DataFrame:
-    return paint.depth_tones(image(spark))
+    return paint.depth_tones(image(spark, sf))
 
 
 _KEY = lambda i, p, o: f"xor(xor(({i})::UBIGINT, (({p})::UHUGEINT * 11400714819323198485 % 18446744073709551616)::UBIGINT), (({o})::UHUGEINT * 13787848793156543929 % 18446744073709551616)::UBIGINT)"

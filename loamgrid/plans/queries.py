@@ -215,12 +215,6 @@ def jn1(spark, sf) -> DataFrame:
     return joined.select("id", F.col("t.s_name").alias("name"), F.when(F.col("t").isNull(), 7000).otherwise(9500).cast("bigint").alias("confidence_bp"))
 
 
-@query("jn2_unused_ways", "SELECT o_orderkey AS way FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
-def jn2(spark, sf) -> DataFrame:
-    used = table(spark, sf, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("way"))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("way")).join(used, "way", "left_anti")
-
-
 @query("jn5_orphans", "SELECT p_partkey AS id, s AS source FROM (SELECT p_partkey, unnest([p_brand, 'src' || p_partkey % 30]) AS s FROM part) WHERE s NOT IN (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)")
 def jn5(spark, sf) -> DataFrame:
     objects = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array("p_brand", F.concat(F.lit("src"), (F.col("p_partkey") % 30).cast("string"))).alias("source_ids"))

@@ -185,11 +185,11 @@ def accounted(spark, sf) -> DataFrame:
     return checks.accounted(cells(spark, sf))
 
 
-@query("jn16_rights", f"WITH {LOCKS_SQL}, f AS (SELECT p_partkey, concat('s', lpad(p_partkey::VARCHAR, 9, '0')) AS id, CASE WHEN p_partkey % 4 = 0 THEN 'CC0' ELSE 'ODbL' END AS license, p_name AS attribution FROM part), k AS (SELECT * FROM lk WHERE position % 50 <> 7) SELECT f.id, CASE WHEN k.id IS NULL THEN 'unknown' ELSE 'rights' END AS problem FROM f LEFT JOIN k USING (id) WHERE k.id IS NULL OR f.license <> k.license OR f.attribution <> k.attribution")
+@query("jn16_rights", f"WITH {LOCKS_SQL}, f AS (SELECT p_partkey, concat('s', lpad(p_partkey::VARCHAR, 9, '0')) AS id, CASE WHEN p_partkey % 4 = 0 THEN 'CC0' ELSE 'ODbL' END AS license, p_name AS attribution FROM part) SELECT f.id, CASE WHEN k.id IS NULL THEN 'unknown' ELSE 'rights' END AS problem FROM f LEFT JOIN lk k USING (id) WHERE k.id IS NULL OR f.license <> k.license OR f.attribution <> k.attribution")
 def rights(spark, sf) -> DataFrame:
     k = F.col("p_partkey")
     fixture = table(spark, sf, "part").select(F.concat(F.lit("s"), F.lpad(k.cast("string"), 9, "0")).alias("id"), F.when(k % 4 == 0, "CC0").otherwise("ODbL").alias("license"), F.col("p_name").alias("attribution"))
-    return checks.matched_rights(fixture, lock_rows(spark, sf).where("position % 50 <> 7"))
+    return checks.matched_rights(fixture, lock_rows(spark, sf))
 
 
 @query("vl24_tile_requests", "WITH r AS (SELECT o_orderkey AS id, o_orderkey * 7 % 2100 AS side, o_orderkey * 3 % 600 AS guard, 80 AS needed, o_orderkey * 11 % 8000 AS x, o_orderkey * 5 % 3400 AS y FROM orders) " + broken({"side": "side BETWEEN 1 AND 2048", "guard": "guard BETWEEN 80 AND 512", "origin": "x <= 7622 AND y <= 3324"}, "id::VARCHAR", "r"))
@@ -211,11 +211,11 @@ def grid_cells(spark, sf) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", world.cell_of(o * 7919 % 800000, o * 50021 % 800000).alias("cell"))
 
 
-@query("jn4_cell_evidence", f"WITH {CELLS_SQL}, e AS (SELECT DISTINCT col, row FROM cl WHERE artifact_id = 0), w AS (SELECT a.i % 31 AS col, a.i // 31 AS row FROM range(961) a(i) WHERE a.i % 3 <> 0) SELECT coalesce(w.col, e.col) AS col, coalesce(w.row, e.row) AS row, CASE WHEN w.col IS NULL THEN 'unexpected' ELSE 'missing' END AS problem FROM w FULL JOIN e ON w.col = e.col AND w.row = e.row WHERE w.col IS NULL OR e.col IS NULL")
+@query("jn4_cell_evidence", f"WITH {CELLS_SQL}, e AS (SELECT DISTINCT artifact_id, col, row FROM cl), w AS (SELECT artifact_id, a.i % 31 AS col, a.i // 31 AS row FROM (SELECT DISTINCT artifact_id FROM cl), range(961) a(i) WHERE a.i % 3 <> 0) SELECT coalesce(w.artifact_id, e.artifact_id) AS artifact_id, coalesce(w.col, e.col) AS col, coalesce(w.row, e.row) AS row, CASE WHEN w.col IS NULL THEN 'unexpected' ELSE 'missing' END AS problem FROM w FULL JOIN e ON w.artifact_id = e.artifact_id AND w.col = e.col AND w.row = e.row WHERE w.col IS NULL OR e.col IS NULL")
 def cell_evidence(spark, sf) -> DataFrame:
-    grid = spark.range(961).where("id % 3 <> 0").select((F.col("id") % 31).alias("col"), F.expr("id div 31").alias("row"))
-    found = cells(spark, sf).where("artifact_id = 0").select("col", "row").distinct()
-    return world.mismatched_cells(grid, found)
+    found = cells(spark, sf).select("artifact_id", "col", "row").distinct()
+    grid = found.select("artifact_id").distinct().select("artifact_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(960).cast("bigint"))).alias("i")).where("i % 3 <> 0")
+    return world.mismatched_cells(grid.select("artifact_id", (F.col("i") % 31).alias("col"), F.expr("i div 31").alias("row")), found, ("artifact_id", "col", "row"))
 
 
 @query("ag25_inspection", f"WITH {OBJECTS_SQL} SELECT count(*) AS objects, count(name) AS named, count(DISTINCT class) AS classes, (SELECT count(DISTINCT s) FROM (SELECT unnest(source_ids) AS s FROM obj)) AS sources FROM obj")

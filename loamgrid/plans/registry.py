@@ -7,9 +7,11 @@ SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Registers a function (spark, sf_dir) -> DataFrame under a name, with the SQL of the same rows where there is one."""
+    """Registers a function (spark, sf_dir) -> DataFrame under a new name, with the SQL of the same rows where there is one."""
 
     def add(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered already")
         QUERIES[name] = f
         if sql:
             SQL[name] = sql
