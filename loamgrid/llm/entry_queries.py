@@ -141,9 +141,15 @@ tgt AS (SELECT source, rank, source_size, CASE WHEN 3 * source_size <= level * w
   ELSE (arg_min(level, {{'r': source_size / w, 'k': rank}}) FILTER (3 * source_size > level * w) OVER ()) * w END::DOUBLE AS target FROM lev),
 quota AS (SELECT *, ((source_size + 127) // 128)::BIGINT AS blocks FROM tgt),
 quota2 AS (SELECT *, CASE WHEN source_size > 0 THEN least(round(target * blocks / source_size)::BIGINT, 3 * blocks) ELSE 0 END AS quota FROM quota),
-cut AS (SELECT *, coalesce(sum(quota) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM quota2),
-k AS (SELECT rank, blocks, unnest(range(quota)) AS k FROM cut WHERE quota > 0),
-taken_blocks AS (SELECT rank, {_sql_permuted("k % blocks", "blocks", "rank * 16 + k // blocks + 1")} AS block, count(*) AS times FROM k GROUP BY ALL),
+cut AS (SELECT *, sum(quota) OVER ()::BIGINT AS slots FROM quota2),
+shards AS (SELECT shard, slots, least({mixing.SHARD_SLOTS}, slots - shard * {mixing.SHARD_SLOTS}) AS b FROM (SELECT slots, unnest(range((slots + {mixing.SHARD_SLOTS - 1}) // {mixing.SHARD_SLOTS})) AS shard FROM (SELECT max(slots) AS slots FROM cut))),
+share AS (SELECT shard, rank, blocks, c.slots, b * quota // c.slots AS base, b * quota % c.slots AS frac FROM shards s, cut c WHERE quota > 0),
+edge AS (SELECT *, sum(frac) OVER (PARTITION BY shard ORDER BY rank)::BIGINT AS hi, sum(frac) OVER (PARTITION BY shard)::BIGINT AS whole FROM share),
+draw AS (SELECT shard, ('0x' || substr(md5('0/' || shard || '/' || r), 1, 15))::BIGINT % whole AS u FROM (SELECT *, unnest(range(whole // slots)) AS r FROM (SELECT DISTINCT shard, whole, slots FROM edge WHERE whole > 0))),
+drawn AS (SELECT e.shard, e.rank, count(*) AS more FROM draw d JOIN edge e ON d.shard = e.shard AND u >= hi - frac AND u < hi GROUP BY ALL),
+counts AS (SELECT e.shard, e.rank, blocks, (base + coalesce(more, 0))::BIGINT AS n FROM edge e LEFT JOIN drawn d ON e.shard = d.shard AND e.rank = d.rank),
+k AS (SELECT rank, blocks, unnest(range(lo, lo + n)) AS k FROM (SELECT *, (sum(n) OVER (PARTITION BY rank ORDER BY shard ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS lo FROM counts)),
+taken_blocks AS (SELECT rank, {_sql_permuted("k % blocks", "blocks", "rank * 16 + k // blocks + 1")} AS block, count(*) AS times FROM k WHERE k < 3 * blocks GROUP BY ALL),
 placed AS (SELECT s.doc_id, s.size, c.rank, c.source_size, c.target, (coalesce(sum(size) OVER (PARTITION BY c.rank ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT, doc_id, size
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, row_number() OVER () AS n FROM sized s JOIN cut c ON s.source IS NOT DISTINCT FROM c.source),
 seg AS (SELECT n, rank, b AS block, least((b + 1) * 128, start + size) - greatest(b * 128, start) AS words FROM (SELECT *, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS b FROM placed WHERE size > 0)),

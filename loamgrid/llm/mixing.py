@@ -1,11 +1,12 @@
 """Mixing sources to target weights over fixed-length token blocks.
 
-Every source's tokens are packed end to end into blocks. Output slots are dealt to sources by a pseudorandom
-permutation of all slots cut at the sources' quotas: each output shard's source counts are a multinomial draw given
-the quotas, so the sources' totals meet their targets. The draws say how many slots of a shard a source fills; its
-k-th slot over all shards takes the block that the source's permutation of epoch k div blocks gives for k mod blocks.
-Slots and blocks meet in a join by block index. There is a row for each source on the driver's side of the plan: sources
-are thousands at most, documents any number.
+Every source's tokens are packed end to end into blocks. Each output shard draws how many of its slots every source
+fills: the whole part of a source's share of the shard is certain, the slots left over are a seeded multinomial draw
+with the fractional parts of the shares as probabilities. A shard's counts thus have the targets' shares as their mean
+and the least spread that drawing allows, and sums over shards stay near the targets without any shard waiting for
+another. A source's k-th slot, counted over the shards in order, takes the block that the source's permutation of epoch
+k div blocks gives for k mod blocks; slots beyond the cap on repeats stay empty. Slots and blocks meet in a join by block
+index.
 
 Permutations are swap-or-not shuffles: exact on any number of blocks, computed row by row, the same on every run.
 """
@@ -64,46 +65,75 @@ def targets(sized: DataFrame, weights: tuple[int, ...], most: int, block: int) -
     out = out.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("bigint"))
     quota = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("bigint"), most * F.col("blocks"))).otherwise(F.lit(0).cast("bigint"))
     out = out.withColumn("quota", quota)
-    first = F.coalesce(F.sum("quota").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
-    return out.select("source", "rank", "source_size", "target", "blocks", "quota", first.alias("first"), F.sum("quota").over(Window.partitionBy()).alias("slots"))
+    return out.select("source", "rank", "source_size", "target", "blocks", "quota", F.sum("quota").over(Window.partitionBy()).alias("slots"))
 
 
 #: Slots of an output shard of the mix.
-SHARD_SLOTS = 4096
+SHARD_SLOTS = 1024
+#: Ranges of the draw are cut into about so many buckets, by which draws find theirs.
+BUCKETS = 4096
 
 
-def dealt(sources: DataFrame, per_row: int = 8192) -> DataFrame:
-    """slot and rank: the source that a pseudorandom permutation of all slots gives each, cut at the quotas.
-
-    A source's slots are made from runs of per_row of them, so that no task makes all slots of a large source.
-    """
-    runs = sources.where("quota > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota") - 1, F.lit(per_row).cast("bigint"))).alias("_lo"))
-    runs = runs.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "_lo")
-    each = runs.select("*", F.explode(F.sequence(F.col("_lo"), F.least(F.col("_lo") + per_row, F.col("quota")) - 1)).alias("_k"))
-    slot = permuted(F.col("first") + F.col("_k"), F.col("slots"), F.lit(0).cast("bigint"), inverse=True)
-    return each.select(slot.alias("slot"), "rank")
-
-
-def draws(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """shard, rank, n: how many slots of each output shard every source fills, a multinomial draw given the quotas."""
-    return dealt(sources).groupBy(F.expr(f"slot div {shard_slots}").alias("shard"), "rank").agg(F.count("*").alias("n"))
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def deal(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """shard, rank, epoch, block: a row for each output slot, from the draws of the shards.
+def draws(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
+    """shard, rank, n: how many slots of each output shard every source fills.
 
-    A source's k-th slot, counted over the shards in order, takes the block that the permutation of its epoch gives.
+    A share of b slots is b * quota / slots: its whole part is certain, and what is left of the shard is drawn, slot by
+    slot, with the remainders as weights, all in integers. Shards have shard_slots slots, the last one what is left.
     """
-    before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
-    counts = draws(sources, shard_slots).withColumn("_lo", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    # The window leaves the rows of all sources in a few tasks; slots are made in as many as there are shuffle partitions.
-    counts = counts.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "rank")
-    each = counts.select("shard", "rank", F.explode(F.sequence(F.col("_lo"), F.col("_lo") + F.col("n") - 1)).alias("_k")).join(F.broadcast(sources.select("rank", "blocks")), "rank")
+    spark = sources.sparkSession
+    slots = sources.agg(F.max("slots")).first()[0] or 0
+    counts = spark.createDataFrame([], "shard bigint, rank bigint, n bigint")
+    full, rest = divmod(slots, shard_slots)
+    for first, shards, b in ((0, full, shard_slots), (full, int(rest > 0), rest)):
+        if not shards:
+            continue
+        share = F.lit(b) * F.col("quota")
+        parts = sources.where("quota > 0").select("rank", F.expr(f"{b}L * quota div slots").alias("base"), (share % F.col("slots")).alias("frac"))
+        parts = parts.withColumn("hi", F.sum("frac").over(Window.orderBy("rank")))  # a row for each source
+        whole = parts.agg(F.max("hi")).first()[0] or 0
+        left = whole // slots
+        # Runs of shards come first, so that no row holds a number for every shard.
+        runs = parts.where("base > 0").select("rank", "base", F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(first + shards - 1).cast("bigint"), F.lit(8192).cast("bigint"))).alias("_lo"))
+        certain = spread(runs, "rank", "_lo").select(F.explode(F.sequence("_lo", F.least(F.col("_lo") + 8191, F.lit(first + shards - 1)))).alias("shard"), "rank", F.col("base").alias("n"))
+        counts = counts.unionByName(certain)
+        if left:
+            width = -(-whole // BUCKETS)
+            ranges = parts.where("frac > 0").select("rank", "frac", "hi", F.explode(F.sequence(F.expr(f"(hi - frac) div {width}"), F.expr(f"(hi - 1) div {width}"))).alias("_b"))
+            drawn = spark.range(shards * left).select((F.expr(f"id div {left}") + first).alias("shard"), (F.col("id") % left).alias("_r"))
+            drawn = drawn.withColumn("_u", hash60(F.lit(seed), F.col("shard"), F.col("_r")) % whole).withColumn("_b", F.expr(f"_u div {width}"))
+            counts = counts.unionByName(drawn.join(ranges, "_b").where("_u >= hi - frac and _u < hi").select("shard", "rank", F.lit(1).cast("bigint").alias("n")))
+    return counts.groupBy("shard", "rank").agg(F.sum("n").alias("n"))
+
+
+def deal(sources: DataFrame, most: int, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
+    """shard, position, rank, epoch, block: a row for each output slot that is filled, from the draws of the shards.
+
+    A source's k-th slot, counted over the shards in order, takes the block that the permutation of its epoch gives;
+    slots beyond most times the source's blocks stay empty. Positions of a shard are a permutation of its slots.
+    """
+    counts = written(draws(sources, shard_slots, seed), "draws")
+    shards = (counts.agg(F.max("shard")).first()[0] or 0) + 1
+    keyed = counts.withColumn("_key", F.col("shard") * (2**60 // shards))
+    placed = running_offset(keyed, ["rank"], "_key", ["shard"], F.col("n"), shards, "_lo")
+    inside = Window.partitionBy("shard").orderBy("rank")  # a row for each source
+    placed = placed.select("shard", "rank", "n", "_lo", (F.sum("n").over(inside) - F.col("n")).alias("_at"), F.sum("n").over(Window.partitionBy("shard")).alias("_slots"))
+    # The windows leave the rows of all sources in a few tasks; slots are made in as many as there are shuffle partitions.
+    each = spread(placed, "shard", "rank").select("shard", "rank", "_lo", "_at", "_slots", F.explode(F.sequence("_lo", F.col("_lo") + F.col("n") - 1)).alias("_k"))
+    each = each.join(sources.select("rank", "blocks"), "rank").where(F.col("_k") < most * F.col("blocks"))
     epoch = F.expr("_k div blocks")
-    return each.select("shard", "rank", epoch.alias("epoch"), permuted(F.expr("_k % blocks"), F.col("blocks"), F.col("rank") * 16 + epoch + 1).alias("block"))
+    position = permuted(F.col("_at") + F.col("_k") - F.col("_lo"), F.col("_slots"), salted(F.col("shard"), seed))
+    return each.select("shard", position.alias("position"), "rank", epoch.alias("epoch"), permuted(F.expr("_k % blocks"), F.col("blocks"), salted(F.col("rank") * 16 + epoch + 1, seed)).alias("block"))
+
 
+def salted(x: Column, seed: int) -> Column:
+    return F.pmod(x + seed % 2**31 * 1_000_003, F.lit(2**31 - 1))
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 128, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+
+def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 128, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sources, placed, slots) of the mix.
 
     sources: targets(). slots: deal(). placed: a row for each document with id, size, start, rank and spans, of each
@@ -128,16 +158,16 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, b
     spans = F.transform(F.sequence(lo, hi), lambda b: F.struct(b.alias("block"), begin(b).alias("from_word"), (end(b) - begin(b)).alias("n_words")))
     none = F.array(F.struct(F.lit(None).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("from_word"), F.lit(0).cast("bigint").alias("n_words")))
     placed = placed.select(F.col("_id").alias("id"), "size", "start", "rank", F.when(F.col("size") > 0, spans).otherwise(none).alias("spans"), *["_kept"] * bool(kept))
-    return sources, placed, deal(sources)
+    return sources, placed, deal(sources, most, seed=seed)
 
 
-def mix_counts(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 128, id_col: str = "doc_id") -> DataFrame:
-    """How many words of every document the mix takes: id, size, source_size, target and taken.
+def mix_counts(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 128, id_col: str = "doc_id", seed: int = 0) -> DataFrame:
+    """How many words of every document the mix takes: id, size, source_size, target and taken, the words of all slots drawn.
 
     The result has a row for each row of docs, empty and null texts with size and taken 0; docs without rows give no
     rows. No document is taken more than most times. Columns of docs besides id, text and source play no part.
     """
-    sources, placed, slots = plan(docs, weights, most, block, id_col)
+    sources, placed, slots = plan(docs, weights, most, block, id_col, seed=seed)
     # Slots grow with the corpus, though they come from the small table of sources: never to be broadcast.
     times = slots.groupBy("rank", "block").agg(F.count("*").alias("times")).hint("merge")
     seg = placed.select("id", "size", "start", "rank", F.explode("spans").alias("span")).select("id", "size", "start", "rank", "span.*")
@@ -148,13 +178,15 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     return by_doc.join(sources.select("rank", "source_size", "target"), "rank").select(F.col("id").alias(id_col), "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 2048, id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 2048, id_col: str = "doc_id", seed: int = 0, slots: bool = False) -> DataFrame:
     """The mixed corpus: a row for each slot and each document piece in the slot's block, with the columns of docs.
 
+    With slots also mix_shard and mix_position, where the slot lies; a column of docs with one of these names gives way.
+
     text is the piece (words with the white space before them), n_chars its length. A document that fills part of a
     block is a single piece. Documents without words do not enter a mix of words. A text is cut once, where it is read.
     """
-    _, placed, slots = plan(docs, weights, most, block, id_col, keep=docs.columns)
+    _, placed, filled = plan(docs, weights, most, block, id_col, keep=docs.columns, seed=seed)
     text = F.col("_kept.text")
     parts = F.regexp_extract_all(text, F.lit(f"[{SPACE}]*{WORD}[{SPACE}]*$|[{SPACE}]*{WORD}"), F.lit(0))
     piece = lambda p, s: F.coalesce(F.array_join(F.slice(p, (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")), ""), text)
@@ -162,8 +194,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     spans = F.transform(F.array(F.when(F.size("spans") > 1, parts)), lambda p: F.transform("spans", lambda s: F.struct(s["block"].alias("block"), piece(p, s).alias("piece"))))[0]
     rest = F.struct(*[F.col(f"_kept.`{c}`").alias(c) for c in docs.columns if c != "text"])
     pieces = placed.where("size > 0").select("rank", rest.alias("_rest"), F.explode(spans).alias("_span")).select("rank", "_rest", F.col("_span.block").alias("block"), F.col("_span.piece").alias("_piece"))
-    mixed = pieces.join(slots.select("rank", "block").hint("merge"), ["rank", "block"])
+    where = ["shard", "position"] if slots else []
+    mixed = pieces.join(filled.select("rank", "block", *where).hint("merge"), ["rank", "block"])
     made = {"text": F.col("_piece")}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.length("_piece").cast(docs.schema["n_chars"].dataType)
-    return mixed.select(*[made[c] if c in made else F.col("_rest")[c] for c in docs.columns]).toDF(*docs.columns)
+    own = [c for c in docs.columns if not (slots and c in ("mix_shard", "mix_position"))]
+    return mixed.select(*[made[c] if c in made else F.col("_rest")[c] for c in own], *where).toDF(*own, *[f"mix_{c}" for c in where])
