@@ -6,8 +6,6 @@ changes; the watershed works on whole rasters of bounded sides.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +15,6 @@ from loamgrid.functions.durable import components
 NOWHERE = 1_073_741_823
 #: Costs of a straight and of a diagonal step.
 STRAIGHT, DIAGONAL = 3, 4
-#: The largest side of a raster that is worked on in one piece.
-TILE = 4096
 
 
 def along(line: str):
@@ -135,50 +131,3 @@ def chamfer(raster: DataFrame) -> DataFrame:
     slanted = first.withColumn("_down", spread("_d", "down", DIAGONAL)).withColumn("_up", spread("_d", "up", DIAGONAL)).withColumn("_e", F.least("_down", "_up"))
     straight = slanted.withColumn("_row", spread("_e", "row", STRAIGHT)).withColumn("_col", spread("_e", "column", STRAIGHT))
     return straight.select("raster_id", "y", "x", F.coalesce(F.least("_row", "_col"), F.lit(NOWHERE)).cast("bigint").alias("distance"))
-
-
-def watershed(raster: DataFrame) -> DataFrame:
-    """label of every pixel: its marker's, else that of the marker it is reached from at the least highest v; 0 if from none.
-
-    raster: raster_id, y, x, v, marker (0: none) and covered. Ways go over corners, over covered pixels, and never through
-    another marker's pixel. The lower label wins among equal costs. First costs settle, then labels along the edges
-    over which costs were reached. A raster is worked on in one piece, as arrays; images beyond TILE pixels a side are
-    to be cut into tiles with a guard before.
-    """
-
-    def around(values: np.ndarray, fill: int) -> list[np.ndarray]:
-        wide = np.pad(values, 1, constant_values=fill)
-        h, w = values.shape
-        return [wide[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-
-    def flood(rows: pa.Table) -> pa.Table:
-        y, x = (rows.column(c).to_numpy() for c in "yx")
-        top, left = y.min(), x.min()
-        shape = (y.max() - top + 1, x.max() - left + 1)
-        if max(shape) > TILE:
-            raise ValueError(f"a raster has more than {TILE} pixels a side")
-        v, marker, covered = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, bool)
-        for grid, c in ((v, "v"), (marker, "marker"), (covered, "covered")):
-            grid[y - top, x - left] = rows.column(c).to_numpy()
-        free = covered & (marker == 0)
-        none = np.iinfo(np.int64).max
-        cost = np.where(marker > 0, v, none)
-        while True:
-            lowest = np.minimum.reduce(around(cost, none))
-            new = np.where(free & (lowest < none), np.minimum(cost, np.maximum(lowest, v)), cost)
-            if np.array_equal(new, cost):
-                break
-            cost = new
-        label = np.where(marker > 0, marker, none)
-        ways = [(c < none) & (np.maximum(c, v) == cost) for c in around(cost, none)]
-        while True:
-            told = np.minimum.reduce([np.where(ok, near, none) for ok, near in zip(ways, around(label, none), strict=True)])
-            new = np.where(free, np.minimum(label, told), label)
-            if np.array_equal(new, label):
-                break
-            label = new
-        label[label == none] = 0
-        return pa.table({"raster_id": rows.column("raster_id"), "y": rows.column("y"), "x": rows.column("x"), "label": pa.array(label[y - top, x - left], pa.int64())})
-
-    rows = raster.select(F.col("raster_id").cast("bigint").alias("raster_id"), F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), F.col("v").cast("bigint").alias("v"), F.col("marker").cast("bigint").alias("marker"), "covered")
-    return rows.groupBy("raster_id").applyInArrow(flood, "raster_id bigint, y bigint, x bigint, label bigint")

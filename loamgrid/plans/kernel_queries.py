@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.operators import kernels as k
+from loamgrid.operators import watershed
 from loamgrid.plans.inputs import RASTERS_SQL, rasters
 from loamgrid.plans.registry import query
 
@@ -85,5 +86,5 @@ c(raster_id, y, x, v, marker, cost) USING KEY (raster_id, y, x) AS (SELECT raste
 l(raster_id, y, x, v, marker, cost, label) USING KEY (raster_id, y, x) AS (SELECT raster_id, y, x, v, marker, cost, CASE WHEN marker > 0 THEN marker ELSE 1000 END FROM c UNION
   SELECT r.raster_id, r.y, r.x, r.v, r.marker, r.cost, min(n.label) FROM recurring.l r JOIN l n ON r.raster_id = n.raster_id AND abs(r.x - n.x) <= 1 AND abs(r.y - n.y) <= 1 AND greatest(n.cost, r.v) = r.cost WHERE r.marker = 0 GROUP BY r.raster_id, r.y, r.x, r.v, r.marker, r.cost, r.label HAVING min(n.label) < r.label)
 SELECT r.raster_id, r.y, r.x, CASE WHEN label < 1000 THEN label ELSE 0 END::BIGINT AS label FROM ras r LEFT JOIN l USING (raster_id, y, x)""")
-def watershed(spark, sf) -> DataFrame:
-    return k.watershed(covered(spark, sf).select("raster_id", "y", "x", "v", "covered", F.expr(f"CAST(CASE WHEN {_COVERED} THEN {_MARKER} ELSE 0 END AS BIGINT)").alias("marker")))
+def watersheds(spark, sf) -> DataFrame:
+    return watershed.watershed(covered(spark, sf).select("raster_id", "y", "x", "v", "covered", F.expr(f"CAST(CASE WHEN {_COVERED} THEN {_MARKER} ELSE 0 END AS BIGINT)").alias("marker")))
