@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions.durable import written
 from loamgrid.functions.intmath import div, floor_div, let, variation
+from loamgrid.operators.facades import Facade, facades
 from loamgrid.operators.geometry import PLANES, centre, convex
 from loamgrid.operators.manifests import projected_box, scene_vertex
 from loamgrid.operators.scene import RISE, tree_centres
@@ -27,7 +28,7 @@ from loamgrid.operators.scene import RISE, tree_centres
 #: Subpixels of a pixel and where in it it is sampled; pixels round the picture; numbers of the passes;
 #: depth layers of classes, their ground colours in the style, and the directions of a crown's corners in thousandths.
 SUBPIXELS, SAMPLE, MARGIN = 256, 128, 32
-GROUND, WALL, ROOF, CROWN, SHADOW = 1, 2, 3, 4, 5
+GROUND, WALL, ROOF, CROWN, SHADOW, DETAIL = 1, 2, 3, 4, 5, 8
 LAYERS = {"unknown": 0, "terrain": 1, "water": 2, "vegetation": 3, "parking": 4, "athletic-surface": 4, "road": 5, "path": 6, "building": 7}
 CORNERS = ((1000, 0), (707, 707), (0, 1000), (-707, 707), (-1000, 0), (-707, -707), (0, -1000), (707, -707), (1000, 0))
 #: What crowns add to the trees' radius at most, in the guard and by variation, and the multipliers of keys.
@@ -64,6 +65,7 @@ class Style:
     terrain_dither: int = 7
     athletic_dither: int = 5
     parking_lines: int = 4
+    facade: Facade | None = None
 
     def colours(self) -> dict[str, int]:
         return {"unknown": 0, "terrain": self.terrain[0], "water": self.water, "vegetation": self.canopy[0], "parking": self.parking[0], "athletic-surface": self.athletic[0], "road": self.road, "path": self.path, "building": self.building[1]}
@@ -77,6 +79,8 @@ class Style:
         out = np.zeros(256, np.int8)
         out[list(self.canopy)] = 2
         out[[*self.building, *(self.roof_faces if self.hip_roofs else ())]] = 1
+        if self.facade:
+            out[[*self.facade.windows, self.facade.door_colour, self.facade.accent]] = 1
         return out
 
 
@@ -211,9 +215,14 @@ def triangles(objects: DataFrame, style: Style, offset: tuple[int, int]) -> Data
     trees = tree_centres(known.where("class = 'vegetation'"), style.tree_spacing, ("id", "part", "height", "_v3", "_v4"))
     crowns, shade = crown(style, offset)
     emitted = [
-        made(known, 0, "0L", GROUND, filled(placed(0, "_layer"), "_colour")), made(trees, 1, "n", CROWN, crowns), made(house, 2, "0L", WALL, walls), made(house.where("_hip"), 3, "0L", ROOF, hip),
-        made(house.where("NOT _hip"), 3, "0L", ROOF, filled(placed("height", top), style.building[0])), made(house, 0, "0L", SHADOW, filled(placed(0, LAYERS["terrain"], style.shadow_x, style.shadow_y), style.shadow)), made(trees, 1, "n", SHADOW, shade),
+        made(known, 0, "0L", GROUND, filled(placed(0, "_layer"), "_colour")), made(trees, 1, "n", CROWN, crowns), made(house, 2, "0L", WALL, walls), made(house.where("_hip"), 4, "0L", ROOF, hip),
+        made(house.where("NOT _hip"), 4, "0L", ROOF, filled(placed("height", top), style.building[0])), made(house, 0, "0L", SHADOW, filled(placed(0, LAYERS["terrain"], style.shadow_x, style.shadow_y), style.shadow)), made(trees, 1, "n", SHADOW, shade),
     ]
+    if style.facade:
+        quads = facades(house.select("id", "part", "rings", "height"), style.facade)
+        upright = lambda side, end: vertex(f"x{side}", f"y{side}", f"z + {end}", top, style, offset)
+        pane = named(f"named_struct('a', {upright(0, 'low')}, 'b', {upright(1, 'low')}, 'c', {upright(1, 'high')}, 'd', {upright(0, 'high')})", "q", f"array({face('q.a', 'q.b', 'q.c', 'v')}, {face('q.a', 'q.c', 'q.d', 'v')})")
+        emitted.append(made(quads, 3, "n", DETAIL, pane))
     rows = emitted[0]
     for other in emitted[1:]:
         rows = rows.unionAll(other)

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.functions.durable import shared_dir
-from loamgrid.operators import geometry as g
-from loamgrid.operators import publish, render
+from loamgrid.operators import facades, landmarks, publish, render
 from loamgrid.plans.inputs import RASTERS_SQL, rasters, table
 from loamgrid.plans.registry import query
 
@@ -176,3 +175,51 @@ def pyramid_tiles(spark, sf) -> DataFrame:
 @query("hp7_ag14_release", f"WITH {IMAGES_SQL}, {LEVELS_SQL} SELECT id, sha256(string_agg(concat(level, '/', col, '_', row, chr(0), sha256(unhex(hex)), chr(10)), '' ORDER BY level, row, col)) AS set_sha256, count(*) AS n, sum(length(hex) // 2)::BIGINT AS bytes FROM fil GROUP BY id")
 def release(spark, sf) -> DataFrame:
     return publish.release(published(spark, sf))
+
+
+FACADE = facades.Facade()
+_VARIANT = _FOLD(_MIXED("xor(xor(xor(xor(id::UBIGINT, ring::UBIGINT << 11), edge::UBIGINT << 23), floor::UBIGINT << 37), bay::UBIGINT << 49)"))
+
+
+@query("sg3_sg4_openings", f"""WITH {OBJECTS_SQL}, {TREES_SQL}, e0 AS (SELECT w.*, k AS edge, height, ux - ax AS dx, uy - ay AS dy, uz - az AS dz, greatest(abs(ux - ax), abs(uy - ay)) AS len FROM we w JOIN o USING (id) WHERE class = 'building' AND height >= {facades.LEAST_HEIGHT}),
+e1 AS (SELECT *, least(greatest(len // {FACADE.bay}, 1), {facades.BAYS}) AS bays FROM e0 WHERE len >= {FACADE.window[0] * 2}),
+b AS (SELECT *, unnest(range(bays)) AS bay FROM (SELECT *, unnest(range(least(greatest((height - {facades.PLINTH}) // {FACADE.floor}, 1), {facades.FLOORS}))) AS floor FROM e1)),
+v AS (SELECT *, {_VARIANT} AS way, {facades.SILL} + floor * {FACADE.floor} AS low, least({facades.SILL} + floor * {FACADE.floor} + {FACADE.window[1]}, height - {facades.EAVES}) AS high, greatest(least({FACADE.window[0] // 2}, len // (bays + 1) // 3), {facades.HALF_WIDTH}) AS half FROM b),
+q AS (SELECT v.*, part_, row_number() OVER (PARTITION BY id, part ORDER BY ring, edge, floor, bay, part_) - 1 AS n FROM v, range(2) t(part_) WHERE high > low AND way % {facades.BLANK} <> 0 AND (part_ = 0 OR (way % {facades.ACCENT} = 0 AND high + {facades.ACCENT_TO} < height))),
+w AS (SELECT id, part, n, CASE part_ WHEN 0 THEN 'window' ELSE 'accent' END AS kind, ring, edge, floor, bay, ax + dx * (bay + 1) // (bays + 1) AS mx, ay + dy * (bay + 1) // (bays + 1) AS my, az + dz * (bay + 1) // (bays + 1) AS z, dx * half // len AS hx, dy * half // len AS hy,
+  CASE part_ WHEN 0 THEN low + {facades.LIFT} ELSE high + {facades.ACCENT_FROM} END AS low, CASE part_ WHEN 0 THEN high + {facades.LIFT} ELSE high + {facades.ACCENT_TO} END AS high, CASE part_ WHEN 0 THEN [{FACADE.windows[0]}, {FACADE.windows[1]}][(way % 2)::INT + 1] ELSE {FACADE.accent} END AS v FROM q WHERE n < {facades.QUADS}),
+d AS (SELECT *, {_VARY('id', 3)} + 1 AS share FROM (SELECT *, row_number() OVER (PARTITION BY id, part ORDER BY len DESC, edge DESC) AS best FROM e0 WHERE ring = 0) WHERE best = 1 AND len >= {FACADE.door[0] * 2}),
+a AS (SELECT * FROM w UNION ALL SELECT id, part, (SELECT count(*) FROM w WHERE w.id = d.id AND w.part = d.part), 'door', 0, edge, 0, 0, ax + dx * share // 4, ay + dy * share // 4, az + dz * share // 4, dx * {FACADE.door[0] // 2} // len, dy * {FACADE.door[0] // 2} // len, {facades.DOOR_SILL}, least({FACADE.door[1]}, height - {facades.DOOR_FREE}), {FACADE.door_colour} FROM d)
+SELECT id, part::INT AS part, n::BIGINT AS n, kind, ring::INT AS ring, edge::INT AS edge, floor::INT AS floor, bay::INT AS bay, (mx - hx)::BIGINT AS x0, (my - hy)::BIGINT AS y0, (mx + hx)::BIGINT AS x1, (my + hy)::BIGINT AS y1, z::BIGINT AS z, low::BIGINT AS low, high::BIGINT AS high, v::INT AS v FROM a""")
+def openings(spark, sf) -> DataFrame:
+    parts = world(spark, sf).where("class = 'building'").select("id", "height", F.posexplode("parts").alias("part", "rings"))
+    return facades.facades(parts, FACADE)
+
+
+#: Templates of landmarks: a tower with a cap, and a hall with a gate.
+TEMPLATES = [
+    ("tower", 0, "prism", 0, 0, 4000, 4000, 0, 9000, 5, 6), ("tower", 1, "prism", 0, 0, 2500, 2500, 9000, 30000, 5, 6), ("tower", 2, "pyramid", 0, 0, 2500, 2500, 30000, 36000, 7, 18),
+    ("hall", 0, "prism", -1000, 500, 6000, 9000, 0, 7000, 6, 19), ("hall", 1, "panel", -1000, -8550, 1500, 0, 1000, 4000, 15, 15), ("hall", 2, "dome", 0, 0, 1, 1, 0, 1, 1, 1),
+]
+_T = ["template", "part", "kind", "u", "v", "half_u", "half_v", "low", "high", "wall", "roof"]
+_P = lambda c, z: f"{{'x': x + (ux * (u + half_u * {c[0]}) + vx * (v + hv * {c[1]})) // 1000, 'y': y + (uy * (u + half_u * {c[0]}) + vy * (v + hv * {c[1]})) // 1000, 'z': z + {z}}}"
+_L = [_P(c, "low") for c in landmarks.CORNERS]
+_H = [_P(c, "high") for c in landmarks.CORNERS]
+_F = lambda a, b, c, v: f"{{'a': {a}, 'b': {b}, 'c': {c}, 'v': {v}}}"
+_W = lambda i: [_F(_L[i], _L[i + 1], _H[i + 1], "wall"), _F(_L[i], _H[i + 1], _H[i], "wall")]
+_PRISM = ", ".join([f for i in range(4) for f in _W(i)] + [_F(_H[0], _H[1], _H[2], "roof"), _F(_H[0], _H[2], _H[3], "roof")])
+
+
+@query("sg9_sf41_hp13_landmarks", f"""WITH t AS (SELECT * FROM (VALUES {', '.join(map(str, TEMPLATES))}) t({', '.join(_T)})), a AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'tower' WHEN 1 THEN 'hall' ELSE 'gone' END AS template, p_partkey * 7919 % 600000 AS x, p_partkey * 50021 % 600000 AS y, p_partkey % 5 * 100 AS z, p_size * 17 - 300 AS ux, 900 AS uy, -900 AS vx, p_size * 17 - 300 AS vy FROM part),
+m AS (SELECT *, CASE kind WHEN 'panel' THEN 0 ELSE half_v END AS hv FROM a JOIN t USING (template)),
+f AS (SELECT id, part, unnest(CASE kind WHEN 'prism' THEN [{_PRISM}] WHEN 'pyramid' THEN [{', '.join(_F(_L[i], _L[i + 1], _P((0, 0), 'high'), 'roof') for i in range(4))}] ELSE [{', '.join(_W(0))}] END) AS f, generate_subscripts(CASE kind WHEN 'prism' THEN range(10) WHEN 'pyramid' THEN range(4) ELSE range(2) END, 1) AS i FROM m WHERE kind <> 'dome')
+SELECT id, part::INT AS part, row_number() OVER (PARTITION BY id ORDER BY part, i) - 1 AS face, f.a.x::BIGINT AS ax, f.a.y::BIGINT AS ay, f.a.z::BIGINT AS az, f.b.x::BIGINT AS bx, f.b.y::BIGINT AS by_, f.b.z::BIGINT AS bz, f.c.x::BIGINT AS cx, f.c.y::BIGINT AS cy, f.c.z::BIGINT AS cz, f.v::BIGINT AS v FROM f""")
+def landmark_faces(spark, sf) -> DataFrame:
+    kinds = ", ".join(f"{c} {'string' if c in ('template', 'kind') else 'int' if c == 'part' else 'bigint'}" for c in _T)
+    templates = spark.createDataFrame(TEMPLATES, kinds)
+    k, turn = F.col("p_partkey"), F.col("p_size").cast("bigint") * 17 - 300
+    template = F.when(k % 3 == 0, "tower").when(k % 3 == 1, "hall").otherwise("gone")
+    axes = {"ux": turn, "uy": F.lit(900).cast("bigint"), "vx": F.lit(-900).cast("bigint"), "vy": turn}
+    anchors = table(spark, sf, "part").select(k.alias("id"), template.alias("template"), (k * 7919 % 600000).alias("x"), (k * 50021 % 600000).alias("y"), (k % 5 * 100).alias("z"), *[v.alias(c) for c, v in axes.items()])
+    corners = [F.col(f"{p}.{c}").alias("by_" if p + c == "by" else p + c) for p in "abc" for c in "xyz"]
+    return landmarks.set_up(anchors, templates).select("id", "part", "face", *corners, "v")
