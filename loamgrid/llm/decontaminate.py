@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from loamgrid.llm.common import written
+
 #: Items are sent to the tasks in blocks of about so many bytes; a larger benchmark takes more passes.
 BLOCK_BYTES = 16_000_000
 _GAP = re.compile(r"[\W_]+")
@@ -113,13 +117,33 @@ class Matcher:
         return out
 
 
-def sent_blocks(benchmark: DataFrame, item_col: str, item_text: str) -> list:
-    """The items as broadcast lists of (id, plain text), each of about BLOCK_BYTES at most."""
+def sent_blocks(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[tuple[Broadcast, bool]]:
+    """The items as broadcast lists of (id, plain text), each of about BLOCK_BYTES at most, and whether there are several.
+
+    One block is made at a time, and taken back before the next: its pass over the documents must be over by then.
+    """
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    parts = [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items for b in range(blocks)]
-    return [benchmark.sparkSession.sparkContext.broadcast(sorted(((r["item"], plain(r["text"])) for r in p.collect()), key=str)) for p in parts]
+    for b in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        sent = benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(((r["item"], plain(r["text"])) for r in part.collect()), key=str)))
+        yield sent, blocks > 1
+        if blocks > 1:
+            sent.unpersist()
+
+
+#: The matcher of the block that this worker has looked for last, by the block's name and the budget.
+_LAST: dict[tuple[str, float], Matcher] = {}
+
+
+def matcher_of(sent: Broadcast, budget: float) -> Matcher:
+    """The block's matcher, made once for a worker's tasks."""
+    name, items = sent.value
+    if (name, budget) not in _LAST:
+        _LAST.clear()
+        _LAST[name, budget] = Matcher(items, budget)
+    return _LAST[name, budget]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, budget: float = 0.08, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -135,16 +159,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, budget: float = 0.08, id_col:
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     kinds = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {benchmark.schema[item_col].dataType.simpleString()}, distance int, start int, end int"
     out = None
-    for sent in sent_blocks(benchmark, item_col, item_text):
+    for sent, several in sent_blocks(benchmark, item_col, item_text):
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, budget)
+            matcher = matcher_of(sent, budget)
             for batch in batches:
                 rows = [(i, *m) for i, t in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True) for m in matcher.find(plain(t.as_py()))]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column("id").type), pa.array(columns[1], item_type), *(pa.array(c, pa.int32()) for c in columns[2:])], [id_col, item_col, "distance", "start", "end"])
 
         found = base.mapInArrow(look, kinds)
+        found = written(found, "matches") if several else found
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -155,12 +180,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, budget: float = 0.08, text_col:
     Rows are judged where they are read: no text is shuffled. Columns of docs come out as they are, whatever their names.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    for sent in sent_blocks(benchmark, item_col, item_text):
+    for sent, several in sent_blocks(benchmark, item_col, item_text):
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, budget)
+            matcher = matcher_of(sent, budget)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(plain(t.as_py())) for t in batch.column("text")], pa.bool_()))
 
         rows = rows.mapInArrow(keep, rows.schema)
+        rows = written(rows, "clean") if several else rows
     return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -169,6 +169,42 @@ def test_myers_and_matches(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(documents(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()) == [1, 3, 4]
 
 
+def test_matches_in_several_blocks(spark, monkeypatch):
+    """A benchmark of many blocks, each sent, looked for and taken back before the next, gives what one block gives."""
+    docs = documents(spark, TEXTS)
+    items = spark.createDataFrame([(i, TEXTS[i]) for i in range(12) if TEXTS[i]], "item_id bigint, text string")
+    one = sorted(map(tuple, decontaminate.matches(docs, items).collect())), sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    several = sorted(map(tuple, decontaminate.matches(docs, items).collect())), sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect())
+    assert one == several and one[0]
+
+
+def test_seeds_decide_what_a_mix_takes(spark):
+    """Shards draw source counts with the targets' shares; another seed draws others, and takes other words."""
+    docs = documents(spark, [prose(i, 40 + i % 50) for i in range(120)])
+    sized = docs.select("source", mixing.words("text").alias("size"))
+    sources = mixing.targets(sized, (1, 2, 3), 3, 4).cache()
+    drawn = {seed: sorted(map(tuple, mixing.draws(sources, 16, seed).collect())) for seed in (0, 1)}
+    quotas = {r["rank"]: r["quota"] for r in sources.collect()}
+    slots = sum(quotas.values())
+    for rows in drawn.values():
+        shards = {}
+        for shard, rank, n in rows:
+            shards.setdefault(shard, {})[rank] = n
+            b = min(16, slots - shard * 16)
+            assert b * quotas[rank] // slots <= n <= b * quotas[rank] // slots + len(quotas)
+        assert [sum(shards[s].values()) for s in sorted(shards)] == [16] * (slots // 16) + [slots % 16] * (slots % 16 > 0)
+        for rank, quota in quotas.items():
+            assert abs(sum(n for _, r, n in rows if r == rank) - quota) <= 4 * len(shards) ** 0.5
+    assert drawn[0] != drawn[1]
+    taken = {seed: {r["doc_id"]: r["taken"] for r in mixing.mix_counts(docs, block=4, seed=seed).collect()} for seed in (0, 1)}
+    assert taken[0] != taken[1]
+    mixed = mixing.mix(docs, block=4, slots=True)
+    assert mixed.columns == [*docs.columns, "mix_shard", "mix_position"]
+    places = mixed.select("mix_shard", "mix_position", "source").distinct().collect()
+    assert len({(r["mix_shard"], r["mix_position"]) for r in places}) == len(places)  # a slot holds words of one source
+
+
 def plain_bits(samples, text):
     """Code length by dictionaries, byte by byte."""
     seen = {}

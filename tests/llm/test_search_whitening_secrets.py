@@ -130,8 +130,8 @@ def test_whitening_without_variance(spark):
 
 
 def test_whitening_of_extreme_entries():
-    x = whitening.integers(np.array([[1e300, 0.5], [-1e300, 2.0**52 + 0.5]]))
-    assert x[0][0] == int(1e300) * 64 + 1_000_000 and x[1][1] == (2**52) * 64 + 32 + 1_000_000 and x[0][1] == 1_000_032
+    x = whitening.integers(np.array([[1e300, 0.5], [-1e300, 2.0**51 + 0.5]]))
+    assert x[0][0] == int(1e300) * 64 + 1_000_000 and x[1][1] == (2**51) * 64 + 32 + 1_000_000 and x[0][1] == 1_000_032
     z = whitening.centred(x, 2, [int(x[0][0] + x[1][0]), int(x[0][1] + x[1][1])])
     assert whitening.deviations(z) == [None, None]
 
