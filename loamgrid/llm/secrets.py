@@ -39,7 +39,7 @@ HUMP = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
 
 def is_identifier(run: str) -> bool:
-    """Names, paths and numbers: no letters but those of dates, letters of one word, or humps of three letters and more on average with short numbers between."""
+    """Names, paths and numbers: no letters but those of dates, letters of one word, or humps of four letters and more on average with short numbers between."""
     if NUMBER.fullmatch(run):
         return True
     humps = HUMP.findall(run)
@@ -47,7 +47,7 @@ def is_identifier(run: str) -> bool:
     letters = sum(map(len, humps))
     if len(humps) <= 1 and not numbers:
         return True
-    return letters >= 3 * len(humps) and len(numbers) <= max(1, len(humps) // 2) and letters >= 2 * sum(map(len, numbers))
+    return letters >= 4 * len(humps) and len(numbers) <= max(1, len(humps) // 2) and letters >= 2 * sum(map(len, numbers))
 
 
 @lru_cache(maxsize=2)
