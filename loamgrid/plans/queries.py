@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.functions import intmath
+from loamgrid.functions.durable import shared_dir
 from loamgrid.operators import checks, evidence, geometry, masks, pyramid, raster, world
 from loamgrid.plans.registry import QUERIES, SQL, query  # noqa: F401
 from loamgrid.plans.inputs import BOXES_SQL, MASK_SQL, POINTS_SQL, RASTERS_SQL, boxes, mask_pixels, points, rasters, ring_of, table
@@ -290,6 +293,22 @@ def st1(spark, sf) -> DataFrame:
     return readiness.frames(table(spark, sf, "events"))
 
 
+@query("st1_st5_outcomes", f"""WITH {READY_SQL}, a AS (SELECT user_id, min(epoch_us(ts)) AS t1 FROM ready WHERE ready GROUP BY user_id), b AS (SELECT user_id, min(epoch_us(ts)) AS t0 FROM events GROUP BY user_id), e AS (SELECT max(epoch_us(ts)) AS tm FROM events),
+c AS (SELECT user_id, t0, tm, t1 - t0 AS d FROM b LEFT JOIN a USING (user_id), e) SELECT user_id, CASE WHEN d <= 86400000000 THEN d END AS ready_after, coalesce(d > 86400000000, TRUE) AS late FROM c WHERE (d <= 86400000000 AND t0 + d + 1000 < tm) OR (coalesce(d > 86400000000, TRUE) AND t0 + 86400001000 < tm)""")
+def st1_outcomes(spark, sf) -> DataFrame:
+    """A stream over the events' files, whose rows are there once time has passed the last event."""
+    path, key = f"{shared_dir(spark)}/loamgrid/outcomes-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    was = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run = readiness.outcomes_stream(events, 86_400, "0 seconds").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(key, was)
+    return spark.read.schema(readiness.OUTCOME).parquet(f"{path}/out")
+
+
 @query("st5_deadlines", f"WITH {READY_SQL}, a AS (SELECT user_id, min(epoch_us(ts)) AS t1 FROM ready WHERE ready GROUP BY user_id) SELECT user_id, t1 - t0 AS ready_after, coalesce(t1 - t0 > 86400000000, TRUE) AS late FROM (SELECT user_id, min(epoch_us(ts)) AS t0 FROM events GROUP BY user_id) LEFT JOIN a USING (user_id)")
 def st5(spark, sf) -> DataFrame:
     return readiness.deadlines(table(spark, sf, "events"), 86_400)

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: What the events stand for: different signatures, counts of visible tiles, and what a ready scene needs.
@@ -49,34 +50,48 @@ def frames(events: DataFrame) -> DataFrame:
 STATE = "rooted boolean, failed boolean, loading boolean, signature bigint, stable bigint, since bigint"
 
 
+def step(scene: tuple, kind: str, event_id: int, value: float, at: int) -> tuple[tuple, tuple[int, bool] | None]:
+    """The scene after an event at a time (microseconds), and of a frame its number of stable frames and readiness."""
+    rooted, failed, loading, signature, stable, since = scene
+    if kind == "view":
+        loading, stable = True, 0
+    elif kind == "click":
+        loading = False
+    elif kind == "signup":
+        rooted = True
+    elif kind == "error":
+        failed, loading = True, False
+    frame = None
+    if kind == "purchase":
+        now = int(value // 1) % SIGNATURES
+        counts = rooted and not loading and not failed and event_id % TILES >= VISIBLE
+        if now != signature or not counts:
+            since = at
+        stable = (stable + 1 if now == signature else 1) if counts else 0
+        signature = now
+        frame = stable, counts and stable >= STABLE and at - since >= SECONDS * 1_000_000
+    return (rooted, failed, loading, signature, stable, since), frame
+
+
+NEW = (False, False, True, None, 0, 0)
+
+
 def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One scene's events of a micro-batch, taken in (ts, event_id) order."""
-    rooted, failed, loading, signature, stable, since = state.get if state.exists else (False, False, True, None, 0, 0)
+    scene = state.get if state.exists else NEW
     events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
     out = []
     for e in events.itertuples():
-        if e.event_type == "view":
-            loading, stable = True, 0
-        elif e.event_type == "click":
-            loading = False
-        elif e.event_type == "signup":
-            rooted = True
-        elif e.event_type == "error":
-            failed, loading = True, False
-        elif e.event_type == "purchase":
-            now, at = int(e.value // 1) % SIGNATURES, e.ts.value // 1000
-            counts = rooted and not loading and not failed and e.event_id % TILES >= VISIBLE
-            if now != signature or not counts:
-                since = at
-            stable = (stable + 1 if now == signature else 1) if counts else 0
-            signature = now
-            out.append((e.event_id, key[0], stable, counts and stable >= STABLE and at - since >= SECONDS * 1_000_000))
-    state.update((rooted, failed, loading, signature, stable, since))
+        scene, frame = step(scene, e.event_type, e.event_id, e.value, e.ts.value // 1000)
+        if frame:
+            out.append((e.event_id, key[0], *frame))
+    state.update(scene)
     yield pd.DataFrame(out, columns=["event_id", "user_id", "stable", "ready"])
 
 
 def frames_stream(events: DataFrame) -> DataFrame:
-    """frames() on a stream: state is a few fields a scene, so it grows with the scenes and not with the events."""
+    """frames() on a stream whose events come in order of time: state is a few fields a scene, so it grows with the scenes and
+    not with the events. An event that comes a micro-batch late is taken when it comes; outcomes_stream() puts it in its place."""
     return events.groupBy("user_id").applyInPandasWithState(advance, "event_id bigint, user_id bigint, stable bigint, ready boolean", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -104,6 +119,91 @@ def deadlines(events: DataFrame, seconds: int) -> DataFrame:
     return first.join(ready, "user_id", "left").select("user_id", after.alias("ready_after"), (F.coalesce(after, F.lit(2**62)) > seconds * 1_000_000).alias("late"))
 
 
+def outcomes(events: DataFrame, seconds: int) -> DataFrame:
+    """user_id, ready_after (microseconds; null unless ready in time) and late of every scene: deadlines() as they are known at the deadline."""
+    return deadlines(events, seconds).select("user_id", F.when(~F.col("late"), F.col("ready_after")).alias("ready_after"), "late")
+
+
+OUTCOME = "user_id bigint, ready_after bigint, late boolean"
+
+
+class Outcomes(StatefulProcessor):
+    """A scene's events wait until the watermark has passed them, and are then taken in order, whatever batch they came in.
+
+    Timers of event time do both: one at each event's time, and one at the deadline, which fires without any event. A scene
+    that is ready or late gives its row and keeps a mark only, until keep seconds later that goes as well.
+    """
+
+    def __init__(self, seconds: int, keep: int):
+        self.seconds, self.keep = seconds, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.scene = handle.getValueState("scene", STATE + ", first bigint")
+        self.waiting = handle.getListState("waiting", "at bigint, event_id bigint, event_type string, value double")
+        self.done = handle.getValueState("done", "goes bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if not self.done.exists():
+            came = [(int(e.ts.value // 1000), int(e.event_id), e.event_type, float(e.value)) for part in rows for e in part.itertuples()]
+            self.waiting.appendList(came)
+            for at in {after(c[0]) for c in came}:
+                self.handle.registerTimer(at)
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.done.exists():
+            if now >= self.done.get()[0]:
+                self.done.clear()
+            return
+        events = sorted(self.waiting.get())
+        scene, first = (self.scene.get()[:-1], self.scene.get()[-1]) if self.scene.exists() else (NEW, None)
+        outcome, taken = None, 0
+        for at, event_id, kind, value in events:
+            if after(at) > now:
+                break
+            if first is None:
+                first = at
+                self.handle.registerTimer(after(first + self.seconds * 1_000_000))
+            if at - first > self.seconds * 1_000_000:
+                break
+            scene, frame = step(scene, kind, event_id, value, at)
+            taken += 1
+            if frame and frame[1]:
+                outcome = at - first
+                break
+        late = outcome is None and first is not None and now >= after(first + self.seconds * 1_000_000)
+        if outcome is None and not late:
+            self.scene.update((*scene, first))
+            if taken:
+                self.waiting.clear()
+                if events[taken:]:
+                    self.waiting.put(events[taken:])
+            return
+        self.scene.clear()
+        self.waiting.clear()
+        goes = now + self.keep * 1000
+        self.done.update((goes,))
+        self.handle.registerTimer(goes)
+        yield pd.DataFrame({"user_id": [key[0]], "ready_after": pd.array([outcome], "Int64"), "late": [late]})
+
+
+def after(micros_: int) -> int:
+    """The first millisecond after a time."""
+    return micros_ // 1000 + 1
+
+
+def outcomes_stream(events: DataFrame, seconds: int, delay: str, keep: int = 86_400) -> DataFrame:
+    """outcomes() on a stream, each as soon as it is known: rows may come delay out of order; later ones are dropped.
+
+    State lies in the RocksDB store, which the session must be set to: what waits (as many events as the delay spans) and a few
+    fields for each open scene; closed ones keep a mark for keep seconds, so stragglers do not open them again.
+    """
+    fields = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "value").withWatermark("ts", delay)
+    return fields.groupBy("user_id").transformWithStateInPandas(Outcomes(seconds, keep), OUTCOME, "Append", "EventTime")
+
+
 def attempts(events: DataFrame, most: int = 3) -> DataFrame:
     """Retry log: an attempt is allowed if all before it failed transiently and it is among the first most."""
     status = F.element_at(F.array(*[F.lit(s) for s in (200, 404, 408, 429, 500, 503, 206, 425, 502, 504)]), (F.col("event_id") % 10 + 1).cast("int"))
