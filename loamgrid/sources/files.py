@@ -165,7 +165,10 @@ def read_files(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def scanned(spark: SparkSession, path: str) -> DataFrame:
-    """path (under the folder), length and content of all files of a folder, by Spark's own reader of binary files."""
+    """path (under the folder), length and content of all files of a folder, by Spark's own reader of binary files.
+
+    That reader passes over empty files; read_files() with most=-1 lists them too, without opening any.
+    """
     root = re.sub(r"^[a-z0-9]+:/+", "", path).strip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(F.regexp_replace("path", f"^[a-z0-9]+:/+{re.escape(root)}/", "").alias("path"), "length", "content")
