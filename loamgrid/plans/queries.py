@@ -332,4 +332,4 @@ def st3(spark, sf) -> DataFrame:
     return readiness.attempts(table(spark, sf, "events"))
 
 
-from loamgrid.plans import contract_queries, entry_queries, feature_queries, file_queries, geometry_queries, kernel_queries, manifest_queries, paint_queries, record_queries, render_queries, scene_queries  # noqa: E402, F401  (they register theirs)
+from loamgrid.plans import contract_queries, entry_queries, feature_queries, file_queries, geometry_queries, kernel_queries, manifest_queries, paint_queries, record_queries, render_queries, scene_queries, world_queries  # noqa: E402, F401  (they register theirs)
