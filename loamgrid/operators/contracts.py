@@ -157,6 +157,38 @@ def worlds(docs: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
     return f.select(key, number(v, "$.id").alias("feature_id"), text(v, "$.class").alias("class"), text(v, "$.name").alias("name"), F.coalesce(number(v, "$.height_mm"), F.lit(0).cast("bigint")).alias("height_mm"), number(v, "$.confidence_bp").alias("confidence_bp"), names.alias("source_ids"), number(v, "$.parent_id").alias("parent_id"), parts.alias("parts"))
 
 
+#: What an evidence artifact says of itself, its grid, digests, cells of the grid and points of a chunk.
+EVIDENCE = {"schema": "isometric-perception-evidence/v1", "region_id": "stanford-hero-v1", "status": "compiled-prototype-evidence", "compiler": "rust-naip-lidar-consensus-v1"}
+GRID = {"crs": CRS, "origin_easting_mm": 573_200_000, "origin_northing_mm": 4_142_200_000, "min_x_mm": 43_583, "min_y_mm": 86_784, "cell_size_mm": 20_000, "columns": 31, "rows": 31}
+DIGESTS, CELLS, CHUNK = 5, 961, 250_000
+
+
+def evidence_code(v: Column) -> Column:
+    """The first code of an evidence artifact, a variant: root, policy, provenance or accounting; cells are evidence_cells()."""
+    digests = F.when(kind(v, "$.source_sha256").startswith("OBJECT"), F.try_variant_get(v, "$.source_sha256", "map<string,variant>"))
+    cells = items(v, "$.cells")
+    return first_code({
+        "root": is_object(v), "policy": F.array_min(F.array(*[is_value(v, f"$.{k}", x) for k, x in EVIDENCE.items()], is_value(v, "$.contains_source_pixels", False), is_value(v, "$.contains_transients", False), *[is_value(v, f"$.grid.{k}", x) for k, x in GRID.items()])),
+        "provenance": (F.size(digests) == DIGESTS) & F.forall(F.map_entries(digests), lambda e: (e["key"] != "") & F.coalesce(text(e["value"], "$").rlike(SHA256), F.lit(False))),
+        "accounting": (number(v, "$.vector_masked_cell_count") + number(v, "$.evidence_cell_count") == CELLS) & (number(v, "$.evidence_cell_count") == F.size(cells)) & is_value(v, "$.lidar_chunk_points", CHUNK),
+    })
+
+
+def evidence(docs: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
+    """key and code of the first thing wrong with the whole of each evidence artifact."""
+    d = docs.select(F.col(key), F.try_parse_json(F.col(json)).alias("v"))
+    return d.select(key, let(F.struct("v"), lambda s: evidence_code(s["v"])).alias("code")).where("code is not null")
+
+
+def evidence_cells(docs: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
+    """The cells of artifacts whose whole is right: key, position and the fields of checks.evidence_cells(), which judges them."""
+    good = docs.join(evidence(docs, key, json).select(key), key, "left_anti")
+    c = good.select(F.col(key), F.posexplode(items(F.try_parse_json(F.col(json)), "$.cells")).alias("position", "c"))
+    v = F.col("c")
+    fields = {"col": "index.column", "row": "index.row", "height_mm": "height_mm", "confidence_bp": "confidence_bp", "samples": "naip_sample_count", "green_bp": "naip_green_fraction_bp", "vegetation_bp": "lidar_vegetation_fraction_bp", "building_bp": "lidar_building_fraction_bp", "transient_points": "transient_masked_points"}
+    return c.select(key, F.col("position").cast("bigint").alias("position"), text(v, "$.class").alias("class"), text(v, "$.material").alias("material"), *[number(v, f"$.{path}").alias(name) for name, path in fields.items()], F.transform(items(v, "$.source_ids"), lambda s: text(s, "$")).alias("source_ids"))
+
+
 def captures(docs: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
     """key and code of the first thing wrong with each capture request: object, identity, tile, camera, span, lighting or readiness."""
     d = docs.select(F.col(key), F.try_parse_json(F.col(json)).alias("v"))

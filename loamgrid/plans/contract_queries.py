@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.operators import contracts
+from loamgrid.operators import checks, contracts
 from loamgrid.plans.inputs import table
 from loamgrid.plans.registry import query
 
@@ -65,6 +65,28 @@ def origins(spark, sf) -> DataFrame:
     return table(spark, sf, "events").select("event_id", code.alias("problem")).where("problem is not null")
 
 
+_CELL = lambda c, r, cls, h: f'{{"index":{{"column":{c},"row":{r}}},"class":"{cls}",{h}"confidence_bp":8000,"source_ids":["a","b"],"naip_sample_count":9,"naip_green_fraction_bp":5000,"lidar_sample_count":4,"lidar_vegetation_fraction_bp":100,"lidar_building_fraction_bp":0,"transient_masked_points":1}}'
+ARTIFACT = (
+    "{" + ",".join(f'"{k}":"{v}"' for k, v in contracts.EVIDENCE.items()) + ',"contains_source_pixels":false,"contains_transients":false,"grid":{' + ",".join(f'"{k}":{v}' if isinstance(v, int) else f'"{k}":"{v}"' for k, v in contracts.GRID.items())
+    + '},"source_sha256":{' + ",".join(f'"s{i}":"{str(i) * 64}"' for i in range(5)) + '},"vector_masked_cell_count":959,"evidence_cell_count":2,"lidar_chunk_points":250000,"cells":[' + _CELL(3, 4, "terrain", '"material":"grass","height_mm":ID,') + "," + _CELL(4, 4, "unknown", '"material":null,"height_mm":0,') + "]}"
+)
+ARTIFACTS = [
+    ("", "", None, None), ('{"schema"', '["schema"', None, "root"), ("evidence/v1", "evidence/v2", None, "policy"), ('"contains_transients":false', '"contains_transients":null', None, "policy"), ('"columns":31', '"columns":"31"', None, "policy"), ('"min_x_mm":43583', '"min_x_mm":43584', None, "policy"), (f'"s4":"{"4" * 64}"', f'"s4":"{"4" * 63}"', None, "provenance"),
+    ('"s0":', '"":', None, "provenance"), (f',"s4":"{"4" * 64}"', "", None, "provenance"), ('"evidence_cell_count":2', '"evidence_cell_count":3', None, "accounting"), ('"vector_masked_cell_count":959', '"vector_masked_cell_count":960', None, "accounting"), ('"lidar_chunk_points":250000', '"lidar_chunk_points":1', None, "accounting"),
+    ('"column":4', '"column":2', 1, "order"), ('"column":4', '"column":31', 1, "address"), ('"height_mm":0', '"height_mm":7', 1, "unknown"), ('["a","b"],"naip_sample_count":9', '["b","a"],"naip_sample_count":9', None, None),
+]
+
+
+@query("io14_vl9_evidence", f"WITH {expected(ARTIFACTS[:12])} SELECT p_partkey AS id, code FROM part JOIN x ON k = p_partkey % {len(ARTIFACTS)}")
+def evidence(spark, sf) -> DataFrame:
+    return contracts.evidence(documents(spark, sf, ARTIFACT, ARTIFACTS))
+
+
+@query("io14_evidence_cells", f"WITH c AS (SELECT p_partkey AS id, p_partkey % {len(ARTIFACTS)} AS m, n FROM part, range(2) t(n) WHERE p_partkey % {len(ARTIFACTS)} NOT BETWEEN 1 AND 11) SELECT concat(id, ':', n) AS key, unnest(CASE WHEN m = 15 THEN ['sources'] WHEN n = 0 THEN [] WHEN m = 12 THEN ['order'] WHEN m = 13 THEN ['address'] WHEN m = 14 THEN ['unknown'] ELSE [] END) AS check_id FROM c")
+def evidence_cells(spark, sf) -> DataFrame:
+    return checks.evidence_cells(contracts.evidence_cells(documents(spark, sf, ARTIFACT, ARTIFACTS)), "id")
+
+
 CAPTURE = (
     f'{{"schema":"{contracts.CAPTURE}","bundleId":"pilot-ID","provider":"synthetic","sourceEpoch":"2026","tile":{{"regionId":"r","column":-3,"row":4,"coreWidthPx":512,"coreHeightPx":256,"guardPx":64,"millimetersPerPixel":250,"centerLongitudeE7":-1221680000,"centerLatitudeE7":374270000}},'
     '"camera":{"projection":"orthographic","azimuthMillidegrees":45000,"elevationMillidegrees":30000,"targetAltitudeMm":30000,"nearMm":1000,"farMm":900000,"orthographicWidthMm":160000,"orthographicHeightMm":96000,"cameraDistanceMm":500000},"lighting":{"sunAzimuthMillidegrees":135000,"sunElevationMillidegrees":45000},"readiness":{"timeoutMs":60000,"stableFrames":3,"stableDurationMs":500,"minimumVisibleTiles":4}}'
