@@ -29,6 +29,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fanned_out(df: DataFrame, *keys: str) -> DataFrame:
+    """df in as many partitions as there are shuffle partitions, by keys: for few small rows that become many further on,
+    which would else stay in the few tasks that small tables are read or gathered in."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def removed(df: DataFrame) -> None:
     """Deletes a table of written() that nothing will read again."""
     spark = df.sparkSession

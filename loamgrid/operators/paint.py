@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions import intmath
+from loamgrid.functions.durable import fanned_out
 from loamgrid.functions.intmath import div, floor_div
 from loamgrid.operators.checks import violations
 from loamgrid.operators.geometry import edges, wide
@@ -106,7 +107,7 @@ def drawn(triangles: DataFrame, width: int, height: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("key"), "v"))
     placed = triangles.withColumn("_v", F.col("v")).withColumn("v", place * COLOURS_MOST + F.col("v"))
     fits = F.assert_true(F.col("_v").between(0, COLOURS_MOST - 1) & (F.col("v") < TRIANGLES * COLOURS_MOST) & (F.greatest(*[F.abs(corner("d", i)) for i in range(3)]) < 2**31), "too many triangles, or a depth or colour out of range")
-    pixels = covered_pixels(placed.where(fits.isNull()).drop("_v"), width, height)
+    pixels = covered_pixels(fanned_out(placed.where(fits.isNull()).drop("_v"), "image_id", "v"), width, height)
     top = pixels.groupBy("image_id", "y", "x").agg(F.max(F.col("depth") * (TRIANGLES * COLOURS_MOST) + F.col("v")).alias("_top"))
     return top.select("image_id", "y", "x", F.pmod(F.col("_top"), F.lit(COLOURS_MOST)).cast("bigint").alias("v"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgrid.functions.durable import written
+from loamgrid.functions.durable import fanned_out, written
 from loamgrid.functions.intmath import div, floor_div, let, variation
 from loamgrid.operators.facades import Facade, facades
 from loamgrid.operators.geometry import PLANES, centre, convex
@@ -195,6 +195,7 @@ def triangles(objects: DataFrame, style: Style, offset: tuple[int, int]) -> Data
     """
     layers, colours = (F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) for d in (LAYERS, style.colours()))
     known = objects.where(F.col("class").isin(list(LAYERS))).select("id", "class", F.coalesce("height", F.lit(0)).cast("bigint").alias("height"), F.posexplode("parts").alias("part", "rings")).where(F.size("rings") > 0)
+    known = fanned_out(known, "id", "part")
     varied = {f"_v{n}": variation(F.col("id"), n) for n in (2, 3, 4)}
     known = known.withColumns({"_layer": F.element_at(layers, F.col("class")).cast("bigint"), "_colour": F.element_at(colours, F.col("class")), **varied})
     placed = lambda lift, layer, dx=0, dy=0: f"transform(rings, r -> transform(r, p -> {vertex(f'p.x + {dx}', f'p.y + {dy}', f'p.z + {lift}', layer, style, offset)}))"

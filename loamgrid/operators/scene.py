@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.functions.durable import fanned_out
 from loamgrid.functions.intmath import div, floor_div
 from loamgrid.operators.checks import digest, violations
 from loamgrid.operators.geometry import PLANES, centre, convex, edges
@@ -97,7 +98,7 @@ def tree_centres(shapes: DataFrame, spacing: int, keep: tuple[str, ...] = ("id",
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in keep] + [pa.array(v, pa.int64()) for v in (n, x, y)], [*keep, "n", "x", "y"])
 
     kinds = ", ".join(f"`{c}` {runs.schema[c].dataType.simpleString()}" for c in keep)
-    return runs.mapInArrow(plant, f"{kinds}, n bigint, x bigint, y bigint")
+    return fanned_out(runs, "id", "_from").mapInArrow(plant, f"{kinds}, n bigint, x bigint, y bigint")
 
 
 def patches(records: DataFrame, allowed: list[str]) -> DataFrame:
