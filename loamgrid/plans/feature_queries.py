@@ -122,14 +122,14 @@ def local(spark, sf) -> DataFrame:
     return at.select("event_id", "p.x", "p.y")
 
 
-@query("sf3_state_plane", f"""WITH RECURSIVE k AS (SELECT radians(38 + 26 / 60.0::DOUBLE) AS p1, radians(37 + 4 / 60.0::DOUBLE) AS p2, radians(36.5) AS p0, 8.181919104281579e-2 AS e),
-m AS (SELECT *, cos(p1) / sqrt(1 - e * e * sin(p1) ** 2) AS m1, cos(p2) / sqrt(1 - e * e * sin(p2) ** 2) AS m2, tan(pi() / 4 - p1 / 2) / ((1 - e * sin(p1)) / (1 + e * sin(p1))) ** (e / 2) AS t1,
-  tan(pi() / 4 - p2 / 2) / ((1 - e * sin(p2)) / (1 + e * sin(p2))) ** (e / 2) AS t2, tan(pi() / 4 - p0 / 2) / ((1 - e * sin(p0)) / (1 + e * sin(p0))) ** (e / 2) AS t0 FROM k),
-n AS (SELECT *, (ln(m1) - ln(m2)) / (ln(t1) - ln(t2)) AS n FROM m), f AS (SELECT *, m1 / (n * t1 ** n) AS f FROM n),
-pts AS (SELECT event_id, (6060000 + event_id * 7919 % 40000) * 0.3048006096012192e0 - 2000000.0001016e0 AS x, f * {_A} * t0 ** n - ((1970000 + event_id * 104729 % 40000) * 0.3048006096012192e0 - 500000.0001016e0) AS y, n, f, e FROM events, f),
+_N, _F, _TOP = (f"{v!r}e0" for v in projection.cone_constants())
+
+
+@query("sf3_state_plane", f"""WITH RECURSIVE f AS (SELECT {_N} AS n, {_F} AS f, {_TOP} AS top, sqrt({projection.GRS80!r}e0) AS e),
+pts AS (SELECT event_id, (6060000 + event_id * 7919 % 40000) * 0.3048006096012192e0 - 2000000.0001016e0 AS x, top - ((1970000 + event_id * 104729 % 40000) * 0.3048006096012192e0 - 500000.0001016e0) AS y, n, f, e FROM events, f),
 s AS (SELECT event_id, atan2(x, y) / n - radians(2.5) AS dl, (sqrt(x * x + y * y) / ({_A} * f)) ** (1 / n) AS t, e FROM pts),
 it AS (SELECT event_id, dl, t, e, 0 AS i, pi() / 2 - 2 * atan(t) AS phi FROM s UNION ALL SELECT event_id, dl, t, e, i + 1, pi() / 2 - 2 * atan(t * ((1 - e * sin(phi)) / (1 + e * sin(phi))) ** (e / 2)) FROM it WHERE i < 7),
-ll AS (SELECT event_id, degrees(phi) AS lat, degrees(dl) - 118.0 AS lon0, dl FROM it WHERE i = 7), {_UTM.split("), ", 1)[1].replace("lon + 123", "degrees(dl) + 5").replace("event_id, lon, lat,", "event_id,")}
+ll AS (SELECT event_id, degrees(phi) AS lat, degrees(dl) - 118.0 AS lon0, dl FROM it WHERE i = 7), {_UTM.split("), ", 1)[1].replace("lon + 123", "degrees(dl) + 5").replace("event_id, lon, lat,", "event_id,").replace(_E, f"{projection.GRS80!r}e0")}
 SELECT event_id, round(e * 100)::BIGINT AS easting_cm, round(nn * 100)::BIGINT AS northing_cm FROM utm""")
 def state_plane(spark, sf) -> DataFrame:
     e = F.col("event_id")
