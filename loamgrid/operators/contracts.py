@@ -14,8 +14,10 @@ from loamgrid.functions.intmath import let
 from loamgrid.operators.geometry import doubled_area, first_broken
 
 SAFE_INTEGER = 2**53 - 1
-#: Schemas, the coordinate system and the licence of worlds; classes; reviews that need a note.
-FIXTURE, ARTIFACT, RELEASE, CAPTURE = "isometric-world-fixture/v1", "isometric-world/v1", "isometric-release/v1", "isometric-capture/v1"
+#: Names that documents give themselves: schemas and how styles begin. They are defaults of parameters, for documents of any
+#: make state their own.
+FIXTURE, RELEASE, CAPTURE, STYLES = "world-fixture/v1", "release/v1", "capture/v1", "v1."
+#: The coordinate system and the licence of worlds; classes; reviews that need a note.
 CRS, LICENSE, EPSG = "local integer millimeters derived from EPSG:26910", "CC-BY-4.0", 26_910
 CLASSES = ["terrain", "water", "road", "path", "athletic-surface", "parking", "building", "vegetation", "unknown"]
 NOTED = ["accepted-override", "unreviewed-conflict"]
@@ -103,7 +105,7 @@ def origin_code(epsg: Column, easting: Column, northing: Column, elevation: Colu
     return F.when(~F.coalesce(ok, F.lit(False)), "origin")
 
 
-def fixtures(docs: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
+def fixtures(docs: DataFrame, key: str = "id", json: str = "json", schema: str = FIXTURE) -> DataFrame:
     """key, place and code of the first thing wrong with each document, or, if nothing is wrong with the whole, with each feature.
 
     place is null for the document and the number of the feature (from 0) for features. Text that is no JSON, and JSON that
@@ -111,7 +113,7 @@ def fixtures(docs: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
     """
     d = docs.select(F.col(key), F.try_parse_json(F.col(json)).alias("v"))
     v = F.col("v")
-    whole = lambda v: is_value(v, "$.schema", FIXTURE)
+    whole = lambda v: is_value(v, "$.schema", schema)
     sources = items(v, "$.sources")
     named = F.filter(sources, lambda s: is_object(s) & is_text(s, "$.id", "") & is_text(s, "$.license", "") & is_text(s, "$.attribution", ""))
     known = F.array_distinct(F.transform(named, lambda s: text(s, "$.id")))
@@ -144,10 +146,10 @@ def feature_code(f: Column, known: Column, ids: Column, place: Column) -> Column
     return F.coalesce(broken, geometry, orphan)
 
 
-def worlds(docs: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
+def worlds(docs: DataFrame, key: str = "id", json: str = "json", schema: str = FIXTURE) -> DataFrame:
     """The features of documents that fixtures() finds whole: key, id, class, name, height_mm, confidence_bp, source_ids, parent_id and
     parts, polygons of rings of points x, y, z. Documents with a code, of their own or of a feature, give nothing."""
-    good = docs.join(fixtures(docs, key, json).select(key).distinct(), key, "left_anti")
+    good = docs.join(fixtures(docs, key, json, schema).select(key).distinct(), key, "left_anti")
     f = good.select(F.col(key), F.explode(items(F.try_parse_json(F.col(json)), "$.features")).alias("f"))
     v = F.col("f")
     point = lambda p: F.struct(*[number(p, f"$[{i}]").alias(c) for i, c in enumerate("xyz")])
@@ -157,45 +159,46 @@ def worlds(docs: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
     return f.select(key, number(v, "$.id").alias("feature_id"), text(v, "$.class").alias("class"), text(v, "$.name").alias("name"), F.coalesce(number(v, "$.height_mm"), F.lit(0).cast("bigint")).alias("height_mm"), number(v, "$.confidence_bp").alias("confidence_bp"), names.alias("source_ids"), number(v, "$.parent_id").alias("parent_id"), parts.alias("parts"))
 
 
-#: What an evidence artifact says of itself, its grid, digests, cells of the grid and points of a chunk.
-EVIDENCE = {"schema": "isometric-perception-evidence/v1", "region_id": "stanford-hero-v1", "status": "compiled-prototype-evidence", "compiler": "rust-naip-lidar-consensus-v1"}
+#: What an evidence artifact calls itself, by default.
+EVIDENCE = {"schema": "perception-evidence/v1", "region_id": "hero-v1", "status": "compiled-prototype-evidence", "compiler": "naip-lidar-consensus-v1"}
+#: Its grid, digests, cells of the grid and points of a chunk.
 GRID = {"crs": CRS, "origin_easting_mm": 573_200_000, "origin_northing_mm": 4_142_200_000, "min_x_mm": 43_583, "min_y_mm": 86_784, "cell_size_mm": 20_000, "columns": 31, "rows": 31}
 DIGESTS, CELLS, CHUNK = 5, 961, 250_000
 
 
-def evidence_code(v: Column) -> Column:
+def evidence_code(v: Column, names: dict[str, str]) -> Column:
     """The first code of an evidence artifact, a variant: root, policy, provenance or accounting; cells are evidence_cells()."""
     digests = F.when(kind(v, "$.source_sha256").startswith("OBJECT"), F.try_variant_get(v, "$.source_sha256", "map<string,variant>"))
     cells = items(v, "$.cells")
     return first_code({
-        "root": is_object(v), "policy": F.array_min(F.array(*[is_value(v, f"$.{k}", x) for k, x in EVIDENCE.items()], is_value(v, "$.contains_source_pixels", False), is_value(v, "$.contains_transients", False), *[is_value(v, f"$.grid.{k}", x) for k, x in GRID.items()])),
+        "root": is_object(v), "policy": F.array_min(F.array(*[is_value(v, f"$.{k}", x) for k, x in names.items()], is_value(v, "$.contains_source_pixels", False), is_value(v, "$.contains_transients", False), *[is_value(v, f"$.grid.{k}", x) for k, x in GRID.items()])),
         "provenance": (F.size(digests) == DIGESTS) & F.forall(F.map_entries(digests), lambda e: (e["key"] != "") & F.coalesce(text(e["value"], "$").rlike(SHA256), F.lit(False))),
         "accounting": (number(v, "$.vector_masked_cell_count") + number(v, "$.evidence_cell_count") == CELLS) & (number(v, "$.evidence_cell_count") == F.size(cells)) & is_value(v, "$.lidar_chunk_points", CHUNK),
     })
 
 
-def evidence(docs: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
+def evidence(docs: DataFrame, key: str = "id", json: str = "json", names: dict[str, str] = EVIDENCE) -> DataFrame:
     """key and code of the first thing wrong with the whole of each evidence artifact."""
     d = docs.select(F.col(key), F.try_parse_json(F.col(json)).alias("v"))
-    return d.select(key, let(F.struct("v"), lambda s: evidence_code(s["v"])).alias("code")).where("code is not null")
+    return d.select(key, let(F.struct("v"), lambda s: evidence_code(s["v"], names)).alias("code")).where("code is not null")
 
 
-def evidence_cells(docs: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
+def evidence_cells(docs: DataFrame, key: str = "id", json: str = "json", names: dict[str, str] = EVIDENCE) -> DataFrame:
     """The cells of artifacts whose whole is right: key, position and the fields of checks.evidence_cells(), which judges them."""
-    good = docs.join(evidence(docs, key, json).select(key), key, "left_anti")
+    good = docs.join(evidence(docs, key, json, names).select(key), key, "left_anti")
     c = good.select(F.col(key), F.posexplode(items(F.try_parse_json(F.col(json)), "$.cells")).alias("position", "c"))
     v = F.col("c")
     fields = {"col": "index.column", "row": "index.row", "height_mm": "height_mm", "confidence_bp": "confidence_bp", "samples": "naip_sample_count", "green_bp": "naip_green_fraction_bp", "vegetation_bp": "lidar_vegetation_fraction_bp", "building_bp": "lidar_building_fraction_bp", "transient_points": "transient_masked_points"}
     return c.select(key, F.col("position").cast("bigint").alias("position"), text(v, "$.class").alias("class"), text(v, "$.material").alias("material"), *[number(v, f"$.{path}").alias(name) for name, path in fields.items()], F.transform(items(v, "$.source_ids"), lambda s: text(s, "$")).alias("source_ids"))
 
 
-def captures(docs: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
+def captures(docs: DataFrame, key: str = "id", json: str = "json", schema: str = CAPTURE) -> DataFrame:
     """key and code of the first thing wrong with each capture request: object, identity, tile, camera, span, lighting or readiness."""
     d = docs.select(F.col(key), F.try_parse_json(F.col(json)).alias("v"))
-    return d.select(key, let(F.col("v"), capture_code).alias("code")).where("code is not null")
+    return d.select(key, let(F.col("v"), lambda x: capture_code(x, schema)).alias("code")).where("code is not null")
 
 
-def capture_code(v: Column) -> Column:
+def capture_code(v: Column, schema: str) -> Column:
     """The first code of a capture request, a variant."""
     span = lambda side: number(v, f"$.tile.{side}") + 2 * number(v, "$.tile.guardPx")
     between = lambda group, fields: [is_integer(v, f"$.{group}.{f}", low, high) for f, (low, high) in fields.items()]
@@ -208,7 +211,7 @@ def capture_code(v: Column) -> Column:
     mm = number(v, "$.tile.millimetersPerPixel")
     rules = {
         "object": is_object(v),
-        "identity": every([is_value(v, "$.schema", CAPTURE), is_text(v, "$.bundleId", identifier), F.coalesce(text(v, "$.provider").isin(PROVIDERS), F.lit(False)), is_text(v, "$.sourceEpoch"), *[at(v, f"$.{g}").isNotNull() for g in ("tile", "camera", "lighting", "readiness")]]),
+        "identity": every([is_value(v, "$.schema", schema), is_text(v, "$.bundleId", identifier), F.coalesce(text(v, "$.provider").isin(PROVIDERS), F.lit(False)), is_text(v, "$.sourceEpoch"), *[at(v, f"$.{g}").isNotNull() for g in ("tile", "camera", "lighting", "readiness")]]),
         "tile": every([is_text(v, "$.tile.regionId", identifier), *between("tile", tile), F.coalesce((span("coreWidthPx") <= PIXELS) & (span("coreHeightPx") <= PIXELS), F.lit(False))]),
         "camera": every([is_value(v, "$.camera.projection", "orthographic"), *between("camera", camera), F.coalesce((far > near) & (number(v, "$.camera.cameraDistanceMm") > near) & (number(v, "$.camera.cameraDistanceMm") < far), F.lit(False))]),
         "span": (number(v, "$.camera.orthographicWidthMm") == span("coreWidthPx") * mm) & (number(v, "$.camera.orthographicHeightMm") == span("coreHeightPx") * mm),
@@ -217,18 +220,18 @@ def capture_code(v: Column) -> Column:
     return first_code(rules)
 
 
-def releases(docs: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
+def releases(docs: DataFrame, key: str = "id", json: str = "json", schema: str = RELEASE, styles: str = STYLES) -> DataFrame:
     """key, valid, and of valid release documents style_id, style_sha256, world_sha256, width, height, tile_count, encoded_bytes and
     tile_set_sha256: what a page may show of a release. A document that claims to be qualified is not valid."""
     d = docs.select(F.col(key), F.try_parse_json(F.col(json)).alias("v"))
     v = F.col("v")
-    d = d.withColumn("valid", let(v, lambda x: F.array_min(F.array(*release_rules(x)))))
+    d = d.withColumn("valid", let(v, lambda x: F.array_min(F.array(*release_rules(x, schema, styles)))))
     shown = lambda c: F.when(F.col("valid"), c)
     return d.select(key, "valid", *[shown(text(v, f"$.{c}")).alias(c) for c in ("style_id", "style_sha256", "world_sha256")], *[shown(number(v, f"$.dzi.{c}")).alias(c) for c in COUNTS], shown(text(v, "$.dzi.tile_set_sha256")).alias("tile_set_sha256"))
 
 
-def release_rules(v: Column) -> list[Column]:
-    return [is_value(v, "$.schema", RELEASE), is_value(v, "$.status", "artifact-candidate"), is_value(v, "$.qualified", False), is_text(v, "$.style_id", r"^stanford_v1\."), is_text(v, "$.style_sha256", SHA256), is_text(v, "$.world_sha256", SHA256), is_value(v, "$.dzi.descriptor", "hero.dzi"), is_value(v, "$.dzi.format", "webp"), is_value(v, "$.dzi.tile_size", 512), is_value(v, "$.dzi.overlap", 0), *[is_integer(v, f"$.dzi.{c}", 1, SAFE_INTEGER) for c in COUNTS], is_text(v, "$.dzi.tile_set_sha256", SHA256)]
+def release_rules(v: Column, schema: str, styles: str) -> list[Column]:
+    return [is_value(v, "$.schema", schema), is_value(v, "$.status", "artifact-candidate"), is_value(v, "$.qualified", False), F.coalesce(text(v, "$.style_id").startswith(styles), F.lit(False)), is_text(v, "$.style_sha256", SHA256), is_text(v, "$.world_sha256", SHA256), is_value(v, "$.dzi.descriptor", "hero.dzi"), is_value(v, "$.dzi.format", "webp"), is_value(v, "$.dzi.tile_size", 512), is_value(v, "$.dzi.overlap", 0), *[is_integer(v, f"$.dzi.{c}", 1, SAFE_INTEGER) for c in COUNTS], is_text(v, "$.dzi.tile_set_sha256", SHA256)]
 
 
 def chains(documents: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ CAPTURE = (
     '"camera":{"projection":"orthographic","azimuthMillidegrees":45000,"elevationMillidegrees":30000,"targetAltitudeMm":30000,"nearMm":1000,"farMm":900000,"orthographicWidthMm":160000,"orthographicHeightMm":96000,"cameraDistanceMm":500000},"lighting":{"sunAzimuthMillidegrees":135000,"sunElevationMillidegrees":45000},"readiness":{"timeoutMs":60000,"stableFrames":3,"stableDurationMs":500,"minimumVisibleTiles":4}}'
 )
 REQUESTS = [
-    ("", "", None, None), ('{"schema"', '"schema"', None, "object"), ("isometric-capture/v1", "isometric-capture/v2", None, "identity"), ('"pilot-', '"../pilot-', None, "identity"), ('"synthetic"', '"other"', None, "identity"), ('"sourceEpoch":"2026"', '"sourceEpoch":""', None, "identity"), ('"lighting":', '"light":', None, "identity"),
+    ("", "", None, None), ('{"schema"', '"schema"', None, "object"), ("capture/v1", "capture/v2", None, "identity"), ('"pilot-', '"../pilot-', None, "identity"), ('"synthetic"', '"other"', None, "identity"), ('"sourceEpoch":"2026"', '"sourceEpoch":""', None, "identity"), ('"lighting":', '"light":', None, "identity"),
     ('"coreWidthPx":512', '"coreWidthPx":"512"', None, "tile"), ('"guardPx":64', '"guardPx":0', None, "tile"), ('"coreWidthPx":512', '"coreWidthPx":3584,"x":1', None, "span"), ('"centerLatitudeE7":374270000', '"centerLatitudeE7":900000001', None, "tile"), ('"orthographic"', '"perspective"', None, "camera"), ('"farMm":900000', '"farMm":1000', None, "camera"),
     ('"cameraDistanceMm":500000', '"cameraDistanceMm":900000', None, "camera"), ('"orthographicWidthMm":160000', '"orthographicWidthMm":160001', None, "span"), ('"sunElevationMillidegrees":45000', '"sunElevationMillidegrees":999', None, "lighting"), ('"stableFrames":3', '"stableFrames":1', None, "readiness"), ('"timeoutMs":60000', '"timeoutMs":60000.5', None, "readiness"),
 ]
@@ -104,11 +104,11 @@ def captures(spark, sf) -> DataFrame:
 
 
 _HEX = "0123456789abcdef" * 4
-RELEASE = f'{{"schema":"{contracts.RELEASE}","status":"artifact-candidate","qualified":false,"style_id":"stanford_v1.c","style_sha256":"{_HEX}","world_sha256":"{_HEX}","dzi":{{"descriptor":"hero.dzi","format":"webp","tile_size":512,"overlap":0,"width":7623,"height":3325,"tile_count":157,"encoded_bytes":1ID,"tile_set_sha256":"{_HEX}"}}}}'
-RELEASES = [("", "", None, None), ('"qualified":false', '"qualified":true', None, "x"), ('"qualified":false', '"qualified":null', None, "x"), ("stanford_v1.", "stanford_v2.", None, "x"), (f'"world_sha256":"{_HEX}"', f'"world_sha256":"{_HEX.upper()}"', None, "x"), ('"tile_size":512', '"tile_size":256', None, "x"), ('"width":7623', '"width":0', None, "x"), ('"overlap":0', '"overlap":"0"', None, "x"), ('"qualified":false', '"qualified":false,"note":1', None, None)]
+RELEASE = f'{{"schema":"{contracts.RELEASE}","status":"artifact-candidate","qualified":false,"style_id":"v1.c","style_sha256":"{_HEX}","world_sha256":"{_HEX}","dzi":{{"descriptor":"hero.dzi","format":"webp","tile_size":512,"overlap":0,"width":7623,"height":3325,"tile_count":157,"encoded_bytes":1ID,"tile_set_sha256":"{_HEX}"}}}}'
+RELEASES = [("", "", None, None), ('"qualified":false', '"qualified":true', None, "x"), ('"qualified":false', '"qualified":null', None, "x"), ("v1.", "v2.", None, "x"), (f'"world_sha256":"{_HEX}"', f'"world_sha256":"{_HEX.upper()}"', None, "x"), ('"tile_size":512', '"tile_size":256', None, "x"), ('"width":7623', '"width":0', None, "x"), ('"overlap":0', '"overlap":"0"', None, "x"), ('"qualified":false', '"qualified":false,"note":1', None, None)]
 
 
-@query("io31_release_metadata", f"WITH {expected(RELEASES)} SELECT p_partkey AS id, k IS NULL AS valid, CASE WHEN k IS NULL THEN 'stanford_v1.c' END AS style_id, CASE WHEN k IS NULL THEN '{_HEX}' END AS style_sha256, CASE WHEN k IS NULL THEN '{_HEX}' END AS world_sha256, CASE WHEN k IS NULL THEN 7623 END::BIGINT AS width, CASE WHEN k IS NULL THEN 3325 END::BIGINT AS height, CASE WHEN k IS NULL THEN 157 END::BIGINT AS tile_count, CASE WHEN k IS NULL THEN concat('1', p_partkey)::BIGINT END AS encoded_bytes, CASE WHEN k IS NULL THEN '{_HEX}' END AS tile_set_sha256 FROM part LEFT JOIN x ON k = p_partkey % {len(RELEASES)}")
+@query("io31_release_metadata", f"WITH {expected(RELEASES)} SELECT p_partkey AS id, k IS NULL AS valid, CASE WHEN k IS NULL THEN 'v1.c' END AS style_id, CASE WHEN k IS NULL THEN '{_HEX}' END AS style_sha256, CASE WHEN k IS NULL THEN '{_HEX}' END AS world_sha256, CASE WHEN k IS NULL THEN 7623 END::BIGINT AS width, CASE WHEN k IS NULL THEN 3325 END::BIGINT AS height, CASE WHEN k IS NULL THEN 157 END::BIGINT AS tile_count, CASE WHEN k IS NULL THEN concat('1', p_partkey)::BIGINT END AS encoded_bytes, CASE WHEN k IS NULL THEN '{_HEX}' END AS tile_set_sha256 FROM part LEFT JOIN x ON k = p_partkey % {len(RELEASES)}")
 def releases(spark, sf) -> DataFrame:
     return contracts.releases(documents(spark, sf, RELEASE, RELEASES))
 
