@@ -97,9 +97,10 @@ def gates(runs: DataFrame, tiles_per_minute: int, seconds: int, megabytes: int)
 
 
 def sync_report(records: DataFrame) -> DataFrame:
-    """lock_id, counts of cached and fetched records, their bytes, and a line for each record in the order of ids."""
+    """lock_id, counts of cached and fetched records, their bytes, and a line for each record in the order of ids,
+    then of bytes, as numbers."""
     line = F.concat_ws(" ", "id", F.when(F.col("cached"), "cached").otherwise("fetched"), F.col("bytes").cast("string"))
-    lines = F.array_sort(F.collect_list(F.struct("id", line.alias("line"))))  # the records of one lock
+    lines = F.array_sort(F.collect_list(F.struct("id", "bytes", line.alias("line"))))  # the records of one lock
     out = records.groupBy("lock_id").agg(F.count_if("cached").alias("cached"), F.count_if(~F.col("cached")).alias("fetched"), F.sum("bytes").alias("bytes"), lines.alias("_l"))
     return out.select("lock_id", "cached", "fetched", "bytes", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("report"))
 
