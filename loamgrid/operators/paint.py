@@ -97,14 +97,16 @@ def covered_pixels(triangles: DataFrame, width: int, height: int) -> DataFrame:
 TRIANGLES, COLOURS_MOST = 2**23, 2**8
 
 
-def drawn(triangles: DataFrame, width: int, height: int) -> DataFrame:
+def drawn(triangles: DataFrame, width: int, height: int, order: str | None = None) -> DataFrame:
     """image_id, y, x, v: the colour of the greatest depth at each pixel, of the lower key among equals.
 
+    Keys should differ. Among equal ones the first by the column order is seen; without it the greater colour.
+
     Depth, the key's place among the image's and the colour are packed into one number, so that pixels are put together
     before they are shuffled, in hash tables of plain numbers. Images of more than TRIANGLES triangles, depths beyond 32
     bits and colours beyond 255 raise an error.
     """
-    place = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("key"), "v"))
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("key"), F.desc(order) if order else "v"))
     placed = triangles.withColumn("_v", F.col("v")).withColumn("v", place * COLOURS_MOST + F.col("v"))
     fits = F.assert_true(F.col("_v").between(0, COLOURS_MOST - 1) & (F.col("v") < TRIANGLES * COLOURS_MOST) & (F.greatest(*[F.abs(corner("d", i)) for i in range(3)]) < 2**31), "too many triangles, or a depth or colour out of range")
     pixels = covered_pixels(fanned_out(placed.where(fits.isNull()).drop("_v"), "image_id", "v"), width, height)

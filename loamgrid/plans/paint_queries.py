@@ -40,7 +40,8 @@ p AS (SELECT t.*, x.x AS x, y.y AS y, {_EDGE(1, 2, 'x.x * 256 + 128', 'y.y * 256
 i AS (SELECT image_id, y, x, v, key, (w0 * d0 + w1 * d1 + w2 * d2) // area AS depth FROM p WHERE {_HOLDS(0, 1, 2)} AND {_HOLDS(1, 2, 0)} AND {_HOLDS(2, 0, 1)})
 SELECT image_id, y, x, arg_max(v, (depth, -key)) AS v FROM i GROUP BY image_id, y, x""".replace(" WHERE p_ok", ""))
 def raster(spark, sf) -> DataFrame:
-    return paint.drawn(triangles(spark, sf), W, H)
+    each = table(spark, sf, "part").selectExpr("p_partkey", *[f"{e} AS {n}" for n, e in TRIANGLES.items()])
+    return paint.drawn(each, W, H, "p_partkey")  # some share a key: the one that comes first is seen
 
 
 OBJECTS = {"image_id": "p_partkey - p_partkey % 40", "id": "p_partkey", "cx": "p_partkey * 7919 % 70", "cy": "p_partkey * 50021 % 50", "radius": "2 + p_size % 9", "height": "CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size % 12 END"}
