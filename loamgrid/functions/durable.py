@@ -58,13 +58,16 @@ def settled(start: DataFrame, step, changed: str = "changed") -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and comp, the least node it reaches, for every node of edges (a, b): label propagation with jumps."""
+    """node and comp, the least node it reaches, for every node of edges (a, b): label propagation with jumps.
+
+    Both sides of its joins are shuffled: a table that is small in its files is sent whole, every round, otherwise.
+    """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
 
     def step(labels: DataFrame) -> DataFrame:
-        heard = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("heard")), "b").groupBy(F.col("a").alias("node")).agg(F.min("heard").alias("heard"))
-        told = labels.join(heard, "node").select("node", F.col("comp").alias("was"), F.least("comp", "heard").alias("comp"))
+        heard = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("heard")).hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("heard").alias("heard"))
+        told = labels.join(heard.hint("merge"), "node").select("node", F.col("comp").alias("was"), F.least("comp", "heard").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        return told.join(jump, "comp").select("node", F.least("comp", "next").alias("comp"), (F.least("comp", "next") != F.col("was")).alias("changed"))
+        return told.join(jump.hint("merge"), "comp").select("node", F.least("comp", "next").alias("comp"), (F.least("comp", "next") != F.col("was")).alias("changed"))
 
     return settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), step)

@@ -78,17 +78,18 @@ def runs(on: DataFrame) -> DataFrame:
 def labelled_runs(on: DataFrame, reach: int = 1) -> DataFrame:
     """runs() with comp, one number for each component; reach 1 joins over corners too, 0 over sides only.
 
-    Runs are the nodes, so that work goes with edges of shapes and not with their areas.
+    Runs are the nodes, so that work goes with edges of shapes and not with their areas. Runs and pixels are made out of few
+    rows, whose size says nothing of theirs, so no side of a join is sent whole, here and in what follows.
     """
     key = lambda a: F.struct(F.col(f"{a}.raster_id").alias("raster_id"), F.col(f"{a}.y").alias("y"), F.col(f"{a}.x0").alias("x"))
     found = runs(on)
     upper, lower = found.alias("u"), found.withColumn("y", F.col("y") - 1).alias("l")
-    touch = upper.join(lower, (F.col("u.raster_id") == F.col("l.raster_id")) & (F.col("u.y") == F.col("l.y")) & (F.col("u.x0") <= F.col("l.x1") + reach) & (F.col("l.x0") <= F.col("u.x1") + reach))
+    touch = upper.join(lower.hint("merge"), (F.col("u.raster_id") == F.col("l.raster_id")) & (F.col("u.y") == F.col("l.y")) & (F.col("u.x0") <= F.col("l.x1") + reach) & (F.col("l.x0") <= F.col("u.x1") + reach))
     down = F.struct(F.col("l.raster_id").alias("raster_id"), (F.col("l.y") + 1).alias("y"), F.col("l.x0").alias("x"))
     own = found.alias("s").select(key("s").alias("a"), key("s").alias("b"))
     comps = components(touch.select(key("u").alias("a"), down.alias("b")).unionByName(own))
     named = comps.select("node.raster_id", "node.y", F.col("node.x").alias("x0"), "comp")
-    return found.join(named, ["raster_id", "y", "x0"])
+    return found.join(named.hint("merge"), ["raster_id", "y", "x0"])
 
 
 def component_table(labelled: DataFrame) -> DataFrame:
@@ -100,7 +101,7 @@ def component_table(labelled: DataFrame) -> DataFrame:
 
 def labelled_pixels(labelled: DataFrame) -> DataFrame:
     """raster_id, y, x and label of every pixel of labelled_runs()."""
-    named = labelled.join(component_table(labelled).select("raster_id", "comp", "label"), ["raster_id", "comp"])
+    named = labelled.join(component_table(labelled).select("raster_id", "comp", "label").hint("merge"), ["raster_id", "comp"])
     return named.select("raster_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")
 
 
@@ -109,9 +110,9 @@ def hysteresis(gradients: DataFrame, low: int, high: int) -> DataFrame:
     kept = ridges(gradients).where(F.col("ridge") & (F.col("magnitude") >= low))
     labelled = labelled_runs(kept.select("raster_id", "y", "x"))
     pixels = labelled.select("raster_id", "y", "comp", F.explode(F.sequence("x0", "x1")).alias("x"))
-    strong = pixels.join(kept.where(F.col("magnitude") >= high).select("raster_id", "y", "x"), ["raster_id", "y", "x"]).select("comp").distinct()
-    edges = pixels.join(strong, "comp", "left_semi").select("raster_id", "y", "x", F.lit(255).cast("bigint").alias("_on"))
-    return gradients.join(edges, ["raster_id", "y", "x"], "left").select("raster_id", "y", "x", F.coalesce("_on", F.lit(0)).cast("bigint").alias("on"))
+    strong = pixels.join(kept.where(F.col("magnitude") >= high).select("raster_id", "y", "x").hint("merge"), ["raster_id", "y", "x"]).select("comp").distinct()
+    edges = pixels.join(strong.hint("merge"), "comp", "left_semi").select("raster_id", "y", "x", F.lit(255).cast("bigint").alias("_on"))
+    return gradients.join(edges.hint("merge"), ["raster_id", "y", "x"], "left").select("raster_id", "y", "x", F.coalesce("_on", F.lit(0)).cast("bigint").alias("on"))
 
 
 def chamfer(raster: DataFrame) -> DataFrame:

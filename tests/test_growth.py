@@ -6,6 +6,8 @@ import io
 import duckdb
 import pytest
 
+from loamgrid.operators import kernels
+from loamgrid.plans import contract_queries, inputs, kernel_queries
 from loamgrid.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +58,14 @@ def test_of_triangles_with_one_key_and_depth_the_first_is_seen(spark, tmp_path):
     # 5540 has the key of 5539, and both have depth 359 at one pixel.
     got, want = both(spark, tmp_path, "rk17_jn13_raster", part=f"SELECT {PARTS} FROM range(5500, 5550) t(r)")
     assert got == want
+
+
+def test_documents_are_made_in_all_tasks_however_small_their_table_is(spark):
+    made = contract_queries.documents(spark, SF, contract_queries.FIXTURE, contract_queries.MISTAKES)
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_no_side_of_a_join_of_components_is_sent_whole(spark):
+    labelled = kernels.labelled_runs(inputs.rasters(spark, SF).where("v > 1100").select("raster_id", "y", "x"))
+    each = kernels.hysteresis(kernels.gradient(kernel_queries.covered(spark, SF)), kernel_queries.LOW, kernel_queries.HIGH)
+    assert not any("Broadcast" in plan(df) for df in (labelled, kernels.labelled_pixels(labelled), each))
