@@ -52,12 +52,12 @@ def is_value(v: Column, path: str, value: str | bool | int) -> Column:
 
 
 def is_object(v: Column, path: str = "$") -> Column:
-    return F.coalesce(kind(v, path).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(v, path, "map<string,variant>").isNotNull()
 
 
 def items(v: Column, path: str) -> Column:
     """An array field as array<variant>; null for anything else."""
-    return F.when(kind(v, path).startswith("ARRAY"), F.try_variant_get(v, path, "array<variant>"))
+    return F.try_variant_get(v, path, "array<variant>")
 
 
 def number(v: Column, path: str) -> Column:
@@ -76,10 +76,10 @@ def first_code(rules: dict[str, Column]) -> Column:
 
 def ring_code(ring: Column) -> Column:
     """The first code of a ring, a variant: invalid_ring, invalid_point, open_ring or zero_area; null if it is whole."""
-    points = items(ring, "$")
     three = lambda p: F.coalesce(F.size(items(p, "$")) == 3, F.lit(False)) & (kind(p, "$[0]") == "BIGINT") & (kind(p, "$[1]") == "BIGINT") & (kind(p, "$[2]") == "BIGINT")
-    flat = F.transform(points, lambda p: F.struct(number(p, "$[0]").alias("x"), number(p, "$[1]").alias("y"), number(p, "$[2]").alias("z")))
-    return first_code({"invalid_ring": F.size(points) >= 4, "invalid_point": F.forall(points, lambda p: F.coalesce(three(p), F.lit(False))), "open_ring": flat[0] == F.element_at(flat, -1), "zero_area": doubled_area(flat) != 0})
+    flat = lambda points: F.transform(points, lambda p: F.struct(number(p, "$[0]").alias("x"), number(p, "$[1]").alias("y"), number(p, "$[2]").alias("z")))
+    code = lambda points, flat: first_code({"invalid_ring": F.size(points) >= 4, "invalid_point": F.forall(points, lambda p: F.coalesce(three(p), F.lit(False))), "open_ring": flat[0] == F.element_at(flat, -1), "zero_area": doubled_area(flat) != 0})
+    return let(items(ring, "$"), lambda points: let(flat(points), lambda f: code(points, f)))
 
 
 def polygon_code(rings: Column) -> Column:
@@ -168,7 +168,7 @@ DIGESTS, CELLS, CHUNK = 5, 961, 250_000
 
 def evidence_code(v: Column, names: dict[str, str]) -> Column:
     """The first code of an evidence artifact, a variant: root, policy, provenance or accounting; cells are evidence_cells()."""
-    digests = F.when(kind(v, "$.source_sha256").startswith("OBJECT"), F.try_variant_get(v, "$.source_sha256", "map<string,variant>"))
+    digests = F.try_variant_get(v, "$.source_sha256", "map<string,variant>")
     cells = items(v, "$.cells")
     return first_code({
         "root": is_object(v), "policy": F.array_min(F.array(*[is_value(v, f"$.{k}", x) for k, x in names.items()], is_value(v, "$.contains_source_pixels", False), is_value(v, "$.contains_transients", False), *[is_value(v, f"$.grid.{k}", x) for k, x in GRID.items()])),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.functions.durable import fanned_out
 from loamgrid.operators import checks, contracts
 from loamgrid.plans.inputs import table
 from loamgrid.plans.registry import query
@@ -38,7 +39,8 @@ def changed(base: str, changes: list[tuple], key: str) -> str:
 
 def documents(spark, sf, base: str, changes: list[tuple]) -> DataFrame:
     case, whole = changed(base, changes, "p_partkey")
-    return table(spark, sf, "part").selectExpr("p_partkey", f"{whole} AS base").selectExpr("p_partkey AS id", f"{case} AS json")
+    keys = fanned_out(table(spark, sf, "part").select("p_partkey"), "p_partkey")  # a few bytes a row, of which long documents are made
+    return keys.selectExpr("p_partkey", f"{whole} AS base").selectExpr("p_partkey AS id", f"{case} AS json")
 
 
 def expected(changes: list[tuple]) -> str:
