@@ -23,7 +23,7 @@ def compile_world(records: DataFrame, ways: DataFrame, cells: DataFrame | None =
     """
     own = buildings.enriched(records, ways).select(F.concat(F.lit("overture:"), "record_id").alias("key"), F.lit("building").alias("class"), "name", "height_mm", "confidence_bp", "source_ids")
     levelled = ways.where(F.col("tags")["building:levels"].isNotNull())
-    rest = buildings.unused(levelled, records).join(ways.select("way_id", "name"), "way_id").select(F.concat(F.lit("osm:way:"), F.col("way_id").cast("string"), F.lit(":building")).alias("key"), F.lit("building").alias("class"), "name", "height_mm", "confidence_bp", F.array(F.lit("ways")).alias("source_ids"))
+    rest = buildings.unused(levelled, records).join(ways.select("way_id", "name").hint("merge"), "way_id").select(F.concat(F.lit("osm:way:"), F.col("way_id").cast("string"), F.lit(":building")).alias("key"), F.lit("building").alias("class"), "name", "height_mm", "confidence_bp", F.array(F.lit("ways")).alias("source_ids"))
     out = own.unionByName(rest)
     if cells is not None:
         cover = F.element_at(F.create_map(*[F.lit(x) for kv in COVER.items() for x in kv]), F.col("class"))

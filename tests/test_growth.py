@@ -69,3 +69,14 @@ def test_no_side_of_a_join_of_components_is_sent_whole(spark):
     labelled = kernels.labelled_runs(inputs.rasters(spark, SF).where("v > 1100").select("raster_id", "y", "x"))
     each = kernels.hysteresis(kernels.gradient(kernel_queries.covered(spark, SF)), kernel_queries.LOW, kernel_queries.HIGH)
     assert not any("Broadcast" in plan(df) for df in (labelled, kernels.labelled_pixels(labelled), each))
+
+
+@pytest.mark.parametrize("name", ["jn1_sf23_buildings", "hp2_vector_world"])
+def test_tags_made_of_few_bytes_are_not_sent_whole(spark, name):
+    assert "Broadcast" not in plan(QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["vl14_capture_requests", "vl19_hp21_fixtures", "io14_vl9_evidence"])
+def test_documents_are_not_judged_before_they_are_dealt_out(spark, name):
+    # What stands below the last exchange reads keys and makes no documents.
+    assert "parse_json" not in plan(QUERIES[name](spark, SF)).rsplit("Exchange", 1)[1].lower()
