@@ -74,6 +74,11 @@ def first_code(rules: dict[str, Column]) -> Column:
     return first_broken({code: F.coalesce(ok, F.lit(False)) for code, ok in rules.items()})
 
 
+def once(code: Column) -> Column:
+    """code out of an array: a test of it stays where it is, instead of working it out a second time, before rows are dealt out."""
+    return F.explode(F.array(code))
+
+
 def ring_code(ring: Column) -> Column:
     """The first code of a ring, a variant: invalid_ring, invalid_point, open_ring or zero_area; null if it is whole."""
     three = lambda p: F.coalesce(F.size(items(p, "$")) == 3, F.lit(False)) & (kind(p, "$[0]") == "BIGINT") & (kind(p, "$[1]") == "BIGINT") & (kind(p, "$[2]") == "BIGINT")
@@ -123,11 +128,11 @@ def fixtures(docs: DataFrame, key: str = "id", json: str = "json", schema: str =
         "invalid_crs": ~whole(v) | is_value(v, "$.crs", CRS), "invalid_origin": ~whole(v) | (is_value(v, "$.origin.epsg", EPSG) & (kind(v, "$.origin.easting_mm") == "BIGINT") & (kind(v, "$.origin.northing_mm") == "BIGINT") & (kind(v, "$.origin.elevation_mm") == "BIGINT")),
         "invalid_sources": sources.isNotNull(), "invalid_source": F.size("_known") == F.size(sources), "invalid_features": F.size("_features") > 0,
     })
-    d = d.withColumn("_code", let(F.struct("v"), lambda s: document(s["v"])))
+    d = d.withColumn("_code", once(let(F.struct("v"), lambda s: document(s["v"]))))
     ids = F.transform("_features", lambda f: number(f, "$.id"))
     d = d.withColumns({"_ids": ids})
     each = d.where("_code is null").select(key, "_known", "_ids", F.posexplode("_features").alias("place", "f"))
-    each = each.withColumn("code", let(F.struct("f"), lambda s: feature_code(s["f"], F.col("_known"), F.col("_ids"), F.col("place"))))
+    each = each.withColumn("code", once(let(F.struct("f"), lambda s: feature_code(s["f"], F.col("_known"), F.col("_ids"), F.col("place")))))
     featured = each.where("code is not null").select(key, F.col("place").cast("bigint").alias("place"), "code")
     return d.where("_code is not null").select(key, F.lit(None).cast("bigint").alias("place"), F.col("_code").alias("code")).unionByName(featured)
 
@@ -180,7 +185,7 @@ def evidence_code(v: Column, names: dict[str, str]) -> Column:
 def evidence(docs: DataFrame, key: str = "id", json: str = "json", names: dict[str, str] = EVIDENCE) -> DataFrame:
     """key and code of the first thing wrong with the whole of each evidence artifact."""
     d = docs.select(F.col(key), F.try_parse_json(F.col(json)).alias("v"))
-    return d.select(key, let(F.struct("v"), lambda s: evidence_code(s["v"], names)).alias("code")).where("code is not null")
+    return d.select(key, once(let(F.struct("v"), lambda s: evidence_code(s["v"], names))).alias("code")).where("code is not null")
 
 
 def evidence_cells(docs: DataFrame, key: str = "id", json: str = "json", names: dict[str, str] = EVIDENCE) -> DataFrame:
@@ -195,7 +200,7 @@ def evidence_cells(docs: DataFrame, key: str = "id", json: str = "json", names:
 def captures(docs: DataFrame, key: str = "id", json: str = "json", schema: str = CAPTURE) -> DataFrame:
     """key and code of the first thing wrong with each capture request: object, identity, tile, camera, span, lighting or readiness."""
     d = docs.select(F.col(key), F.try_parse_json(F.col(json)).alias("v"))
-    return d.select(key, let(F.col("v"), lambda x: capture_code(x, schema)).alias("code")).where("code is not null")
+    return d.select(key, once(let(F.col("v"), lambda x: capture_code(x, schema))).alias("code")).where("code is not null")
 
 
 def capture_code(v: Column, schema: str) -> Column:
