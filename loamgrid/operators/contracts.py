@@ -131,7 +131,7 @@ def fixtures(docs: DataFrame, key: str = "id", json: str = "json", schema: str =
     d = d.withColumn("_code", once(let(F.struct("v"), lambda s: document(s["v"]))))
     ids = F.transform("_features", lambda f: number(f, "$.id"))
     d = d.withColumns({"_ids": ids})
-    each = d.where("_code is null").select(key, "_known", "_ids", F.posexplode("_features").alias("place", "f"))
+    each = d.where("_code is null").select(key, "_known", "_ids", F.posexplode_outer("_features").alias("place", "f")).where("f is not null")
     each = each.withColumn("code", once(let(F.struct("f"), lambda s: feature_code(s["f"], F.col("_known"), F.col("_ids"), F.col("place")))))
     featured = each.where("code is not null").select(key, F.col("place").cast("bigint").alias("place"), "code")
     return d.where("_code is not null").select(key, F.lit(None).cast("bigint").alias("place"), F.col("_code").alias("code")).unionByName(featured)
@@ -155,7 +155,7 @@ def worlds(docs: DataFrame, key: str = "id", json: str = "json", schema: str = F
     """The features of documents that fixtures() finds whole: key, id, class, name, height_mm, confidence_bp, source_ids, parent_id and
     parts, polygons of rings of points x, y, z. Documents with a code, of their own or of a feature, give nothing."""
     good = docs.join(fixtures(docs, key, json, schema).select(key).distinct(), key, "left_anti")
-    f = good.select(F.col(key), F.explode(items(F.try_parse_json(F.col(json)), "$.features")).alias("f"))
+    f = good.select(F.col(key), F.explode_outer(items(F.try_parse_json(F.col(json)), "$.features")).alias("f")).where("f is not null")
     v = F.col("f")
     point = lambda p: F.struct(*[number(p, f"$[{i}]").alias(c) for i, c in enumerate("xyz")])
     rings = lambda r: F.transform(r, lambda ring: F.transform(items(ring, "$"), point))
@@ -191,7 +191,7 @@ def evidence(docs: DataFrame, key: str = "id", json: str = "json", names: dict[s
 def evidence_cells(docs: DataFrame, key: str = "id", json: str = "json", names: dict[str, str] = EVIDENCE) -> DataFrame:
     """The cells of artifacts whose whole is right: key, position and the fields of checks.evidence_cells(), which judges them."""
     good = docs.join(evidence(docs, key, json, names).select(key), key, "left_anti")
-    c = good.select(F.col(key), F.posexplode(items(F.try_parse_json(F.col(json)), "$.cells")).alias("position", "c"))
+    c = good.select(F.col(key), F.posexplode_outer(items(F.try_parse_json(F.col(json)), "$.cells")).alias("position", "c")).where("c is not null")
     v = F.col("c")
     fields = {"col": "index.column", "row": "index.row", "height_mm": "height_mm", "confidence_bp": "confidence_bp", "samples": "naip_sample_count", "green_bp": "naip_green_fraction_bp", "vegetation_bp": "lidar_vegetation_fraction_bp", "building_bp": "lidar_building_fraction_bp", "transient_points": "transient_masked_points"}
     return c.select(key, F.col("position").cast("bigint").alias("position"), text(v, "$.class").alias("class"), text(v, "$.material").alias("material"), *[number(v, f"$.{path}").alias(name) for name, path in fields.items()], F.transform(items(v, "$.source_ids"), lambda s: text(s, "$")).alias("source_ids"))
