@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.functions.durable import removed, written
+from loamgrid.functions.durable import written
 from loamgrid.functions.intmath import let
 from loamgrid.operators.geometry import doubled_area, first_broken
 
@@ -239,24 +239,40 @@ def release_rules(v: Column, schema: str, styles: str) -> list[Column]:
     return [is_value(v, "$.schema", schema), is_value(v, "$.status", "artifact-candidate"), is_value(v, "$.qualified", False), F.coalesce(text(v, "$.style_id").startswith(styles), F.lit(False)), is_text(v, "$.style_sha256", SHA256), is_text(v, "$.world_sha256", SHA256), is_value(v, "$.dzi.descriptor", "hero.dzi"), is_value(v, "$.dzi.format", "webp"), is_value(v, "$.dzi.tile_size", 512), is_value(v, "$.dzi.overlap", 0), *[is_integer(v, f"$.dzi.{c}", 1, SAFE_INTEGER) for c in COUNTS], is_text(v, "$.dzi.tile_set_sha256", SHA256)]
 
 
+#: Rounds whose tables are read one by one before they are put together.
+ROUNDS = 16
+
+
+def packed(digest: Column) -> Column:
+    """The bytes of a digest: half as many as letters where it is small hex, all of its own otherwise; different for different digests."""
+    small = F.when((F.lower(digest) == digest) & (F.length(digest) % 2 == 0), F.concat(F.unhex(F.lit("00")), F.unhex(digest)))
+    return F.coalesce(small, F.concat(F.unhex(F.lit("01")), digest.cast("binary")))
+
+
 def chains(documents: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
-    """chain, path and problem of documents that do not hang together by digests.
+    """chain, path and problem of documents that do not hang together by digests; each problem of a path once.
 
     documents: chain, path, sha256, of what is there. links: chain, path, target, sha256, what a document at path says of
     another. roots: chain, path. 'missing' targets, 'altered' ones, whose digest is another than stated by any link, and
-    'orphan' documents, which no way over links from a root reaches. Reachability goes in rounds, one link a round.
+    'orphan' documents, which no way over links from a root reaches. Digests are shuffled once, where links meet documents;
+    what is kept of that is keys only. Reachability goes in rounds over links to documents that are there, one link a round,
+    and writes each document that is reached once, and again every ROUNDS rounds.
     """
     key = ["chain", "path"]
-    stated = links.select("chain", F.col("target").alias("path"), F.col("sha256").alias("_stated")).unionByName(roots.select("chain", "path", F.lit(None).cast("string").alias("_stated")))
-    held = stated.groupBy(*key).agg(F.collect_set("_stated").alias("_stated")).join(documents, key, "left")
-    wrong = held.withColumn("problem", F.when(F.col("sha256").isNull(), "missing").when(F.exists("_stated", lambda s: s != F.col("sha256")), "altered")).where("problem is not null").select(*key, "problem")
-    there = documents.select(*key)
-    seen = written(roots.select(*key).distinct().join(there, key), "seen")
-    new = seen
+    none = F.lit(None).cast(links.schema["path"].dataType)
+    stated = links.select("chain", F.col("path").alias("source"), F.col("target").alias("path"), packed(F.col("sha256")).alias("_stated"))
+    stated = stated.unionByName(roots.select("chain", none.alias("source"), "path", F.lit(None).cast("binary").alias("_stated")))
+    held = stated.join(documents.select(*key, packed(F.col("sha256")).alias("_held"), F.lit(True).alias("_there")), key, "left")
+    problem = F.when(F.col("_held").isNull(), "missing").when(F.col("_stated") != F.col("_held"), "altered")
+    judged = written(held.select("chain", "source", "path", problem.alias("problem"), F.col("_there").isNotNull().alias("there")), "judged")
+    wrong = judged.where("problem is not null").select(*key, "problem").distinct()
+    steps = judged.where("there and source is not null").select("chain", "source", "path")
+    new = written(judged.where("there and source is null").select(*key).distinct(), "reached")
+    seen, rounds = new, 0
     while new.limit(1).count():
-        further = new.join(links.select("chain", "path", "target"), key).select("chain", F.col("target").alias("path")).distinct().join(there, key).join(seen, key, "left_anti")
+        further = new.withColumnRenamed("path", "source").join(steps, ["chain", "source"]).select(*key).distinct().join(seen, key, "left_anti")
         new = written(further, "reached")
-        after = written(seen.unionByName(new), "seen")
-        removed(seen)
-        seen = after
-    return wrong.unionByName(there.join(seen, key, "left_anti").select(*key, F.lit("orphan").alias("problem")))
+        seen, rounds = seen.unionByName(new), rounds + 1
+        if rounds % ROUNDS == 0:
+            seen = written(seen, "seen")
+    return wrong.unionByName(documents.select(*key).join(seen, key, "left_anti").select(*key, F.lit("orphan").alias("problem")))

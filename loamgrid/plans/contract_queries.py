@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.functions.durable import fanned_out
+from loamgrid.functions.durable import fanned_out, written
 from loamgrid.operators import checks, contracts
 from loamgrid.plans.inputs import table
 from loamgrid.plans.registry import query
@@ -123,6 +123,7 @@ seen AS (SELECT d.chain, d.n FROM d WHERE NOT EXISTS (SELECT 1 FROM range(1, 8)
 SELECT chain, n::VARCHAR AS path, problem FROM w WHERE problem IS NOT NULL UNION ALL SELECT chain, n::VARCHAR, 'orphan' FROM d ANTI JOIN seen USING (chain, n)""")
 def chains(spark, sf) -> DataFrame:
     d = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chain"), F.col("l_linenumber").alias("n")).distinct()
+    d = written(d, "lines")  # what documents, links and roots are made of, each anew for every use
     digest = lambda n: F.sha2(F.concat(F.col("chain").cast("string"), F.lit("/"), n.cast("string")), 256)
     name = lambda n: n.cast("string")
     documents_ = d.select("chain", name(F.col("n")).alias("path"), digest(F.col("n")).alias("sha256"))

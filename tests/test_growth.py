@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from loamgrid.operators import kernels
+from loamgrid.operators import contracts, kernels
 from loamgrid.plans import contract_queries, inputs, kernel_queries
 from loamgrid.plans.queries import QUERIES, SQL
 from loamgrid.streaming import readiness
@@ -124,3 +124,14 @@ def test_a_scene_has_one_timer_and_keeps_no_event_beyond_its_deadline():
     watermark = SimpleNamespace(getCurrentWatermarkInMs=lambda: ats[-1] // 1000)
     (row,) = outcomes.handleExpiredTimer((1,), watermark, SimpleNamespace(getExpiryTimeInMs=lambda: min(handle.timers)))
     assert row["late"].tolist() == [True] and row["ready_after"].isna().all() and len(handle.timers) == 2  # and one for the mark to go
+
+
+def test_each_reached_document_is_written_once(spark, monkeypatch):
+    rows, was = [], contracts.written
+    monkeypatch.setattr(contracts, "written", lambda df, name: (out := was(df, name), rows.append((name, out.count())))[0])
+    docs = spark.range(1, 11).selectExpr("7L AS chain", "CAST(id AS string) AS path", "repeat('ab', 32) AS sha256")
+    links = spark.range(1, 12).selectExpr("7L AS chain", "CAST(id AS string) AS path", "CAST(id + 1 AS string) AS target", "repeat(IF(id = 3, 'AB', 'ab'), 32) AS sha256").where("path <> '7'")
+    links = links.unionByName(spark.sql("SELECT 7L AS chain, '6' AS path, '2' AS target, repeat('ab', 32) AS sha256"))  # back to where it came from
+    got = contracts.chains(docs, links, spark.sql("SELECT 7L AS chain, '1' AS path"))
+    assert sorted((r.path, r.problem) for r in got.collect()) == [("10", "orphan"), ("11", "missing"), ("12", "missing"), ("4", "altered"), ("8", "orphan"), ("9", "orphan")]
+    assert sum(n for name, n in rows if name in ("seen", "reached")) == 7
