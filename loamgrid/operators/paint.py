@@ -124,25 +124,53 @@ def semantic_colour(cls: Column, variation: Column) -> Column:
     return (base + F.when(cls.isin(*VARIED), variation).otherwise(0)).cast("bigint")
 
 
-def shapes(objects: DataFrame) -> DataFrame:
-    """Pixels of a diamond and, for heights above 0, a column at each object (image_id, id, cx, cy, radius, height, v).
-
-    Later objects cover earlier ones, and an object's column its diamond. The left half of a column is a shade darker.
-    """
+def spans(objects: DataFrame) -> DataFrame:
+    """The rows of shapes(): image_id, y, id, part, cx and _from and _to, the first and last pixel from cx on; v and shade, the
+    colours from cx on and to the left of it."""
     half = F.col("radius") - F.abs("_y")
     rows = objects.withColumn("_y", F.explode(F.sequence(-F.col("radius"), F.col("radius"))))
-    diamond = rows.withColumn("_x", F.explode(F.sequence(-half, half))).select("image_id", (F.col("cy") + div(F.col("_y"), 2)).alias("y"), (F.col("cx") + F.col("_x")).alias("x"), "v", "id", F.lit(0).alias("part"))
+    diamond = rows.select("image_id", (F.col("cy") + div(F.col("_y"), 2)).alias("y"), "id", F.lit(0).alias("part"), "cx", (-half).alias("_from"), half.alias("_to"), "v", F.col("v").alias("shade"))
     tall = objects.where("height > 0").withColumn("_y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("height") - 1)))
     wide_ = div(F.col("radius"), 2)
-    shade = F.when(F.col("_x") < 0, F.least(F.col("v") + 1, F.lit(15))).otherwise(F.col("v"))
-    column = tall.withColumn("_x", F.explode(F.sequence(-wide_, wide_))).select("image_id", (F.col("cy") - F.col("_y")).alias("y"), (F.col("cx") + F.col("_x")).alias("x"), shade.alias("v"), "id", F.lit(1).alias("part"))
+    column = tall.select("image_id", (F.col("cy") - F.col("_y")).alias("y"), "id", F.lit(1).alias("part"), "cx", (-wide_).alias("_from"), wide_.alias("_to"), "v", F.least(F.col("v") + 1, F.lit(15)).alias("shade"))
     return diamond.unionByName(column)
 
 
+def filled(rows: DataFrame) -> DataFrame:
+    """The pixels of spans()."""
+    each = rows.withColumn("_x", F.explode(F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to"))))
+    return each.select("image_id", "y", (F.col("cx") + F.col("_x")).alias("x"), F.when(F.col("_x") < 0, F.col("shade")).otherwise(F.col("v")).alias("v"), "id", "part")
+
+
+def shapes(objects: DataFrame) -> DataFrame:
+    """Pixels of a diamond and, for heights above 0, a column at each object (image_id, id, cx, cy, radius, height, v).
+
+    Later objects cover earlier ones, and an object's column its diamond. The left half of a column is a shade darker.
+    """
+    return filled(spans(objects))
+
+
+#: Objects that a task makes the rows of, and rows that a task fills, on the average: what bounds a task's memory, whatever the table's size.
+OBJECTS_OF_A_TASK, ROWS_OF_A_TASK = 20_000, 250_000
+
+
 def painted(objects: DataFrame, width: int, height: int) -> DataFrame:
-    """image_id, y, x, v of the pixels inside the image that shapes() fill."""
-    inside = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
-    return shapes(objects).where(inside).groupBy("image_id", "y", "x").agg(F.max_by("v", F.struct("id", "part")).alias("v"))
+    """image_id, y, x, v of the pixels inside the image that shapes() fill.
+
+    Rows of shapes are shuffled, by image and row, not pixels; a task then holds the pixels of its rows of images only, in a
+    hash table of plain numbers, but for ids that do not fit in one with part and colour. The number of tasks grows with the
+    objects.
+    """
+    least = int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = F.bool_and(F.col("id").between(0, 2**54 - 1) & F.col("v").between(0, 254))
+    n, rows, plain = objects.agg(F.count("*"), F.sum(2 * F.col("radius") + 1 + F.greatest("height", F.lit(0))), small).first()
+    dealt = objects.repartition(max(least, n // OBJECTS_OF_A_TASK), "image_id", "id")
+    inside = spans(dealt).withColumns({"_from": F.greatest("_from", -F.col("cx")), "_to": F.least("_to", width - 1 - F.col("cx"))}).where(F.col("y").between(0, height - 1) & (F.col("_from") <= F.col("_to")))
+    pixels = filled(inside.repartition(max(least, (rows or 0) // ROWS_OF_A_TASK), "image_id", "y")).groupBy("image_id", "y", "x")
+    if not plain:
+        return pixels.agg(F.max_by("v", F.struct("id", "part")).alias("v"))
+    top = pixels.agg(F.max((F.col("id") * 2 + F.col("part")) * 256 + F.col("v")).alias("_top"))
+    return top.select("image_id", "y", "x", F.pmod("_top", F.lit(256)).cast("bigint").alias("v"))
 
 
 def shaded(image: DataFrame, shadows: DataFrame, eligible: list[int], shadow: int) -> DataFrame:

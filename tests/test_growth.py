@@ -7,9 +7,10 @@ from types import SimpleNamespace
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from loamgrid.operators import contracts, kernels
-from loamgrid.plans import contract_queries, inputs, kernel_queries
+from loamgrid.operators import contracts, kernels, paint
+from loamgrid.plans import contract_queries, inputs, kernel_queries, paint_queries
 from loamgrid.plans.queries import QUERIES, SQL
 from loamgrid.streaming import readiness
 
@@ -135,3 +136,18 @@ def test_each_reached_document_is_written_once(spark, monkeypatch):
     got = contracts.chains(docs, links, spark.sql("SELECT 7L AS chain, '1' AS path"))
     assert sorted((r.path, r.problem) for r in got.collect()) == [("10", "orphan"), ("11", "missing"), ("12", "missing"), ("4", "altered"), ("8", "orphan"), ("9", "orphan")]
     assert sum(n for name, n in rows if name in ("seen", "reached")) == 7
+
+
+def test_rows_of_shapes_are_shuffled_and_pixels_are_not(spark, monkeypatch):
+    got = QUERIES["rk18_sf30_painted"](spark, SF)
+    above, _, below = plan(got).partition("Exchange")
+    assert "HashAggregate" in above and "SortAggregate" not in above and "_x" not in below
+    monkeypatch.setattr(paint, "ROWS_OF_A_TASK", 50)
+    assert QUERIES["rk18_sf30_painted"](spark, SF).rdd.getNumPartitions() > 10 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_ids_of_all_sizes_are_painted_alike(spark):
+    some = paint_queries.objects(spark, SF)
+    want = sorted(map(tuple, paint.painted(some, 64, 48).collect()))
+    far = some.withColumn("id", F.col("id") + F.lit(2**62))
+    assert sorted(map(tuple, paint.painted(far, 64, 48).collect())) == want
