@@ -176,14 +176,79 @@ def filled(rings: str, v: str | int) -> str:
     return named(f"named_struct('h', {heights}, 'e', filter({every}, e -> e.a.y <> e.b.y))", "s", strips)
 
 
+def truncated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b towards zero."""
+    q = a // b
+    return q + ((q < 0) & (q * b != a))
+
+
+def fills(rings: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The solid() faces of filled() for a batch of rings: the row of each, and (x, y, depth) of its corners, in the same order."""
+    rows, of_ring = len(rings), rings.flatten()
+    ring = np.repeat(np.arange(len(of_ring)), np.asarray(of_ring.value_lengths()))
+    row = np.repeat(np.arange(rows), np.asarray(rings.value_lengths()))[ring]
+    points = of_ring.flatten()
+    p = np.column_stack([np.asarray(points.field(c)) for c in ("x", "y", "depth")])
+    # All heights of all rows in order, and where each point's stands among them; strip j goes from j to the next.
+    order = np.lexsort((p[:, 1], row))
+    new = np.r_[True, (np.diff(row[order]) != 0) | (np.diff(p[order, 1]) != 0)][: len(p)]
+    heights, at = p[order, 1][new], np.empty(len(p), np.int64)
+    at[order] = np.cumsum(new) - 1
+    start = np.flatnonzero((ring[1:] == ring[:-1]) & (p[1:, 1] != p[:-1, 1]))
+    reach = np.abs(p[start + 1] - p[start]).max(axis=0, initial=0)
+    if int(reach[1]) * max(int(reach[0]), int(reach[2])) >= 2**63:
+        raise OverflowError("an edge too long for BIGINT")
+    first = np.minimum(at[start], at[start + 1])
+    n = np.abs(at[start + 1] - at[start])
+    edge = np.repeat(start, n)
+    strip = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+    def cross(y: np.ndarray) -> np.ndarray:
+        a, b = p[edge], p[edge + 1]
+        x, depth = (a[:, c] + truncated((b[:, c] - a[:, c]) * (y - a[:, 1]), b[:, 1] - a[:, 1]) for c in (0, 2))
+        return np.column_stack([x, y, depth])
+
+    low, high = cross(heights[strip]), cross(heights[np.minimum(strip + 1, len(heights) - 1)])
+    order = np.lexsort((edge, low[:, 0] + high[:, 0], strip))
+    edge, strip, low, high = edge[order], strip[order], low[order], high[order]
+    _, begin, size = np.unique(strip, return_index=True, return_counts=True)
+    nth = np.arange(len(strip)) - np.repeat(begin, size)
+    l = np.flatnonzero((nth % 2 == 0) & (np.repeat(size, size) % 2 == 0))
+    faces = np.stack([np.stack([low[l], low[l + 1], high[l + 1]], axis=1), np.stack([low[l], high[l + 1], high[l]], axis=1)], axis=1).reshape(-1, 3, 3)
+    u, w = faces[:, 1] - faces[:, 0], faces[:, 2] - faces[:, 0]
+    flat = u[:, 0] * w[:, 1] == u[:, 1] * w[:, 0]
+    return np.repeat(row[edge[l]], 2)[~flat], faces[~flat]
+
+
+FACES = "faces array<struct<" + ", ".join(f"{p}: struct<x: bigint, y: bigint, depth: bigint>" for p in "abc") + ", v: bigint>>"
+
+
+def filled_rows(rows: DataFrame, order: int, seq: str, stage: int, rings: str, v: str | int) -> DataFrame:
+    """id, part, _order, _seq, stage and faces of filled(), worked out for batches of rows at once. Rings with nulls give none."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, faces = fills(batch.column("rings"))
+            some, first = np.unique(of, return_index=True)
+            corners = [pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(faces[:, i, c])) for c in range(3)], ["x", "y", "depth"]) for i in range(3)]
+            every = pa.StructArray.from_arrays([*corners, batch.column("v").take(pa.array(of))], [*"abc", "v"])
+            held = pa.ListArray.from_arrays(pa.array(np.r_[first, len(of)].astype(np.int32)), every)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(some)) for c in ("id", "part", "_seq")], held], ["id", "part", "_seq", "faces"])
+
+    made = rows.select("id", "part", F.expr(f"{seq} AS _seq"), F.expr(f"explode(array({rings})) AS rings"), F.expr(f"CAST({v} AS BIGINT) AS v"))
+    known = made.where("NOT exists(flatten(rings), p -> p.x IS NULL OR p.y IS NULL OR p.depth IS NULL)")
+    out = known.mapInArrow(fill, f"id {rows.schema['id'].dataType.simpleString()}, part int, _seq bigint, {FACES}")
+    return out.select("id", "part", F.lit(order).alias("_order"), "_seq", F.lit(stage).alias("stage"), "faces")
+
+
 def crown(style: Style, offset: tuple[int, int]) -> tuple[str, str]:
-    """SQL: (faces of the crown, faces of its shadow) of a tree at x, y, of a row with height and the variations _v3 and _v4."""
+    """SQL: (faces of the crown, ring of its shadow) of a tree at x, y, of a row with height and the variations _v3 and _v4."""
     directions = "array(" + ", ".join(f"named_struct('x', {x}L, 'y', {y}L)" for x, y in CORNERS) + ")"
     corners = lambda radius, lift, layer, dx=0, dy=0: f"transform({directions}, d -> {vertex(f'x + {dx} + d.x * {radius} div 1000', f'y + {dy} + d.y * {radius} div 1000', lift, layer, style, offset)})"
     rings = named(f"named_struct('r', {style.tree_radius}L + _v3 * {CROWN_STEP}L, 'h', greatest(height, {style.tree_height}L))", "t", f"named_struct('low', {corners('t.r', 't.h div 3', LAYERS['vegetation'])}, 'high', {corners('(t.r * 2 div 3)', 't.h * 5 div 6', LAYERS['vegetation'])}, 'top', {vertex('x', 'y', 't.h', LAYERS['vegetation'], style, offset)})")
     colour = chosen(style.canopy, "i + _v4")
     eighth = f"array({face('c.low[i]', 'c.low[i + 1]', 'c.high[i + 1]', colour)}, {face('c.low[i]', 'c.high[i + 1]', 'c.high[i]', colour)}, {face('c.high[i]', 'c.high[i + 1]', 'c.top', chosen(style.canopy, 'i'))})"
-    return named(rings, "c", f"flatten(transform(sequence(0, 7), i -> {eighth}))"), filled(f"array({corners(f'{style.tree_radius}L', '0L', LAYERS['terrain'], style.shadow_x, style.shadow_y)})", style.shadow)
+    return named(rings, "c", f"flatten(transform(sequence(0, 7), i -> {eighth}))"), f"array({corners(f'{style.tree_radius}L', '0L', LAYERS['terrain'], style.shadow_x, style.shadow_y)})"
 
 
 def triangles(objects: DataFrame, style: Style, offset: tuple[int, int]) -> DataFrame:
@@ -199,7 +264,8 @@ def triangles(objects: DataFrame, style: Style, offset: tuple[int, int]) -> Data
     varied = {f"_v{n}": variation(F.col("id"), n) for n in (2, 3, 4)}
     known = known.withColumns({"_layer": F.element_at(layers, F.col("class")).cast("bigint"), "_colour": F.element_at(colours, F.col("class")), **varied})
     placed = lambda lift, layer, dx=0, dy=0: f"transform(rings, r -> transform(r, p -> {vertex(f'p.x + {dx}', f'p.y + {dy}', f'p.z + {lift}', layer, style, offset)}))"
-    made = lambda rows, order, seq, stage, faces: rows.select("id", "part", F.lit(order).alias("_order"), F.expr(f"{seq} AS _seq"), F.lit(stage).alias("stage"), F.expr(f"{solid(faces)} AS faces"))
+    # Out of an array the faces are finished: tests of their number do not make them again, nor before rows are dealt out.
+    made = lambda rows, order, seq, stage, faces: rows.select("id", "part", F.lit(order).alias("_order"), F.expr(f"{seq} AS _seq"), F.lit(stage).alias("stage"), F.expr(f"explode(array({solid(faces)})) AS faces"))
     ring = F.col("rings")[0]
     n = (F.size(ring) - 1).cast("bigint")
     mean_z = div(F.aggregate(F.slice(ring, 1, F.size(ring) - 1), F.lit(0).cast("bigint"), lambda s, p: s + p["z"]), n)
@@ -216,8 +282,8 @@ def triangles(objects: DataFrame, style: Style, offset: tuple[int, int]) -> Data
     trees = tree_centres(known.where("class = 'vegetation'"), style.tree_spacing, ("id", "part", "height", "_v3", "_v4"))
     crowns, shade = crown(style, offset)
     emitted = [
-        made(known, 0, "0L", GROUND, filled(placed(0, "_layer"), "_colour")), made(trees, 1, "n", CROWN, crowns), made(house, 2, "0L", WALL, walls), made(house.where("_hip"), 4, "0L", ROOF, hip),
-        made(house.where("NOT _hip"), 4, "0L", ROOF, filled(placed("height", top), style.building[0])), made(house, 0, "0L", SHADOW, filled(placed(0, LAYERS["terrain"], style.shadow_x, style.shadow_y), style.shadow)), made(trees, 1, "n", SHADOW, shade),
+        filled_rows(known, 0, "0L", GROUND, placed(0, "_layer"), "_colour"), made(trees, 1, "n", CROWN, crowns), made(house, 2, "0L", WALL, walls), made(house.where("_hip"), 4, "0L", ROOF, hip),
+        filled_rows(house.where("NOT _hip"), 4, "0L", ROOF, placed("height", top), style.building[0]), filled_rows(house, 0, "0L", SHADOW, placed(0, LAYERS["terrain"], style.shadow_x, style.shadow_y), style.shadow), filled_rows(trees, 1, "n", SHADOW, shade, style.shadow),
     ]
     if style.facade:
         quads = facades(house.select("id", "part", "rings", "height"), style.facade)

@@ -235,3 +235,18 @@ def test_products_and_remainders_of_bit_patterns(spark):
 def test_names_are_registered_once():
     with pytest.raises(ValueError, match="already"):
         registry.query("sg12_sg1_scene_tiles")(None)
+
+
+def test_fills_of_batches_are_those_of_rows(spark):
+    rng = random.Random(5)
+    star = lambda: ring(*[(rng.randrange(-900, 900), rng.randrange(-9, 9) * 100 + rng.randrange(2)) for _ in range(rng.randrange(1, 9))], depth=rng.randrange(-99, 99))
+    rows = [(rings,) for rings in SHAPES.values()] + [([star() for _ in range(rng.randrange(4))],) for _ in range(80)] + [([[]],), ([star()[:-1]],)]
+    df = spark.createDataFrame([(i, i % 3, *r) for i, r in enumerate(rows)], "id bigint, part int, " + RINGS[7:-1].replace("rings:", "rings ", 1))
+    got = render.filled_rows(df, 0, "0L", 1, "rings", "id + 1").select("id", "faces")
+    want = df.select("id", F.expr(render.solid(render.filled("rings", "id + 1"))).alias("faces")).where("size(faces) > 0")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_faces_are_made_once_and_after_rows_are_dealt_out(spark):
+    plan = render.triangles(world(spark, SF), STYLE, (0, 0))._jdf.queryExecution().executedPlan().toString()
+    assert not any("Filter" in line and "lambdafunction(named_struct(a" in line for line in plan.split("\n"))
