@@ -429,8 +429,10 @@ def dealt(faces: DataFrame, tile: int, guard: int, width: int, height: int) -> D
     reach = lambda c, pick: pick(*[F.col(f"{p}.{c}") for p in "abc"])
     first = lambda c: F.greatest(floor_div(floor_div(reach(c, F.least) - SAMPLE, SUBPIXELS) - guard, tile), F.lit(0))
     last = lambda c, n: F.least(floor_div(floor_div(reach(c, F.greatest), SUBPIXELS) + guard, tile), F.lit((n - 1) // tile))
-    boxed = faces.withColumns({"_c0": first("x"), "_c1": last("x", width), "_r0": first("y"), "_r1": last("y", height)}).where("_c0 <= _c1 and _r0 <= _r1")
-    return boxed.withColumn("col", F.explode(F.sequence("_c0", "_c1"))).withColumn("row", F.explode(F.sequence("_r0", "_r1"))).drop("_c0", "_c1", "_r0", "_r1")
+    # Out of an array the box is finished: the tests of it and of the sequences do not work it out again.
+    box = F.struct(first("x").alias("c0"), last("x", width).alias("c1"), first("y").alias("r0"), last("y", height).alias("r1"))
+    boxed = faces.withColumn("_b", F.explode(F.array(box))).where("_b.c0 <= _b.c1 and _b.r0 <= _b.r1")
+    return boxed.withColumn("col", F.explode(F.sequence("_b.c0", "_b.c1"))).withColumn("row", F.explode(F.sequence("_b.r0", "_b.r1"))).drop("_b")
 
 
 def render(objects: DataFrame, style: Style, tile: int = 512, guard: int = 1, piece: int = PIECE) -> DataFrame:
